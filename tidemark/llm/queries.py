@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, language, toxicity
+from . import html, language, lm, pii, toxicity
 from .tables import read
 
 
@@ -22,8 +22,16 @@ def op7_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op7(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.op2(read(spark, sf_dir, "documents"))
+
+
+def op10_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op10(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_language_mixture, op5_html_region, op7_toxicity_mil)}
+    return {f.__name__: f for f in (op2_log_bilinear, op4_language_mixture, op5_html_region, op7_toxicity_mil, op10_pii_disclosure)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -18,3 +18,29 @@ def fold(doc_id: Column, n: int) -> Column:
 def hash_unit(doc_id: Column, salt: int) -> Column:
     """A fixed pseudo-random number in [0, 1) for each id."""
     return (F.xxhash64(F.lit(salt), doc_id).bitwiseAND(F.lit((1 << 30) - 1))) / F.lit(float(1 << 30))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; a new temporary one only where it is unset."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if context.getCheckpointDir() is None:
+        import tempfile
+
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+    return context.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """The rows written once as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
+    import uuid
+
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
