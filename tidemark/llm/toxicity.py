@@ -70,19 +70,25 @@ class ToxicityModel:
         """Adam on the noisy-or likelihood with an L2 penalty; features whose share of documents differs between the labels by fewer than `least` standard errors have no weight."""
         if len(set(labels.tolist())) < 2:
             return cls(np.zeros(BUCKETS, np.float32), -30.0, False)
-        features, sentence, sent_doc, _ = sentences(_lowered(texts))
-        n_sent, n_doc = len(sent_doc), len(texts)
-        pairs = np.unique(np.repeat(sent_doc[sentence], features.shape[1]).astype(np.int64) * BUCKETS + features.ravel())
-        seen = np.bincount(pairs % BUCKETS, minlength=BUCKETS)
-        toxic = np.bincount(pairs % BUCKETS, weights=labels[pairs // BUCKETS], minlength=BUCKETS)
-        share = labels.mean()
+        n_doc, share = len(texts), labels.mean()
+        seen, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        for a, b in chunks(texts):
+            features, sentence, sent_doc, _ = sentences(_lowered(texts[a:b]))
+            pairs = np.unique(np.repeat(sent_doc[sentence], features.shape[1]).astype(np.int64) * BUCKETS + features.ravel())
+            seen += np.bincount(pairs % BUCKETS, minlength=BUCKETS)
+            toxic += np.bincount(pairs % BUCKETS, weights=labels[a:b][pairs // BUCKETS], minlength=BUCKETS)
         error = np.sqrt(np.maximum(seen * share * (1 - share) * (1 - seen / n_doc), 0.25))
         present = np.flatnonzero((seen >= 4) & (np.abs(toxic - seen * share) >= least * error))
         number = np.full(BUCKETS, len(present), np.int32)  # the last is for all others
         number[present] = np.arange(len(present))
-        features, n_feat = number[features], len(present) + 1
-        useful = (features < len(present)).any(1)
-        features, sentence = features[useful], sentence[useful]
+        kept, n_feat, n_sent = [], len(present) + 1, 0
+        for a, b in chunks(texts):
+            features, sentence, sent_doc, _ = sentences(_lowered(texts[a:b]))
+            features = number[features]
+            useful = (features < len(present)).any(1)
+            kept.append((features[useful], sentence[useful] + n_sent, sent_doc + a))
+            n_sent += len(sent_doc)
+        features, sentence, sent_doc = (np.concatenate(x) for x in zip(*kept, strict=True))
         weights, bias = np.zeros(n_feat), -5.0
         m, v, mb, vb = np.zeros(n_feat), np.zeros(n_feat), 0.0, 0.0
         for step in range(1, epochs + 1):
