@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, language, lm, pii, toxicity
+from . import fingerprint, html, language, lm, pii, toxicity
 from .tables import read
 
 
@@ -22,6 +22,10 @@ def op7_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op7(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op1_fingerprint_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.op1(read(spark, sf_dir, "documents"))
+
+
 def op2_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.op2(read(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op10_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_log_bilinear, op4_language_mixture, op5_html_region, op7_toxicity_mil, op10_pii_disclosure)}
+    return {f.__name__: f for f in (op1_fingerprint_iblt, op2_log_bilinear, op4_language_mixture, op5_html_region, op7_toxicity_mil, op10_pii_disclosure)}
 
 
 def oracle_sql() -> dict[str, str]:
