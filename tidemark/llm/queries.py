@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, html, language, lm, pii, toxicity
+from . import fingerprint, html, language, lm, neardup, pii, suffix, toxicity
 from .tables import read
 
 
@@ -18,6 +18,10 @@ def op5_html_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.op5(read(spark, sf_dir, "pages"))
 
 
+def op6_suffix_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.op6(read(spark, sf_dir, "documents"))
+
+
 def op7_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op7(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -30,12 +34,16 @@ def op2_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.op2(read(spark, sf_dir, "documents"))
 
 
+def op9_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.op9(read(spark, sf_dir, "documents"))
+
+
 def op10_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op10(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprint_iblt, op2_log_bilinear, op4_language_mixture, op5_html_region, op7_toxicity_mil, op10_pii_disclosure)}
+    return {f.__name__: f for f in (op1_fingerprint_iblt, op2_log_bilinear, op4_language_mixture, op5_html_region, op6_suffix_hash, op7_toxicity_mil, op9_minhash_forest, op10_pii_disclosure)}
 
 
 def oracle_sql() -> dict[str, str]:
