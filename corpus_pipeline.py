@@ -1,5 +1,69 @@
-"""placeholder"""
-STAGES = []
+"""A training corpus from raw documents, stage by stage.
+
+Each stage takes (spark, docs, sf_dir) and returns all columns of documents for
+what it keeps; the last adds the pieces. The result of each is written as
+Parquet and read again as the next one's documents.
+
+Null or letterless texts go with the first stage; empty tables pass through.
+Repeated rows are one document after the second stage; rows without an id are
+never duplicates. Further columns of documents are carried along.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import decontaminate, language, neardup, pieces, pii
+from tidemark.llm.tables import fold, materialise, read
+
+#: Shingles of five words, links from 80 of 100.
+SHINGLE, PERCENT = 5, 80
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language, with the predicted one as their lang; `und` goes."""
+    model = language.LanguageModel.fit(docs.select("doc_id", "text", "lang").where(fold(F.col("doc_id"), 5) != 0))
+    out = language.identify(docs, model, keep=docs.columns).where(F.col("lang_pred") != language.UNKNOWN)
+    return out.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+
+
+def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near duplicates."""
+    kept = neardup.near_duplicates(docs.select("doc_id", "text"), SHINGLE, PERCENT).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.without_leaks(docs, read(spark, sf_dir, "benchmark"))
+
+
+def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data and revealing terms replaced; n_chars is that of the new text."""
+    terms = pii.with_spans(docs).where(F.size("terms") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "terms").distinct()
+    rows = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = rows.join(terms, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
+    spans = F.concat(pii.base_spans(F.col("text")), F.coalesce("terms", F.array().cast("array<struct<kind:string,start:bigint,stop:bigint,value:string>>")))
+    clean = rows.withColumn("_spans", spans).withColumn("text", F.when(F.size("_spans") > 0, pii.sanitise(F.col("text"), F.col("_spans"))).otherwise(F.col("text")))
+    return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their pieces: variant, n_pieces, ids_sha256, lossless, ids."""
+    return pieces.encode(docs, docs.columns, with_ids=True)
+
+
+STAGES = [("language", identified), ("near_duplicates", unique), ("decontamination", decontaminated), ("pii", sanitised), ("pieces", encoded)]
+#: SQL can't express a stage.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = materialise(docs)
+    return docs

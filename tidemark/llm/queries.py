@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, html, language, lm, neardup, pii, suffix, toxicity
+from . import decontaminate, fingerprint, html, language, lm, neardup, pieces, pii, suffix, toxicity
 from .tables import read
 
 
+def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.op3(read(spark, sf_dir, "documents"))
+
+
 def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.op4(read(spark, sf_dir, "documents"))
 
@@ -34,6 +38,10 @@ def op2_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.op2(read(spark, sf_dir, "documents"))
 
 
+def op8_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op8(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.op9(read(spark, sf_dir, "documents"))
 
@@ -43,7 +51,7 @@ def op10_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprint_iblt, op2_log_bilinear, op4_language_mixture, op5_html_region, op6_suffix_hash, op7_toxicity_mil, op9_minhash_forest, op10_pii_disclosure)}
+    return {f.__name__: f for f in (op1_fingerprint_iblt, op2_log_bilinear, op3_merge_dropout, op4_language_mixture, op5_html_region, op6_suffix_hash, op7_toxicity_mil, op8_string_tiling, op9_minhash_forest, op10_pii_disclosure)}
 
 
 def oracle_sql() -> dict[str, str]:
