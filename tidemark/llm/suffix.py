@@ -260,9 +260,9 @@ class SuffixSort:
     def __init__(self, buf: np.ndarray):
         self.buf, self.hashes = buf, PrefixHash(buf)
 
-    def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Length of the common extension of suffixes at x and y, by binary search on prefix hashes."""
-        low, high = np.zeros(len(x), np.int64), np.full(len(x), LENGTH)
+    def common(self, x: np.ndarray, y: np.ndarray, known: int = 8) -> np.ndarray:
+        """Length of the common extension of suffixes at x and y that share `known` bytes, by binary search on prefix hashes."""
+        low, high = np.full(len(x), known), np.full(len(x), LENGTH)
         sums, inverse = self.hashes.sums, self.hashes.inverse
         x0, y0, xi, yi = sums[x], sums[y], inverse[x], inverse[y]
         while (low < high).any():
@@ -308,6 +308,11 @@ def repeats(buf: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Of windows at `at`, in order of precedence inside each group: those whose bytes an earlier one of the group has."""
     if not len(at):
         return np.zeros(0, bool)
+    # the first eight bytes, as a number, are a suffix's rank so far: only equal ones need comparisons
+    head = np.lib.stride_tricks.sliding_window_view(buf, 8)[at].view(">u8").ravel()
+    ranked = np.lexsort((head, group))
+    at, group, head = at[ranked], group[ranked], head[ranked]
+    group = np.cumsum(np.concatenate(([True], (group[1:] != group[:-1]) | (head[1:] != head[:-1])))) - 1
     sort = SuffixSort(buf)
     order = sort.order(at, group)
     x, y = order[:-1], order[1:]
@@ -326,7 +331,9 @@ def repeats(buf: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
         for e in np.flatnonzero(group == g):
             later[e] = (w := views[at[e]].tobytes()) in seen
             seen.add(w)
-    return later
+    out = np.empty(len(later), bool)
+    out[ranked] = later
+    return out
 
 
 def _compare(table):
