@@ -1,0 +1 @@
+"""Market time-series analytics on Spark DataFrames, keyed by symbol."""
