@@ -192,11 +192,13 @@ def _meet(table):
     spans = _joined_spans(columns[3][same], columns[4][same], columns[4][same] + columns[5][same] + LENGTH - 1)
     rid, payload = _by_row(spans[0], spans[1:], _SPAN_LAYOUT)
     out = [known.select(["rid", "kind", "payload"]), pa.table({"rid": pa.array(rid, pa.int64()), "kind": pa.array([SPANS] * len(rid), pa.int32()), "payload": pa.array(payload, pa.binary())})]
-    columns, group = [c[~same] for c in columns], group[~same]
     if len(group):
+        # a later copy's flags count for its anchor too
+        flagged, repeated = (np.bincount(group, weights=(columns[6] & f) > 0) > 0 for f in (HOT_FLAG, REPEATED))
+        columns, group = [c[~same] for c in columns], group[~same]
         number = np.bincount(group)
-        hot = (number > HOT) | (np.bincount(group, weights=(columns[6] & HOT_FLAG) > 0) > 0)
-        open_ = (number > 1) | (np.bincount(group, weights=(columns[6] & REPEATED) > 0) > 0) | hot
+        hot = (number > HOT) | flagged
+        open_ = (number > 1) | repeated | hot
         flag = np.where(hot[group], HOT_FLAG, 0).astype(np.uint8)
         keep = open_[group]
         rid, payload = _by_row(columns[3][keep], [columns[0][keep], columns[4][keep], columns[5][keep], flag[keep]], _DETAIL_LAYOUT)
