@@ -127,10 +127,10 @@ def _by_heap(p: Pieces, symbols: np.ndarray, key: int, limit: int) -> list[int]:
     return [x for x, g in zip(ids, gone, strict=True) if not g]
 
 
-def encode_units(p: Pieces, units: list[str], dropout: float, seed: int, variant: int) -> list[np.ndarray]:
-    """Ids of each unit."""
+def encode_units(p: Pieces, units: list[str], dropout: float, seed: int, variant: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ids, and where each unit's begin and how many they are."""
     if not units:
-        return []
+        return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
     limit = min(int(dropout * 2**64), 2**64 - 1)
     codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
     length = np.fromiter(map(len, units), np.int64, len(units))
@@ -138,7 +138,9 @@ def encode_units(p: Pieces, units: list[str], dropout: float, seed: int, variant
     keys = _unit_keys(codes, length, seed, variant)
     symbols = p.char[codes].astype(np.int64)
     symbols = np.where(symbols < 0, -1 - codes.astype(np.int64), symbols)  # no piece: the character's number
-    out: list[np.ndarray | None] = [None] * len(units)
+    parts: list[np.ndarray] = []
+    who: list[np.ndarray] = []
+    sizes: list[np.ndarray] = []
     for low, high in ((1, 4), (5, 8), (9, 12), (13, 18), (19, 28), (29, LONG)):
         pick = np.flatnonzero((length >= low) & (length <= high))
         for c in range(0, len(pick), 1 << 15):
@@ -182,19 +184,34 @@ def encode_units(p: Pieces, units: list[str], dropout: float, seed: int, variant
                 for side in (at - 1, at):
                     ok = (side >= 0) & (side + 1 < n[live])
                     best[live[ok], side[ok]] = candidates(live[ok], side[ok])
-            flat, cut = ids[columns < n[:, None]], np.cumsum(n)
-            for k, part in zip(own.tolist(), np.split(flat, cut[:-1]), strict=True):
-                out[k] = part
+            parts.append(ids[columns < n[:, None]])
+            who.append(own)
+            sizes.append(n)
     for k in np.flatnonzero(length > LONG).tolist():
-        out[k] = np.array(_by_heap(p, symbols[first[k] : first[k] + length[k]], int(keys[k]), limit), np.int64)
-    return [_with_bytes(p, x) for x in out]
-
-
-def _with_bytes(p: Pieces, ids: np.ndarray) -> np.ndarray:
-    if not len(ids) or ids.min() >= 0:
-        return ids.astype(np.int32)
-    parts = [[i] if i >= 0 else p.byte[list(chr(-1 - i).encode("utf-8", "surrogatepass"))].tolist() for i in ids.tolist()]
-    return np.array([x for part in parts for x in part], np.int32)
+        parts.append(np.array(_by_heap(p, symbols[first[k] : first[k] + length[k]], int(keys[k]), limit), np.int64))
+        who.append(np.array([k]))
+        sizes.append(np.array([len(parts[-1])]))
+    flat, wide = _with_bytes(p, np.concatenate(parts))
+    ends = np.concatenate(([0], np.cumsum(wide)))
+    size = np.concatenate(sizes)
+    last = np.cumsum(size)
+    place, number = np.empty(len(units), np.int64), np.empty(len(units), np.int64)
+    order = np.concatenate(who)
+    place[order] = ends[last - size]
+    number[order] = ends[last] - ends[last - size]
+    return flat, place, number
+
+
+def _with_bytes(p: Pieces, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids with characters that have no piece as the bytes of their UTF-8 form, and how many ids each became."""
+    code = np.maximum(-1 - ids, 0)
+    wide = np.where(ids >= 0, 1, 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))
+    at = np.repeat(np.arange(len(ids)), wide)
+    inner = np.arange(len(at)) - np.repeat(np.cumsum(wide) - wide, wide)
+    n, c = wide[at], code[at]
+    lead = np.array([0, 0x00, 0xC0, 0xE0, 0xF0])[n]
+    byte = np.where(inner == 0, lead | (c >> (6 * (n - 1))), 0x80 | ((c >> (6 * (n - 1 - inner))) & 0x3F))
+    return np.where(ids[at] >= 0, ids[at], p.byte[byte & 0xFF]).astype(np.int32), wide
 
 
 class Encoder:
@@ -206,26 +223,21 @@ class Encoder:
 
     def _clear(self) -> None:
         self.known: dict[int, dict[str, int]] = {}
-        self.parts: list[np.ndarray] = []
         self.flat, self.place, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str], variants: list[int]) -> list[np.ndarray]:
         units = [UNIT.findall(" " + t) if t else [] for t in texts]
         if sum(map(len, self.known.values())) > self.most:
             self._clear()
-        added = []
         for v in sorted(set(variants)):
             known = self.known.setdefault(v, {})
-            new = {u for own, w in zip(units, variants, strict=True) if w == v for u in own}.difference(known)
-            new = sorted(new)
-            for u, ids in zip(new, encode_units(self.pieces, new, self.dropout, self.seed, v), strict=True):
-                known[u] = len(self.length) + len(added)
-                added.append(ids)
-        if added:
-            length = np.fromiter(map(len, added), np.int64, len(added))
-            self.place = np.concatenate((self.place, len(self.flat) + np.cumsum(length) - length))
-            self.length = np.concatenate((self.length, length))
-            self.flat = np.concatenate((self.flat, *added))
+            new = sorted({u for own, w in zip(units, variants, strict=True) if w == v for u in own}.difference(known))
+            if new:
+                flat, place, length = encode_units(self.pieces, new, self.dropout, self.seed, v)
+                known.update(zip(new, range(len(self.length), len(self.length) + len(new)), strict=True))
+                self.place = np.concatenate((self.place, place + len(self.flat)))
+                self.length = np.concatenate((self.length, length))
+                self.flat = np.concatenate((self.flat, flat))
         out = []
         for own, v in zip(units, variants, strict=True):
             at = np.fromiter(map(self.known[v].__getitem__, own), np.int64, len(own))
