@@ -408,7 +408,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     schema = "rid long, kind int, payload binary"
     met = materialise(rows.mapInArrow(_scan(buckets), f"bucket int, {schema}").groupBy("bucket").applyInArrow(_meet, schema))
     detail = met.where(F.col("kind") == DETAIL).groupBy("rid").agg(F.collect_list("payload").alias("payloads"))
-    compared = rows.join(detail, "rid").mapInArrow(_details(buckets), f"bucket int, {schema}").groupBy("bucket").applyInArrow(_compare, schema)
+    compared = rows.join(detail, "rid").mapInArrow(_details(3 * buckets), f"bucket int, {schema}").groupBy("bucket").applyInArrow(_compare, schema)
     spans = met.where(F.col("kind") == SPANS).unionByName(compared).groupBy("rid").agg(F.collect_list("payload").alias("payloads"))
     return rows, spans
 
