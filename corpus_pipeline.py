@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, language, neardup, pieces, pii
-from tidemark.llm.tables import fold, materialise, read
+from tidemark.llm.tables import bounded, fold, materialise, read
 
 #: Shingles of five words, links from 80 of 100.
 SHINGLE, PERCENT = 5, 80
@@ -23,6 +23,7 @@ SHINGLE, PERCENT = 5, 80
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language, with the predicted one as their lang; `und` goes."""
+    bounded(spark)
     model = language.LanguageModel.fit(docs.select("doc_id", "text", "lang").where(fold(F.col("doc_id"), 5) != 0))
     out = language.identify(docs, model, keep=docs.columns).where(F.col("lang_pred") != language.UNKNOWN)
     return out.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
@@ -30,6 +31,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near duplicates."""
+    bounded(spark)
     kept = neardup.near_duplicates(docs.select("doc_id", "text"), SHINGLE, PERCENT).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.where(F.col("doc_id").isNull()))
@@ -52,6 +54,7 @@ def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their pieces: variant, n_pieces, ids_sha256, lossless, ids."""
+    bounded(spark)
     return pieces.encode(docs, docs.columns, with_ids=True)
 
 

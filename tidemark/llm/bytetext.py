@@ -88,7 +88,7 @@ def words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return runs(~IS_SEPARATOR[buf])
 
 
-def chunks(texts: list[bytes], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Index ranges of about `most` bytes each; a longer text stands alone."""
     begin = size = 0
     for i, t in enumerate(texts):

@@ -60,7 +60,7 @@ def _count(rows):
     totals: dict[str, np.ndarray] = {}
     for batch in batches(rows):
         texts, langs = _lowered(byte_texts(batch.column("text"))), batch.column("lang").to_pylist()
-        for a, b in chunks(texts):
+        for a, b in chunks(texts, 1 << 19):
             packed = Packed(texts[a:b])
             grams, owner, start = _ngrams(packed)
             doc = packed.doc_of(start)[owner]
@@ -142,7 +142,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
         for batch in batches(rows):
             texts = byte_texts(batch.column("_text"))
             pred, score, used, mixture = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int32), [None] * len(texts)
-            for a, b in chunks(texts) if names else ():
+            for a, b in chunks(texts, 1 << 19) if names else ():
                 shares, number = own.proportions(texts[a:b])
                 top = shares.argmax(1)
                 for i in np.flatnonzero(shares.max(1) > 0):

@@ -144,7 +144,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         own = ToxicityModel(*shared.value)
         for batch in batches(rows):
             texts = byte_texts(batch.column("_text"))
-            parts = [own.score(texts[a:b]) for a, b in chunks(texts)]
+            parts = [own.score(texts[a:b]) for a, b in chunks(texts, 1 << 20)]
             score, at, worst = (np.concatenate(x) for x in zip(*parts, strict=True))
             if not own.known:
                 score, worst = score * 0, worst * 0
