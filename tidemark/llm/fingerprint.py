@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import materialise
+from .tables import materialise, partitions
 
 WORDS = 8
 PARAGRAPH = r"[^\x20\x09-\x0D]++(?:[\x20\x09]++[^\x20\x09-\x0D]++){0,%d}" % (WORDS - 1)
@@ -128,6 +128,8 @@ def with_next(docs: DataFrame) -> DataFrame:
         low, high = F.coalesce(F.try_element_at(ends, part), F.col("_key")), F.coalesce(F.try_element_at(ends, part + 1), F.col("_key"))
         part = part * fine + F.least(F.lit(fine - 1), F.floor((F.col("_key") - low) / F.greatest(high - low, F.lit(1)) * fine))
     docs = docs.withColumn("block", part.cast("long"))
+    # tasks of a quarter of the usual size: the peeling's tables of cells then fit in memory
+    docs = docs.repartition(4 * partitions(docs.sparkSession), "block")
     docs = docs.drop("_key")  # from here every use reads the same columns, so that one exchange serves all
     w = Window.partitionBy("block").orderBy(F.desc_nulls_last("doc_id"), F.xxhash64("text"))
     rows = docs.select("block", "doc_id", "text", F.row_number().over(w).alias("place"), F.lead("text").over(w).alias("_lead"))
