@@ -259,6 +259,23 @@ def test_near_duplicates(docs, repeated, monkeypatch, dense):
     assert neardup.op9(empty(docs)).count() == 0
 
 
+@pytest.mark.parametrize("block", [1024, 16])
+def test_near_duplicates_of_a_hot_template(spark, monkeypatch, block):
+    """Documents just under 0.8 alike, and pairs among them that reach it."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    items = []
+    for i in range(400):
+        own = [f"o{i // 2}y{k}" for k in range(28)]
+        if i % 2:
+            own[:20] = [f"z{i}y{k}" for k in range(20)]
+        items.append((i, " ".join(WORDS[:170] + own)))
+    df = spark.createDataFrame(items, "doc_id long, text string")
+    want = brute_components(items)
+    assert len({c for _, c in want.values()}) == 200
+    got = by_id(neardup.op9(df))
+    assert {i: got[i]["component_id"] for i, _ in items} == {i: c for i, (_, c) in want.items()}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(200, 201), (300, 300)], "lo long, hi long")
     got = {r["vertex"]: r["component"] for r in neardup.components(edges).collect()}

@@ -11,6 +11,13 @@ no region meets in one task and no region emits all its pairs. Candidates are
 confirmed on the full sets, first those of a few trees; further candidates only
 where they would join components that are still apart.
 
+What the forest misses is found exactly: two sets that are alike enough share
+a shingle among the first n - ceil(percent n / 100) + 1 of each in one order of
+all shingles. The order takes seldom shingles first, as far as a sample tells;
+any order gives the same links. Documents of different components that share
+such a shingle are paired, in blocks of BLOCK for shingles of many documents,
+and pairs that a bound on the intersection doesn't rule out are confirmed.
+
 Null text, and text without words, has an empty set and is linked with nothing.
 A null id takes no part: its component is null and it is kept. Rows with equal
 ids are one vertex. Repeated rows give repeated results; empty tables give
@@ -26,9 +33,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytetext import ASCII_LOWER, U64, PrefixHash, Packed, batches, byte_texts, chunks, mix, words
-from .tables import materialise
+from .tables import hash_unit, materialise, partitions
 
 TREES, DEPTH, BASE, DENSE, FIRST_TREES = 20, 8, 4, 64, 3
+#: Bits of a set's parity bitmap, documents of a block, buckets of the sampled shingle counts (a byte each) and documents sampled.
+BITS, BLOCK, COUNTED, SAMPLED = 2048, 1024, 1 << 22, 20000
 _RNG = np.random.default_rng(97)
 _MULTIPLY = _RNG.integers(1, 1 << 31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _RNG.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)
@@ -79,8 +88,16 @@ def _signatures(full: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _bitmaps(full: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """A row of BITS bits for each of n sets: the parity of how many shingles fall on each bit."""
+    out = np.zeros(n * BITS // 8, np.uint8)
+    at = (mix(full + U64(0x6A09E667)) % U64(BITS)).astype(np.int64) + owner * BITS
+    np.bitwise_xor.at(out, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+    return out.reshape(n, BITS // 8)
+
+
 def _sets(size: int):
-    """doc_id, n_shingles, digest of the set (d1, d2), and for each tree the region and the order of the rest of the signature."""
+    """doc_id, n_shingles, digest of the set (d1, d2), its bitmap, and for each tree the region and the order of the rest of the signature."""
 
     def run(rows):
         for batch in batches(rows):
@@ -88,6 +105,7 @@ def _sets(size: int):
             total = len(texts)
             count, d1, d2 = np.zeros(total, np.int64), np.zeros(total, U64), np.zeros(total, U64)
             region, fifth, rest = (np.zeros((total, TREES), np.int64) for _ in range(3))
+            bits = [b""] * total
             for a, b in chunks(texts):
                 full, owner, n = shingles(texts[a:b], size)
                 count[a:b] = n
@@ -97,6 +115,7 @@ def _sets(size: int):
                 starts = (np.cumsum(n) - n)[have]
                 d1[a + have] = np.add.reduceat(full, starts)
                 d2[a + have] = np.bitwise_xor.reduceat(mix(full + U64(0x51ED270B)), starts)
+                bits[a:b] = [x.tobytes() for x in _bitmaps(full, owner, b - a)]
                 sig = _signatures(full, starts).reshape(len(have), TREES, DEPTH).astype(U64)
                 key = np.zeros((len(have), TREES), U64)
                 for k in range(BASE):
@@ -105,7 +124,7 @@ def _sets(size: int):
                 fifth[a + have] = sig[:, :, BASE].astype(np.int64)
                 rest[a + have] = ((sig[:, :, BASE + 1] << U64(31)) | (sig[:, :, BASE + 2] >> U64(1))).astype(np.int64)
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), TREES).cast(pa.list_(pa.int64())) for x in (region, fifth, rest)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), *lists], names=["doc_id", "n_shingles", "d1", "d2", "region", "fifth", "rest"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(bits, pa.binary()), *lists], names=["doc_id", "n_shingles", "d1", "d2", "bits", "region", "fifth", "rest"])
 
     return run
 
@@ -130,6 +149,73 @@ def _confirm(size: int, percent: int):
     return run
 
 
+def _frequencies(size: int):
+    """Shingles of this partition by bucket of their hash, 255 at most."""
+
+    def run(rows):
+        total = np.zeros(COUNTED, np.uint32)
+        for batch in batches(rows):
+            texts = byte_texts(batch.column("_text"))
+            for a, b in chunks(texts):
+                total += np.bincount((shingles(texts[a:b], size)[0] % U64(COUNTED)).astype(np.int64), minlength=COUNTED).astype(np.uint32)
+        yield pa.RecordBatch.from_pydict({"counts": [np.minimum(total, 255).astype(np.uint8).tobytes()]})
+
+    return run
+
+
+def _prefixes(size: int, percent: int, shared):
+    """doc_id and the shingles of which a set that is alike enough has at least one among its own."""
+
+    def run(rows):
+        counts = shared.value
+        for batch in batches(rows):
+            texts = byte_texts(batch.column("_text"))
+            for a, b in chunks(texts):
+                full, owner, n = shingles(texts[a:b], size)
+                order = np.lexsort((full, counts[(full % U64(COUNTED)).astype(np.int64)], owner))
+                first = np.cumsum(n) - n
+                most = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
+                keys = full[order][np.arange(len(full)) - first[owner] < most[owner]]
+                offsets = np.concatenate(([0], np.cumsum(most))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64)))], names=["doc_id", "keys"])
+
+    return run
+
+
+def _paired(percent: int):
+    """Pairs of one key and pair of blocks, of different components, that size and bitmaps don't rule out."""
+
+    def run(table):
+        table = table.combine_chunks().sort_by([("key", "ascending"), ("one", "ascending"), ("two", "ascending")])
+        key, one, two, block, n = (table.column(c).to_numpy() for c in ("key", "one", "two", "block", "n_shingles"))
+        comp = table.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
+        ids = table.column("doc_id").combine_chunks().dictionary_encode()
+        doc = ids.indices.to_numpy().astype(np.int64)
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), "<u8").reshape(len(key), BITS // 64)
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
+        start = np.flatnonzero(new)[np.cumsum(new) - 1]
+        before = np.arange(len(key)) - start
+        ends = np.cumsum(before)
+        found, i = [np.zeros(0, np.int64)], 0
+        while i < len(key):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + (1 << 16), side="right")))
+            times = before[i:j]
+            y = np.repeat(np.arange(i, j), times)
+            x = start[y] + np.arange(len(y)) - np.repeat(np.cumsum(times) - times, times)
+            ok = (comp[x] != comp[y]) & ((one[x] == two[x]) | (block[x] != block[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            x, y = x[ok], y[ok]
+            # sets differ in at least as many shingles as their bitmaps in bits
+            both = (n[x] + n[y] - np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)) // 2
+            ok = 100 * both >= percent * (n[x] + n[y] - both)
+            x, y = doc[x[ok]], doc[y[ok]]
+            found.append(np.unique(np.minimum(x, y) * len(key) + np.maximum(x, y)))
+            i = j
+        pair = np.unique(np.concatenate(found))
+        return pa.table({"a": ids.dictionary.take(pa.array(pair // max(len(key), 1))), "b": ids.dictionary.take(pa.array(pair % max(len(key), 1)))})
+
+    return run
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """vertex, component (smallest vertex) of all vertices with an edge (lo, hi), by alternating large and small stars."""
     edges = edges.where(F.col("lo") != F.col("hi")).select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi")).distinct()
@@ -200,30 +286,65 @@ def _perhaps(ids: DataFrame, bits: int = 1 << 24):
     return there(F.xxhash64("doc_id"))
 
 
+def missed(rows: DataFrame, reps: DataFrame, apart: DataFrame, size: int, percent: int) -> DataFrame:
+    """lo, hi: every pair in different components that can be alike enough.
+
+    rows: doc_id, _text. reps: doc_id, n_shingles, bits of those to pair. apart: rep, comp of each.
+    """
+    spark, kind = rows.sparkSession, rows.schema["doc_id"].dataType.simpleString()
+    share = SAMPLED / max(reps.count(), SAMPLED)
+    sample = rows.where(hash_unit(F.col("doc_id"), 17) < share).repartition(4)
+    parts = sample.mapInArrow(_frequencies(size), "counts binary").toLocalIterator()
+    counts = np.zeros(COUNTED, np.uint16)
+    for r in parts:
+        counts += np.frombuffer(r["counts"], np.uint8)
+    shared = spark.sparkContext.broadcast(np.minimum(counts, 255).astype(np.uint8))
+    entries = rows.where("doc_id IS NOT NULL").mapInArrow(_prefixes(size, percent, shared), f"doc_id {kind}, keys array<long>").select("doc_id", F.explode("keys").alias("key"))
+    w = Window.partitionBy("key").orderBy("doc_id")
+    several = entries.select("key", "doc_id", F.lag("doc_id").over(w).alias("p"), F.lead("doc_id").over(w).alias("q")).where("p IS NOT NULL OR q IS NOT NULL")
+    tagged = materialise(several.join(apart, several.doc_id == apart.rep).select("key", "doc_id", "comp"))
+    mixed = tagged.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("m")).where("a < b").select("key", "m")
+    w = Window.partitionBy("key").orderBy("comp", "doc_id")
+    dealt = tagged.join(mixed, "key").withColumn("block", F.floor((F.row_number().over(w) - 1) / BLOCK))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / BLOCK))))
+    dealt = materialise(dealt.select("key", "doc_id", "comp", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")))
+    buckets = max(partitions(spark), -(-dealt.count() // 10000))
+    full = dealt.join(reps, "doc_id").withColumn("bucket", F.pmod(F.xxhash64("key", "one", "two"), F.lit(buckets)))
+    pairs = full.groupBy("bucket").applyInArrow(_paired(percent), f"a {kind}, b {kind}")
+    return pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs."""
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("_text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    base = materialise(rows.mapInArrow(_sets(size), f"doc_id {kind}, n_shingles long, d1 long, d2 long, region array<long>, fifth array<long>, rest array<long>"))
+    base = materialise(rows.mapInArrow(_sets(size), f"doc_id {kind}, n_shingles long, d1 long, d2 long, bits binary, region array<long>, fifth array<long>, rest array<long>"))
     sets = base.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     digest = ["d1", "d2", "n_shingles"]
     classes = sets.groupBy(*digest).agg(F.min("doc_id").alias("rep"))
     reps = sets.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     forest = reps.select("doc_id", F.posexplode(F.arrays_zip("region", "fifth", "rest")).alias("tree", "x")).select("doc_id", "tree", "x.region", "x.fifth", "x.rest")
     pairs = materialise(candidates(forest))
-    ids = pairs.select(F.explode(F.array("lo", "hi")).alias("doc_id")).distinct()
-    texts = materialise(rows.where(_perhaps(ids)).join(ids, "doc_id", "left_semi"))
 
-    def confirmed(some: DataFrame) -> DataFrame:
+    def texts_of(some: DataFrame) -> DataFrame:
+        ids = some.select(F.explode(F.array("lo", "hi")).alias("doc_id")).distinct()
+        return materialise(rows.where(_perhaps(ids)).join(ids, "doc_id", "left_semi"))
+
+    def confirmed(some: DataFrame, texts: DataFrame) -> DataFrame:
         left, right = (texts.select(F.col("doc_id").alias(c), F.col("_text").alias(f"text_{x}")) for c, x in (("lo", "a"), ("hi", "b")))
         return some.select("lo", "hi").join(left, "lo").join(right, "hi").mapInArrow(_confirm(size, percent), f"lo {kind}, hi {kind}")
 
-    first = components(materialise(confirmed(pairs.where(F.col("tree") < FIRST_TREES))))
+    texts = texts_of(pairs)
+    first = components(materialise(confirmed(pairs.where(F.col("tree") < FIRST_TREES), texts)))
     later = pairs.where(F.col("tree") >= FIRST_TREES)
     for side in ("lo", "hi"):
         later = later.join(first.select(F.col("vertex").alias(side), F.col("component").alias(f"c_{side}")), side, "left").withColumn(f"c_{side}", F.coalesce(f"c_{side}", side))
-    more = materialise(confirmed(later.where("c_lo != c_hi")))
+    more = materialise(confirmed(later.where("c_lo != c_hi"), texts))
     joined = components(more.unionByName(first.select(F.col("component").alias("lo"), F.col("vertex").alias("hi"))))
+    apart = classes.select("rep").distinct().join(joined, F.col("rep") == joined.vertex, "left").select("rep", F.coalesce("component", "rep").alias("comp"))
+    others = materialise(missed(rows, reps.select("doc_id", "n_shingles", "bits"), apart, size, percent))
+    last = materialise(confirmed(others, texts_of(others)))
+    joined = components(last.unionByName(joined.select(F.col("component").alias("lo"), F.col("vertex").alias("hi"))))
     known = classes.join(joined, classes.rep == joined.vertex, "left").select(*digest, F.coalesce("component", "rep").alias("_component"))
     # rows with one id but different sets are one vertex
     out = base.select("doc_id", *digest).join(known, digest, "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("_component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
