@@ -153,6 +153,20 @@ def test_html(spark):
     assert html.op5(pages.where("false")).count() == 0
 
 
+def test_html_boxes_and_wrappers():
+    weights = {"word p": 2.0, "word skip": -4.0, "p": -0.1, "/p": -0.1, "article": -0.1, "aside": -1.0, "/aside": -1.0}
+    first, second = "one two three four five six seven", "eight nine ten eleven twelve and more"
+    box = "<aside><p>" + "buy this now " * 20 + "</p></aside>"
+    want = first + "\n\n" + second
+    body = f"<article><p>{first}</p>{box}<p>{second}</p></article>"
+    for wrapper in ("", "has-sidebar", "no-comments wide", "with-header", "page header-fixed"):
+        assert html.extract(f"<body><div class='{wrapper}'>{body}</div></body>", weights)[0] == want, wrapper
+    both = f"<body><div class='related'><article><p>teaser text</p></article></div>{body}</body>"
+    assert html.extract(both, weights)[0] == want
+    marks = {"main-sidebar": True, "sidebar_right": True, "ad": True, "has-sidebar": False, "is-sponsored": True, "shadow": False}
+    assert {k: html._skipped("div", f' class="{k}"') for k in marks} == marks
+
+
 def brute_suffix(items):
     seen, out = set(), {}
     for i, t in items:

@@ -3,9 +3,12 @@
 A page is a sequence of words and tags. Words score by where they stand and
 tags cost; the weights are log-odds counted over a bounded sample of pages
 that mark their content with `article` or `main`, so such pages label the
-rest. One linear scan finds the contiguous region of the highest sum. Its text
-blocks are returned, without containers that are never article text (menus,
-headers, footers, sidebars, notices, adverts, forms, comments).
+rest. One linear scan finds the contiguous region of the highest sum; what
+stands in a skipped container scores nothing, so that a box never cuts an
+article. Its text blocks are returned, without containers that are never
+article text (menus, headers, footers, sidebars, notices, adverts, forms,
+comments). Where a page has its `article` or `main` only inside elements that
+a class, id or role marks so, these elements are spared.
 
 Null html is empty, and an empty page has the empty text. A page whose region
 has no words has the empty text. Repeated rows give repeated results, empty
@@ -37,6 +40,8 @@ SKIP_WORDS = frozenset(
 )
 CONTENT = frozenset(("article", "main"))
 _NEVER_SKIPPED = frozenset(("html", "body", "article", "main"))
+#: First parts of class words that tell what an element has or lacks (`has-sidebar`), not what it is.
+_ABOUT = frozenset(("has", "no", "with", "without", "not"))
 #: An element of these ends an open one of the same name.
 _SELF_CLOSING = frozenset(("p", "li", "dt", "dd", "tr", "td", "th", "option"))
 _PIECE = re.compile(
@@ -57,12 +62,29 @@ def _skipped(name: str, attributes: str) -> bool:
         return False
     if name in SKIP:
         return True
-    return any(w in SKIP_WORDS for m in _NAMED.finditer(attributes) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()))
+    return any(_marks(w) for m in _NAMED.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").lower().split())
 
 
-def pieces(page: str):
-    """Yields (kind, words or 1, text, block number, skipped, inside content) in page order; kind names the weight."""
-    stack: list[tuple[str, bool, bool]] = []  # name, skipped, in content
+def _marks(token: str) -> bool:
+    """A class word that is one of SKIP_WORDS, or begins or ends with one and doesn't say what the element has or lacks."""
+    parts = [w for w in re.split(r"[^a-z0-9]+", token) if w]
+    if not parts or parts[0] in _ABOUT:
+        return False
+    return parts[0] in SKIP_WORDS or parts[-1] in SKIP_WORDS
+
+
+def pieces(page: str) -> list[tuple]:
+    """(kind, words or 1, text, block number, skipped, inside content) in page order; kind names the weight."""
+    holders: set[int] = set()
+    own = list(_scan(page, frozenset(), holders))
+    if holders and all(p[4] for p in own if p[0] in CONTENT):
+        own = list(_scan(page, holders, set()))
+    return own
+
+
+def _scan(page: str, spared, holders: set[int]):
+    """The pieces; elements that begin at `spared` are never marked; `holders` takes those marked by class that hold content."""
+    stack: list[tuple[str, bool, bool, int]] = []  # name, skipped, in content, where it begins if it is marked by class, else -1
     block, skipped, inside, links = 0, False, False, 0
     holder = "body"
     for m in _PIECE.finditer(page):
@@ -83,10 +105,13 @@ def pieces(page: str):
                     skipped, inside = stack[-1][1], stack[-1][2]
                 else:
                     skipped = inside = False
-                skip, content = skipped or _skipped(name, m[4]), inside or name in CONTENT
+                marked = m.start() not in spared and _skipped(name, m[4])
+                skip, content = skipped or marked, inside or name in CONTENT
+                if name in CONTENT:
+                    holders.update(x[3] for x in stack if x[3] >= 0)
                 yield name, 1, "", block, skip, content
                 if name not in VOID and not m[4].endswith("/"):
-                    stack.append((name, skip, content))
+                    stack.append((name, skip, content, m.start() if marked and name not in SKIP else -1))
             if name in BLOCKS:
                 block += 1
             skipped, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
@@ -107,7 +132,7 @@ def _count(rows):
     totals: dict[str, list[int]] = {}
     for batch in batches(rows):
         for page in batch.column("html").to_pylist():
-            own = list(pieces(page or ""))
+            own = pieces(page or "")
             if any(p[5] for p in own):
                 for kind, n, _, _, skipped, inside in own:
                     totals.setdefault(kind, [0, 0])[0 if inside and not skipped else 1] += n
@@ -128,13 +153,13 @@ def fit_weights(pages: DataFrame, most: int = 4000) -> dict[str, float]:
 
 def extract(page: str, weights: dict[str, float]) -> tuple[str, float]:
     """The main text and the score of its region."""
-    own = list(pieces(page))
+    own = pieces(page)
     best = total = 0.0
     begin = best_begin = best_end = 0
     for i, (kind, n, *_rest) in enumerate(own):
         if total <= 0:
             total, begin = 0.0, i
-        if n:
+        if n and not _rest[2]:
             total += n * weights.get(kind, DEFAULT_WORD if kind.startswith("word") else DEFAULT_TAG)
         if total > best:
             best, best_begin, best_end = total, begin, i + 1
