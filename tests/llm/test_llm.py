@@ -141,6 +141,24 @@ def test_language(docs, repeated):
     assert language.op4(repeated).count() == 5 and language.op4(empty(docs)).count() == 0
 
 
+def test_language_of_four():
+    import numpy as np
+
+    names = ["aa", "bb", "cc", "dd", "ee"]
+    alphabets = ["abcd", "efgh", "ijkl", "mnop", "qrst"]
+    rng = np.random.default_rng(5)
+    texts = [" ".join("".join(rng.choice(list(a), 6)) for _ in range(400)) for a in alphabets]
+    logs = []
+    for t in texts:
+        packed = language.Packed([t.encode()])
+        c = np.bincount(language._ngrams(packed)[0], minlength=language.BUCKETS) + 0.2
+        logs.append(np.log(c / c.sum()))
+    model = language.LanguageModel(names, np.array(logs, np.float32))
+    for m in range(1, 6):
+        shares, used = model.proportions([" ".join(texts[:m]).encode()])
+        assert used[0] == m and np.allclose(shares[0, :m], 1 / m, atol=0.02), (m, shares)
+
+
 def test_html(spark):
     page = "<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href='/a'>menu</a></li></ul></nav><div class='ad'>buy</div><article><h1>A &amp; B</h1><p>First <b>bold\n text.<br><p>Second one is longer than it was.</p><div class='comments'>me too</div><script>var t='</p>';</script></article><footer>&copy; foot</footer></body></html>"
     pages = spark.createDataFrame([(1, "u", page), (2, "u", None), (3, None, ""), (4, "v", "<p>no article here at all</p><form>send</form>"), (1, "u", page), (5, "w", "<<<>>> & < broken")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))

@@ -120,7 +120,7 @@ class LanguageModel:
         order = np.argsort(-shares, axis=1, kind="stable")
         rank = np.argsort(order, axis=1, kind="stable")
         best, chosen, used = np.full(n, -np.inf), np.zeros((n, k)), np.zeros(n, np.int64)
-        for m in range(1, min(k, 3) + 1):
+        for m in range(1, k + 1):
             mask = rank < m
             begin = np.where(mask, shares + 1e-6, 0)
             fitted, fit = improve(begin / begin.sum(1, keepdims=True), 0 if m == 1 else 2)
