@@ -219,6 +219,37 @@ def test_suffix_hot_anchors(docs, monkeypatch):
         assert tuple(got[i])[1:] == want, i
 
 
+def periodic_rows():
+    base = text(77, 120)
+    near = [(200 + i, base.replace(WORDS[(77 * 131 + 7 * (i % 110)) % 4000], f"changed{i}", 1)) for i in range(1000)]
+    out = [(i, ("foo bar " * (100 + 3 * i) + f"end{i}")[i % 5 :]) for i in range(40)]
+    out += [(100, "ab" * 2000), (101, "b" + "ab" * 900), (102, "x" * 250 + "y" + "x" * 250), (103, "one line of a page that many hold\n" * 60), (None, "foo bar " * 50)]
+    return out + near
+
+
+def test_suffix_periodic_and_near_copies(spark):
+    """Periods of all sorts and a thousand near copies, many windows of one anchor."""
+    items = periodic_rows()
+    got = suffix.op6(spark.createDataFrame(items, "doc_id long, text string").repartition(5)).collect()
+    want = brute_suffix(sorted(items, key=lambda r: (r[0] is None, r[0] or 0)))
+    assert len(got) == len(items)
+    for r in got:
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id], r.doc_id
+
+
+def test_suffix_equal_windows_despite_collisions(monkeypatch):
+    """With hashes that are all equal the byte comparison alone finds the classes."""
+    import numpy as np
+
+    monkeypatch.setattr(suffix.SuffixSort, "common", lambda self, x, y, known=8: np.full(len(x), suffix.LENGTH))
+    rng = np.random.default_rng(3)
+    rows_ = [bytes([65] * 8 + rng.integers(65, 67, 92).tolist()) for _ in range(6)]
+    picked = [0, 1, 2, 0, 3, 1, 4, 5, 0]
+    buf = np.frombuffer(b"".join(rows_[i] for i in picked), np.uint8)
+    later = suffix.repeats(buf, np.arange(len(picked)) * 100, np.zeros(len(picked), np.int64))
+    assert later.tolist() == [picked.index(i) != k for k, i in enumerate(picked)]
+
+
 def test_suffix_sort_is_a_sort():
     import numpy as np
 

@@ -1,21 +1,24 @@
 """Exact removal of byte strings that occur earlier in the corpus, by a distributed suffix sort.
 
-Every 100-byte window is assigned to the smallest hash of its 40-byte strings
-(its anchor), so equal windows have equal anchors. A segment is a run of
-windows of one document with one anchor. Segments of equal bytes need no
-comparison: all but the first are removed. Only where one anchor has different
-segments are their suffixes sorted: a mergesort inside each anchor's group
+Every 100-byte window has an anchor: its 40-byte string of the smallest hash,
+the leftmost of equal ones. Equal windows have equal anchors at equal distance.
+A segment is the run of windows, at most SPAN, of one occurrence of an anchor,
+so however periodic a text, its segments are short and repeat as wholes.
+Segments of one anchor, distance and BLAKE2b digest of their bytes need no
+comparison: all but the first are removed. Only where an anchor has different
+segments are their suffixes sorted: a mergesort inside each anchor and distance
 compares two suffixes by prefix polynomial hashes, whose common extension a
-binary search finds in logarithmic time; neighbours with a common extension of
-100 bytes are one class, verified byte by byte, and all but the first of a
-class are removed. Anchors of very many different segments are dealt out by
-two independent hashes of each single window instead.
+binary search finds in logarithmic time. Neighbours in the sorted order are
+then compared byte by byte: this proves the order and the classes of equal
+windows, and where hashes collided the windows themselves are compared. All
+but the first of a class are removed. Of an anchor with more than HOT different
+segments each window is dealt out singly, by a 64-bit hash and a second one
+modulo two primes, so that no group grows with the corpus.
 
 Order is by doc_id (null last), then by row, then by position. Null text is
 empty. Texts under 100 bytes lose nothing. Repeated rows are later copies of
 the first and are removed whole if long enough; empty tables give no rows.
-Columns other than doc_id and text are ignored. `docs` must be a table or a
-plain selection of one, since rows are numbered by where they stand in it.
+Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -35,11 +38,13 @@ LENGTH, GRAM = 100, 40
 SPAN = LENGTH - GRAM + 1
 #: Different segments of one anchor, in one batch or in all, from which its windows are dealt out singly.
 HOT_BATCH, HOT = 64, 1000
+#: Bytes of text whose segments meet in one bucket, and windows that are sorted at once (one anchor's stay together).
+BUCKET_BYTES, SORTED = 8 << 20, 1 << 18
 LAST = (1 << 63) - 1
-_SEGMENT = [("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("rid", "<i8"), ("start", "<i4"), ("count", "<i4"), ("flag", "u1")]
+_SEGMENT = [("anchor", "<u8"), ("c1", "<u8"), ("c2", "<u8"), ("doc", "<i8"), ("rid", "<i8"), ("start", "<i4"), ("count", "u1"), ("lead", "u1"), ("flag", "u1")]
 _WINDOW = [("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("rid", "<i8"), ("start", "<i4")]
-_CONTEXT = [("anchor", "<u8"), ("doc", "<i8"), ("rid", "<i8"), ("start", "<i4"), ("count", "<i4")]
-REPEATED, HOT_FLAG = 1, 2
+_CONTEXT = [("anchor", "<u8"), ("doc", "<i8"), ("rid", "<i8"), ("start", "<i4"), ("count", "u1"), ("lead", "u1")]
+HOT_FLAG = 1
 SPANS, DETAIL = 1, 0
 
 
@@ -57,61 +62,71 @@ def _unpack(parts: list[bytes], layout: list[tuple[str, str]]) -> list[np.ndarra
     return [np.concatenate(f) if f else np.zeros(0, kind) for f, (_, kind) in zip(found, layout, strict=True)]
 
 
-def _sliding(values: np.ndarray, width: int, fold) -> np.ndarray:
-    """fold (minimum or maximum) of each `width` neighbours."""
-    n = len(values)
-    padded = np.concatenate((values, np.repeat(values[-1:], -n % width))).reshape(-1, width)
-    ahead = fold.accumulate(padded, axis=1).ravel()
-    behind = fold.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
-    return fold(behind[: n - width + 1], ahead[width - 1 : n])
+def _leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
+    """Position of the least, the leftmost of equal ones, of each `width` neighbours."""
+    least, at, reach = values, np.arange(len(values), dtype=np.int64), 1
+    while reach < width:
+        step = min(reach, width - reach)
+        further = least[step:] < least[:-step]
+        at, least = np.where(further, at[step:], at[:-step]), np.minimum(least[step:], least[:-step])
+        reach += step
+    return at
 
 
 def segments(texts: list[bytes]) -> list[np.ndarray]:
-    """anchor, content, document, start (in its document), count, repeated of the segments of all windows."""
+    """anchor, digest (two words), document, start (in its document), count and distance to the anchor of the segments of all windows."""
     packed = Packed(texts)
     long = np.flatnonzero(packed.ends - packed.starts >= LENGTH)
     if not len(long):
-        return [np.zeros(0, k) for k in (U64, U64, np.int64, np.int64, np.int64, bool)]
+        return [np.zeros(0, k) for k in (U64, U64, U64, np.int64, np.int64, np.int64, np.int64)]
     hashes = PrefixHash(packed.buf)
     n = len(packed.buf)
     at = np.arange(n - GRAM + 1)
     grams = mix(hashes.raw(at, at + GRAM))
-    least = _sliding(grams, SPAN, np.minimum)  # of the window that begins here
+    place = _leftmost_least(grams, SPAN)  # of the window that begins here
     inside = np.zeros(n + 1, np.int8)
     inside[packed.starts[long]] += 1
     inside[packed.ends[long] - LENGTH + 1] -= 1
     window = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
-    window = window[window < len(least)]
-    own = least[window]
-    new = np.concatenate(([True], (own[1:] != own[:-1]) | (window[1:] != window[:-1] + 1)))
-    first = np.flatnonzero(new)
+    own = place[window]
+    first = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (window[1:] != window[:-1] + 1))))
     start, anchor = window[first], own[first]
     count = np.diff(np.concatenate((first, [len(window)])))
     doc = packed.doc_of(start)
-    content = mix(hashes.raw(start, start + count + LENGTH - 1) + count.astype(U64))
-    # an anchor that stands twice in a row may repeat inside one segment
-    if len(least) >= SPAN:
-        top = _sliding(least, SPAN, np.maximum)
-        places = np.flatnonzero(grams[SPAN - 1 : SPAN - 1 + len(top)] == top) + SPAN - 1
-        edge = np.concatenate((np.arange(SPAN - 1), np.arange(SPAN - 1 + len(top), len(grams))))
-        places = np.concatenate((places, edge))
-        places.sort()
-        twice = np.unique(grams[places[1:]][grams[places[1:]] == grams[places[:-1]]])
-        # at the edges every position counts as an anchor, so equal neighbours there are only of equal strings
-        repeated = np.isin(anchor, twice) | (count > SPAN)
-    else:
-        repeated = np.ones(len(anchor), bool)
-    return [anchor, content, doc, start - packed.starts[doc], count, repeated]
+    whole, digest = packed.buf.tobytes(), hashlib.blake2b
+    sums = b"".join([digest(whole[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), (start + count + LENGTH - 1).tolist(), strict=True)])
+    content = np.frombuffer(sums, "<u8").reshape(-1, 2)
+    return [grams[anchor], content[:, 0], content[:, 1], doc, start - packed.starts[doc], count, anchor - start]
+
+
+_PRIMES, _BASES = (2147483647, 2147483629), (1362509239, 1907384551)
+#: For each prime the powers of its base and of the base's inverse, as far as they were needed.
+_residues: list[list[np.ndarray]] = [[np.ones(1, U64), np.ones(1, U64)] for _ in _PRIMES]
+
+
+def modular(buf: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """Polynomial hashes of `length` bytes modulo two primes, together 62 bits."""
+    out = np.zeros(len(start), U64)
+    for prime, base, powers in zip(_PRIMES, _BASES, _residues, strict=True):
+        p = U64(prime)
+        for k, b in enumerate((base, pow(base, -1, prime))):
+            while len(powers[k]) < len(buf):
+                powers[k] = np.concatenate((powers[k], powers[k] * U64(pow(b, len(powers[k]), prime)) % p))
+        sums = np.concatenate((np.zeros(1, U64), np.cumsum((buf.astype(U64) + U64(1)) * powers[0][: len(buf)] % p, dtype=U64)))
+        out = (out << U64(31)) | ((sums[start + length] - sums[start]) % p * powers[1][start] % p)
+    return out
 
 
 def _later(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Columns of _SEGMENT in order, whether a row has an earlier one of equal bytes, and the number of the row's anchor."""
-    order = np.lexsort((columns[4], columns[3], columns[2], columns[1], columns[0]))
+    anchor, c1, c2, doc, rid, start, count, lead, _ = columns
+    order = np.lexsort((start, rid, doc, count, lead, c2, c1, anchor))
     columns = [c[order] for c in columns]
-    anchor, content = columns[0], columns[1]
-    same = np.concatenate(([False], (anchor[1:] == anchor[:-1]) & (content[1:] == content[:-1]))) if len(anchor) else np.zeros(0, bool)
-    group = np.cumsum(np.concatenate(([True], anchor[1:] != anchor[:-1]))) - 1 if len(anchor) else np.zeros(0, np.int64)
-    return columns, same, group
+    if not len(order):
+        return columns, np.zeros(0, bool), np.zeros(0, np.int64)
+    new = columns[0][1:] != columns[0][:-1]
+    differs = np.logical_or.reduce([new, *(columns[k][1:] != columns[k][:-1] for k in (1, 2, 6, 7))])
+    return columns, np.concatenate(([False], ~differs)), np.cumsum(np.concatenate(([True], new))) - 1
 
 
 def _by_row(rid: np.ndarray, columns: list[np.ndarray], layout: list[tuple[str, str]]):
@@ -123,7 +138,7 @@ def _by_row(rid: np.ndarray, columns: list[np.ndarray], layout: list[tuple[str,
 
 
 _SPAN_LAYOUT = [("start", "<i4"), ("stop", "<i4")]
-_DETAIL_LAYOUT = [("anchor", "<u8"), ("start", "<i4"), ("count", "<i4"), ("flag", "u1")]
+_DETAIL_LAYOUT = [("anchor", "<u8"), ("start", "<i4"), ("count", "u1"), ("lead", "u1"), ("flag", "u1")]
 
 
 def _joined_spans(rid: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[np.ndarray]:
@@ -152,6 +167,13 @@ def _dealt(columns: list[np.ndarray], layout, key: np.ndarray, buckets: int):
     return used, [_pack([c[order[cut[b] : cut[b + 1]]] for c in columns], layout) for b in used]
 
 
+def _spans_of(columns: list[np.ndarray], same: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """rid and packed spans of the segments that are later copies."""
+    start = columns[5][same].astype(np.int64)
+    spans = _joined_spans(columns[4][same], start, start + columns[6][same] + LENGTH - 1)
+    return _by_row(spans[0], spans[1:], _SPAN_LAYOUT)
+
+
 def _scan(buckets: int):
     """Segments of each batch: spans of later copies, rows for the anchors' buckets, and details of what is hot already."""
 
@@ -160,26 +182,25 @@ def _scan(buckets: int):
             texts = byte_texts(batch.column("_text"))
             rids, docs = batch.column("rid").to_numpy(), batch.column("_order").to_numpy()
             parts = []
-            for a, b in chunks(texts, 1 << 20):
+            for a, b in chunks(texts):
                 found = segments(texts[a:b])
-                found[2] = found[2] + a
+                found[3] = found[3] + a
                 parts.append(found)
-            anchor, content, doc, start, count, repeated = (np.concatenate(x) for x in zip(*parts, strict=True))
-            columns, same, group = _later([anchor, content, docs[doc], rids[doc], start, count, repeated.astype(np.uint8)])
+            anchor, c1, c2, doc, start, count, lead = (np.concatenate(x) for x in zip(*parts, strict=True))
+            columns, same, group = _later([anchor, c1, c2, docs[doc], rids[doc], start, count, lead, np.zeros(len(doc), np.uint8)])
             if not len(same):
                 continue
-            spans = _joined_spans(columns[3][same], columns[4][same], columns[4][same] + columns[5][same] + LENGTH - 1)
-            rid, payload = _by_row(spans[0], spans[1:], _SPAN_LAYOUT)
+            rid, payload = _spans_of(columns, same)
             yield _rows((mix(rid.view(U64)) % U64(buckets)).astype(np.int32), rid, SPANS, payload)
             columns, group = [c[~same] for c in columns], group[~same]
             number = np.bincount(group)[group]
             place = np.arange(len(group)) - np.searchsorted(group, group)
-            columns[6] = columns[6] | np.where(number > HOT_BATCH, HOT_FLAG, 0).astype(np.uint8)
+            columns[8] = columns[8] | np.where(number > HOT_BATCH, HOT_FLAG, 0).astype(np.uint8)
             sent = place < HOT_BATCH
             used, payload = _dealt([c[sent] for c in columns], _SEGMENT, columns[0][sent], buckets)
             yield _rows(used, [None] * len(used), DETAIL, payload)
             more = [c[~sent] for c in columns]
-            rid, payload = _by_row(more[3], [more[0], more[4], more[5], more[6]], _DETAIL_LAYOUT)
+            rid, payload = _by_row(more[4], [more[0], *more[5:]], _DETAIL_LAYOUT)
             yield _rows((mix(rid.view(U64)) % U64(buckets)).astype(np.int32), rid, DETAIL, payload)
 
     return run
@@ -189,19 +210,17 @@ def _meet(table):
     """All segments of the bucket's anchors: spans of later copies, and details where an anchor has different segments."""
     known = table.filter(pc.is_valid(table.column("rid")))
     columns, same, group = _later(_unpack(table.filter(pc.is_null(table.column("rid"))).column("payload").to_pylist(), _SEGMENT))
-    spans = _joined_spans(columns[3][same], columns[4][same], columns[4][same] + columns[5][same] + LENGTH - 1)
-    rid, payload = _by_row(spans[0], spans[1:], _SPAN_LAYOUT)
+    rid, payload = _spans_of(columns, same)
     out = [known.select(["rid", "kind", "payload"]), pa.table({"rid": pa.array(rid, pa.int64()), "kind": pa.array([SPANS] * len(rid), pa.int32()), "payload": pa.array(payload, pa.binary())})]
     if len(group):
-        # a later copy's flags count for its anchor too
-        flagged, repeated = (np.bincount(group, weights=(columns[6] & f) > 0) > 0 for f in (HOT_FLAG, REPEATED))
+        # a later copy's flag counts for its anchor too
+        flagged = np.bincount(group, weights=columns[8] & HOT_FLAG) > 0
         columns, group = [c[~same] for c in columns], group[~same]
         number = np.bincount(group)
         hot = (number > HOT) | flagged
-        open_ = (number > 1) | repeated | hot
+        keep = ((number > 1) | hot)[group]
         flag = np.where(hot[group], HOT_FLAG, 0).astype(np.uint8)
-        keep = open_[group]
-        rid, payload = _by_row(columns[3][keep], [columns[0][keep], columns[4][keep], columns[5][keep], flag[keep]], _DETAIL_LAYOUT)
+        rid, payload = _by_row(columns[4][keep], [c[keep] for c in (columns[0], *columns[5:8], flag)], _DETAIL_LAYOUT)
         out.append(pa.table({"rid": pa.array(rid, pa.int64()), "kind": pa.array([DETAIL] * len(rid), pa.int32()), "payload": pa.array(payload, pa.binary())}))
     return pa.concat_tables([t.cast(out[0].schema) for t in out])
 
@@ -212,7 +231,7 @@ def _ranges(count: np.ndarray) -> np.ndarray:
 
 
 def _details(buckets: int):
-    """Bytes of the segments to compare, dealt by anchor; windows of hot anchors dealt singly by their hash."""
+    """Bytes of the segments to compare, dealt by anchor; windows of hot anchors dealt singly by their hashes."""
 
     def run(rows):
         for batch in batches(rows):
@@ -221,15 +240,14 @@ def _details(buckets: int):
             for a, b in chunks(texts):
                 packed, per = Packed(texts[a:b]), [_unpack(p, _DETAIL_LAYOUT) for p in payloads[a:b]]
                 doc = np.repeat(np.arange(b - a), [len(p[0]) for p in per]) + a
-                anchor, start, count, flag = (np.concatenate([p[k] for p in per]) for k in range(4))
+                anchor, start, count, lead, flag = (np.concatenate([p[k] for p in per]) for k in range(5))
                 hot = (flag & HOT_FLAG) > 0
-                at = packed.starts[doc - a] + start
+                at, count = packed.starts[doc - a] + start, count.astype(np.int64)
                 if hot.any():
-                    hashes, other = PrefixHash(packed.buf), PrefixHash(packed.buf ^ np.uint8(0x5A))
-                    n = count[hot].astype(np.int64)
+                    n = count[hot]
                     each = np.repeat(at[hot], n) + _ranges(n)
                     owner, begin = np.repeat(doc[hot], n), np.repeat(start[hot], n) + _ranges(n)
-                    h1, h2 = hashes.of(each, each + LENGTH), other.of(each, each + LENGTH)
+                    h1, h2 = PrefixHash(packed.buf).of(each, each + LENGTH), modular(packed.buf, each, LENGTH)
                     order = np.lexsort((begin, rids[owner], docs[owner], h2, h1))
                     h1, h2, owner, begin = h1[order], h2[order], owner[order], begin[order]
                     later = np.concatenate(([False], (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])))
@@ -248,9 +266,9 @@ def _details(buckets: int):
                     out = []
                     for k in used:
                         own = cold[order[cut[k] : cut[k + 1]]]
-                        size = count[own].astype(np.int64) + LENGTH - 1
+                        size = count[own] + LENGTH - 1
                         body = packed.buf[np.repeat(at[own], size) + _ranges(size)]
-                        out.append(_pack([anchor[own], docs[doc[own]], rids[doc[own]], start[own], count[own]], _CONTEXT) + body.tobytes())
+                        out.append(_pack([anchor[own], docs[doc[own]], rids[doc[own]], start[own], count[own], lead[own]], _CONTEXT) + body.tobytes())
                     yield _rows(used, [None] * len(used), 3, out)
 
     return run
@@ -307,7 +325,7 @@ class SuffixSort:
 
 
 def repeats(buf: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Of windows at `at`, in order of precedence inside each group: those whose bytes an earlier one of the group has."""
+    """Of windows at `at`, in order of precedence inside each group (ascending): those whose bytes an earlier one of the group has."""
     if not len(at):
         return np.zeros(0, bool)
     # the first eight bytes, as a number, are a suffix's rank so far: only equal ones need comparisons
@@ -315,20 +333,22 @@ def repeats(buf: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
     ranked = np.lexsort((head, group))
     at, group, head = at[ranked], group[ranked], head[ranked]
     group = np.cumsum(np.concatenate(([True], (group[1:] != group[:-1]) | (head[1:] != head[:-1])))) - 1
-    sort = SuffixSort(buf)
-    order = sort.order(at, group)
+    order = SuffixSort(buf).order(at, group)
     x, y = order[:-1], order[1:]
-    same = group[x] == group[y]
-    same[same] = sort.common(at[x[same]], at[y[same]]) == LENGTH
+    near = np.flatnonzero(group[x] == group[y])
+    # bytes of neighbours prove the order and the classes: a first difference must ascend, equal windows keep their precedence
     views = np.lib.stride_tricks.sliding_window_view(buf, LENGTH)
-    wrong: set[int] = set()
-    for i in range(0, len(x), 1 << 16):
-        pick = np.flatnonzero(same[i : i + (1 << 16)]) + i
-        differs = (views[at[x[pick]]] != views[at[y[pick]]]).any(1)
-        wrong.update(group[x[pick[differs]]].tolist())
+    same, wrong = np.zeros(len(x), bool), [np.zeros(0, np.int64)]
+    for i in range(0, len(near), 1 << 14):
+        pick = near[i : i + (1 << 14)]
+        a, b = views[at[x[pick]]], views[at[y[pick]]]
+        differs = a != b
+        where, rows = differs.argmax(1), np.arange(len(pick))
+        same[pick] = ~differs[rows, where]
+        wrong.append(group[x[pick[np.where(same[pick], x[pick] > y[pick], a[rows, where] > b[rows, where])]]])
     later = np.zeros(len(at), bool)
     later[y[same]] = True
-    for g in wrong:  # hashes collided: compare the group's windows themselves
+    for g in np.unique(np.concatenate(wrong)):  # hashes collided: compare the group's windows themselves
         seen: set[bytes] = set()
         for e in np.flatnonzero(group == g):
             later[e] = (w := views[at[e]].tobytes()) in seen
@@ -361,19 +381,28 @@ def _compare(table):
         rows.append(payload[i][:size])
         bodies.append(payload[i][size:])
     if rows:
-        anchor, doc, rid, start, count = _unpack(rows, _CONTEXT)
-        buf = np.frombuffer(b"".join(bodies), np.uint8)
-        size = count.astype(np.int64) + LENGTH - 1
+        anchor, doc, rid, start, count, lead = _unpack(rows, _CONTEXT)
+        buf, count, lead = np.frombuffer(b"".join(bodies), np.uint8), count.astype(np.int64), lead.astype(np.int64)
+        size = count + LENGTH - 1
         place = np.cumsum(size) - size
-        n = count.astype(np.int64)
-        at = np.repeat(place, n) + _ranges(n)
-        begin = np.repeat(start, n) + _ranges(n)
-        owner = np.repeat(np.arange(len(n)), n)
-        order = np.lexsort((begin, rid[owner], doc[owner], anchor[owner]))
-        at, begin, owner = at[order], begin[order], owner[order]
-        group = np.cumsum(np.concatenate(([True], anchor[owner][1:] != anchor[owner][:-1]))) - 1
-        later = repeats(buf, at, group)
-        add(rid[owner[later]], begin[later])
+        order = np.lexsort((start, rid, doc, anchor))
+        anchor, rid, start, count, lead, size, place = (c[order] for c in (anchor, rid, start, count, lead, size, place))
+        number = np.cumsum(np.concatenate(([True], anchor[1:] != anchor[:-1]))) - 1
+        windows, last = np.cumsum(count), np.concatenate((np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, [len(anchor)]))
+        begin = 0
+        while begin < len(anchor):
+            # whole anchors up to SORTED windows, at least one
+            limit = (windows[begin - 1] if begin else 0) + SORTED
+            ends = last[(last > begin) & (windows[last - 1] <= limit)]
+            end = int(ends[-1]) if len(ends) else int(last[last > begin][0])
+            own, n = slice(begin, end), count[begin:end]
+            part = buf[np.repeat(place[own], size[own]) + _ranges(size[own])]
+            inner, offset = np.repeat(np.cumsum(size[own]) - size[own], n), _ranges(n)
+            key = np.repeat(number[own] - number[begin], n) * SPAN + np.repeat(lead[own], n) - offset
+            order = np.argsort(key, kind="stable")
+            later = order[repeats(part, (inner + offset)[order], key[order])]
+            add(np.repeat(rid[own], n)[later], (np.repeat(start[own], n) + offset)[later])
+            begin = end
     return pa.concat_tables([t.cast(out[0].schema) for t in out])
 
 
@@ -402,9 +431,12 @@ def _removing(rows):
 
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Numbered documents (rid, doc_id, _text, _order), and rid with payloads (packed spans to remove)."""
+    spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.col("text").cast("binary").alias("_text"))
-    rows = rows.withColumn("_order", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
-    buckets = max(partitions(docs.sparkSession), rows.rdd.getNumPartitions())
+    # numbered once: every job below reads the same numbers
+    rows = materialise(rows.withColumn("_order", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))))
+    size = rows.agg(F.sum(F.length("_text"))).first()[0] or 0
+    buckets = max(partitions(spark), -(-size // BUCKET_BYTES))
     schema = "rid long, kind int, payload binary"
     met = materialise(rows.mapInArrow(_scan(buckets), f"bucket int, {schema}").groupBy("bucket").applyInArrow(_meet, schema))
     detail = met.where(F.col("kind") == DETAIL).groupBy("rid").agg(F.collect_list("payload").alias("payloads"))
