@@ -40,6 +40,8 @@ SPAN = LENGTH - GRAM + 1
 HOT_BATCH, HOT = 64, 1000
 #: Bytes of text whose segments meet in one bucket, and windows that are sorted at once (one anchor's stay together).
 BUCKET_BYTES, SORTED = 8 << 20, 1 << 18
+#: Bytes of text for each task of a shuffle.
+TASK_BYTES = 16 << 20
 LAST = (1 << 63) - 1
 _SEGMENT = [("anchor", "<u8"), ("c1", "<u8"), ("c2", "<u8"), ("doc", "<i8"), ("rid", "<i8"), ("start", "<i4"), ("count", "u1"), ("lead", "u1"), ("flag", "u1")]
 _WINDOW = [("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("rid", "<i8"), ("start", "<i4")]
@@ -436,11 +438,17 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # numbered once: every job below reads the same numbers
     rows = materialise(rows.withColumn("_order", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))))
     size = rows.agg(F.sum(F.length("_text"))).first()[0] or 0
-    buckets = max(partitions(spark), -(-size // BUCKET_BYTES))
+    buckets, tasks = (max(partitions(spark), -(-size // n)) for n in (BUCKET_BYTES, TASK_BYTES))
+    # the numbers are never null; said so, both joins below take the same exchange
+    numbered, rows = rows, rows.withColumn("rid", F.coalesce("rid", F.lit(0).cast("long"))).repartition(tasks, "rid")
     schema = "rid long, kind int, payload binary"
-    met = materialise(rows.mapInArrow(_scan(buckets), f"bucket int, {schema}").groupBy("bucket").applyInArrow(_meet, schema))
+
+    def by_bucket(df: DataFrame, run, function) -> DataFrame:
+        return df.mapInArrow(run, f"bucket int, {schema}").repartition(tasks, "bucket").groupBy("bucket").applyInArrow(function, schema)
+
+    met = materialise(by_bucket(numbered, _scan(buckets), _meet))
     detail = met.where(F.col("kind") == DETAIL).groupBy("rid").agg(F.collect_list("payload").alias("payloads"))
-    compared = rows.join(detail, "rid").mapInArrow(_details(3 * buckets), f"bucket int, {schema}").groupBy("bucket").applyInArrow(_compare, schema)
+    compared = by_bucket(rows.join(detail, "rid"), _details(3 * buckets), _compare)
     spans = met.where(F.col("kind") == SPANS).unionByName(compared).groupBy("rid").agg(F.collect_list("payload").alias("payloads"))
     return rows, spans
 
