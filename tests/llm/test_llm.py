@@ -339,6 +339,45 @@ def test_near_duplicates_of_a_hot_template(spark, monkeypatch, block):
     assert {i: got[i]["component_id"] for i, _ in items} == {i: c for i, (_, c) in want.items()}
 
 
+@pytest.mark.parametrize("percent", [40, 60, 80, 95])
+def test_similar_sets_share_a_link(percent):
+    """Every pair of sets alike enough has a link in common, whatever the order of rarity."""
+    import numpy as np
+
+    rng = np.random.default_rng(percent)
+    counts, alike = rng.integers(0, 4, neardup.COUNTED).astype(np.uint8), 0
+    for _ in range(3000):
+        pool = rng.integers(1, 1 << 63, 60, dtype=np.uint64)
+        common, more = rng.integers(1, 40), rng.integers(0, 12)
+        a = np.unique(np.concatenate((pool[:common], pool[40 : 40 + rng.integers(0, more + 1)])))
+        b = np.unique(np.concatenate((pool[:common], pool[52 : 52 + rng.integers(0, 8)])))
+        both = len(np.intersect1d(a, b))
+        if 100 * both < percent * (len(a) + len(b) - both) or (len(a) == len(b) == both):
+            continue
+        alike += 1
+        keys, owner = neardup.links(np.concatenate((a, b)), np.repeat([0, 1], [len(a), len(b)]), np.array([len(a), len(b)]), percent, counts)
+        assert np.isin(keys[owner == 0], keys[owner == 1]).any()
+    assert alike > 50
+
+
+def test_near_duplicates_of_a_larger_table(spark):
+    """All links of 1,500 documents against brute force over their full sets."""
+    import random
+
+    rng, items = random.Random(8), []
+    for i in range(1500):
+        if i % 3 == 0 or not items:
+            words_ = [rng.choice(WORDS[:600]) for _ in range(rng.randint(3, 120))]
+        else:
+            words_ = items[rng.randrange(len(items))][1].split()
+            for _ in range(rng.randint(0, 1 + len(words_) // 12)):
+                words_[rng.randrange(len(words_))] = rng.choice(WORDS[:600])
+        items.append((i, " ".join(words_)))
+    want = brute_components(items)
+    got = by_id(neardup.op9(spark.createDataFrame(items, "doc_id long, text string").repartition(6)))
+    assert {i: got[i]["component_id"] for i, _ in items} == {i: c for i, (_, c) in want.items()}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(200, 201), (300, 300)], "lo long, hi long")
     got = {r["vertex"]: r["component"] for r in neardup.components(edges).collect()}

@@ -1,7 +1,7 @@
 """Near-duplicate documents by a MinHash LSH forest.
 
 A document's set is its distinct shingles of `size` lower-cased words. Equal
-sets are one class. Each class representative has TREES signatures of DEPTH
+sets, by a BLAKE2b digest of the whole set, are one class. Each class representative has TREES signatures of DEPTH
 minimum hashes. A tree is the order of its signatures: documents that share a
 prefix of BASE values form a region, and inside it neighbours in sorted order,
 which have the longest common prefixes, are candidates. A region of more than
@@ -11,12 +11,17 @@ no region meets in one task and no region emits all its pairs. Candidates are
 confirmed on the full sets, first those of a few trees; further candidates only
 where they would join components that are still apart.
 
-What the forest misses is found exactly: two sets that are alike enough share
-a shingle among the first n - ceil(percent n / 100) + 1 of each in one order of
-all shingles. The order takes seldom shingles first, as far as a sample tells;
-any order gives the same links. Documents of different components that share
-such a shingle are paired, in blocks of BLOCK for shingles of many documents,
-and pairs that a bound on the intersection doesn't rule out are confirmed.
+What the forest misses is found exactly. Take a set's shingles in a circle, in
+the order of their hashes: each with the next is a link of its chain. A shingle
+that one of two sets lacks breaks two links of the other's chain and one of its
+own side's, so sets of similarity t share at least (2 t - 1) n links of the n of
+either, and hence one of the first n - (2 t - 1) n + 1 in any one order of all
+links (for t of a half or less single shingles take the links' place). The
+order takes seldom shingles first, as far as a sample tells. Two unrelated sets
+seldom share a link, so that the work grows with the corpus. Sets of different
+components that share one are paired, those outside a link's largest component
+in blocks of BLOCK with all, and pairs that a bound on the intersection doesn't
+rule out are confirmed on the full sets.
 
 Null text, and text without words, has an empty set and is linked with nothing.
 A null id takes no part: its component is null and it is kept. Rows with equal
@@ -26,9 +31,12 @@ none. Columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +46,8 @@ from .tables import hash_unit, materialise, partitions
 TREES, DEPTH, BASE, DENSE, FIRST_TREES = 20, 8, 4, 64, 3
 #: Bits of a set's parity bitmap, documents of a block, buckets of the sampled shingle counts (a byte each) and documents sampled.
 BITS, BLOCK, COUNTED, SAMPLED = 2048, 1024, 1 << 22, 20000
+#: Sets of one link in a batch that meet in its bucket (more are known to be several), and links of a bucket.
+HOT_BATCH, BUCKET_LINKS = 256, 500_000
 _RNG = np.random.default_rng(97)
 _MULTIPLY = _RNG.integers(1, 1 << 31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _RNG.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)
@@ -96,6 +106,13 @@ def _bitmaps(full: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return out.reshape(n, BITS // 8)
 
 
+def _digests(full: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Two words of digest for each set that has shingles."""
+    ends = np.cumsum(n)
+    sums = [hashlib.blake2b(full[b - k : b], digest_size=16).digest() for k, b in zip(n.tolist(), ends.tolist(), strict=True) if k]
+    return np.frombuffer(b"".join(sums), "<u8").reshape(-1, 2)
+
+
 def _sets(size: int):
     """doc_id, n_shingles, digest of the set (d1, d2), its bitmap, and for each tree the region and the order of the rest of the signature."""
 
@@ -113,8 +130,7 @@ def _sets(size: int):
                     continue
                 have = np.flatnonzero(n)
                 starts = (np.cumsum(n) - n)[have]
-                d1[a + have] = np.add.reduceat(full, starts)
-                d2[a + have] = np.bitwise_xor.reduceat(mix(full + U64(0x51ED270B)), starts)
+                d1[a + have], d2[a + have] = _digests(full, n).T
                 bits[a:b] = [x.tobytes() for x in _bitmaps(full, owner, b - a)]
                 sig = _signatures(full, starts).reshape(len(have), TREES, DEPTH).astype(U64)
                 key = np.zeros((len(have), TREES), U64)
@@ -163,46 +179,93 @@ def _frequencies(size: int):
     return run
 
 
-def _prefixes(size: int, percent: int, shared):
-    """doc_id and the shingles of which a set that is alike enough has at least one among its own."""
+def links(full: np.ndarray, owner: np.ndarray, n: np.ndarray, percent: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and owners of the links of which two sets that are alike enough share one. full is ordered by owner."""
+    first = np.cumsum(n) - n
+    rarity = counts[(full % U64(COUNTED)).astype(np.int64)]
+    if percent > 50:
+        following = np.arange(1, len(full) + 1)
+        following[(first + n - 1)[n > 0]] = first[n > 0]
+        key, shared = mix(full * U64(0x9E3779B97F4A7C15) + mix(full[following])), ((2 * percent - 100) * n + 99) // 100
+        rarity = np.minimum(rarity, rarity[following])
+    else:
+        key, shared = full, (percent * n + 99) // 100
+    order = np.lexsort((key, rarity, owner))
+    chosen = order[np.arange(len(full)) - first[owner] < (n - np.maximum(shared, 1) + 1)[owner]]
+    return key[chosen], owner[chosen]
+
+
+def _linked(size: int, percent: int, shared, buckets: int):
+    """Links with the first word of their sets' digests, by bucket; of a link with very many sets the further ones go straight on (over)."""
 
     def run(rows):
         counts = shared.value
         for batch in batches(rows):
             texts = byte_texts(batch.column("_text"))
+            keys, digests = [], []
             for a, b in chunks(texts):
                 full, owner, n = shingles(texts[a:b], size)
-                order = np.lexsort((full, counts[(full % U64(COUNTED)).astype(np.int64)], owner))
-                first = np.cumsum(n) - n
-                most = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
-                keys = full[order][np.arange(len(full)) - first[owner] < most[owner]]
-                offsets = np.concatenate(([0], np.cumsum(most))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64)))], names=["doc_id", "keys"])
+                if len(full):
+                    key, of = links(full, owner, n, percent, counts)
+                    number = np.cumsum(n > 0) - 1
+                    keys.append(key)
+                    digests.append(_digests(full, n)[number[of], 0])
+            if not keys:
+                continue
+            key, digest = np.concatenate(keys), np.concatenate(digests)
+            order = np.lexsort((digest, key))
+            key, digest = key[order], digest[order]
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])))
+            key, digest = key[new], digest[new]
+            over = np.arange(len(key)) - np.searchsorted(key, key) >= HOT_BATCH
+            for far in (False, True):
+                k, d = key[over == far], digest[over == far]
+                bucket = (mix(d if far else k) % U64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                used = np.flatnonzero(cut[1:] > cut[:-1])
+                parts = [order[cut[i] : cut[i + 1]] for i in used]
+                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([far] * len(used), pa.bool_()), *(pa.array([x[p].tobytes() for p in parts], pa.binary()) for x in (k, d))], names=["bucket", "over", "keys", "digests"])
 
     return run
 
 
+def _several(table):
+    """key and d1 of links that more than one set has."""
+    over = pc.fill_null(table.column("over"), False)
+    near, far = ([np.frombuffer(b"".join(part.column(c).to_pylist()), "<u8") for c in ("keys", "digests")] for part in (table.filter(pc.invert(over)), table.filter(over)))
+    order = np.lexsort((near[1], near[0]))
+    key, digest = near[0][order], near[1][order]
+    if len(key):
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])))
+        key, digest = key[new], digest[new]
+        first, last = np.searchsorted(key, key), np.searchsorted(key, key, side="right")
+        key, digest = key[last - first > 1], digest[last - first > 1]
+    return pa.table({"key": np.concatenate((key, far[0])).view(np.int64), "d1": np.concatenate((digest, far[1])).view(np.int64)})
+
+
 def _paired(percent: int):
-    """Pairs of one key and pair of blocks, of different components, that size and bitmaps don't rule out."""
+    """Pairs of one link and cell, left with right, of different components, that size and bitmaps don't rule out."""
 
     def run(table):
-        table = table.combine_chunks().sort_by([("key", "ascending"), ("one", "ascending"), ("two", "ascending")])
-        key, one, two, block, n = (table.column(c).to_numpy() for c in ("key", "one", "two", "block", "n_shingles"))
+        table = table.combine_chunks().sort_by([("key", "ascending"), ("one", "ascending"), ("two", "ascending"), ("side", "ascending")])
+        key, one, two, side, n = (table.column(c).to_numpy() for c in ("key", "one", "two", "side", "n_shingles"))
+        other = table.column("other").to_numpy(zero_copy_only=False)
         comp = table.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
-        ids = table.column("doc_id").combine_chunks().dictionary_encode()
+        ids = table.column("rep").combine_chunks().dictionary_encode()
         doc = ids.indices.to_numpy().astype(np.int64)
         bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), "<u8").reshape(len(key), BITS // 64)
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
-        start = np.flatnonzero(new)[np.cumsum(new) - 1]
-        before = np.arange(len(key)) - start
-        ends = np.cumsum(before)
-        found, i = [np.zeros(0, np.int64)], 0
-        while i < len(key):
-            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + (1 << 16), side="right")))
-            times = before[i:j]
-            y = np.repeat(np.arange(i, j), times)
-            x = start[y] + np.arange(len(y)) - np.repeat(np.cumsum(times) - times, times)
-            ok = (comp[x] != comp[y]) & ((one[x] == two[x]) | (block[x] != block[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        cell = np.cumsum(np.concatenate(([True], (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])))) - 1
+        right = np.flatnonzero(side == 1)
+        begin, end = (np.searchsorted(cell[right], np.arange(cell[-1] + 1), side=s) for s in ("left", "right"))
+        left = np.flatnonzero(side == 0)
+        times = (end - begin)[cell[left]]
+        total, found, i = np.cumsum(times), [np.zeros(0, np.int64)], 0
+        while i < len(left):
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + (1 << 16), side="right")))
+            y = np.repeat(left[i:j], times[i:j])
+            x = right[np.repeat(begin[cell[left[i:j]]], times[i:j]) + np.arange(len(y)) - np.repeat(np.cumsum(times[i:j]) - times[i:j], times[i:j])]
+            ok = (comp[x] != comp[y]) & (~other[x] | (doc[x] > doc[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
             x, y = x[ok], y[ok]
             # sets differ in at least as many shingles as their bitmaps in bits
             both = (n[x] + n[y] - np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)) // 2
@@ -216,11 +279,11 @@ def _paired(percent: int):
     return run
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """vertex, component (smallest vertex) of all vertices with an edge (lo, hi), by alternating large and small stars."""
+def components(edges: DataFrame) -> DataFrame:
+    """vertex, component (smallest vertex) of all vertices with an edge (lo, hi), by alternating large and small stars until nothing changes."""
     edges = edges.where(F.col("lo") != F.col("hi")).select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi")).distinct()
     before = None
-    for _ in range(most):
+    while True:
         # large star: every larger neighbour of v moves to the smallest of v and its neighbours
         both = edges.select(F.col("lo").alias("v"), F.col("hi").alias("u")).unionByName(edges.select(F.col("hi").alias("v"), F.col("lo").alias("u")))
         least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
@@ -260,56 +323,51 @@ def candidates(forest: DataFrame) -> DataFrame:
 def _perhaps(ids: DataFrame, bits: int = 1 << 24):
     """A condition on a column of ids: false only for ids that aren't in `ids`.
 
-    A Bloom filter of fixed size (2 MB, so it may be broadcast) with three places an id. With more ids it lets more rows
-    through, which the join after it removes; it only saves moving texts that no candidate needs.
+    A Bloom filter of fixed size (2 MB, so it may be broadcast) with three places an id, put together by an aggregation over
+    its 262,144 words. With more ids it lets more rows through, which the join after it removes; it only saves moving texts
+    that no candidate needs.
     """
-
-    def places(column) -> np.ndarray:
-        h = np.asarray(column, np.int64).view(U64)
-        return np.stack([mix(h + U64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) & U64(bits - 1) for k in (1, 2, 3)]).astype(np.int64)
-
-    def build(rows):
-        own = np.zeros(bits, bool)
-        for batch in batches(rows):
-            own[places(batch.column("h").to_numpy()).ravel()] = True
-        yield pa.RecordBatch.from_pydict({"b": [np.packbits(own).tobytes()]})
-
-    parts = ids.select(F.xxhash64("doc_id").alias("h")).repartition(4).mapInArrow(build, "b binary").collect()
-    filled = np.bitwise_or.reduce([np.zeros(bits // 8, np.uint8), *(np.frombuffer(r["b"], np.uint8) for r in parts)])
-    shared = ids.sparkSession.sparkContext.broadcast(filled)
+    places = F.array(*(F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(bits)) for k in (1, 2, 3)))
+    words = ids.select(F.explode(places).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 AS int))")).alias("value"))
+    found, filled = words.toPandas(), np.zeros(bits // 64, np.int64)
+    filled[found["word"].to_numpy(np.int64)] = found["value"].to_numpy(np.int64)
+    shared = ids.sparkSession.sparkContext.broadcast(filled.view(U64))
 
     @F.pandas_udf("boolean")
-    def there(h: pd.Series) -> pd.Series:
-        at = places(h.to_numpy())
-        return pd.Series(((shared.value[at >> 3] >> (7 - (at & 7))) & 1).all(0))
+    def there(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        at = np.stack([x.to_numpy(np.int64) for x in (a, b, c)])
+        return pd.Series(((shared.value[at >> 6] >> (at & 63).astype(U64)) & U64(1)).all(0))
 
-    return there(F.xxhash64("doc_id"))
+    return there(*(places[k] for k in range(3)))
 
 
-def missed(rows: DataFrame, reps: DataFrame, apart: DataFrame, size: int, percent: int) -> DataFrame:
+def missed(rows: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
     """lo, hi: every pair in different components that can be alike enough.
 
-    rows: doc_id, _text. reps: doc_id, n_shingles, bits of those to pair. apart: rep, comp of each.
+    rows: doc_id, _text. reps: rep, comp, d1, n_shingles, bits of one row of each class.
     """
     spark, kind = rows.sparkSession, rows.schema["doc_id"].dataType.simpleString()
-    share = SAMPLED / max(reps.count(), SAMPLED)
-    sample = rows.where(hash_unit(F.col("doc_id"), 17) < share).repartition(4)
-    parts = sample.mapInArrow(_frequencies(size), "counts binary").toLocalIterator()
+    state = reps.agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).first()
+    share = SAMPLED / max(state["n"], SAMPLED)
     counts = np.zeros(COUNTED, np.uint16)
-    for r in parts:
+    # a bounded sample: SAMPLED rows, four tables of counts
+    for r in rows.where(hash_unit(F.col("doc_id"), 17) < share).repartition(4).mapInArrow(_frequencies(size), "counts binary").toLocalIterator():
         counts += np.frombuffer(r["counts"], np.uint8)
     shared = spark.sparkContext.broadcast(np.minimum(counts, 255).astype(np.uint8))
-    entries = rows.where("doc_id IS NOT NULL").mapInArrow(_prefixes(size, percent, shared), f"doc_id {kind}, keys array<long>").select("doc_id", F.explode("keys").alias("key"))
-    w = Window.partitionBy("key").orderBy("doc_id")
-    several = entries.select("key", "doc_id", F.lag("doc_id").over(w).alias("p"), F.lead("doc_id").over(w).alias("q")).where("p IS NOT NULL OR q IS NOT NULL")
-    tagged = materialise(several.join(apart, several.doc_id == apart.rep).select("key", "doc_id", "comp"))
-    mixed = tagged.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("m")).where("a < b").select("key", "m")
-    w = Window.partitionBy("key").orderBy("comp", "doc_id")
-    dealt = tagged.join(mixed, "key").withColumn("block", F.floor((F.row_number().over(w) - 1) / BLOCK))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / BLOCK))))
-    dealt = materialise(dealt.select("key", "doc_id", "comp", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")))
-    buckets = max(partitions(spark), -(-dealt.count() // 10000))
-    full = dealt.join(reps, "doc_id").withColumn("bucket", F.pmod(F.xxhash64("key", "one", "two"), F.lit(buckets)))
+    buckets = max(partitions(spark), -(-int(state["s"] or 0) // BUCKET_LINKS))
+    entries = rows.where("doc_id IS NOT NULL").mapInArrow(_linked(size, percent, shared, buckets), "bucket int, over boolean, keys binary, digests binary")
+    several = materialise(entries.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_several, "key long, d1 long"))
+    tagged = materialise(several.join(reps.select("d1", "rep", "comp"), "d1").select("key", "rep", "comp"))
+    mixed = tagged.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.max("m").alias("most"), F.max_by("comp", "m").alias("largest"), F.count("*").alias("k")).where("k > 1").drop("k")
+    dealt = tagged.join(mixed, "key").withColumn("other", F.col("comp") != F.col("largest"))
+    all_blocks, other_blocks = F.ceil(F.col("m") / BLOCK), F.ceil((F.col("m") - F.col("most")) / BLOCK)
+    # cell (one, two): the others of block two on the left, all of block one on the right
+    right = F.transform(F.sequence(F.lit(0).cast("long"), other_blocks - 1), lambda x: F.struct(F.lit(1).alias("side"), F.pmod(F.xxhash64("rep"), all_blocks).alias("one"), x.alias("two")))
+    left = F.transform(F.sequence(F.lit(0).cast("long"), all_blocks - 1), lambda x: F.struct(F.lit(0).alias("side"), x.alias("one"), F.pmod(F.xxhash64("rep", F.lit(5)), other_blocks).alias("two")))
+    cells = dealt.select("key", "rep", "comp", "other", F.explode(F.concat(right, F.when(F.col("other"), left).otherwise(F.slice(left, 1, 0)))).alias("x")).select("key", "rep", "comp", "other", "x.*")
+    cells = materialise(cells)
+    buckets = max(partitions(spark), -(-cells.count() // 10000))
+    full = cells.join(reps.select("rep", "n_shingles", "bits"), "rep").withColumn("bucket", F.pmod(F.xxhash64("key", "one", "two"), F.lit(buckets)).cast("int"))
     pairs = full.groupBy("bucket").applyInArrow(_paired(percent), f"a {kind}, b {kind}")
     return pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
 
@@ -342,7 +400,8 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     more = materialise(confirmed(later.where("c_lo != c_hi"), texts))
     joined = components(more.unionByName(first.select(F.col("component").alias("lo"), F.col("vertex").alias("hi"))))
     apart = classes.select("rep").distinct().join(joined, F.col("rep") == joined.vertex, "left").select("rep", F.coalesce("component", "rep").alias("comp"))
-    others = materialise(missed(rows, reps.select("doc_id", "n_shingles", "bits"), apart, size, percent))
+    apart = materialise(reps.withColumnRenamed("doc_id", "rep").join(apart, "rep").select("rep", "comp", "d1", "n_shingles", "bits"))
+    others = materialise(missed(rows, apart, size, percent))
     last = materialise(confirmed(others, texts_of(others)))
     joined = components(last.unionByName(joined.select(F.col("component").alias("lo"), F.col("vertex").alias("hi"))))
     known = classes.join(joined, classes.rep == joined.vertex, "left").select(*digest, F.coalesce("component", "rep").alias("_component"))
