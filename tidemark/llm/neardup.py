@@ -45,7 +45,7 @@ from .tables import hash_unit, materialise, partitions
 
 TREES, DEPTH, BASE, DENSE, FIRST_TREES = 20, 8, 4, 64, 3
 #: Bits of a set's parity bitmap, documents of a block, buckets of the sampled shingle counts (a byte each) and documents sampled.
-BITS, BLOCK, COUNTED, SAMPLED = 2048, 1024, 1 << 22, 20000
+BITS, BLOCK, COUNTED, SAMPLED = 1024, 1024, 1 << 22, 20000
 #: Sets of one link in a batch that meet in its bucket (more are known to be several), and links of a bucket.
 HOT_BATCH, BUCKET_LINKS = 256, 500_000
 _RNG = np.random.default_rng(97)
@@ -212,11 +212,7 @@ def _linked(size: int, percent: int, shared, buckets: int):
                     digests.append(_digests(full, n)[number[of], 0])
             if not keys:
                 continue
-            key, digest = np.concatenate(keys), np.concatenate(digests)
-            order = np.lexsort((digest, key))
-            key, digest = key[order], digest[order]
-            new = np.concatenate(([True], (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])))
-            key, digest = key[new], digest[new]
+            key, digest = _distinct(np.concatenate(keys), np.concatenate(digests))
             over = np.arange(len(key)) - np.searchsorted(key, key) >= HOT_BATCH
             for far in (False, True):
                 k, d = key[over == far], digest[over == far]
@@ -230,18 +226,21 @@ def _linked(size: int, percent: int, shared, buckets: int):
     return run
 
 
+def _distinct(key: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In order of key, each set of a link once."""
+    order = np.lexsort((digest, key))
+    key, digest = key[order], digest[order]
+    new = np.concatenate((np.ones(min(len(key), 1), bool), (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])))
+    return key[new], digest[new]
+
+
 def _several(table):
     """key and d1 of links that more than one set has."""
     over = pc.fill_null(table.column("over"), False)
     near, far = ([np.frombuffer(b"".join(part.column(c).to_pylist()), "<u8") for c in ("keys", "digests")] for part in (table.filter(pc.invert(over)), table.filter(over)))
-    order = np.lexsort((near[1], near[0]))
-    key, digest = near[0][order], near[1][order]
-    if len(key):
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])))
-        key, digest = key[new], digest[new]
-        first, last = np.searchsorted(key, key), np.searchsorted(key, key, side="right")
-        key, digest = key[last - first > 1], digest[last - first > 1]
-    return pa.table({"key": np.concatenate((key, far[0])).view(np.int64), "d1": np.concatenate((digest, far[1])).view(np.int64)})
+    key, digest = _distinct(*near)
+    keep = np.searchsorted(key, key, side="right") - np.searchsorted(key, key) > 1
+    return pa.table({"key": np.concatenate((key[keep], far[0])).view(np.int64), "d1": np.concatenate((digest[keep], far[1])).view(np.int64)})
 
 
 def _paired(percent: int):
@@ -384,25 +383,22 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     forest = reps.select("doc_id", F.posexplode(F.arrays_zip("region", "fifth", "rest")).alias("tree", "x")).select("doc_id", "tree", "x.region", "x.fifth", "x.rest")
     pairs = materialise(candidates(forest))
 
-    def texts_of(some: DataFrame) -> DataFrame:
-        ids = some.select(F.explode(F.array("lo", "hi")).alias("doc_id")).distinct()
-        return materialise(rows.where(_perhaps(ids)).join(ids, "doc_id", "left_semi"))
-
-    def confirmed(some: DataFrame, texts: DataFrame) -> DataFrame:
+    def confirmed(some: DataFrame) -> DataFrame:
+        ids = materialise(some.select(F.explode(F.array("lo", "hi")).alias("doc_id")).distinct())
+        texts = materialise(rows.where(_perhaps(ids)).join(ids, "doc_id", "left_semi"))
         left, right = (texts.select(F.col("doc_id").alias(c), F.col("_text").alias(f"text_{x}")) for c, x in (("lo", "a"), ("hi", "b")))
-        return some.select("lo", "hi").join(left, "lo").join(right, "hi").mapInArrow(_confirm(size, percent), f"lo {kind}, hi {kind}")
+        return materialise(some.select("lo", "hi").join(left, "lo").join(right, "hi").mapInArrow(_confirm(size, percent), f"lo {kind}, hi {kind}"))
 
-    texts = texts_of(pairs)
-    first = components(materialise(confirmed(pairs.where(F.col("tree") < FIRST_TREES), texts)))
+    first = components(confirmed(pairs.where(F.col("tree") < FIRST_TREES)))
     later = pairs.where(F.col("tree") >= FIRST_TREES)
     for side in ("lo", "hi"):
         later = later.join(first.select(F.col("vertex").alias(side), F.col("component").alias(f"c_{side}")), side, "left").withColumn(f"c_{side}", F.coalesce(f"c_{side}", side))
-    more = materialise(confirmed(later.where("c_lo != c_hi"), texts))
+    more = confirmed(materialise(later.where("c_lo != c_hi").select("lo", "hi")))
     joined = components(more.unionByName(first.select(F.col("component").alias("lo"), F.col("vertex").alias("hi"))))
     apart = classes.select("rep").distinct().join(joined, F.col("rep") == joined.vertex, "left").select("rep", F.coalesce("component", "rep").alias("comp"))
     apart = materialise(reps.withColumnRenamed("doc_id", "rep").join(apart, "rep").select("rep", "comp", "d1", "n_shingles", "bits"))
     others = materialise(missed(rows, apart, size, percent))
-    last = materialise(confirmed(others, texts_of(others)))
+    last = confirmed(others)
     joined = components(last.unionByName(joined.select(F.col("component").alias("lo"), F.col("vertex").alias("hi"))))
     known = classes.join(joined, classes.rep == joined.vertex, "left").select(*digest, F.coalesce("component", "rep").alias("_component"))
     # rows with one id but different sets are one vertex
