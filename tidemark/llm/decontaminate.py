@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import U64, PrefixHash, Packed, batches, byte_texts, chunks, mix, runs
+from .tables import kept_schema
 
 SEED, THRESHOLD = 5, 0.5
 #: Bytes of item text that are broadcast at once.
@@ -217,7 +218,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
                 keep[leaked] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(run, kept_schema(docs, docs.columns, ""))
     return docs
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import PrefixHash, Packed, batches, byte_texts, chunks, runs, segment_sums
-from .tables import fold, hash_unit
+from .tables import fold, hash_unit, kept_schema
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
@@ -153,8 +153,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
             more = [pa.array(pred, pa.string()), pa.array(score), pa.array(used), pa.array(mixture, pa.map_(pa.string(), pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns + more, names=[*keep, "lang_pred", "score", "n_langs", "mixture"])
 
-    kept = [docs.schema[c] for c in keep]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string, score double, n_langs int, mixture map<string,double>"])
+    schema = kept_schema(docs, keep, "lang_pred string, score double, n_langs int, mixture map<string,double>")
     return docs.select(*keep, F.col("text").cast("binary").alias("_text")).mapInArrow(run, schema)
 
 

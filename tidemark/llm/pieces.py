@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import U64, batches, chunks, mix
+from .tables import kept_schema
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -274,8 +275,7 @@ def _encoding(path: str, dropout: float, seed: int, with_ids: bool):
 def encode(docs: DataFrame, keep: list[str], path: str = MODEL, dropout: float = 0.1, seed: int = 1, variants: int = 4, with_ids: bool = False) -> DataFrame:
     """The columns named in `keep`, then variant, n_pieces, ids_sha256 (of little-endian 32-bit ids), lossless and, if asked for, ids."""
     variant = F.coalesce(F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(variants)), F.lit(0)).cast("int")
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    schema = f"{kinds}, variant int, n_pieces long, ids_sha256 string, lossless boolean" + (", ids array<int>" if with_ids else "")
+    schema = kept_schema(docs, keep, "variant int, n_pieces long, ids_sha256 string, lossless boolean" + (", ids array<int>" if with_ids else ""))
     return docs.select(*keep, F.col("text").cast("binary").alias("_text"), variant.alias("_variant")).mapInArrow(_encoding(path, dropout, seed, with_ids), schema)
 
 

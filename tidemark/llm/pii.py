@@ -1,16 +1,26 @@
 """Personal data: pattern spans, and terms that reveal them by information content.
 
 DataFrame functions only. Base spans are e-mail addresses, IP addresses, card
-and phone numbers. Words near a span are its context. A word reveals an entity
-(the exact value of a span) when their pointwise mutual information over the
-corpus is at least `threshold` times the entity's information content, seen in
-at least `support` different contexts, so that copies of one text prove
-nothing. Such words, where they stand near the entity, are spans of kind
-`term`; `sanitise` generalises base spans to their kind and removes terms.
+and phone numbers. An entity is the exact value of a span. Everything is
+counted in distinct texts, so that copies prove nothing: with n texts, an
+entity in e of them has an information content of log2(n / e), and a term (a
+lower-cased word of three letters or more) in t of them, b with the entity, has
+a mutual information with it of log2(n b / (e t)). A term of which this is at
+least `threshold` times the content reveals the entity; at 1, the default,
+whoever reads the term knows of the entity, since the term stands in no other
+text. Co-occurrence is over whole texts, and a revealing term is a span
+wherever it stands in any text.
+
+Such a term is generalised (kind `general`) to its first STEM letters where
+all words that begin with them are in so many texts that they fall short of the
+threshold; otherwise it is removed (kind `term`). That b texts all hold the
+entity by chance has a probability of 2 to the power of -(b times the content);
+pairs for which this exponent is less than `evidence` bits prove nothing and
+are left alone, so are entities that all texts hold.
 
 Null text is empty and has no spans. Null ids are kept as they are. Repeated
-rows give repeated results and count once in each statistic's distinct
-contexts; empty tables give no rows. Columns other than those named are ignored.
+rows give repeated results and count as one text; empty tables give no rows.
+Columns other than those named are ignored.
 """
 
 from __future__ import annotations
@@ -29,11 +39,12 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Code points on either side of a span that hold its context words, and how many words of each side count.
-REACH, NEAR = 48, 3
-TERM = "term"
-PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS} | {TERM: "[REMOVED]"}
-
+#: Kinds of revealing terms: removed, or generalised to this many first letters.
+TERM, GENERAL, STEM = "term", "general", 4
+WORD = r"[^\x20\x09-\x0D]+"
+#: The most frequent terms, a list of this bounded size, are told apart before anything is joined by term.
+FREQUENT, FREQUENT_LENGTH = 10000, 64
+SPANS = "array<struct<kind:string,start:bigint,stop:bigint,value:string>>"
 
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
@@ -54,8 +65,6 @@ def located(text: Column, pattern: str, kind: str, valid=None) -> Column:
     """Array of (kind, start, stop, value) of the pattern's matches, in code points; matches that aren't valid are left out."""
     match = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.arrays_zip(match.alias("m"), F.split(text, pattern, -1).alias("p"))
-    empty = "array<struct<kind:string,start:bigint,stop:bigint,value:string>>"
-
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["p"])
         stop = start + F.length(x["m"])
@@ -63,9 +72,9 @@ def located(text: Column, pattern: str, kind: str, valid=None) -> Column:
         ok = F.lit(True) if valid is None else valid(kind, x["m"])
         return F.struct(stop.alias("at"), F.when(ok, F.concat(acc["found"], span)).otherwise(acc["found"]).alias("found"))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(empty).alias("found"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPANS).alias("found"))
     found = F.aggregate(F.filter(pairs, lambda x: x["m"].isNotNull()), start, step, lambda acc: acc["found"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(empty))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPANS))
 
 
 def base_spans(text: Column) -> Column:
@@ -73,81 +82,94 @@ def base_spans(text: Column) -> Column:
     return F.concat(*(located(text, PATTERNS[k], k, _valid) for k in KINDS))
 
 
-def _context(text: Column, span: Column) -> Column:
-    """Up to NEAR whole words on either side: (term, start, stop)."""
-    begin = F.greatest(span["start"] - REACH, F.lit(0))
-    left = F.substring(text, (begin + 1).cast("int"), (span["start"] - begin).cast("int"))
-    right = F.substring(text, (span["stop"] + 1).cast("int"), F.lit(REACH))
-    word = r"[^\x20\x09-\x0D]+"
+def _joined(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
-    def words(side: Column, offset: Column) -> Column:
-        return F.transform(located(side, word, TERM), lambda w: F.struct(F.lower(w["value"]).alias("term"), (w["start"] + offset).alias("start"), (w["stop"] + offset).alias("stop")))
 
-    lefts, rights = words(left, begin), words(right, span["stop"])
-    # a word cut by the window's edge, or one that touches the span, isn't whole
-    lefts = F.filter(lefts, lambda w: ((w["start"] > begin) | (begin == 0)) & (w["stop"] < span["start"]))
-    rights = F.filter(rights, lambda w: (w["stop"] < span["stop"] + REACH) & (w["start"] > span["stop"]))
-    return F.concat(F.slice(F.reverse(lefts), 1, NEAR), F.slice(rights, 1, NEAR))
+def _key(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
-def _joined(spans: Column) -> Column:
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """key, text, base (spans), entities of each distinct text."""
+    texts = docs.select(_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text")).groupBy("key").agg(F.first("text").alias("text"))
+    found = texts.select("key", "text", base_spans(F.col("text")).alias("base"))
+    return found.withColumn("entities", F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], s["value"]))))
+
 
+def _terms(text: Column) -> Column:
+    return F.filter(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))), lambda w: w.rlike(r"\p{L}{3}"))
 
-def find(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text. One row each: doc_id, text_hash, base (spans) and near (entity, context words of each span)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash"), base_spans(text).alias("base"))
-    near = F.transform(F.col("base"), lambda s: F.struct(F.xxhash64(s["kind"], s["value"]).alias("entity"), _context(F.col("text"), s).alias("words")))
-    return found.select("doc_id", "text_hash", "base", F.when(F.size("base") > 0, near).alias("near"))
 
+def _stem(term: Column) -> Column:
+    return F.concat(F.left(term, F.lit(STEM)), F.lit("*"))
 
-def term_frequencies(docs: DataFrame) -> DataFrame:
-    """term, df: the number of documents with the lower-cased word, over all documents."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
-    return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
+def frequencies(texts: DataFrame) -> DataFrame:
+    """term, t: the number of texts with each term, and (with a star) with a word of each beginning of STEM letters."""
+    own = _terms(F.col("text"))
+    return texts.select(F.explode(F.concat(own, F.array_distinct(F.transform(own, _stem)))).alias("term")).groupBy("term").agg(F.count("*").alias("t"))
 
-def revealing_terms(docs: DataFrame, found: DataFrame, threshold: float = 0.8, support: int = 3) -> DataFrame:
-    """entity, term, information: pairs whose mutual information reaches the disclosure threshold.
 
-    found: the rows of find(). With n documents, information content of an entity in e of them is log2(n / e), and
-    mutual information with a term in t of them, both together in b, is log2(n * b / (e * t)).
+def revealing_terms(texts: DataFrame, threshold: float = 1.0, evidence: float = 9.0) -> tuple[DataFrame, DataFrame]:
+    """(term, general): terms whose mutual information with an entity reaches the threshold, and whether a beginning of theirs doesn't;
+    and (term): a bounded list of the most frequent terms, which reveal nothing.
+
+    texts: the rows of distinct_texts().
     """
-    spans = found.select("text_hash", F.explode("near").alias("s"))
-    entities = spans.groupBy(F.col("s.entity").alias("entity")).agg(F.count_distinct("text_hash").alias("e"))
-    pairs = spans.select("text_hash", F.col("s.entity").alias("entity"), F.xxhash64(F.transform("s.words", lambda w: w["term"])).alias("context"), F.explode("s.words").alias("w"))
-    both = pairs.where(F.col("w.term").rlike(r"\p{L}{3}")).groupBy("entity", F.col("w.term").alias("term")).agg(F.count_distinct("context").alias("contexts"), F.count_distinct("text_hash").alias("b"))
-    both = both.where(F.col("contexts") >= support)
-    n = docs.agg(F.count("*").alias("n"))  # one row
-    scored = both.join(entities, "entity").join(term_frequencies(docs), "term").crossJoin(F.broadcast(n))
-    content = F.log2(F.greatest(F.col("n") / F.col("e"), F.lit(1.0)))
-    mutual = F.log2(F.col("n") * F.col("b") / (F.col("e") * F.greatest("df", "b")))
-    return scored.where(mutual >= threshold * content).select("entity", "term", mutual.alias("information"))
-
-
-def with_spans(docs: DataFrame, threshold: float = 0.8, support: int = 3) -> DataFrame:
-    """doc_id, text_hash, base, terms: base spans, and spans of revealing words of each row of docs."""
-    docs = docs.select("doc_id", "text")
-    found = materialise(find(docs))
-    reveal = revealing_terms(docs, found, threshold, support)
-    words = found.where(F.size("base") > 0).select("doc_id", "text_hash", F.explode("near").alias("s")).select("doc_id", "text_hash", F.col("s.entity").alias("entity"), F.explode("s.words").alias("w"))
-    chosen = words.join(reveal, (words.entity == reveal.entity) & (words["w.term"] == reveal.term), "left_semi")
-    terms = chosen.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct(F.lit(TERM).alias("kind"), F.col("w.start").alias("start"), F.col("w.stop").alias("stop"), F.col("w.term").alias("value")))).alias("terms"))
-    terms = terms.withColumnsRenamed({"doc_id": "_doc_id", "text_hash": "_text_hash"})
-    out = found.join(terms, found.doc_id.eqNullSafe(F.col("_doc_id")) & (found.text_hash == F.col("_text_hash")), "left")
-    none = F.array().cast("array<struct<kind:string,start:bigint,stop:bigint,value:string>>")
-    return out.select("doc_id", "text_hash", "base", F.coalesce("terms", none).alias("terms"))
+    n = max(texts.count(), 1)
+    counts = materialise(frequencies(texts))
+    with_entities = texts.where(F.size("entities") > 0)
+    entities = with_entities.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("e")).where(F.col("e") < n)
+    most = entities.agg(F.max("e")).first()[0] or 1
+    # b is at most e, so no term of more texts than this reveals anything
+    limit = most * (n / most) ** (1 - threshold) * (1 + 1e-9)
+    often = materialise(counts.where((F.col("t") > limit) & (F.length("term") <= FREQUENT_LENGTH)).orderBy(F.desc("t"), "term").limit(FREQUENT).select("term"))
+    pairs = with_entities.select("entities", F.explode(_terms(F.col("text"))).alias("term")).join(F.broadcast(often), "term", "left_anti")
+    both = pairs.select("term", F.explode("entities").alias("entity")).groupBy("entity", "term").agg(F.count("*").alias("b"))
+    scored = both.join(counts.where(F.col("t") <= limit), "term").join(entities, "entity")
+    content = F.log2(F.lit(float(n)) / F.col("e"))
+    enough = F.lit(threshold) * content - 1e-9
+    mutual = F.log2(F.lit(float(n)) * F.col("b") / (F.col("e") * F.col("t")))
+    revealing = scored.where((F.col("b") * content >= evidence) & (mutual >= enough)).select("term", enough.alias("enough"))
+    # every text with the entity may have a word of that beginning: the most that it can reveal
+    broader = revealing.withColumn("stem", _stem(F.col("term"))).join(counts.select(F.col("term").alias("stem"), F.col("t").alias("s")), "stem")
+    general = (F.log2(F.lit(float(n)) / F.col("s")) < F.col("enough")) & (F.length("term") > STEM)
+    return materialise(broader.groupBy("term").agg(F.min(general).alias("general"))), often
+
+
+def with_terms(docs: DataFrame, threshold: float = 1.0, evidence: float = 9.0) -> DataFrame:
+    """key, base, terms of each distinct text: base spans, and spans of revealing terms that no base span touches."""
+    texts = materialise(distinct_texts(docs))
+    reveal, often = revealing_terms(texts, threshold, evidence)
+    words = texts.select("key", F.explode(_terms(F.col("text"))).alias("term")).join(F.broadcast(often), "term", "left_anti")
+    own = words.join(reveal, "term").groupBy("key").agg(F.collect_list(F.struct("term", "general")).alias("reveal"))
+    out = texts.join(own, "key", "left")
+    kind = F.map_from_entries("reveal")
+    terms = F.transform(
+        F.filter(located(F.col("text"), WORD, TERM), lambda w: F.map_contains_key(kind, F.lower(w["value"])) & ~F.exists("base", lambda s: (s["start"] < w["stop"]) & (w["start"] < s["stop"]))),
+        lambda w: F.struct(F.when(F.try_element_at(kind, F.lower(w["value"])), F.lit(GENERAL)).otherwise(F.lit(TERM)).alias("kind"), w["start"].alias("start"), w["stop"].alias("stop"), w["value"].alias("value")),
+    )
+    return out.select("key", "base", F.when(F.col("reveal").isNotNull(), terms).otherwise(F.array().cast(SPANS)).alias("terms"))
+
+
+def with_spans(docs: DataFrame, keep: list[str] | None = None, threshold: float = 1.0, evidence: float = 9.0) -> DataFrame:
+    """The columns of docs named in `keep` (all) in a struct `doc`, base and terms: base spans, and spans of revealing terms of each row."""
+    texts = with_terms(docs.select("text"), threshold, evidence)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep or docs.columns)).alias("doc"), _key(F.col("text")).alias("key"))
+    return rows.join(texts, "key").select("doc", "base", "terms")
 
 
 def sanitise(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind's placeholder; of overlapping spans the first counts."""
-    mark = F.create_map(*[F.lit(x) for pair in PLACEHOLDER.items() for x in pair])
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
+    """The text with each span replaced: by its kind, or for a generalised term by its beginning; of overlapping spans the first counts."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"), s["value"].alias("value"))))
+
+    def mark(s: Column) -> Column:
+        return F.when(s["kind"] == GENERAL, _stem(s["value"])).when(s["kind"] == TERM, F.lit("[REMOVED]")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
 
     def step(acc: Column, s: Column) -> Column:
         piece = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        done = F.struct(s["stop"].alias("at"), F.concat(acc["out"], piece, mark[s["kind"]]).alias("out"))
+        done = F.struct(s["stop"].alias("at"), F.concat(acc["out"], piece, mark(s)).alias("out"))
         return F.when(s["start"] >= acc["at"], done).otherwise(F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["out"].alias("out")))
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
@@ -157,11 +179,11 @@ def sanitise(text: Column, spans: Column) -> Column:
 
 def op10(documents: DataFrame) -> DataFrame:
     """One row per document: counts by kind, digest of the base spans, all spans."""
-    out = with_spans(documents.select("doc_id", "text"))
+    out = with_spans(documents.select("doc_id", "text"), ["doc_id"])
 
-    def count(kind: str) -> Column:
-        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    def count(spans: str, kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    counts = [count(k) for k in KINDS]
+    counts = [count("base", k) for k in KINDS]
     spans = F.concat("base", "terms")
-    return out.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(spans).alias("spans"), F.size("terms").cast("long").alias("n_terms"))
+    return out.select("doc.doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(spans).alias("spans"), count("terms", TERM), count("terms", GENERAL))

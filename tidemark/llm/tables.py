@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def bounded(spark: SparkSession) -> SparkSession:
@@ -48,5 +49,11 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept_schema(docs: DataFrame, keep: list[str], more: str) -> StructType:
+    """The fields named in `keep`, whatever their names and types, then those of the DDL string."""
+    added = StructType.fromDDL(more).fields if more else []
+    return StructType([StructField(c, docs.schema[c].dataType) for c in keep] + added)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
