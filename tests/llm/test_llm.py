@@ -61,29 +61,83 @@ def empty(docs):
     return docs.where("false")
 
 
-def test_fingerprint(docs, repeated):
-    got = by_id(fingerprint.op1(docs))
-    order = sorted(rows(), key=lambda r: -r[0])
-    find = re.compile(r"[^\x20\x09-\x0D]+(?:[\x20\x09]+[^\x20\x09-\x0D]+){0,7}")
-    like = lambda a, b: (lambda x, y: len(x & y) / len(x | y) if x | y else 1.0)(set(find.findall(a)), set(find.findall(b)))
-    for i, (doc, t, *_x) in enumerate(order):
+def paragraphs(t):
+    out = set()
+    for line in re.split("[\x0a-\x0d]", t):
+        part = []
+        for m in re.finditer(r"[^\x20\x09-\x0D]+", line):
+            part.append(m)
+            if m[0][-1] in ".!?05gkpwGKPW" or len(part) == 32:
+                out.add(line[part[0].start() : part[-1].end()])
+                part = []
+        if part:
+            out.add(line[part[0].start() : part[-1].end()])
+    return out
+
+
+def alike(a, b):
+    x, y = paragraphs(a), paragraphs(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def check_fingerprints(found, order):
+    """order: (doc_id, text) in descending order; found by doc_id and text."""
+    for i, (doc, t) in enumerate(order):
         t, nxt = t or "", order[(i + 1) % len(order)][1] or ""
         half = len(t) // 2
         edited = t[: len(t) - half] + nxt[:half]
-        r = got[doc]
-        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert abs(r["near_edited"] - like(t, edited)) < 1e-9 and abs(r["near_next"] - like(t, nxt)) < 1e-9
+        r = found[doc]
+        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest(), doc
+        assert abs(r["near_edited"] - alike(t, edited)) < 1e-9 and abs(r["near_next"] - alike(t, nxt)) < 1e-9, doc
+
+
+def test_fingerprint(docs, repeated):
+    got = by_id(fingerprint.op1(docs))
+    check_fingerprints(got, sorted(((r[0], r[1]) for r in rows()), key=lambda r: -r[0]))
     assert got[65]["fingerprint"] == got[66]["fingerprint"] != got[67]["fingerprint"]
     assert fingerprint.op1(repeated).count() == 5 and fingerprint.op1(empty(docs)).count() == 0
 
 
+def test_fingerprint_of_many_blocks(spark, monkeypatch):
+    """Blocks finer than the quantiles, ids of all sizes, and tables too small at first."""
+    monkeypatch.setattr(fingerprint, "SPLITS", 3)
+    monkeypatch.setattr(fingerprint, "BLOCK", 1)
+    items = [(i * i * i - 5000, text(i, 3 + i % 40) + (".\n" if i % 3 else "")) for i in range(120)] + [(-(1 << 62), text(1, 90)), ((1 << 62), text(2, 90))]
+    got = by_id(fingerprint.op1(spark.createDataFrame(items, "doc_id long, text string").repartition(3), room=0.01))
+    check_fingerprints(got, sorted(items, reverse=True))
+
+
+def test_next_of_a_hot_id(spark, monkeypatch):
+    """Many rows of one id stand in descending order of their texts' hashes, over several blocks."""
+    monkeypatch.setattr(fingerprint, "BLOCK", 8)
+    items = [(7 if i % 3 else i, f"text {i}") for i in range(150)]
+    df = spark.createDataFrame(items, "doc_id long, text string")
+    got = fingerprint.with_next(df).collect()
+    assert len({r["block"] for r in got if r["doc_id"] == 7}) > 3
+    rank = {r["text"]: r["r"] for r in df.select("text", F.pmod(F.xxhash64("text"), F.lit(1 << 62)).alias("r")).collect()}
+    order = sorted(items, key=lambda x: (x[0], rank[x[1]]), reverse=True)
+    assert {r["text"]: r["next_text"] for r in got} == {t: order[(k + 1) % len(order)][1] for k, (_, t) in enumerate(order)}
+
+
+def test_likeness_is_of_the_returned_sketches(spark):
+    """Where the two fingerprint strings differ in few paragraphs, peeling the strings gives the likeness; one word more changes one paragraph."""
+    base_ = text(11, 400)
+    pair = spark.createDataFrame([(2, base_), (1, "extra " + base_)], "doc_id long, text string")
+    got = by_id(fingerprint.op1(pair))
+    cells = [[[int(x, 16) for x in c.split(":")] for c in got[i]["fingerprint"].split(",")] for i in (2, 1)]
+    n = [sum(c[0] for c in x[:6]) for x in cells]
+    left = [[a[0] - b[0], a[1] ^ b[1], a[2] ^ b[2]] for a, b in zip(*cells, strict=True)]
+    assert n[0] == len(paragraphs(base_)) and sum(abs(c[0]) == 1 or c[1] != 0 for c in left) <= 8
+    assert got[2]["near_next"] == (n[0] - 1) / (n[0] + 1) == alike(base_, "extra " + base_)
+
+
 def test_peeling_retries_larger(spark):
     pairs = spark.createDataFrame([(1, list(range(1, 400)), list(range(100, 500))), (2, [], []), (3, [7], [7])], "id int, left array<long>, right array<long>")
     bad = fingerprint.decode(pairs, ["id"], room=0.01).where("id = 1").first()
     assert not bad["decoded"]
-    got = {r["id"]: r for r in fingerprint.differing(pairs, ["id"]).collect()}
+    got = {r["id"]: r for r in fingerprint.decode(pairs, ["id"], seed=2).collect()}
     assert (got[1]["only_left"], got[1]["only_right"], got[1]["decoded"]) == (99, 100, True)
-    assert (got[2]["only_left"], got[3]["only_right"]) == (0, 0)
+    assert set(got) == {1}  # equal versions leave no live cell
 
 
 def test_language_model(docs, repeated):
