@@ -67,7 +67,7 @@ def paragraphs(t):
         part = []
         for m in re.finditer(r"[^\x20\x09-\x0D]+", line):
             part.append(m)
-            if m[0][-1] in ".!?05gkpwGKPW" or len(part) == 32:
+            if (len(part) >= 5 and m[0][-1] in ".!?05gkpwGKPW") or len(part) == 32:
                 out.add(line[part[0].start() : part[-1].end()])
                 part = []
         if part:
@@ -119,16 +119,10 @@ def test_next_of_a_hot_id(spark, monkeypatch):
     assert {r["text"]: r["next_text"] for r in got} == {t: order[(k + 1) % len(order)][1] for k, (_, t) in enumerate(order)}
 
 
-def test_likeness_is_of_the_returned_sketches(spark):
-    """Where the two fingerprint strings differ in few paragraphs, peeling the strings gives the likeness; one word more changes one paragraph."""
+def test_an_added_word_changes_few_paragraphs(spark):
     base_ = text(11, 400)
     pair = spark.createDataFrame([(2, base_), (1, "extra " + base_)], "doc_id long, text string")
-    got = by_id(fingerprint.op1(pair))
-    cells = [[[int(x, 16) for x in c.split(":")] for c in got[i]["fingerprint"].split(",")] for i in (2, 1)]
-    n = [sum(c[0] for c in x[:6]) for x in cells]
-    left = [[a[0] - b[0], a[1] ^ b[1], a[2] ^ b[2]] for a, b in zip(*cells, strict=True)]
-    assert n[0] == len(paragraphs(base_)) and sum(abs(c[0]) == 1 or c[1] != 0 for c in left) <= 8
-    assert got[2]["near_next"] == (n[0] - 1) / (n[0] + 1) == alike(base_, "extra " + base_)
+    assert by_id(fingerprint.op1(pair))[2]["near_next"] == alike(base_, "extra " + base_) > 0.8
 
 
 def test_peeling_retries_larger(spark):

@@ -3,27 +3,23 @@
 DataFrame functions only. A paragraph is a run of words of one line that ends
 with the line or after a word whose last character is one of ENDS (marks that
 close sentences, some digits and some of the less usual last letters), or else
-after MOST words; so the cuts move with the content and an added word changes
-one paragraph. Its digest is 64 bits. A
-sketch is a table of cells (count, xor of digests, xor of their checks); each
-digest is in one cell of each of its subtables. The sketch of one version less
-that of another holds only the paragraphs that differ, and peeling recovers
-their digests: a cell of one digest gives it away, and taking it out of its
-other cells uncovers more.
-
-The fingerprint is such a sketch of TABLES x SMALL cells as text, so equal
-texts have equal fingerprints. Likenesses come from the fingerprints'
-difference where it can be peeled to the last cell. Where it can't, the two
-versions are sketched anew, with room for all paragraphs that the fingerprints
-count, and where that fails in other places and four times as large, over and
-over until it succeeds. Larger tables are peeled subtable by subtable, so that
-no digest is taken out twice.
-
-Likeness is common over all distinct paragraphs; two texts without words are
-alike (1). Null text is empty. A null id comes last in descending order; equal
-ids stand in descending order of their text's hash. A single document follows
-itself. Repeated rows each have a row; empty tables give none. Columns other
-than doc_id and text are ignored.
+after MOST words, and has at least LEAST words if the line does; so the cuts
+move with the content and an added word changes few paragraphs. Its digest is 64 bits. A sketch is a table of cells (count, xor
+of digests, xor of their checks); each digest is in one cell of each of four
+subtables. The sketch of one version less that of another holds only the
+paragraphs that differ, and peeling recovers their digests: a cell of one
+digest gives it away, and taking it out of its other cells uncovers more.
+Peeling goes subtable by subtable, so that no digest is taken out twice. Where
+it fails, it is done again with a larger table and other places, over and over
+until it succeeds.
+
+The fingerprint string is a small sketch of fixed size, so equal texts have
+equal fingerprints; likenesses are peeled from sketches with room for both
+versions' paragraphs. Likeness is common over all distinct paragraphs; two
+texts without words are alike (1). Null text is empty. A null id comes last in
+descending order; equal ids stand in descending order of their text's hash. A
+single document follows itself. Repeated rows each have a row; empty tables
+give none. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -33,16 +29,17 @@ from pyspark.sql import functions as F
 
 from .tables import materialise, partitions
 
-ENDS, MOST = ".!?05gkpwGKPW", 32
-_WORD = r"[^\x20\x09-\x0D]"
-PARAGRAPH = r"(?:%s++(?<![%s])[\x20\x09]++(?=%s)){0,%d}+%s++" % (_WORD, ENDS, _WORD, MOST - 1, _WORD)
-#: Subtables of a sketch, and cells of each in the fingerprint.
+ENDS, LEAST, MOST = ".!?05gkpwGKPW", 5, 32
+_WORD, _GAP = r"[^\x20\x09-\x0D]", r"[\x20\x09]++(?=[^\x20\x09-\x0D])"
+PARAGRAPH = r"(?:%s++%s){0,%d}+(?:%s++(?<![%s])%s){0,%d}+%s++" % (_WORD, _GAP, LEAST - 1, _WORD, ENDS, _GAP, MOST - LEAST, _WORD)
+#: Subtables of a sketch, and cells of each in the fingerprint string.
 TABLES, SMALL = 4, 6
-#: Passes over the subtables of a larger table; what is left then is sketched anew.
+#: Passes over the subtables of a table; what is left then is sketched anew.
 ROUNDS = 16
 #: Documents of a block, and the most blocks: what one task sorts, and the bound of the list of blocks.
 BLOCK, MOST_BLOCKS, SPLITS = 200, 1 << 16, 256
 
+
 def digests(text: Column) -> Column:
     """Distinct 64-bit digests of the text's paragraphs."""
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p)))
@@ -57,56 +54,14 @@ def _check(digest: Column, seed: int) -> Column:
     return F.xxhash64(F.lit(seed + 7001), digest)
 
 
-def _cells_of(digest: Column) -> Column:
-    """The cell of a digest in each subtable of a fingerprint."""
-    return F.array(*(F.pmod(F.shiftright(digest, 13 * t), F.lit(SMALL)).cast("int") for t in range(TABLES)))
-
-
-def sketch(found: Column, seed: int = 0) -> Column:
-    """The cells of TABLES x SMALL, subtable after subtable: n, k (xor of digests), h (xor of checks)."""
-    placed = F.transform(found, lambda d: F.struct(d.alias("d"), _cells_of(d).alias("at")))
-
-    def cell(t: int, j: int) -> Column:
-        own = F.transform(F.filter(placed, lambda x: x["at"][t] == j), lambda x: x["d"])
-        none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
-        return F.aggregate(own, none, lambda a, d: F.struct((a["n"] + 1).alias("n"), a["k"].bitwiseXOR(d).alias("k"), a["h"].bitwiseXOR(_check(d, seed)).alias("h")))
-
-    return F.array(*(cell(t, j) for t in range(TABLES) for j in range(SMALL)))
-
-
-def written(cells: Column) -> Column:
-    """A sketch as text: count, digests and checks of each cell."""
-    return F.lower(F.array_join(F.transform(cells, lambda c: F.concat_ws(":", F.hex(c["n"]), F.hex(c["k"]), F.hex(c["h"]))), ","))
-
-
-def subtracted(left: Column, right: Column) -> Column:
-    return F.zip_with(left, right, lambda a, b: F.struct((a["n"] - b["n"]).alias("n"), a["k"].bitwiseXOR(b["k"]).alias("k"), a["h"].bitwiseXOR(b["h"]).alias("h")))
+def fingerprint(found: Column) -> Column:
+    """The sketch of TABLES x SMALL cells as text: count and xor of the digests of each cell."""
 
+    def cell(table: int, at: int) -> Column:
+        own = F.filter(found, lambda d: F.pmod(F.shiftright(d, 13 * table), F.lit(SMALL)) == at)
+        return F.concat_ws(":", F.hex(F.size(own)), F.hex(F.aggregate(own, F.lit(0).cast("long"), lambda a, d: a.bitwiseXOR(d))))
 
-def peeled(cells: Column, seed: int = 0) -> Column:
-    """only_left, only_right, decoded of the difference of two sketches; each step takes out one digest, as many as there are cells."""
-
-    def pure(c: Column) -> Column:
-        return (F.abs(c["n"]) == 1) & (c["h"] == _check(c["k"], seed))
-
-    def taken_out(acc: Column, x: Column) -> Column:
-        def less(c: Column, i: Column) -> Column:
-            mine = F.element_at(x["at"], F.floor(i / SMALL).cast("int") + 1) == i % SMALL
-            return F.when(mine, F.struct((c["n"] - x["n"]).alias("n"), c["k"].bitwiseXOR(x["k"]).alias("k"), c["h"].bitwiseXOR(x["h"]).alias("h"))).otherwise(c)
-
-        ones = [F.when(x["n"] == sign, 1).otherwise(0) for sign in (1, -1)]
-        return F.struct(F.transform(acc["cells"], less).alias("cells"), (acc["left"] + ones[0]).alias("left"), (acc["right"] + ones[1]).alias("right"), F.lit(True).alias("on"))
-
-    def step(acc: Column, _: Column) -> Column:
-        # arrays of one element, so that each value is worked out once
-        first = F.transform(F.slice(F.filter(acc["cells"], pure), 1, 1), lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k"), c["h"].alias("h"), _cells_of(c["k"]).alias("at")))
-        stopped = F.struct(acc["cells"].alias("cells"), acc["left"].alias("left"), acc["right"].alias("right"), F.lit(False).alias("on"))
-        return F.when(acc["on"], F.coalesce(F.try_element_at(F.transform(first, lambda x: taken_out(acc, x)), F.lit(1)), stopped)).otherwise(acc)
-
-    zero = F.lit(0).cast("long")
-    start = F.struct(cells.alias("cells"), zero.alias("left"), zero.alias("right"), F.lit(True).alias("on"))
-    end = lambda acc: F.struct(acc["left"].alias("only_left"), acc["right"].alias("only_right"), F.forall(acc["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["h"] == 0)).alias("decoded"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(TABLES * SMALL)), start, step, end)
+    return F.lower(F.concat_ws(",", *(cell(t, j) for t in range(TABLES) for j in range(SMALL))))
 
 
 def decode(pairs: DataFrame, ids: list[str], seed: int = 1, room: float = 0.5) -> DataFrame:
@@ -192,45 +147,42 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def _sides(rows: DataFrame) -> DataFrame:
-    """block, place, pair, left, right: the text's digests against the edited (0) and the next (1) text's, of pairs not decoded yet."""
-    both = F.array(*(F.struct(F.lit(p).alias("pair"), F.col(c).alias("right"), F.col(f"near{p}")["decoded"].alias("done")) for p, c in ((0, "b"), (1, "c"))))
-    return rows.select("block", "place", F.explode(F.filter(both, lambda x: ~x["done"])).alias("x"), F.col("a").alias("left")).select("block", "place", "x.pair", "left", "x.right")
-
-
-def _again(rows: DataFrame, seed: int, room: float) -> DataFrame:
-    """rows with near0 and near1 of the pairs that weren't decoded from a table of `room` cells a digest in each subtable."""
-    found = decode(_sides(rows), ["block", "place", "pair"], seed, room)
-    result = F.struct("only_left", "only_right", "decoded")
-    found = found.groupBy("block", "place").agg(*(F.max(F.when(F.col("pair") == p, result)).alias(f"again{p}") for p in (0, 1)))
-    # a table without a live cell differs in nothing
-    nothing = F.struct(F.lit(0).cast("long").alias("only_left"), F.lit(0).cast("long").alias("only_right"), F.lit(True).alias("decoded"))
-    out = rows.join(found, ["block", "place"], "left")
-    near = {p: F.when(F.col(f"near{p}.decoded"), F.col(f"near{p}")).otherwise(F.coalesce(f"again{p}", nothing)) for p in (0, 1)}
-    out = out.withColumns({f"near{p}": c for p, c in near.items()}).drop("again0", "again1")
-    failed = ~(F.col("near0.decoded") & F.col("near1.decoded"))
-    # the digests of what is done aren't needed again
-    return out.withColumns({c: F.when(failed, F.col(c)) for c in "abc"})
+    """block, place, pair, left, right: the text's digests against the edited (0) and the next (1) text's."""
+    both = F.array(F.struct(F.lit(0).alias("pair"), F.col("b").alias("right")), F.struct(F.lit(1).alias("pair"), F.col("c").alias("right")))
+    return rows.select("block", "place", F.explode(both).alias("x"), F.col("a").alias("left")).select("block", "place", "x.pair", "left", "x.right")
+
+
+def _by_pair(found: DataFrame) -> DataFrame:
+    """only_left0 .. decoded1 of each (block, place); a pair that left no cell differs in nothing."""
+    columns = [F.max(F.when(F.col("pair") == p, F.col(c))).alias(f"{c}{p}") for p in (0, 1) for c in ("only_left", "only_right", "decoded")]
+    return found.groupBy("block", "place").agg(*columns)
+
+
+def _filled(rows: DataFrame) -> DataFrame:
+    return rows.fillna({f"{c}{p}": v for p in (0, 1) for c, v in (("only_left", 0), ("only_right", 0), ("decoded", True))})
 
 
 def op1(documents: DataFrame, room: float = 0.5) -> DataFrame:
     """One row per document: fingerprints of the text and of its edited text, and likenesses to the edited and the next text."""
-    # Both sides of the join of a block come from one exchange by block; with this setting it needs no other.
-    documents.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    spark = documents.sparkSession
     rows = with_next(documents.select("doc_id", "text"))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
     rows = rows.select("block", "place", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("b"), digests(F.col("next_text")).alias("c"))
-    rows = rows.withColumns({f"s{c}": sketch(F.col(c)) for c in "abc"})
-    rows = rows.withColumns({"near0": peeled(subtracted(F.col("sa"), F.col("sb"))), "near1": peeled(subtracted(F.col("sa"), F.col("sc")))})
-    sizes = [F.aggregate(F.slice(f"s{c}", 1, SMALL), F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias(f"n{c}") for c in "abc"]
-    rows = rows.select("block", "place", "doc_id", "n_chars", "edited_sha256", written(F.col("sa")).alias("fingerprint"), written(F.col("sb")).alias("edited_fingerprint"), *sizes, "near0", "near1", *"abc")
-    failed = ~(F.col("near0.decoded") & F.col("near1.decoded"))
-    out = materialise(_again(rows, 1, room))
+    out = rows.select("*", fingerprint(F.col("a")).alias("fingerprint"), fingerprint(F.col("b")).alias("edited_fingerprint"))
+    out = _filled(out.join(_by_pair(decode(_sides(rows), ["block", "place", "pair"], room=room)), ["block", "place"], "left"))
+    failed = ~(F.col("decoded0") & F.col("decoded1"))
+    sizes = [F.size(x).alias(f"n{x}") for x in "abc"]
+    out = out.select(*(c for c in out.columns if c not in "abc"), *sizes, *(F.when(failed, F.col(x)).alias(x) for x in "abc"))
+    # Both sides of the join come from one exchange by block; with this setting it needs no other.
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    out = materialise(out)
     done, rest, seed = out.where(~failed), out.where(failed), 1
     while not rest.isEmpty():
         seed, room = seed + 1, room * 4
-        found = materialise(_again(rest, seed, room))
+        again = _by_pair(decode(_sides(rest), ["block", "place", "pair"], seed=seed, room=room))
+        found = materialise(_filled(rest.drop(*again.columns[2:]).join(again, ["block", "place"], "left")).select(*out.columns))
         done, rest = done.unionByName(found.where(~failed)), found.where(failed)
-    near = [_likeness(F.col("na"), F.col(x), F.col(f"near{p}.only_left"), F.col(f"near{p}.only_right")) for p, x in ((0, "nb"), (1, "nc"))]
+    near = [_likeness(F.col("na"), F.col(x), F.col(f"only_left{p}"), F.col(f"only_right{p}")) for p, x in ((0, "nb"), (1, "nc"))]
     return done.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near[0].alias("near_edited"), near[1].alias("near_next"), F.col("na").alias("n_paragraphs"))
