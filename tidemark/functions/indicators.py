@@ -85,7 +85,7 @@ def add_volume(df: DataFrame, n: int = 30, spike: float = 2.0, keys=KEYS) -> Dat
 
 def add_efficiency(df: DataFrame, n: int = 14, vol: int = 42, keys=KEYS) -> DataFrame:
     """Efficiency ratio, and the z-score of realised volatility."""
-    df = stages(df, {"_step": F.abs(F.col("close") - before(F.col("close"), 1, keys)), "_ret": returns(F.col("close"), 1, keys)}, {"_path": rolling(F.sum, F.col("_step"), n, keys), "_vol": deviation(F.col("_ret"), n, keys)})
+    df = stages(df, {"_step": F.abs(F.col("close") - before(F.col("close"), 1, keys)), "_ret": returns(F.col("close"), 1, keys)}, {"_path": rolling(F.sum, F.col("_step"), n, keys), "_vol": deviation(F.col("_ret"), vol, keys)})
     return df.withColumns({"efficiency_ratio": safe_div(F.abs(F.col("close") - before(F.col("close"), n, keys)), F.col("_path")), "vol_z": zscore(F.col("_vol"), vol, keys)}).drop("_step", "_ret", "_path", "_vol")
 
 
@@ -146,8 +146,8 @@ def add_trailing_stop(df: DataFrame, distance: Column, long: bool = True, keys=(
 
 
 def cooled(loss: Column, n: int, keys=KEYS) -> Column:
-    """Whether none of the n bars before was a loss."""
-    w = by_time(keys).rowsBetween(-n, -1)
+    """Whether none of the last n bars, this one included, was a loss."""
+    w = by_time(keys).rowsBetween(-(n - 1), 0)
     return F.coalesce(F.max(loss.cast("int")).over(w), F.lit(0)) == 0
 
 

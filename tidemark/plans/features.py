@@ -52,26 +52,27 @@ def add_funding(df: DataFrame, keys=KEYS, threshold: float = 2.0) -> DataFrame:
     x = F.col("funding_rate")
     df = df.withColumns({"funding_zscore_30": zscore(x, 30, keys), "_q": quantile(x, 0.9, 90, keys, 30)})
     z = F.col("funding_zscore_30")
-    return df.withColumns({"funding_high_q90": F.coalesce(x >= F.col("_q"), F.lit(False)), "funding_extreme_pos": F.coalesce(z >= threshold, F.lit(False)), "funding_extreme_neg": F.coalesce(z <= -threshold, F.lit(False)), "funding_reset": F.coalesce((F.abs(before(z, 1, keys)) > threshold) & (F.abs(z) < 0.5), F.lit(False))}).drop("_q")
+    return df.withColumns({"funding_high_q90": F.coalesce(x >= F.col("_q"), F.lit(False)), "funding_extreme_pos": F.coalesce(z > threshold, F.lit(False)), "funding_extreme_neg": F.coalesce(z < -threshold, F.lit(False)), "funding_reset": F.coalesce((F.abs(before(z, 1, keys)) > threshold) & (F.abs(z) < 0.5), F.lit(False))}).drop("_q")
 
 
 @FEATURES.add("open_interest", "derivatives", 61)
-def add_interest(df: DataFrame, keys=KEYS, move: float = 0.03) -> DataFrame:
+def add_interest(df: DataFrame, keys=KEYS, move: float = 0.03, threshold: float = 2.0) -> DataFrame:
     """F2, W21."""
     need(df, "open_interest")
     x = F.col("open_interest")
-    df = df.withColumns({"oi_diff_1": x - before(x, 1, keys), "oi_diff_5": x - before(x, 5, keys), "oi_change_pct": safe_div(x, before(x, 1, keys)) - 1, "oi_zscore_60": zscore(x, 60, keys)})
-    p = F.col("oi_change_pct")
-    return df.withColumns({"oi_expansion": F.coalesce(p >= move, F.lit(False)), "oi_flush": F.coalesce(p <= -move, F.lit(False))})
+    df = df.withColumns({"oi_diff_1": x - before(x, 1, keys), "oi_diff_5": x - before(x, 5, keys), "oi_change_pct_5": safe_div(x, before(x, 5, keys)) - 1, "oi_zscore_60": zscore(x, 60, keys)})
+    p, z = F.col("oi_change_pct_5"), F.col("oi_zscore_60")
+    return df.withColumns({"oi_expansion": F.coalesce((z > threshold) | (p > move), F.lit(False)), "oi_flush": F.coalesce((z < -threshold) | (p < -move), F.lit(False))})
 
 
 @FEATURES.add("basis", "derivatives", 60)
-def add_basis(df: DataFrame, keys=KEYS) -> DataFrame:
+def add_basis(df: DataFrame, keys=KEYS, threshold: float = 2.0) -> DataFrame:
     """F3."""
     need(df, "basis")
     x = F.col("basis")
-    df = df.withColumns({"basis_zscore_60": zscore(x, 60, keys), "_q": quantile(F.abs(x), 0.9, 90, keys, 30)})
-    return df.withColumns({"basis_high_q90": F.coalesce(F.abs(x) >= F.col("_q"), F.lit(False)), "basis_premium": F.coalesce(x > 0, F.lit(False)), "basis_discount": F.coalesce(x < 0, F.lit(False))}).drop("_q")
+    df = df.withColumns({"basis_zscore_60": zscore(x, 60, keys), "_q": quantile(x, 0.9, 90, keys, 30)})
+    z = F.col("basis_zscore_60")
+    return df.withColumns({"basis_high_q90": F.coalesce(x >= F.col("_q"), F.lit(False)), "perp_premium_extreme": F.coalesce(z > threshold, F.lit(False)), "perp_discount_extreme": F.coalesce(z < -threshold, F.lit(False))}).drop("_q")
 
 
 def add_derivatives(df: DataFrame, keys=KEYS, allow_missing: bool = True) -> DataFrame:

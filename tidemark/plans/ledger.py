@@ -140,7 +140,7 @@ def monte_carlo(trades: DataFrame, sims: int = 50, seed: int = 7, keys=KEYS) ->
     return worst.groupBy(*keys).agg(F.percentile(-F.col("dd"), 0.5).alias("dd_q50"), F.percentile(-F.col("dd"), 0.95).alias("dd_q95"))
 
 
-def contract(metrics: DataFrame, max_drawdown: float = -0.25, max_daily: float = -0.05, min_cagr: float = 0.0) -> DataFrame:
+def contract(metrics: DataFrame, max_drawdown: float = -0.16, max_daily: float = -0.08, min_cagr: float = 0.0) -> DataFrame:
     """Whether the metrics keep the floors, and which they break."""
     reasons = F.array_compact(F.array(F.when(F.col("max_drawdown") < max_drawdown, "max_drawdown"), F.when(F.col("max_daily_drawdown") < max_daily, "max_daily_drawdown"), F.when(F.col("cagr") < min_cagr, "cagr")))
     return metrics.withColumn("reasons", reasons).withColumn("passed", F.size("reasons") == 0)

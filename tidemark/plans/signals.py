@@ -219,13 +219,13 @@ CHOP_FILTERS = ("none", "efficiency", "moderate_vol", "no_high_vol", "cooldown")
 
 
 def chop_filtered(df: DataFrame, kind: str, keys=KEYS) -> DataFrame:
-    """The signal where the filter lets it through, else 0. Needs efficiency_ratio and vol_z; the cooldown is 12 bars after a losing one."""
+    """The signal where the filter lets it through, else 0. Needs efficiency_ratio and vol_z; the cooldown is the 12 bars from a losing one on."""
     z = F.col("vol_z")
     loss = (before(F.col("signal"), 1, keys) * I.returns(F.col("close"), 1, keys)) < 0
     if kind == "cooldown":
         df = df.withColumn("_loss", _no(loss))
         loss = F.col("_loss")
-    through = {"none": F.lit(True), "efficiency": F.col("efficiency_ratio") > 0.3, "moderate_vol": F.abs(z) < 1, "no_high_vol": z < 1.5, "cooldown": I.cooled(loss, 12, keys)}[kind]
+    through = {"none": F.lit(True), "efficiency": F.col("efficiency_ratio") >= 0.3, "moderate_vol": (z >= -1) & (z <= 2), "no_high_vol": z <= 2.5, "cooldown": I.cooled(loss, 12, keys)}[kind]
     return df.withColumn("signal", F.when(_no(through), F.col("signal")).otherwise(0)).drop("_loss")
 
 

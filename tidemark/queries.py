@@ -345,14 +345,11 @@ def multi_timeframe(spark, d):
     return tidy(J.asof(fast, slow, on="close_time").select("symbol", "ts", "close", "slow_close"))
 
 
-_SNAP = ", ".join(f"round((SELECT arg_max(value, o.ts) FROM one o WHERE o.signal_type = '{t}' AND o.symbol = pr.symbol AND o.ts <= pr.ts), 6) AS {t}" for t in ("click", "view"))
-
-
-@query(f"WITH {CONTEXT}, one AS (SELECT symbol, ts, signal_type, max(value) AS value FROM ctx WHERE historical_integrity GROUP BY ALL), {_PROBE} SELECT DISTINCT symbol, ts, {_SNAP} FROM pr WHERE o_orderkey % 10 = 0")
+@query(f"WITH {CONTEXT}, one AS (SELECT symbol, ts, signal_type, max(value) AS value FROM ctx WHERE historical_integrity GROUP BY ALL), {_PROBE}, p0 AS (SELECT DISTINCT symbol, ts FROM pr), p1 AS (SELECT p0.*, o.value AS click FROM p0 ASOF LEFT JOIN (SELECT * FROM one WHERE signal_type = 'click') o ON p0.symbol = o.symbol AND p0.ts >= o.ts), p2 AS (SELECT p1.*, o.value AS view FROM p1 ASOF LEFT JOIN (SELECT * FROM one WHERE signal_type = 'view') o ON p1.symbol = o.symbol AND p1.ts >= o.ts) SELECT symbol, ts, round(click, 6) AS click, round(view, 6) AS view FROM p2")
 def point_in_time_snapshots(spark, d):
-    """Probes of every tenth order, events with integrity only."""
+    """A probe for each order, events with integrity only."""
     e = context_events(spark, d).where("historical_integrity").groupBy("symbol", "ts", "signal_type").agg(F.max("value").alias("value")).withColumn("historical_integrity", F.lit(True))
-    p = probes(spark, d).where("o_orderkey % 10 = 0").select("symbol", "ts").distinct()
+    p = probes(spark, d).select("symbol", "ts").distinct()
     return tidy(J.snapshots(e, p, ["click", "view"]))
 
 

@@ -134,7 +134,7 @@ def window_forward_fill(spark, d):
     return tidy(b.select("symbol", "ts", forward_fill(F.col("x")).alias("filled")))
 
 
-_EFF = f"{S.BARS}, s AS (SELECT *, abs(close - {S.lag('close')}) AS step, {S.ret()} AS ret FROM bars), t AS (SELECT *, {S.roll('sum', 'step', 14)} AS path, {S.dev('ret', 14)} AS vol FROM s), eff AS (SELECT *, abs(close - {S.lag('close', 14)}) / nullif(path, 0) AS efficiency_ratio, {S.z('vol', 42)} AS vol_z FROM t)"
+_EFF = f"{S.BARS}, s AS (SELECT *, abs(close - {S.lag('close')}) AS step, {S.ret()} AS ret FROM bars), t AS (SELECT *, {S.roll('sum', 'step', 14)} AS path, {S.dev('ret', 42)} AS vol FROM s), eff AS (SELECT *, abs(close - {S.lag('close', 14)}) / nullif(path, 0) AS efficiency_ratio, {S.z('vol', 42)} AS vol_z FROM t)"
 
 
 @query(f"WITH {_EFF} SELECT {KT}, {S.r('efficiency_ratio', 'vol_z')} FROM eff")
@@ -158,6 +158,7 @@ def window_td_setup(spark, d):
     return tidy(I.add_td_setup(M.bars(spark, d), 4, 2).select("symbol", "ts", "td_setup"))
 
 
+_UPTO = "OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
 _F = "OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {} PRECEDING AND {} PRECEDING)"
 _PAST, _AHEAD, _FULL = _F.format(6, 4), "OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)", "OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"
 
@@ -188,7 +189,7 @@ def window_trailing_stop(spark, d):
     return tidy(I.add_trailing_stop(t, _close() * 0.1).withColumn("stop", F.col("stop")).select("symbol", "ts", "trade_id", "stop", "stopped"))
 
 
-@query(f"WITH {S.BARS}, s AS (SELECT *, coalesce({S.ret()} < -0.5, FALSE) AS loss FROM bars) SELECT {KT}, coalesce(max(CAST(loss AS INT)) {_F.format(3, 1)}, 0) = 0 AS ok FROM s")
+@query(f"WITH {S.BARS}, s AS (SELECT *, coalesce({S.ret()} < -0.5, FALSE) AS loss FROM bars) SELECT {KT}, coalesce(max(CAST(loss AS INT)) {_UPTO.format(2)}, 0) = 0 AS ok FROM s")
 def window_cooldown(spark, d):
     """W28."""
     b = M.bars(spark, d).withColumn("loss", F.coalesce(I.returns(_close()) < -0.5, F.lit(False)))
@@ -212,12 +213,12 @@ def window_halo_blocks(spark, d):
 
 
 # features
-_FUND = f"""{S.MARKET}, f1 AS (SELECT *, {S.z('funding_rate', 30)} AS fz, {S.quantile('funding_rate', 0.9, 90, 30)} AS fq, open_interest / nullif({S.lag('open_interest')}, 0) - 1 AS p, {S.z('open_interest', 60)} AS oz, {S.z('basis', 60)} AS bz, {S.quantile('abs(basis)', 0.9, 90, 30)} AS bq FROM market)"""
+_FUND = f"""{S.MARKET}, f1 AS (SELECT *, {S.z('funding_rate', 30)} AS fz, {S.quantile('funding_rate', 0.9, 90, 30)} AS fq, open_interest / nullif({S.lag('open_interest', 5)}, 0) - 1 AS p, {S.z('open_interest', 60)} AS oz, {S.z('basis', 60)} AS bz, {S.quantile('basis', 0.9, 90, 30)} AS bq FROM market)"""
 
 
 @query(
-    f"""WITH {_FUND} SELECT {KT}, {S.r('fz AS funding_zscore_30', 'open_interest - ' + S.lag('open_interest') + ' AS oi_diff_1', 'open_interest - ' + S.lag('open_interest', 5) + ' AS oi_diff_5', 'p AS oi_change_pct', 'oz AS oi_zscore_60', 'bz AS basis_zscore_60')},
-coalesce(funding_rate >= fq, FALSE) AS funding_high_q90, coalesce(fz >= 2, FALSE) AS funding_extreme_pos, coalesce(fz <= -2, FALSE) AS funding_extreme_neg, coalesce(abs({S.lag('fz')}) > 2 AND abs(fz) < 0.5, FALSE) AS funding_reset, coalesce(p >= 0.03, FALSE) AS oi_expansion, coalesce(p <= -0.03, FALSE) AS oi_flush, coalesce(abs(basis) >= bq, FALSE) AS basis_high_q90, coalesce(basis > 0, FALSE) AS basis_premium, coalesce(basis < 0, FALSE) AS basis_discount FROM f1"""
+    f"""WITH {_FUND} SELECT {KT}, {S.r('fz AS funding_zscore_30', 'open_interest - ' + S.lag('open_interest') + ' AS oi_diff_1', 'open_interest - ' + S.lag('open_interest', 5) + ' AS oi_diff_5', 'p AS oi_change_pct_5', 'oz AS oi_zscore_60', 'bz AS basis_zscore_60')},
+coalesce(funding_rate >= fq, FALSE) AS funding_high_q90, coalesce(fz > 2, FALSE) AS funding_extreme_pos, coalesce(fz < -2, FALSE) AS funding_extreme_neg, coalesce(abs({S.lag('fz')}) > 2 AND abs(fz) < 0.5, FALSE) AS funding_reset, coalesce(oz > 2 OR p > 0.03, FALSE) AS oi_expansion, coalesce(oz < -2 OR p < -0.03, FALSE) AS oi_flush, coalesce(basis >= bq, FALSE) AS basis_high_q90, coalesce(bz > 2, FALSE) AS perp_premium_extreme, coalesce(bz < -2, FALSE) AS perp_discount_extreme FROM f1"""
 )
 def features_derivatives(spark, d):
     """F1-F4, W21."""
@@ -359,7 +360,7 @@ def signal_trend_filter(spark, d):
 _CHOP = f"{_EFF}, {S.rsi(14, 'rs', 'eff', flat=100.0)}, cs AS (SELECT *, {S.neutral('60', '40')} AS sig FROM rs), cl AS (SELECT *, coalesce({S.lag('sig')} * ({S.ret()}) < 0, FALSE) AS loss FROM cs)"
 
 
-@query(f"WITH {_CHOP} SELECT {KT}, CAST(CASE WHEN coalesce(efficiency_ratio > 0.3, FALSE) THEN sig ELSE 0 END AS BIGINT) AS efficiency, CAST(CASE WHEN coalesce(abs(vol_z) < 1, FALSE) THEN sig ELSE 0 END AS BIGINT) AS moderate_vol, CAST(CASE WHEN coalesce(vol_z < 1.5, FALSE) THEN sig ELSE 0 END AS BIGINT) AS no_high_vol, CAST(CASE WHEN coalesce(max(CAST(loss AS INT)) {_F.format(12, 1)}, 0) = 0 THEN sig ELSE 0 END AS BIGINT) AS cooldown FROM cl")
+@query(f"WITH {_CHOP} SELECT {KT}, CAST(CASE WHEN coalesce(efficiency_ratio >= 0.3, FALSE) THEN sig ELSE 0 END AS BIGINT) AS efficiency, CAST(CASE WHEN coalesce(vol_z >= -1 AND vol_z <= 2, FALSE) THEN sig ELSE 0 END AS BIGINT) AS moderate_vol, CAST(CASE WHEN coalesce(vol_z <= 2.5, FALSE) THEN sig ELSE 0 END AS BIGINT) AS no_high_vol, CAST(CASE WHEN coalesce(max(CAST(loss AS INT)) {_UPTO.format(11)}, 0) = 0 THEN sig ELSE 0 END AS BIGINT) AS cooldown FROM cl")
 def signal_chop_filters(spark, d):
     """S10."""
     base = SG.rsi_momentum(I.add_efficiency(M.bars(spark, d)), SG.RsiParams(14, 60, 40, 50)).withColumn("_raw", F.col("signal"))
@@ -507,7 +508,7 @@ def _reasons(*pairs: tuple[str, str]) -> str:
     return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for c, n in pairs) + "], lambda x: x IS NOT NULL), '|')"
 
 
-_CONTRACT = _reasons(("max_drawdown < -0.25", "max_drawdown"), ("max_daily_drawdown < -0.05", "max_daily_drawdown"), ("cagr < 0", "cagr"))
+_CONTRACT = _reasons(("max_drawdown < -0.16", "max_drawdown"), ("max_daily_drawdown < -0.08", "max_daily_drawdown"), ("cagr < 0", "cagr"))
 _GATE = _reasons(("trade_count < 20", "trades"), ("abs(max_drawdown) > 0.3", "drawdown"), ("coalesce(profit_factor, 0) < 1", "profit_factor"), ("smart_sharpe < 0", "sharpe"), ("cumulative_return < 0", "return"))
 _MULTI = _reasons(("abs(max_drawdown) > 0.2", "drawdown"), ("abs(max_daily_drawdown) > 0.05", "daily_drawdown"), ("trade_count < 30", "trades"), ("cumulative_return <= 0", "loss"))
 _MTM = f"{_TRADES}, {S.metrics()}, {_TM}, mt AS (SELECT * FROM metrics JOIN tm USING (symbol))"

@@ -101,12 +101,12 @@ def sweep_champions(spark, d):
     return tidy(R.champions(R.objective(_sweep(spark, d))).select("symbol", "param_id", "objective", "cumulative_return"))
 
 
-@query(f"WITH {_GRID}, f AS (SELECT DISTINCT o_orderpriority, rsi_period, rsi_upper, fee_bps FROM orders, grid WHERE o_orderkey < 100) SELECT o_orderpriority, count(*) AS n_distinct FROM f GROUP BY 1")
+@query(f"WITH f AS (SELECT DISTINCT o_orderpriority, o_custkey % 50, floor(o_totalprice / 10000), o_orderkey % 7 FROM orders) SELECT o_orderpriority, count(*) AS n_distinct FROM f GROUP BY 1")
 def distinct_parameters(spark, d):
     """Equal values under other names are one."""
-    params = R.grid(spark, [7, 14], [60.0, 70.0], [30.0, 50.0], [50.0, 55.0], [0.0, 10.0]).select("param_id", "rsi_period", "rsi_upper", "fee_bps")
-    o = M.utc(spark).read.parquet(f"{d}/orders.parquet").where("o_orderkey < 100").select("o_orderpriority", "o_orderkey")
-    return R.fingerprints(o.crossJoin(F.broadcast(params)).drop("o_orderkey")).groupBy("o_orderpriority").agg(F.count("*").alias("n_distinct"))
+    o = M.utc(spark).read.parquet(f"{d}/orders.parquet")
+    params = o.select("o_orderpriority", F.col("o_orderkey").alias("param_id"), (F.col("o_custkey") % 50).alias("rsi_period"), F.floor(F.col("o_totalprice") / 10000).alias("rsi_upper"), (F.col("o_orderkey") % 7).alias("fee_bps"))
+    return R.fingerprints(params).groupBy("o_orderpriority").agg(F.count("*").alias("n_distinct"))
 
 
 _ROB = "CAST(cumulative_return > 0 AS INT) + CAST(smart_sharpe > 0.5 AS INT) + CAST(max_drawdown > -0.3 AS INT) + CAST(trade_count >= 10 AS INT) + CAST(coalesce(profit_factor > 1, FALSE) AS INT) + CAST(time_in_market < 0.9 AS INT)"

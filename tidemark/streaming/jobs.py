@@ -197,8 +197,12 @@ def snapshot_stream(stream: DataFrame, types: tuple[str, ...]) -> DataFrame:
 
 
 def land(stream: DataFrame, path: str, checkpoint: str):
-    """ST7: each micro-batch into the event store; a batch that is tried again replaces its own dates' files only."""
-    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, _: write_events(df, path, "append")).start()
+    """ST7: each micro-batch into the event store, under its number, so that a batch that is tried again replaces itself."""
+
+    def write(df: DataFrame, number: int) -> None:
+        write_events(df, f"{path}/batch={number}")
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
 def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
