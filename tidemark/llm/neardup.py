@@ -8,8 +8,9 @@ which have the longest common prefixes, are candidates. A region of more than
 DENSE documents is taken one value deeper, dealt into salted parts, and every
 document of it is a candidate with the first of the region at either depth, so
 no region meets in one task and no region emits all its pairs. Candidates are
-confirmed on the full sets, first those of a few trees; further candidates only
-where they would join components that are still apart.
+confirmed on the full sets, first those of a few trees; in the other trees one
+document stands for its component in a region, so that only candidates that
+would join components still apart are made.
 
 What the forest misses is found exactly. Take a set's shingles in a circle, in
 the order of their hashes: each with the next is a link of its chain. A shingle
@@ -299,24 +300,31 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("hi").alias("vertex"), F.col("lo").alias("component")).unionByName(edges.select(F.col("lo").alias("vertex"), F.col("lo").alias("component")).distinct())
 
 
+def apart_only(forest: DataFrame) -> DataFrame:
+    """One document of each component in each region, and regions of several components only. forest: also comp."""
+    mixed = forest.groupBy("tree", "region").agg(F.min("comp").alias("_least"), F.max("comp").alias("_most")).where("_least != _most").select("tree", "region")
+    one = forest.join(mixed, ["tree", "region"]).groupBy("tree", "region", "comp").agg(F.min(F.struct("doc_id", "fifth", "rest")).alias("x"))
+    return one.select("x.doc_id", "tree", "region", "x.fifth", "x.rest")
+
+
 def candidates(forest: DataFrame) -> DataFrame:
-    """lo, hi, tree (the first in which they are candidates; leaders of dense regions count as tree 0). forest: doc_id, tree, region, fifth, rest."""
+    """lo, hi: pairs that are neighbours in some tree, or a document of a dense region and a leader of it. forest: doc_id, tree, region, fifth, rest."""
     sizes = forest.groupBy("tree", "region").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).where("n > 1")
     shared = forest.join(sizes, ["tree", "region"])
     sparse, dense = shared.where(F.col("n") <= DENSE), shared.where(F.col("n") > DENSE)
     w = Window.partitionBy("tree", "region").orderBy("fifth", "rest", "doc_id")
-    near = sparse.select("tree", "doc_id", F.lag("doc_id", 1).over(w).alias("p1"), F.lag("doc_id", 2).over(w).alias("p2"))
-    near = near.select("tree", F.col("doc_id").alias("a"), F.explode(F.array("p1", "p2")).alias("b"))
+    near = sparse.select("doc_id", F.lag("doc_id", 1).over(w).alias("p1"), F.lag("doc_id", 2).over(w).alias("p2"))
+    near = near.select(F.col("doc_id").alias("a"), F.explode(F.array("p1", "p2")).alias("b"))
     # a dense region one value deeper, in parts of about DENSE documents
     deeper = dense.groupBy("tree", "region", "fifth").agg(F.count("*").alias("m"), F.min("doc_id").alias("second"))
     parts = dense.join(deeper, ["tree", "region", "fifth"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("m") / DENSE)))
     w = Window.partitionBy("tree", "region", "fifth", "part").orderBy("rest", "doc_id")
-    chained = parts.select("tree", "doc_id", "leader", "second", F.lag("doc_id", 1).over(w).alias("p1"), F.lag("doc_id", 2).over(w).alias("p2"))
-    lead = F.transform(F.array("leader", "second"), lambda x: F.struct(F.lit(0).alias("tree"), x.alias("b")))
-    side = F.transform(F.array("p1", "p2"), lambda x: F.struct(F.col("tree").alias("tree"), x.alias("b")))
-    chained = chained.select(F.col("doc_id").alias("a"), F.explode(F.concat(lead, side)).alias("x")).select("x.tree", "a", "x.b")
+    chained = parts.select("doc_id", "leader", "second", F.lag("doc_id", 1).over(w).alias("p1"), F.lag("doc_id", 2).over(w).alias("p2"))
+    # each partner once, and only one that there is
+    partners = F.array_except(F.array("leader", "second", "p1", "p2"), F.array(F.col("doc_id"), F.lit(None)))
+    chained = chained.select(F.col("doc_id").alias("a"), F.explode(partners).alias("b"))
     pairs = near.unionByName(chained).where(F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-    return pairs.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("tree").alias("tree"))
+    return pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
 
 
 def _perhaps(ids: DataFrame, bits: int = 1 << 24):
@@ -379,9 +387,14 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     sets = base.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     digest = ["d1", "d2", "n_shingles"]
     classes = sets.groupBy(*digest).agg(F.min("doc_id").alias("rep"))
-    reps = sets.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    forest = reps.select("doc_id", F.posexplode(F.arrays_zip("region", "fifth", "rest")).alias("tree", "x")).select("doc_id", "tree", "x.region", "x.fifth", "x.rest")
-    pairs = materialise(candidates(forest))
+    ids = classes.select(F.col("rep").alias("doc_id")).distinct()
+
+    def forest(known: DataFrame, begin: int, end: int) -> DataFrame:
+        """Trees begin .. end - 1 of the representatives, with the columns of `known` (unique doc_id)."""
+        some = sets.select("doc_id", *(F.slice(c, begin + 1, end - begin).alias(c) for c in ("region", "fifth", "rest"))).join(known, "doc_id")
+        more = [c for c in known.columns if c != "doc_id"]
+        out = some.select("doc_id", *more, F.posexplode(F.arrays_zip("region", "fifth", "rest")).alias("_at", "x"))
+        return out.select("doc_id", *more, (F.col("_at") + begin).alias("tree"), "x.region", "x.fifth", "x.rest")
 
     def confirmed(some: DataFrame) -> DataFrame:
         ids = materialise(some.select(F.explode(F.array("lo", "hi")).alias("doc_id")).distinct())
@@ -389,14 +402,14 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
         left, right = (texts.select(F.col("doc_id").alias(c), F.col("_text").alias(f"text_{x}")) for c, x in (("lo", "a"), ("hi", "b")))
         return materialise(some.select("lo", "hi").join(left, "lo").join(right, "hi").mapInArrow(_confirm(size, percent), f"lo {kind}, hi {kind}"))
 
-    first = components(confirmed(pairs.where(F.col("tree") < FIRST_TREES)))
-    later = pairs.where(F.col("tree") >= FIRST_TREES)
-    for side in ("lo", "hi"):
-        later = later.join(first.select(F.col("vertex").alias(side), F.col("component").alias(f"c_{side}")), side, "left").withColumn(f"c_{side}", F.coalesce(f"c_{side}", side))
-    more = confirmed(materialise(later.where("c_lo != c_hi").select("lo", "hi")))
+    def with_component(joined: DataFrame) -> DataFrame:
+        return ids.join(joined.withColumnRenamed("vertex", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"))
+
+    first = components(confirmed(materialise(candidates(forest(ids, 0, FIRST_TREES)))))
+    more = confirmed(materialise(candidates(apart_only(forest(with_component(first), FIRST_TREES, TREES)))))
     joined = components(more.unionByName(first.select(F.col("component").alias("lo"), F.col("vertex").alias("hi"))))
-    apart = classes.select("rep").distinct().join(joined, F.col("rep") == joined.vertex, "left").select("rep", F.coalesce("component", "rep").alias("comp"))
-    apart = materialise(reps.withColumnRenamed("doc_id", "rep").join(apart, "rep").select("rep", "comp", "d1", "n_shingles", "bits"))
+    apart = sets.select("doc_id", "d1", "n_shingles", "bits").join(with_component(joined), "doc_id")
+    apart = materialise(apart.select(F.col("doc_id").alias("rep"), "comp", "d1", "n_shingles", "bits"))
     others = materialise(missed(rows, apart, size, percent))
     last = confirmed(others)
     joined = components(last.unionByName(joined.select(F.col("component").alias("lo"), F.col("vertex").alias("hi"))))
