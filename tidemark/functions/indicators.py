@@ -69,18 +69,19 @@ def add_true_range(df: DataFrame, n: int = 14, keys=KEYS) -> DataFrame:
 
 
 def add_momentum(df: DataFrame, n: int = 10, slope: int = 5, keys=KEYS) -> DataFrame:
-    """Momentum, its change over `slope` bars, distance of the close from its mean in deviations."""
-    df = df.withColumn(f"momentum_{n}", returns(F.col("close"), n, keys))
+    """Momentum over n and 20 bars, its change over `slope` and 10 bars, distance of the close from its mean, as a share and in deviations."""
+    df = df.withColumns({f"momentum_{n}": returns(F.col("close"), n, keys), "momentum_20": returns(F.col("close"), 20, keys)})
     m = F.col(f"momentum_{n}")
-    return df.withColumns({f"momentum_slope_{slope}": m - before(m, slope, keys), "price_extension": zscore(F.col("close"), 20, keys)})
+    extension = {"price_extension": zscore(F.col("close"), 20, keys), "price_extension_20": safe_div(F.col("close"), rolling(F.avg, F.col("close"), 20, keys)) - 1}
+    return df.withColumns({f"momentum_slope_{slope}": m - before(m, slope, keys), "momentum_slope_10": m - before(m, 10, keys), **extension})
 
 
-def add_volume(df: DataFrame, n: int = 30, spike: float = 2.0, keys=KEYS) -> DataFrame:
-    """W19."""
-    df = df.withColumn("volume_z", zscore(F.col("volume"), n, keys))
+def add_volume(df: DataFrame, n: int = 30, keys=KEYS) -> DataFrame:
+    """Z-scores over 20, 60 and n bars, and spikes, which are null as long as their z-score is."""
+    scores = {"volume_z": zscore(F.col("volume"), n, keys), "volume_zscore_20": zscore(F.col("volume"), 20, keys), "volume_zscore_60": zscore(F.col("volume"), 60, keys)}
     if "turnover" in df.columns:
-        df = df.withColumn("turnover_z", zscore(F.col("turnover"), n, keys))
-    return df.withColumn("volume_spike", F.coalesce(F.col("volume_z") >= spike, F.lit(False)))
+        scores |= {"turnover_z": zscore(F.col("turnover"), n, keys), "turnover_zscore_20": zscore(F.col("turnover"), 20, keys)}
+    return df.withColumns(scores).withColumn("volume_spike_20", F.col("volume_zscore_20") > 2.0)
 
 
 def add_efficiency(df: DataFrame, n: int = 14, vol: int = 42, keys=KEYS) -> DataFrame:
@@ -90,9 +91,11 @@ def add_efficiency(df: DataFrame, n: int = 14, vol: int = 42, keys=KEYS) -> Data
 
 
 def add_context(df: DataFrame, keys=KEYS) -> DataFrame:
-    """Volatility and its own volatility, moving-average trend, RSI extremes. Needs rsi_14."""
-    df = stages(df, {"_ret": returns(F.col("close"), 1, keys)}, {"realised_vol": deviation(F.col("_ret"), 20, keys)}, {"vol_of_vol": deviation(F.col("realised_vol"), 100, keys)})
-    return df.withColumns({"trend_up": rolling(F.avg, F.col("close"), 20, keys) > rolling(F.avg, F.col("close"), 50, keys), "rsi_high": F.col("rsi_14") > 80, "rsi_low": F.col("rsi_14") < 20}).drop("_ret")
+    """Volatility, its own volatility and z-score, stress, moving-average trend, RSI extremes. Needs rsi_14; a first return is 0."""
+    ret = F.coalesce(returns(F.col("close"), 1, keys), F.lit(0.0))
+    df = stages(df, {"_ret": ret}, {"realised_vol": deviation(F.col("_ret"), 20, keys)}, {"vol_of_vol": deviation(F.col("realised_vol"), 100, keys), "volatility_zscore": zscore(F.col("realised_vol"), 100, keys)})
+    trend = rolling(F.avg, F.col("close"), 20, keys) > rolling(F.avg, F.col("close"), 50, keys)
+    return df.withColumns({"liquidity_stress": F.col("volatility_zscore") > 3.0, "trend_up": trend, "rsi_high": F.col("rsi_14") > 80, "rsi_low": F.col("rsi_14") < 20}).drop("_ret")
 
 
 def add_drawdown(df: DataFrame, x: str = "close", keys=KEYS) -> DataFrame:

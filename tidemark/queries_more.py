@@ -114,17 +114,23 @@ def window_true_range(spark, d):
     return tidy(I.add_true_range(M.bars(spark, d)).select("symbol", "ts", "true_range", "atr_14", "atr_pct_14", "range_pct"))
 
 
-@query(f"WITH {S.BARS}, m AS (SELECT *, {S.ret('close', 10)} AS m FROM bars) SELECT {KT}, {S.r('m AS momentum_10', 'm - ' + S.lag('m', 5) + ' AS momentum_slope_5', S.z('close', 20) + ' AS price_extension')} FROM m")
+_MOMENTUM = S.r("m AS momentum_10", "m20 AS momentum_20", f"m - {S.lag('m', 10)} AS momentum_slope_10", f"close / ({S.roll('avg', 'close', 20)}) - 1 AS price_extension_20")
+
+
+@query(f"WITH {S.BARS}, m AS (SELECT *, {S.ret('close', 10)} AS m, {S.ret('close', 20)} AS m20 FROM bars) SELECT {KT}, {_MOMENTUM} FROM m")
 def window_momentum(spark, d):
     """W18."""
-    return tidy(I.add_momentum(M.bars(spark, d)).select("symbol", "ts", "momentum_10", "momentum_slope_5", "price_extension"))
+    return tidy(I.add_momentum(M.bars(spark, d)).select("symbol", "ts", "momentum_10", "momentum_20", "momentum_slope_10", "price_extension_20"))
+
+
+_VOLUME = "volume_zscore_20", "volume_zscore_60", "turnover_zscore_20"
 
 
-@query(f"WITH {S.BARS}, v AS (SELECT *, {S.z('volume', 30)} AS vz, {S.z('turnover', 30)} AS tz FROM bars) SELECT {KT}, {S.r('vz AS volume_z', 'tz AS turnover_z')}, coalesce(vz >= 2, FALSE) AS volume_spike, coalesce(abs(vz) >= 1.5, FALSE) AS extreme FROM v")
+@query(f"WITH {S.BARS}, v AS (SELECT *, {S.z('volume', 20)} AS volume_zscore_20, {S.z('volume', 60)} AS volume_zscore_60, {S.z('turnover', 20)} AS turnover_zscore_20 FROM bars) SELECT {KT}, {S.r(*_VOLUME)}, volume_zscore_20 > 2 AS volume_spike_20, coalesce(abs(volume_zscore_20) >= 1.5, FALSE) AS extreme FROM v")
 def window_volume(spark, d):
     """W19, W29."""
     out = I.add_volume(M.bars(spark, d))
-    return tidy(out.select("symbol", "ts", "volume_z", "turnover_z", "volume_spike", I.extreme(F.col("volume_z"), 1.5).alias("extreme")))
+    return tidy(out.select("symbol", "ts", *_VOLUME, "volume_spike_20", I.extreme(F.col("volume_zscore_20"), 1.5).alias("extreme")))
 
 
 @query(f"WITH {S.BARS}, s AS (SELECT *, CASE WHEN volume > 4 THEN close END AS x FROM bars) SELECT {KT}, {S.r(f'last_value(x IGNORE NULLS) OVER {S.UP_TO} AS filled')} FROM s")
@@ -143,13 +149,13 @@ def window_efficiency(spark, d):
     return tidy(I.add_efficiency(M.bars(spark, d)).select("symbol", "ts", "efficiency_ratio", "vol_z"))
 
 
-_CTX = f"{S.BARS}, {S.rsi(14, 'rs')}, s AS (SELECT *, {S.ret()} AS ret FROM rs), v AS (SELECT *, {S.dev('ret', 20)} AS realised_vol FROM s), cx AS (SELECT *, {S.dev('realised_vol', 100)} AS vol_of_vol, ({S.roll('avg', 'close', 20)}) > ({S.roll('avg', 'close', 50)}) AS trend_up, rsi > 80 AS rsi_high, rsi < 20 AS rsi_low FROM v)"
+_CTX = f"{S.BARS}, {S.rsi(14, 'rs')}, s AS (SELECT *, coalesce({S.ret()}, 0) AS ret FROM rs), v AS (SELECT *, {S.dev('ret', 20)} AS realised_vol FROM s), cx AS (SELECT *, {S.dev('realised_vol', 100)} AS vol_of_vol, {S.z('realised_vol', 100)} AS volatility_zscore, ({S.roll('avg', 'close', 20)}) > ({S.roll('avg', 'close', 50)}) AS trend_up, rsi > 80 AS rsi_high, rsi < 20 AS rsi_low FROM v)"
 
 
-@query(f"WITH {_CTX} SELECT {KT}, {S.r('realised_vol', 'vol_of_vol')}, trend_up, rsi_high, rsi_low FROM cx")
+@query(f"WITH {_CTX} SELECT {KT}, {S.r('realised_vol', 'vol_of_vol', 'volatility_zscore')}, volatility_zscore > 3 AS liquidity_stress, trend_up, rsi_high, rsi_low FROM cx")
 def window_context(spark, d):
     """W23."""
-    return tidy(I.add_context(I.add_rsi(M.bars(spark, d))).select("symbol", "ts", "realised_vol", "vol_of_vol", "trend_up", "rsi_high", "rsi_low"))
+    return tidy(I.add_context(I.add_rsi(M.bars(spark, d))).select("symbol", "ts", "realised_vol", "vol_of_vol", "volatility_zscore", "liquidity_stress", "trend_up", "rsi_high", "rsi_low"))
 
 
 @query(f"WITH {S.BARS}, s AS (SELECT *, close < {S.lag('close', 2)} AS u, close > {S.lag('close', 2)} AS o, row_number() OVER {S.P} AS n FROM bars) SELECT {KT}, CAST(CASE WHEN n >= 6 AND count(*) FILTER (u) OVER {S.frame(4)} = 4 THEN 1 WHEN n >= 6 AND count(*) FILTER (o) OVER {S.frame(4)} = 4 THEN -1 ELSE 0 END AS BIGINT) AS td_setup FROM s")
