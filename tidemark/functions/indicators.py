@@ -140,11 +140,16 @@ def add_divergence(df: DataFrame, n: int = 20, keys=KEYS) -> DataFrame:
     return df.withColumns({"bullish_divergence": F.coalesce(bull, F.lit(False)), "bearish_divergence": F.coalesce(bear, F.lit(False))})
 
 
-def add_trailing_stop(df: DataFrame, distance: Column, long: bool = True, keys=("symbol", "trade_id")) -> DataFrame:
-    """The stop of a trade, which only tightens; distance is in price (a multiple of ATR, or a share of the close)."""
-    w = so_far(keys)
-    stop = F.max(F.col("close") - distance).over(w) if long else F.min(F.col("close") + distance).over(w)
-    df = df.withColumn("stop", stop)
+def add_trailing_stop(df: DataFrame, atr: Column, long: bool = True, keys=("symbol", "trade_id"), multiple: float = 2.0, share: float = 0.05) -> DataFrame:
+    """The stop of a trade, which only tightens: the nearer of a multiple of ATR and a share of the price, off the bar's high (for shorts its low).
+
+    Without an ATR yet the share alone counts.
+    """
+    w, x = so_far(keys), F.col("high" if long else "low")
+    if long:
+        df = df.withColumn("stop", F.max(F.greatest(x - atr * multiple, x * (1 - share))).over(w))
+    else:
+        df = df.withColumn("stop", F.min(F.least(x + atr * multiple, x * (1 + share))).over(w))
     return df.withColumn("stopped", F.coalesce(F.col("low") <= before(F.col("stop"), 1, keys) if long else F.col("high") >= before(F.col("stop"), 1, keys), F.lit(False)))
 
 

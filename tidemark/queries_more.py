@@ -188,11 +188,14 @@ def window_divergence(spark, d):
 _TRADES = f"{RSI_LEDGER}, {S.trades()}"
 
 
-@query(f"WITH {_TRADES}, s AS (SELECT *, max(close * 0.9) OVER (PARTITION BY symbol, trade_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop FROM trades_r WHERE trade_id IS NOT NULL) SELECT {KT}, CAST(trade_id AS BIGINT) AS trade_id, round(stop, 6) AS stop, coalesce(low <= lag(stop) OVER (PARTITION BY symbol, trade_id ORDER BY ts), FALSE) AS stopped FROM s")
+_RANGE = f"ranges AS (SELECT symbol, ts, greatest(high - low, abs(high - {S.lag('close')}), abs(low - {S.lag('close')})) AS tr FROM bars), atrs AS (SELECT symbol, ts, {S.roll('avg', 'tr', 14)} AS atr FROM ranges)"
+
+
+@query(f"WITH {_TRADES}, {_RANGE}, s AS (SELECT trades_r.*, max(greatest(high - 2 * atr, high * 0.95)) OVER (PARTITION BY symbol, trade_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop FROM trades_r JOIN atrs USING (symbol, ts) WHERE trade_id IS NOT NULL) SELECT {KT}, CAST(trade_id AS BIGINT) AS trade_id, round(stop, 6) AS stop, coalesce(low <= lag(stop) OVER (PARTITION BY symbol, trade_id ORDER BY ts), FALSE) AS stopped FROM s")
 def window_trailing_stop(spark, d):
-    """Ten per cent under the highest close of the trade."""
-    t = B.add_trades(rsi_ledger(spark, d)).where("trade_id IS NOT NULL")
-    return tidy(I.add_trailing_stop(t, _close() * 0.1).withColumn("stop", F.col("stop")).select("symbol", "ts", "trade_id", "stop", "stopped"))
+    """W27."""
+    t = B.add_trades(I.add_true_range(rsi_ledger(spark, d))).where("trade_id IS NOT NULL")
+    return tidy(I.add_trailing_stop(t, F.col("atr_14")).select("symbol", "ts", "trade_id", "stop", "stopped"))
 
 
 @query(f"WITH {S.BARS}, s AS (SELECT *, coalesce({S.ret()} < -0.5, FALSE) AS loss FROM bars) SELECT {KT}, coalesce(max(CAST(loss AS INT)) {_UPTO.format(2)}, 0) = 0 AS ok FROM s")
