@@ -229,13 +229,15 @@ def context_wide(spark, d):
 
 
 _TAGGED = f"""{FRAME}, tagged AS (SELECT symbol, ts, (click - 20) / 1000 AS funding_rate, error AS spread_bps, (view - 20) / 40 AS depth_imbalance FROM filled),
-tags AS (SELECT *, list_filter([CASE WHEN abs(funding_rate) >= 0.01 THEN 'funding_extreme' END, CASE WHEN depth_imbalance <= -0.4 THEN 'risk_off' END, CASE WHEN spread_bps >= 25 THEN 'thin_liquidity' END], lambda x: x IS NOT NULL) AS tags FROM tagged)"""
+tags AS (SELECT *, list_filter([CASE WHEN abs(funding_rate) >= 0.01 THEN 'funding_extreme' END, CASE WHEN depth_imbalance <= -0.25 OR funding_rate <= -0.008 THEN 'risk_off' END, CASE WHEN spread_bps >= 25 THEN 'thin_liquidity' END], lambda x: x IS NOT NULL) AS tags FROM tagged)"""
 
 
 def tagged_context(spark, d) -> DataFrame:
     wide = EV.context_frame(unique_context(spark, d), _WIDE)
     rows = wide.select("symbol", "ts", ((F.col("click") - 20) / 1000).alias("funding_rate"), F.col("error").alias("spread_bps"), ((F.col("view") - 20) / 40).alias("depth_imbalance"))
-    return rows.withColumn("tags", EV.context_tags(0.01, 25.0, -0.4))
+    # the events have no liquidations: depth stands for them
+    rows = rows.withColumn("liquidation_imbalance", F.col("depth_imbalance"))
+    return rows.withColumn("tags", EV.context_tags(0.01, 25.0, -0.25, -0.008)).drop("liquidation_imbalance")
 
 
 @query(f"WITH {_TAGGED}, g AS (SELECT *, list_contains(tags, 'thin_liquidity') AS tags_pass FROM tags) SELECT symbol, ts, array_to_string(tags, '|') AS tags, tags_pass, {S.r('CASE WHEN tags_pass THEN spread_bps END AS spread_bps', 'CASE WHEN tags_pass THEN depth_imbalance END AS depth_imbalance', 'spread_bps AS raw_spread_bps', 'depth_imbalance AS raw_depth_imbalance')} FROM g")

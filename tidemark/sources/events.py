@@ -77,10 +77,10 @@ def context_frame(events: DataFrame, types=SIGNAL_TYPES, fill: bool = True, keys
     return wide.withColumns({t: forward_fill(F.col(t), keys) for t in types}) if fill else wide
 
 
-def context_tags(funding: float = 0.01, spread: float = 25.0, imbalance: float = -0.5) -> Column:
-    """Tags of a context row."""
-    f, s, d = F.col("funding_rate"), F.col("spread_bps"), F.col("depth_imbalance")
-    return F.array_compact(F.array(F.when(F.abs(f) >= funding, "funding_extreme"), F.when(d <= imbalance, "risk_off"), F.when(s >= spread, "thin_liquidity")))
+def context_tags(funding: float = 0.0001, spread: float = 12.0, imbalance: float = -0.25, low_funding: float = -0.00008) -> Column:
+    """Tags of a context row with funding_rate, spread_bps and liquidation_imbalance; a null sets no tag."""
+    f, s, q = F.col("funding_rate"), F.col("spread_bps"), F.col("liquidation_imbalance")
+    return F.array_compact(F.array(F.when(F.abs(f) >= funding, "funding_extreme"), F.when((q <= imbalance) | (f <= low_funding), "risk_off"), F.when(s >= spread, "thin_liquidity")))
 
 
 def gate_ready(context: DataFrame, required: list[str]) -> DataFrame:
