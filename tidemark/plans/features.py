@@ -103,13 +103,18 @@ def add_regimes(df: DataFrame, keys=KEYS) -> DataFrame:
     return df.withColumn("regime", F.concat_ws("|", *(F.concat(F.lit(f"{n.removesuffix('_regime')}="), F.col(n)) for n in names)))
 
 
-def add_forced_flow(df: DataFrame, shock: float = 0.02, keys=KEYS) -> DataFrame:
-    """shocks of return and volume, and what they suggest. Needs ret_1 and volume_z; oi_flush if it is there."""
-    r, v = F.col("ret_1"), F.col("volume_z")
-    df = df.withColumns({"return_shock_down": r <= -shock, "return_shock_up": r >= shock, "volume_shock": v >= 1.0})
-    flush = F.col("oi_flush") if "oi_flush" in df.columns else F.lit(None).cast("boolean")
-    df = df.withColumns({"forced_selling_proxy": F.col("return_shock_down") & F.col("volume_shock"), "forced_buying_proxy": F.col("return_shock_up") & F.col("volume_shock")})
-    return df.withColumns({"liquidation_proxy_long": F.col("forced_selling_proxy") & flush, "liquidation_proxy_short": F.col("forced_buying_proxy") & flush})
+def add_forced_flow(df: DataFrame, shock: float = 2.0, spike: float = 2.0, keys=KEYS) -> DataFrame:
+    """shocks of return and volume in deviations, and what they suggest together with a flush and a reclaimed band.
+
+    Needs ret_1 and volume_zscore_20; without oi_flush or the bands' reclaims these count as false.
+    """
+    there = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in df.columns else F.lit(False)
+    flush, lower, upper = there("oi_flush"), there("bb_reclaim_lower"), there("bb_reclaim_upper")
+    r = zscore(F.col("ret_1"), 60, keys)
+    df = df.withColumns({"return_shock_down": r < -shock, "return_shock_up": r > shock, "volume_shock": F.col("volume_zscore_20") > spike, "oi_flush_event": flush})
+    event = F.col("volume_shock") & F.col("oi_flush_event")
+    df = df.withColumns({"forced_selling_proxy": F.col("return_shock_down") & event, "forced_buying_proxy": F.col("return_shock_up") & event})
+    return df.withColumns({"liquidation_proxy_long": F.col("forced_selling_proxy") & lower, "liquidation_proxy_short": F.col("forced_buying_proxy") & upper})
 
 
 STAGES = ("returns", "volatility", "trend", "bands", "momentum", "volume", "derivatives", "forced_flow", "regimes")

@@ -236,16 +236,6 @@ def features_derivatives(spark, d):
     return tidy(out.select("symbol", "ts", *[c for c in out.columns if c not in m.columns]))
 
 
-_FLOW = f"{S.BARS}, w AS (SELECT *, {S.ret()} AS r, {S.z('volume', 30)} AS v FROM bars)"
-
-
-@query(f"WITH {_FLOW} SELECT {KT}, r <= -0.3 AS return_shock_down, r >= 0.3 AS return_shock_up, v >= 1 AS volume_shock, r <= -0.3 AND v >= 1 AS forced_selling_proxy, r >= 0.3 AND v >= 1 AS forced_buying_proxy FROM w")
-def features_forced_flow(spark, d):
-    """F7."""
-    out = FT.add_forced_flow(I.add_volume(M.bars(spark, d).withColumn("ret_1", I.returns(_close()))), 0.3)
-    return tidy(out.select("symbol", "ts", "return_shock_down", "return_shock_up", "volume_shock", "forced_selling_proxy", "forced_buying_proxy"))
-
-
 _REG = f"""{_FUND}, g1 AS (SELECT *, {S.ret()} AS r1 FROM f1), g2 AS (SELECT *, {S.dev('r1', 20)} AS rv FROM g1), g3 AS (SELECT *, {S.quantile('rv', 0.25, 240, 120)} AS lo, {S.quantile('rv', 0.75, 240, 120)} AS hi FROM g2)"""
 _LEVEL = "CASE WHEN {0} IS NULL THEN 'missing' WHEN {0} >= 1 THEN 'high' WHEN {0} <= -1 THEN 'low' ELSE 'neutral' END"
 
@@ -335,6 +325,15 @@ def market_features(spark, d) -> DataFrame:
 
 _MB = _BANDS.replace(S.BARS + ", ", "").replace("FROM bars", "FROM f1")
 _MF = f"""{_FUND}, {_MB}, {S.rsi(14, 'mr', 'reclaim')}, m1 AS (SELECT *, {S.ret('close', 10)} AS m10, {S.z('close', 20)} AS ext, {S.ret()} AS r1, {S.z('volume', 30)} AS vz FROM mr), mf AS (SELECT *, m10 - {S.lag('m10', 5)} AS slope FROM m1)"""
+_FLOW = f"z AS (SELECT *, {S.z('r1', 60)} AS rz, {S.z('volume', 20)} AS v20, coalesce(oz < -2 OR p < -0.03, FALSE) AS fl FROM mf), fw AS (SELECT *, rz < -0.5 AS falls, rz > 0.5 AS rises, v20 > 0.5 AS busy FROM z), fx AS (SELECT *, falls AND busy AND fl AS sold, rises AND busy AND fl AS bought FROM fw)"
+
+
+@query(f"WITH {_MF}, {_FLOW} SELECT {KT}, falls AS return_shock_down, rises AS return_shock_up, busy AS volume_shock, fl AS oi_flush_event, sold AS forced_selling_proxy, bought AS forced_buying_proxy, sold AND coalesce(bb_reclaim_lower, FALSE) AS liquidation_proxy_long, bought AND coalesce(bb_reclaim_upper, FALSE) AS liquidation_proxy_short FROM fx")
+def features_forced_flow(spark, d):
+    """F7, with lower thresholds, so that there are some."""
+    out = FT.add_forced_flow(market_features(spark, d), 0.5, 0.5)
+    return tidy(out.select("symbol", "ts", "return_shock_down", "return_shock_up", "volume_shock", "oi_flush_event", "forced_selling_proxy", "forced_buying_proxy", "liquidation_proxy_long", "liquidation_proxy_short"))
+
 
 
 @query(f"WITH {_MF}, s AS (SELECT *, coalesce(bb_reclaim_lower AND coalesce(r1 <= -0.02 AND vz >= 0, FALSE) AND fz <= 1, FALSE) AS long_setup, coalesce(close >= mid, FALSE) AS exit_signal FROM mf) SELECT {KT}, long_setup, exit_signal, {_SIG.format('CASE WHEN long_setup THEN 1 WHEN exit_signal THEN 0 END')} FROM s")
