@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, html, language, lm, neardup, pieces, pii, secrets, suffix, toxicity
+from . import decontaminate, fingerprint, hardneg, html, language, lm, neardup, pieces, pii, secrets, suffix, toxicity, whitening
 from .tables import read
 
 
@@ -50,13 +50,21 @@ def op10_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op10(read(spark, sf_dir, "documents"))
 
 
+def op11_qdwh_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.op11(read(spark, sf_dir, "embeddings"))
+
+
 def op12_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op12(read(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.op13(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprint_iblt, op2_log_bilinear, op3_merge_dropout, op4_language_mixture, op5_html_region, op6_suffix_hash, op7_toxicity_mil, op8_string_tiling, op9_minhash_forest, op10_pii_disclosure, op12_secret_owners)}
+    return {f.__name__: f for f in (op1_fingerprint_iblt, op2_log_bilinear, op3_merge_dropout, op4_language_mixture, op5_html_region, op6_suffix_hash, op7_toxicity_mil, op8_string_tiling, op9_minhash_forest, op10_pii_disclosure, op11_qdwh_whitening, op12_secret_owners, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_secret_owners": secrets.SQL}
+    return {"op12_secret_owners": secrets.SQL, "op13_hard_negatives": hardneg.SQL}
