@@ -104,11 +104,15 @@ def add_drawdown(df: DataFrame, x: str = "close", keys=KEYS) -> DataFrame:
     return df.withColumn("drawdown", safe_div(F.col(x), F.col("peak")) - 1)
 
 
-def add_td_setup(df: DataFrame, length: int = 9, lag: int = 4, keys=KEYS) -> DataFrame:
-    """+1 after `length` closes in a row under the close `lag` bars before, -1 after as many above."""
+def add_td_setup(df: DataFrame, length: int = 9, lag: int = 4, keys=KEYS, number: Column | None = None) -> DataFrame:
+    """+1 after `length` closes in a row under the close `lag` bars before, -1 after as many above, from bar length + lag + 1 on.
+
+    number: the bar's number in its history, where df holds a part of it.
+    """
     w = last_rows(length, keys)
-    df = df.withColumns({"_under": (F.col("close") < before(F.col("close"), lag, keys)).cast("int"), "_over": (F.col("close") > before(F.col("close"), lag, keys)).cast("int"), "_n": F.row_number().over(by_time(keys))})
-    ready = F.col("_n") >= length + lag
+    number = F.row_number().over(by_time(keys)) if number is None else number
+    df = df.withColumns({"_under": (F.col("close") < before(F.col("close"), lag, keys)).cast("int"), "_over": (F.col("close") > before(F.col("close"), lag, keys)).cast("int"), "_n": number})
+    ready = F.col("_n") > length + lag  # the first bar that could do it isn't one yet
     full = {"_under": F.sum("_under").over(w), "_over": F.sum("_over").over(w)}
     df = df.withColumns(full)
     return df.withColumn("td_setup", F.when(ready & (F.col("_under") == length), 1).when(ready & (F.col("_over") == length), -1).otherwise(0)).drop("_under", "_over", "_n")

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import KEYS, by_time
+from ..functions.indicators import add_td_setup
+from .stretches import numbered
 
 
 def add_blocks(df: DataFrame, keys=KEYS, length: int = 64, seconds: int = 7 * 86400) -> DataFrame:
@@ -105,6 +107,12 @@ def add_wilder_rsi(df: DataFrame, n: int = 14, keys=KEYS, name: str = "wilder_rs
     return df.withColumn(name, F.when(gain.isNotNull(), value)).drop("_up", "_down", "_i", "_up_seed", "_down_seed", "_up_avg", "_down_avg")
 
 
+def td_setup_in_blocks(df: DataFrame, length_: int = 9, lag: int = 4, keys=KEYS, length: int = 4096) -> DataFrame:
+    """add_td_setup() block by block: a run that crosses a border is counted from the halo."""
+    df = numbered(df, "_bar", keys)
+    return with_halo(df, lambda d, k: add_td_setup(d, length_, lag, k, F.col("_bar")), length_ + lag, keys, length).drop("_bar")
+
+
 def with_halo(df: DataFrame, transform, lookback: int, keys=KEYS, length: int = 4096) -> DataFrame:
     """A transform of finite memory, block by block: each block also sees the last `lookback` rows before it.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import KEYS, before, by_time, clean, forward_fill, rolling, safe_div, so_far, stages
 from ..functions.indicators import returns
+from ..operators import stretches as ST
 
 
 def cost_rate(fee_bps: float | Column = 0.0, slippage_bps: float | Column = 0.0) -> Column:
@@ -32,6 +33,36 @@ def ledger(df: DataFrame, cost: Column | None = None, capital: float = 1.0, keys
     return df.withColumns({"equity": equity, "is_exposed": F.col("position") != 0})
 
 
+def ledger_in_stretches(df: DataFrame, cost: Column | None = None, capital: float = 1.0, keys=KEYS, long_only: bool = True, seconds: int = ST.WEEK) -> DataFrame:
+    """The rows of ledger(), and their peak and drawdown, without a window over a whole history.
+
+    One scan carries the signal held, its target one row before, and the close into each stretch; another the equity.
+    """
+    cost = F.lit(0.0) if cost is None else cost
+    low = F.lit(0.0 if long_only else -1.0)
+    clip = lambda x: F.greatest(low, F.least(F.lit(1.0), F.coalesce(x, F.lit(0.0))))
+    w = ST.inside(keys)
+    df = ST.with_stretch(df, seconds).withColumn("_h", F.last(F.col("signal").cast("double"), True).over(ST.inside_so_far(keys))).withColumn("_h1", F.lag("_h").over(w))
+
+    def last(_, before) -> dict[str, Column]:
+        return {"_held": F.last("__h", True).over(before)}
+
+    def previous(order, _) -> dict[str, Column]:
+        # what was held at the last row but one so far: a stretch of one row has none of its own
+        at_end = F.when(F.col("__n") > 1, F.coalesce("__h1", "_held")).otherwise(F.col("_held"))
+        return {"_held1": F.lag(at_end).over(order), "_close": F.lag("__close").over(order)}
+
+    sums = {"__n": F.count("*"), "__h": F.max_by("_h", "ts"), "__h1": F.max_by("_h1", "ts"), "__close": F.max_by("close", "ts")}
+    df = ST.carried(df, sums, last, previous, keys=keys).withColumn("_i", F.row_number().over(w))
+    df = df.withColumns({"target_position": clip(F.coalesce("_h", "_held")), "asset_return": F.coalesce(safe_div(F.col("close"), F.coalesce(F.lag("close").over(w), F.col("_close"))) - 1, F.lit(0.0))})
+    df = df.withColumn("position", F.when(F.col("_i") == 1, clip(F.col("_held"))).otherwise(F.lag("target_position").over(w)))
+    was = F.when(F.col("_i") == 1, clip(F.col("_held1"))).otherwise(F.lag("position").over(w))
+    df = df.withColumns({"turnover": F.abs(F.col("position") - was), "gross_return": F.col("position") * F.col("asset_return")})
+    df = df.withColumn("cost_return", F.col("turnover") * cost).withColumn("net_return", F.col("gross_return") - F.col("cost_return"))
+    df = ST.add_equity(df, F.col("net_return"), capital, keys)
+    return df.withColumn("is_exposed", F.col("position") != 0).drop("_s", "_h", "_h1", "_held", "_held1", "_close", "_i")
+
+
 def add_trades(df: DataFrame, keys=KEYS) -> DataFrame:
     """trade_id of each run of one nonzero position's sign, null outside; numbered from 1 in each key."""
     side = F.signum("position")
@@ -39,25 +70,34 @@ def add_trades(df: DataFrame, keys=KEYS) -> DataFrame:
     return df.withColumn("_new", new.cast("int")).withColumn("trade_id", F.when(F.col("position") != 0, F.sum("_new").over(so_far(keys)))).drop("_new")
 
 
-def trade_returns(df: DataFrame, keys=KEYS) -> DataFrame:
-    """The product of asset returns of each long run, gross of costs, the open one included."""
-    runs = add_trades(df, keys).where("trade_id IS NOT NULL")
-    return runs.groupBy(*keys, "trade_id").agg((F.product(1 + F.col("position") * F.col("asset_return")) - 1).alias("trade_return"), F.count("*").alias("bars_held"))
+def trade_returns(df: DataFrame, keys=KEYS, seconds: int = ST.WEEK) -> DataFrame:
+    """The product of asset returns of each run of long positions, whatever their size, gross of costs, the open one included."""
+    found = ST.runs(df, F.col("position") > 0, {"_factor": ST.multiplied(1 + F.col("asset_return")), "bars_held": ST.counted()}, {"ts": F.col("ts")}, keys, seconds)
+    out = ST.numbered(found.where("state"), "trade_id", keys, seconds, "first_ts")
+    return out.select(*keys, "trade_id", (F.col("_factor") - 1).alias("trade_return"), "bars_held")
 
 
-def trade_log(df: DataFrame, keys=KEYS) -> DataFrame:
-    """Closed trades; the entry is the bar whose close it was entered at, one before the first exposed bar."""
-    df = add_trades(df, keys).withColumns({"_price": before(F.col("close"), 1, keys), "_time": before(F.col("ts"), 1, keys), "_next": F.lead("position").over(by_time(keys))})
-    runs = df.where("trade_id IS NOT NULL").groupBy(*keys, "trade_id").agg(F.min_by("_time", "ts").alias("entry_time"), F.max("ts").alias("exit_time"), F.min_by("_price", "ts").alias("entry_price"), F.max_by("close", "ts").alias("exit_price"), F.max_by("_next", "ts").alias("_after"), F.first("position").alias("_side"), F.count("*").alias("bars_held"))
-    out = runs.where(F.col("_after").isNotNull()).withColumn("side", F.signum("_side").cast("int"))
-    pct = (F.col("exit_price") / F.col("entry_price") - 1) * F.col("side")
-    return out.withColumns({"pnl": (F.col("exit_price") - F.col("entry_price")) * F.col("side"), "pnl_percent": pct}).drop("_after", "_side")
+def trade_log(df: DataFrame, keys=KEYS, seconds: int = ST.WEEK) -> DataFrame:
+    """Closed trades, from the close of the first bar with a long position to that of the first one that is flat.
+
+    A short position neither opens nor closes one. Entry prices of 0 or less earn nothing.
+    """
+    df = ST.add_held(df, {"_in": F.when(F.col("position") > 0, True).when(F.col("position") == 0, False)}, keys, seconds)
+    found = ST.runs(df, F.coalesce("_in", F.lit(False)), {"bars_held": ST.counted()}, {"ts": F.col("ts"), "close": F.col("close")}, keys, seconds)
+    closed = ST.numbered(found.where("state AND next_ts IS NOT NULL"), "trade_id", keys, seconds, "first_ts")
+    entry, leave = F.col("first_close"), F.col("next_close")
+    pct = F.when(entry > 0, (leave - entry) / F.when(entry > 0, entry)).otherwise(0.0)
+    return closed.select(*keys, "trade_id", F.col("first_ts").alias("entry_time"), F.col("next_ts").alias("exit_time"), entry.alias("entry_price"), leave.alias("exit_price"), "bars_held", F.lit(1).alias("side"), (leave - entry).alias("pnl"), pct.alias("pnl_percent"))
 
 
-def flip_trades(df: DataFrame, keys=KEYS) -> DataFrame:
-    """Runs of one position, longs and shorts, with their equity result net of costs."""
-    df = add_trades(df, keys).withColumn("_before", F.coalesce(before(F.col("equity"), 1, keys), F.lit(1.0)))
-    return df.where("trade_id IS NOT NULL").groupBy(*keys, "trade_id").agg(F.max_by("position", "ts").alias("side"), F.min("ts").alias("entry_time"), F.max("ts").alias("exit_time"), (F.max_by("equity", "ts") / F.min_by("_before", "ts") - 1).alias("pnl"))
+def flip_trades(df: DataFrame, keys=KEYS, seconds: int = ST.WEEK) -> DataFrame:
+    """Runs of one position's sign, longs and shorts, with their equity result net of costs.
+
+    The equity before a run is that after it without its own returns: the runs need no row from before them.
+    """
+    found = ST.runs(df, F.signum("position"), {"_factor": ST.multiplied(1 + F.col("net_return"))}, {"ts": F.col("ts"), "position": F.col("position")}, keys, seconds)
+    out = ST.numbered(found.where("state != 0"), "trade_id", keys, seconds, "first_ts")
+    return out.select(*keys, "trade_id", F.col("last_position").alias("side"), F.col("first_ts").alias("entry_time"), F.col("last_ts").alias("exit_time"), (F.col("_factor") - 1).alias("pnl"))
 
 
 def fills(df: DataFrame, keys=KEYS) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import KEYS, TINY, before, clean, safe_div, so_far
+from ..operators import stretches as ST
 
 YEAR_DAYS = 365.0
 
@@ -21,20 +22,17 @@ def daily(ledger: DataFrame, keys=KEYS) -> DataFrame:
     return days.withColumns({k: F.when(F.abs(x) < TINY, 0.0).otherwise(x) for k, x in change.items()})  # a flat day's rounding is no loss
 
 
-def losing_streak(days: DataFrame, keys=KEYS) -> DataFrame:
-    """A5: the most losing days in a row."""
-    w = Window.partitionBy(*keys).orderBy("date")
-    days = days.withColumn("_loss", (F.col("daily_return") < 0).cast("int"))
-    days = days.withColumn("_new", F.coalesce((F.col("_loss") != F.lag("_loss").over(w)).cast("int"), F.lit(1)))
-    days = days.withColumn("_streak", F.sum("_new").over(w))
-    streaks = days.groupBy(*keys, "_streak").agg(F.sum("_loss").alias("_n"))
-    return streaks.groupBy(*keys).agg(F.max("_n").alias("max_consecutive_losing_days"))
+def losing_streak(days: DataFrame, keys=KEYS, seconds: int = 64 * 86400) -> DataFrame:
+    """A5: the most losing days in a row, from runs put together over stretches."""
+    found = ST.runs(days, F.coalesce(F.col("daily_return") < 0, F.lit(False)), {"_n": ST.counted()}, {"date": F.col("date")}, keys, seconds, "date")
+    return found.groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col("state"), F.col("_n"))), F.lit(0)).alias("max_consecutive_losing_days"))
 
 
 def metrics(ledger: DataFrame, capital: float = 1.0, keys=KEYS) -> DataFrame:
-    """A4: the eleven metrics of each key."""
-    ledger = ledger.withColumn("_peak", F.max("equity").over(so_far(keys)))
-    whole = ledger.groupBy(*keys).agg(F.max_by("equity", "ts").alias("_last"), ((F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))) / 86400.0).alias("_days"), F.min(safe_div(F.col("equity"), F.col("_peak")) - 1).alias("max_drawdown"), F.avg(F.col("is_exposed").cast("double")).alias("time_in_market"))
+    """A4: the eleven metrics of each key. A ledger that has its drawdown (see ledger_in_stretches) needs no window by key."""
+    if "drawdown" not in ledger.columns:
+        ledger = ledger.withColumn("drawdown", safe_div(F.col("equity"), F.max("equity").over(so_far(keys))) - 1)
+    whole = ledger.groupBy(*keys).agg(F.max_by("equity", "ts").alias("_last"), ((F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))) / 86400.0).alias("_days"), F.min("drawdown").alias("max_drawdown"), F.avg(F.col("is_exposed").cast("double")).alias("time_in_market"))
     days = daily(ledger, keys)
     r = F.col("daily_return")
     by_day = days.groupBy(*keys).agg(
@@ -53,19 +51,14 @@ def metrics(ledger: DataFrame, capital: float = 1.0, keys=KEYS) -> DataFrame:
     )
 
 
-def bar_metrics(df: DataFrame, ret: str, keys=(), bars_a_year: float = 365 * 6) -> DataFrame:
-    """Return, Sharpe ratio and drawdown of a column of bar returns."""
-    keys = list(keys) or ["_all"]
-    df = df if keys != ["_all"] else df.withColumn("_all", F.lit(1))
-    r = F.col(ret)
-    df = _with_drawdown(df, r, keys)
-    out = df.groupBy(*keys).agg((F.product(1 + r) - 1).alias("total_return"), _zero(safe_div(F.avg(r), F.stddev_samp(r)) * bars_a_year**0.5).alias("sharpe"), F.min("_dd").alias("max_drawdown"), F.count("*").alias("n_bars"))
-    return out.drop("_all")
-
-
-def _with_drawdown(df: DataFrame, r: Column, keys) -> DataFrame:
-    df = df.withColumn("_eq", F.product(1 + r).over(so_far(keys)))
-    return df.withColumn("_dd", F.col("_eq") / F.max("_eq").over(so_far(keys)) - 1)
+def bar_metrics(df: DataFrame, ret: str, keys=(), bars_a_year: float = 365 * 6, seconds: int = ST.WEEK) -> DataFrame:
+    """Return, volatility, Sharpe ratio and drawdown of a column of bar returns, of each key or of the table as one, from cells of a stretch each."""
+    df, year = df.select(*keys, "ts", F.col(ret).alias("_ret")), bars_a_year**0.5
+    worst = ST.worst_drawdown(df, F.col("_ret"), keys, seconds)
+    rest = df.groupBy(*keys).agg(F.avg("_ret").alias("_mean"), F.stddev_samp("_ret").alias("_std"), F.count("*").alias("n_bars"))
+    out = rest.join(worst, list(keys)) if keys else rest.join(F.broadcast(worst))  # one row each
+    sharpe = F.when(F.col("_std") > 0, F.col("_mean") / F.when(F.col("_std") > 0, F.col("_std")) * year).otherwise(0.0)
+    return out.select(*keys, F.col("total_return").alias("cumulative_return"), (F.col("_std") * year).alias("annualized_vol"), sharpe.alias("smart_sharpe"), "max_drawdown", "n_bars")
 
 
 def trade_metrics(trades: DataFrame, ledger: DataFrame, keys=KEYS) -> DataFrame:

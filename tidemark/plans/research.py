@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions import indicators as I
 from ..functions.columns import KEYS, before, by_time, safe_div
+from ..operators import stretches as ST
 from ..operators.asof import gate
+from ..operators.scan import with_halo
 from . import ledger as B
 from . import metrics as A
-from .signals import RsiParams, rsi_signal
+from .signals import RsiParams, add_rsi_signal, rsi_signal
 
 
 def date_segments(df: DataFrame, train_start: str, train_end: str, test_end: str) -> DataFrame:
@@ -131,6 +133,23 @@ def sweep(bars: DataFrame, params: DataFrame, periods: list[int], keys=KEYS, var
     return B.ledger(runs, B.cost_rate(F.col("fee_bps"), F.col("slippage_bps")), keys=k, long_only=long_only)
 
 
+def sweep_in_stretches(bars: DataFrame, params: DataFrame, periods: list[int], keys=KEYS, variant: str = "neutral-exit", long_only: bool = True, seconds: int = ST.WEEK) -> DataFrame:
+    """The rows of sweep(), and their drawdown, without a window over a whole history: RSI by blocks with a halo, then every
+    parameter set's signal held and its equity scanned in stretches, all sets in one plan."""
+
+    def indicators(df: DataFrame, k) -> DataFrame:
+        for n in periods:
+            df = I.add_rsi(df, n, k, flat=100.0, name=f"_rsi_{n}")
+        return df
+
+    bars = with_halo(bars, indicators, max(periods), keys)
+    stacked = bars.select(*keys, "ts", "close", F.explode(F.array(*(F.struct(F.lit(n).alias("rsi_period"), F.col(f"_rsi_{n}").alias("rsi")) for n in periods))).alias("_x")).select(*keys, "ts", "close", "_x.rsi_period", "_x.rsi")
+    k = (*keys, "param_id")
+    runs = stacked.join(F.broadcast(params), "rsi_period")
+    runs = add_rsi_signal(runs, variant, F.col("rsi"), Thresholds(F.col("rsi_upper"), F.col("rsi_lower"), F.col("rsi_exit")), k, seconds=seconds)
+    return B.ledger_in_stretches(runs, B.cost_rate(F.col("fee_bps"), F.col("slippage_bps")), keys=k, long_only=long_only, seconds=seconds)
+
+
 def top(results: DataFrame, n: int, by: str = "cumulative_return") -> DataFrame:
     """The best n; a run without a value counts as failed and stands last."""
     return results.orderBy(F.desc_nulls_last(by), *[c for c in ("symbol", "param_id") if c in results.columns]).limit(n)

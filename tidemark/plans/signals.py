@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import indicators as I
 from ..functions.columns import KEYS, before, forward_fill, need, rolling, safe_div
 from ..operators.scan import add_macd
+from ..operators.stretches import WEEK, add_held
 
 
 @dataclass(frozen=True)
@@ -97,25 +98,40 @@ def rsi_sma(df: DataFrame, fast: int = 10, slow: int = 30, period: int = 14, sid
     return df.withColumns({"cross_up": up, "cross_down": down}).withColumn("signal", _first((F.col("cross_up") & (F.col("rsi") > side), 1), (F.col("cross_down"), 0)))
 
 
-def rsi_signal(variant: str, rsi: Column, p: RsiParams, keys=KEYS, ready: Column | None = None) -> Column:
-    """S3: the seven variants on a column of RSI; ready: a condition of every entry."""
+def rsi_pulses(variant: str, rsi: Column, p: RsiParams, ready: Column | None = None) -> list[Column]:
+    """S3: what each bar says, null where it says nothing; the signal is the sum of the pulses, each held until its next."""
     ok = F.lit(True) if ready is None else ready
     high, low = (rsi >= p.upper) & ok, (rsi <= p.lower) & ok
     if variant == "neutral-exit":
-        return _held(_first((high, 1), (rsi < p.exit, 0)), keys) + _held(_first((low, -1), (rsi > p.exit, 0)), keys)
+        return [_first((high, 1), (rsi < p.exit, 0)), _first((low, -1), (rsi > p.exit, 0))]
     if variant == "extreme-zone":
-        return F.when(high, 1).when(low, -1).otherwise(0)
+        return [F.when(high, 1).when(low, -1).otherwise(0)]
     if variant == "always-in":
-        return _held(_first((high, 1), (low, -1)), keys)
+        return [_first((high, 1), (low, -1))]
     if variant == "mean-reversion":
-        return _held(_first((low, 1), (rsi >= p.exit, 0)), keys) + _held(_first((high, -1), (rsi <= p.exit, 0)), keys)
+        return [_first((low, 1), (rsi >= p.exit, 0)), _first((high, -1), (rsi <= p.exit, 0))]
     if variant == "long-flat":
-        return _held(_first((high, 1), (rsi < p.exit, 0)), keys)
+        return [_first((high, 1), (rsi < p.exit, 0))]
     if variant in ("buy-and-hold", "flat"):
-        return F.lit(int(variant != "flat"))
+        return [F.lit(int(variant != "flat"))]
     raise ValueError(f"no variant {variant}")
 
 
+def rsi_signal(variant: str, rsi: Column, p: RsiParams, keys=KEYS, ready: Column | None = None) -> Column:
+    """S3: the seven variants on a column of RSI; ready: a condition of every entry."""
+    pulses = rsi_pulses(variant, rsi, p, ready)
+    if variant in ("extreme-zone", "buy-and-hold", "flat"):  # every bar says something
+        return pulses[0]
+    return reduce(lambda a, b: a + b, (_held(x, keys) for x in pulses))
+
+
+def add_rsi_signal(df: DataFrame, variant: str, rsi: Column, p: RsiParams, keys=KEYS, ready: Column | None = None, seconds: int = WEEK) -> DataFrame:
+    """S3: the column `signal` of rsi_signal(), its pulses held in stretches instead of over a whole history."""
+    pulses = {f"_pulse_{i}": x for i, x in enumerate(rsi_pulses(variant, rsi, p, ready))}
+    df = add_held(df, pulses, keys, seconds)
+    return df.withColumn("signal", reduce(lambda a, b: a + b, (F.coalesce(n, F.lit(0)) for n in pulses))).drop(*pulses)
+
+
 RSI_VARIANTS = ("neutral-exit", "extreme-zone", "always-in", "mean-reversion", "long-flat", "buy-and-hold", "flat")
 
 

@@ -355,4 +355,4 @@ def point_in_time_snapshots(spark, d):
     return tidy(J.snapshots(e, p, ["click", "view"]))
 
 
-from . import queries_more, queries_research  # noqa: E402, F401  registers the others
+from . import queries_long, queries_more, queries_research  # noqa: E402, F401  registers the others

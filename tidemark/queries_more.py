@@ -158,10 +158,23 @@ def window_context(spark, d):
     return tidy(I.add_context(I.add_rsi(M.bars(spark, d))).select("symbol", "ts", "realised_vol", "vol_of_vol", "volatility_zscore", "liquidity_stress", "trend_up", "rsi_high", "rsi_low"))
 
 
-@query(f"WITH {S.BARS}, s AS (SELECT *, close < {S.lag('close', 2)} AS u, close > {S.lag('close', 2)} AS o, row_number() OVER {S.P} AS n FROM bars) SELECT {KT}, CAST(CASE WHEN n >= 6 AND count(*) FILTER (u) OVER {S.frame(4)} = 4 THEN 1 WHEN n >= 6 AND count(*) FILTER (o) OVER {S.frame(4)} = 4 THEN -1 ELSE 0 END AS BIGINT) AS td_setup FROM s")
+_TD = "CAST(CASE WHEN n > {0} + {1} AND count(*) FILTER (u) OVER {2} = {0} THEN 1 WHEN n > {0} + {1} AND count(*) FILTER (o) OVER {2} = {0} THEN -1 ELSE 0 END AS BIGINT) AS td_setup"
+
+
+def _td(length: int, lag: int) -> str:
+    return f"WITH {S.BARS}, s AS (SELECT *, close < {S.lag('close', lag)} AS u, close > {S.lag('close', lag)} AS o, row_number() OVER {S.P} AS n FROM bars) SELECT {KT}, {_TD.format(length, lag, S.frame(length))} FROM s"
+
+
+@query(_td(9, 4))
 def window_td_setup(spark, d):
-    """Four in a row against two bars before, so that there are some."""
-    return tidy(I.add_td_setup(M.bars(spark, d), 4, 2).select("symbol", "ts", "td_setup"))
+    """W24."""
+    return tidy(I.add_td_setup(M.bars(spark, d)).select("symbol", "ts", "td_setup"))
+
+
+@query(_td(4, 2))
+def window_td_setup_blocks(spark, d):
+    """W24 block by block with a halo, four in a row against two bars before, so that there are some."""
+    return tidy(scan.td_setup_in_blocks(M.bars(spark, d), 4, 2, length=128).select("symbol", "ts", "td_setup"))
 
 
 _UPTO = "OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
@@ -430,16 +443,28 @@ def trade_returns(spark, d):
     return tidy(B.trade_returns(rsi_ledger(spark, d)))
 
 
-_LOG = f"""{_TRADES}, tl AS (SELECT *, {S.lag('close')} AS pc, {S.lag('ts')} AS pt, lead(position) OVER {S.P} AS nx FROM trades_r),
-tlog AS (SELECT symbol, CAST(trade_id AS BIGINT) AS trade_id, arg_min(pt, ts) AS entry_time, max(ts) AS exit_time, arg_min(pc, ts) AS entry_price, arg_max(close, ts) AS exit_price, count(*) AS bars_held FROM tl WHERE trade_id IS NOT NULL GROUP BY 1, 2 HAVING arg_max(CASE WHEN nx IS NULL THEN 0 ELSE 1 END, ts) = 1)"""
+_LOG = f"{S.r('entry_price', 'exit_price', 'exit_price - entry_price AS pnl', 'exit_price / entry_price - 1 AS pnl_percent')}, bars_held, CAST(1 AS BIGINT) AS side FROM tlog"
 
 
-@query(f"WITH {_LOG} SELECT symbol, trade_id, entry_time, exit_time, {S.r('entry_price', 'exit_price', 'exit_price - entry_price AS pnl', 'exit_price / entry_price - 1 AS pnl_percent')}, bars_held, CAST(1 AS BIGINT) AS side FROM tlog")
+@query(f"WITH {RSI_LEDGER}, {S.trade_log()} SELECT symbol, trade_id, entry_time, exit_time, {_LOG}")
 def trade_log(spark, d):
     """B4."""
     return tidy(B.trade_log(rsi_ledger(spark, d)))
 
 
+@query(f"WITH {RSI_SHORT}, {S.trade_log()} SELECT symbol, trade_id, entry_time, exit_time, {_LOG}")
+def trade_log_with_shorts(spark, d):
+    """B4 on longs and shorts, in stretches of a day: a short neither opens nor closes a trade."""
+    return tidy(B.trade_log(rsi_ledger(spark, d, long_only=False), seconds=86400))
+
+
+@query(f"WITH {_ENS}, sg AS (SELECT symbol, ts, close, e * vol_scale AS signal FROM ens), {S.ledger('sg')}, {S.trades()} SELECT symbol, trade_id, round(trade_return, 6) AS trade_return, bars_held FROM trades")
+def trade_returns_sized(spark, d):
+    """B3 on the ensemble, whose positions are fractions: a run's return is the asset's, whatever the size; in stretches of a day."""
+    s = SG.ensemble(M.bars(spark, d)).select("symbol", "ts", "close", "signal")
+    return tidy(B.trade_returns(B.ledger(s, B.cost_rate(5.0, 1.0)), seconds=86400))
+
+
 @query(f"WITH {RSI_SHORT}, {S.trades()}, fb AS (SELECT *, coalesce({S.lag('equity')}, 1.0) AS eb FROM trades_r) SELECT symbol, CAST(trade_id AS BIGINT) AS trade_id, {S.r('arg_max(position, ts) AS side')}, min(ts) AS entry_time, max(ts) AS exit_time, {S.r('arg_max(equity, ts) / arg_min(eb, ts) - 1 AS pnl')} FROM fb WHERE trade_id IS NOT NULL GROUP BY 1, 2")
 def flip_trades(spark, d):
     """B5."""
@@ -542,10 +567,19 @@ def daily_equity(spark, d):
     return tidy(out.select("symbol", F.datediff("date", F.lit("1970-01-01")).alias("day"), "daily_dd", "daily_return"))
 
 
-@query(f"WITH {RSI_LEDGER}, p AS (SELECT ts, avg(net_return) AS r FROM ledger GROUP BY ts), e AS (SELECT *, product(1 + r) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS eq FROM p), q AS (SELECT *, eq / max(eq) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS dd FROM e) SELECT {S.r('product(1 + r) - 1 AS total_return', 'coalesce(avg(r) / nullif(stddev_samp(r), 0) * sqrt(2190.0), 0.0) AS sharpe', 'min(dd) AS max_drawdown')}, count(*) AS n_bars FROM q")
+_BAR = f"{S.r('product(1 + r) - 1 AS cumulative_return', 'stddev_samp(r) * sqrt(2190.0) AS annualized_vol', 'CASE WHEN stddev_samp(r) > 0 THEN avg(r) / stddev_samp(r) * sqrt(2190.0) ELSE 0.0 END AS smart_sharpe', 'min(dd) AS max_drawdown')}, count(*) AS n_bars"
+
+
+@query(f"WITH {RSI_LEDGER}, p AS (SELECT ts, avg(net_return) AS r FROM ledger GROUP BY ts), e AS (SELECT *, product(1 + r) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS eq FROM p), q AS (SELECT *, eq / max(eq) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS dd FROM e) SELECT {_BAR} FROM q")
 def portfolio_metrics(spark, d):
-    """A6."""
-    return tidy(A.bar_metrics(B.portfolio(rsi_ledger(spark, d)), "portfolio_return"))
+    """Of the whole portfolio, from cells of two days each."""
+    return tidy(A.bar_metrics(B.portfolio(rsi_ledger(spark, d)), "portfolio_return", seconds=2 * 86400))
+
+
+@query(f"WITH {RSI_LEDGER}, e AS (SELECT symbol, ts, net_return AS r, product(1 + net_return) OVER {S.UP_TO} AS eq FROM ledger), q AS (SELECT *, eq / max(eq) OVER {S.UP_TO} - 1 AS dd FROM e) SELECT symbol, {_BAR} FROM q GROUP BY symbol")
+def symbol_bar_metrics(spark, d):
+    """A6 by symbol."""
+    return tidy(A.bar_metrics(rsi_ledger(spark, d), "net_return", ("symbol",)))
 
 
 @query(f"WITH {RSI_LEDGER} SELECT a.symbol AS symbol_a, b.symbol AS symbol_b, {S.r('corr(a.asset_return, b.asset_return) AS correlation')}, count(*) AS n_common FROM ledger a JOIN ledger b ON a.ts = b.ts AND a.symbol < b.symbol GROUP BY 1, 2")

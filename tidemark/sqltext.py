@@ -98,11 +98,23 @@ METRICS = ("cumulative_return", "cagr", "time_in_market", "max_drawdown", "max_d
 
 
 def trades(source: str = "ledger", key: str = "symbol", name: str = "trades") -> str:
-    """CTEs <name>_r (rows with trade_id) and <name>: (key, trade_id, trade_return, bars_held)."""
+    """CTEs <name>_r (rows with trade_id, by sign of the position) and <name>: (key, trade_id, trade_return, bars_held) of the long runs."""
     p = f"(PARTITION BY {key} ORDER BY ts)"
+    up = f"(PARTITION BY {key} ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     return f"""{name}_f AS (SELECT *, CASE WHEN sign(position) <> 0 AND sign(position) <> coalesce(lag(sign(position)) OVER {p}, 0) THEN 1 ELSE 0 END AS new FROM {source}),
-{name}_r AS (SELECT *, CASE WHEN position <> 0 THEN sum(new) OVER (PARTITION BY {key} ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS trade_id FROM {name}_f),
-{name} AS (SELECT {key}, CAST(trade_id AS BIGINT) AS trade_id, product(1 + position * asset_return) - 1 AS trade_return, count(*) AS bars_held FROM {name}_r WHERE trade_id IS NOT NULL GROUP BY {key}, trade_id)"""
+{name}_r AS (SELECT *, CASE WHEN position <> 0 THEN sum(new) OVER {up} END AS trade_id FROM {name}_f),
+{name}_n AS (SELECT *, CASE WHEN position > 0 AND NOT coalesce(lag(position) OVER {p} > 0, FALSE) THEN 1 ELSE 0 END AS opens FROM {source}),
+{name}_l AS (SELECT *, sum(opens) OVER {up} AS long_id FROM {name}_n),
+{name} AS (SELECT {key}, CAST(long_id AS BIGINT) AS trade_id, product(1 + asset_return) - 1 AS trade_return, count(*) AS bars_held FROM {name}_l WHERE position > 0 GROUP BY {key}, long_id)"""
+
+
+def trade_log(source: str = "ledger", name: str = "tlog") -> str:
+    """CTE <name>: closed trades; in from the first bar with a position over 0 to the first one with none."""
+    return f"""{name}_h AS (SELECT *, {held('CASE WHEN position > 0 THEN 1 WHEN position = 0 THEN 0 END')} AS held FROM {source}),
+{name}_e AS (SELECT *, held = 1 AND coalesce({lag('held')}, 0) = 0 AS opens, held = 0 AND coalesce({lag('held')}, 0) = 1 AS closes FROM {name}_h),
+{name}_i AS (SELECT *, CAST(count(*) FILTER (opens) OVER {UP_TO} AS BIGINT) AS trade_id FROM {name}_e),
+{name} AS (SELECT a.symbol, a.trade_id, a.ts AS entry_time, b.ts AS exit_time, a.close AS entry_price, b.close AS exit_price, n.bars_held FROM {name}_i a JOIN {name}_i b USING (symbol, trade_id)
+  JOIN (SELECT symbol, trade_id, count(*) AS bars_held FROM {name}_i WHERE held = 1 GROUP BY ALL) n USING (symbol, trade_id) WHERE a.opens AND b.closes)"""
 
 
 def recursion(source: str = "bars") -> str:
