@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sqltext as S
@@ -211,27 +211,61 @@ def text_relevance(spark, d):
 
 
 # streams, run over what is there (availableNow)
-def _stream(spark, d, build, mode: str = "append") -> DataFrame:
-    from .streaming import jobs as ST
+SLOTS = 10
 
-    landed = scratch(spark, "landed")
-    events = M.utc(spark).read.parquet(f"{d}/events.parquet")
-    events.coalesce(1).write.parquet(landed)
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+def _slot(events: DataFrame, delayed: bool = False):
+    """The tenth of the table's time that a row comes in; of the delayed, each row whose event_id 50 divides comes in the next."""
+    ends = events.agg(F.unix_micros(F.min(F.col("ts").cast("timestamp"))).alias("a"), F.unix_micros(F.max(F.col("ts").cast("timestamp"))).alias("b")).first()
+    low, width = ends["a"] or 0, max(1, ((ends["b"] or 0) - (ends["a"] or 0)) // SLOTS + 1)
+    slot = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - low) / width).cast("int")
+    return F.least(slot + (F.col("event_id") % 50 == 0).cast("int"), F.lit(SLOTS - 1)) if delayed else slot
+
+
+def _rocks(spark, run):
+    """run() with a state store that transformWithState can use; the session keeps its own."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return ST.drained(build(ST, ST.tick_stream(spark, landed)), scratch(spark, "out"), scratch(spark, "state"), mode)
+        return run()
     finally:
         if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+            spark.conf.unset(key)
         else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+            spark.conf.set(key, before)
+
+
+def _stream(spark, d, build, mode: str = "append", columns=None) -> DataFrame:
+    """What build makes of the events, which come as ten files in order of time, a micro-batch each."""
+    from .streaming import jobs as ST
+
+    landed = scratch(spark, "landed")
+    events = M.utc(spark).read.parquet(f"{d}/events.parquet")
+    rows = events.withColumn("_slot", _slot(events))
+    ST.land_in_order(rows.select(*(columns or events.columns), "_slot"), landed, F.col("_slot"), SLOTS)
+    return _rocks(spark, lambda: ST.drained(build(ST, landed), scratch(spark, "out"), scratch(spark, "state"), mode))
+
+
+def _ticks(build):
+    return lambda ST, folder: build(ST, ST.tick_stream(SparkSession.active(), folder))
+
+
+def _late(spark, d, build) -> DataFrame:
+    """The same with delayed rows: main rows and late rows as one table."""
+    from .streaming import jobs as ST
+
+    landed = scratch(spark, "landed")
+    events = M.utc(spark).read.parquet(f"{d}/events.parquet")
+    ST.land_in_order(events.withColumn("_slot", _slot(events, delayed=True)), landed, F.col("_slot"), SLOTS)
+    main, late = _rocks(spark, lambda: ST.drained_with_late(build(ST, ST.tick_stream(spark, landed)), scratch(spark, "out"), scratch(spark, "late"), scratch(spark, "state")))
+    return main.unionByName(late).drop("batch")
 
 
 @query(f"WITH {S.BARS}, m AS (SELECT CAST(floor(max(epoch(ts)) - 600) AS BIGINT) AS w FROM events) SELECT symbol, ts, {S.r('open', 'high', 'low', 'close', 'volume')} FROM bars, m WHERE ts + 3600 <= w")
 def stream_bars(spark, d):
     """ST1: bars whose end the watermark has passed."""
-    return tidy(_stream(spark, d, lambda ST, s: ST.bars(s)))
+    return tidy(_stream(spark, d, _ticks(lambda ST, s: ST.bars(s))))
 
 
 _TICKS = "tk AS (SELECT event_type AS symbol, CAST(floor(epoch(ts)) AS BIGINT) AS ts, epoch_us(ts) AS us, 100 + value AS price, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS n FROM events)"
@@ -240,7 +274,7 @@ _TICKS = "tk AS (SELECT event_type AS symbol, CAST(floor(epoch(ts)) AS BIGINT) A
 @query(f"WITH RECURSIVE {_TICKS}, e AS (SELECT symbol, n, price AS ema FROM tk WHERE n = 1 UNION ALL SELECT tk.symbol, tk.n, (2.0 / 21) * price + (1 - 2.0 / 21) * e.ema FROM e JOIN tk ON tk.symbol = e.symbol AND tk.n = e.n + 1) SELECT symbol, ts, {S.r('price', 'ema')}, FALSE AS late FROM tk JOIN e USING (symbol, n)")
 def stream_ema(spark, d):
     """ST2 on ticks."""
-    return tidy(_stream(spark, d, lambda ST, s: ST.indicator(s, ST.EmaState())))
+    return tidy(_stream(spark, d, _ticks(lambda ST, s: ST.indicator(s, ST.EmaState()))))
 
 
 @query(
@@ -250,7 +284,7 @@ SELECT c.symbol, c.ts, {S.r('price', 'CASE WHEN w.b < 1e-12 THEN 100.0 ELSE 100
 )
 def stream_wilder_rsi(spark, d):
     """ST3 on ticks."""
-    return tidy(_stream(spark, d, lambda ST, s: ST.indicator(s, ST.RsiState())))
+    return tidy(_stream(spark, d, _ticks(lambda ST, s: ST.indicator(s, ST.RsiState()))))
 
 
 _W20 = "OVER (PARTITION BY symbol ORDER BY n ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
@@ -259,7 +293,35 @@ _W20 = "OVER (PARTITION BY symbol ORDER BY n ROWS BETWEEN 19 PRECEDING AND CURRE
 @query(f"WITH {_TICKS}, b AS (SELECT *, CASE WHEN n >= 20 THEN avg(price) {_W20} END AS m, CASE WHEN n >= 20 THEN stddev_pop(price) {_W20} END AS sd FROM tk) SELECT symbol, ts, {S.r('price', 'm AS mean', 'sd AS std', 'm + 2 * sd AS upper', 'm - 2 * sd AS lower')}, FALSE AS late FROM b")
 def stream_bands(spark, d):
     """ST4 on ticks."""
-    return tidy(_stream(spark, d, lambda ST, s: ST.indicator(s, ST.BandState())))
+    return tidy(_stream(spark, d, _ticks(lambda ST, s: ST.indicator(s, ST.BandState()))))
+
+
+#: Rows with the slot that they come in, and the latest time that their symbol had in earlier slots.
+_SLOTTED = f"""ends AS (SELECT min(epoch_us(ts)) AS a, (max(epoch_us(ts)) - min(epoch_us(ts))) // {SLOTS} + 1 AS w FROM events),
+sl AS (SELECT event_type AS symbol, epoch_us(ts) AS us, 100 + value AS price, event_id, least((epoch_us(ts) - a) // w + CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END, {SLOTS - 1}) AS slot FROM events, ends),
+mx AS (SELECT symbol, slot, max(max(us)) OVER (PARTITION BY symbol ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM sl GROUP BY symbol, slot),
+sm AS (SELECT sl.*, seen FROM sl JOIN mx USING (symbol, slot))"""
+
+
+@query(
+    f"""WITH RECURSIVE {_SLOTTED}, lt AS (SELECT *, coalesce(us <= seen, FALSE) AS late FROM sm), fr AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY us, event_id) AS n FROM lt WHERE NOT late),
+e AS (SELECT symbol, n, price AS ema FROM fr WHERE n = 1 UNION ALL SELECT fr.symbol, fr.n, (2.0 / 21) * price + (1 - 2.0 / 21) * e.ema FROM e JOIN fr ON fr.symbol = e.symbol AND fr.n = e.n + 1)
+SELECT symbol, us // 1000000 AS ts, {S.r('price', 'ema')}, FALSE AS late FROM fr JOIN e USING (symbol, n) UNION ALL SELECT symbol, us // 1000000, round(price, 6), NULL, TRUE FROM lt WHERE late"""
+)
+def stream_ema_with_late_rows(spark, d):
+    """ST2 over ten batches, of which all but the first bring rows of the one before."""
+    return tidy(_late(spark, d, lambda ST, s: ST.indicator(s, ST.EmaState())))
+
+
+@query(
+    f"""WITH {_SLOTTED}, lt AS (SELECT *, us // 3600000000 * 3600000000 AS start, coalesce(us // 3600000000 * 3600000000 + 3600000000 <= seen - 600000000, FALSE) AS late FROM sm), top AS (SELECT symbol, max(us) AS latest FROM sl GROUP BY symbol),
+b AS (SELECT symbol, start, arg_min(price, us) AS open, max(price) AS high, min(price) AS low, arg_max(price, us) AS close, CAST(count(*) AS DOUBLE) AS volume FROM lt WHERE NOT late GROUP BY symbol, start)
+SELECT symbol, start // 1000000 AS ts, {S.r('open', 'high', 'low', 'close', 'volume')}, FALSE AS late FROM b JOIN top USING (symbol) WHERE start + 3600000000 <= latest - 600000000
+UNION ALL SELECT symbol, us // 1000000, NULL, NULL, NULL, round(price, 6), NULL, TRUE FROM lt WHERE late"""
+)
+def stream_bars_with_late_rows(spark, d):
+    """ST1 over ten batches: bars by each symbol's own latest time, and the rows that came after their bar."""
+    return tidy(_late(spark, d, lambda ST, s: ST.bars_with_late(s)))
 
 
 def _tagged(s: DataFrame) -> DataFrame:
@@ -275,7 +337,7 @@ SELECT 'w' AS workflow, symbol, 'tick' AS timeframe, ts FROM f WHERE fired"""
 @query(_TRIG)
 def stream_triggers(spark, d):
     """ST5: cooldown of two hours."""
-    return tidy(_stream(spark, d, lambda ST, s: ST.triggers(_tagged(s), ("high", "even"), 7200.0)))
+    return tidy(_stream(spark, d, _ticks(lambda ST, s: ST.triggers(_tagged(s), ("high", "even"), 7200.0))))
 
 
 @query(_TRIG)
@@ -293,12 +355,11 @@ SELECT symbol, ts, round(last_value(CASE WHEN event_type = 'click' THEN v END IG
 def stream_snapshots(spark, d):
     """ST6; user_id modulo 3 is the symbol."""
 
-    def build(ST, _):
-        landed = scratch(spark, "landed")
-        e = M.utc(spark).read.parquet(f"{d}/events.parquet")
-        e.select(F.concat(F.lit("U"), (F.col("user_id") % 3).cast("string")).alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("signal_type"), (F.lit(100.0) + F.col("value")).alias("value"), (F.col("event_id") % 5 != 0).alias("historical_integrity")).coalesce(1).write.parquet(landed)
-        s = spark.readStream.schema("symbol string, ts timestamp, signal_type string, value double, historical_integrity boolean").parquet(landed)
-        return ST.snapshot_stream(s, ("click", "view"))
+    def build(ST, folder):
+        schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+        e = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        e = e.select(F.concat(F.lit("U"), (F.col("user_id") % 3).cast("string")).alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("signal_type"), (F.lit(100.0) + F.col("value")).alias("value"), (F.col("event_id") % 5 != 0).alias("historical_integrity"))
+        return ST.snapshot_stream(e, ("click", "view"))
 
     return tidy(_stream(spark, d, build))
 
