@@ -125,15 +125,13 @@ def test_trades(spark):
     assert len(closed) == 1 and abs(closed[0]["pnl_percent"] - 0.21) < 1e-9
 
 
-@pytest.mark.parametrize("direct", [200, 0])
-def test_labels(spark, direct):
+def test_labels(spark):
     df = bars(spark, [100, 101, 103, 99, 98, 102])
-    out = R.labels(df, 0.02, 0.02, 3, direct=direct).orderBy("ts").collect()
-    assert [r["label"] for r in out][-1] is None
-    assert out[0]["barrier_hit"] == "profit" and out[0]["label_bars"] == 2
-    assert out[2]["barrier_hit"] == "stop" and out[2]["label"] == -1
-    one = R.labels(bars(spark, [100]), direct=direct).collect()
-    assert one[0]["label"] is None and one[0]["barrier_hit"] is None
+    out = R.labels(df, 0.02, 0.02, 3).orderBy("ts").collect()
+    assert out[0]["barrier_hit"] == "profit_take" and out[0]["label_bars"] == 2
+    assert out[2]["barrier_hit"] == "stop_loss" and out[2]["label"] == -1
+    one = R.labels(bars(spark, [100])).collect()
+    assert one[0]["label"] == 0 and one[0]["barrier_hit"] == "time" and one[0]["label_bars"] == 0
 
 
 def test_causality(spark):

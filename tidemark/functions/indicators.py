@@ -178,3 +178,12 @@ def squeeze(df: DataFrame, n: int = 20, lookback: int = 125, q: float = 0.25, ke
     """Bollinger width on the sample deviation, at or under its own rolling quantile."""
     df = df.withColumn("_width", safe_div(4 * deviation(F.col("close"), n, keys), rolling(F.avg, F.col("close"), n, keys)))
     return df.withColumn("squeeze", F.coalesce(F.col("_width") <= quantile(F.col("_width"), q, lookback, keys), F.lit(False))).drop("_width")
+
+
+def squeeze_by_ranks(df: DataFrame, n: int = 20, lookback: int = 125, q: float = 0.25, keys=KEYS) -> DataFrame:
+    """squeeze() whose rolling quantile comes from a rank structure, so that long lookbacks cost no more."""
+    from ..operators.blocks import Quantile, add_order_statistics
+
+    df = df.withColumn("_width", safe_div(4 * deviation(F.col("close"), n, keys), rolling(F.avg, F.col("close"), n, keys)))
+    df = add_order_statistics(df, {"_limit": Quantile("_width", q, lookback)}, keys)
+    return df.withColumn("squeeze", F.coalesce(F.col("_width") <= F.col("_limit"), F.lit(False))).drop("_width", "_limit")

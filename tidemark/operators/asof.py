@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import KEYS
+from ..functions.columns import KEYS, every
 
 
 def asof(left: DataFrame, right: DataFrame, keys=KEYS, on: str = "ts", right_on: str | None = None, ties=(), prefix: str = "", hours: int | None = None) -> DataFrame:
@@ -39,21 +39,23 @@ def no_leak(joined: DataFrame, keys=KEYS, on: str = "ts") -> DataFrame:
     return joined.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.count("context_ts").alias("n_matched"), F.count_if(F.col("context_ts") > F.col(on)).alias("n_future"))
 
 
-def gate(signals: DataFrame, context: DataFrame, max_spread: float | None = None, depth: tuple[float | None, float | None] = (None, None), suppress_missing: bool = True, keys=KEYS) -> DataFrame:
-    """Entries (signal 1) whose context fails are nulled; other signals are left alone."""
+def gate(signals: DataFrame, context: DataFrame, max_spread: float | None = None, depth: tuple[float | None, float | None] = (-1.0, 1.0), suppress_missing: bool = True, keys=KEYS) -> DataFrame:
+    """Entries (signal 1) whose context fails are nulled; all other signals pass.
+
+    spread_bps and depth_imbalance are tested where the context has them, the depth within its bounds, ends included. Where
+    one of them is missing an entry fails, or without suppress_missing passes, whatever the other is.
+    """
     out = asof(signals, context, keys)
+    low, high = (-1.0 if depth[0] is None else depth[0]), (1.0 if depth[1] is None else depth[1])
+    tests = {"spread_bps": F.lit(True) if max_spread is None else F.col("spread_bps") <= max_spread, "depth_imbalance": F.col("depth_imbalance").between(low, high)}
+    there = [n for n in tests if n in context.columns]
     ok = F.lit(True)
-    if max_spread is not None:
-        ok = ok & F.coalesce(F.col("spread_bps") <= max_spread, F.lit(not suppress_missing))
-    for bound, low in zip(depth, (True, False), strict=True):
-        if bound is not None:
-            x = F.col("depth_imbalance")
-            ok = ok & F.coalesce(x >= bound if low else x <= bound, F.lit(not suppress_missing))
-    if suppress_missing:
-        ok = ok & F.col("context_ts").isNotNull()
-    out = out.withColumns({"raw_signal": F.col("signal"), "context_gate_pass": ok})
-    blocked = (F.col("raw_signal") == 1) & ~F.col("context_gate_pass")
-    return out.withColumn("signal", F.when(F.coalesce(blocked, F.lit(False)), None).otherwise(F.col("raw_signal")))
+    if there:
+        available, passed = every(*(F.col(n).isNotNull() for n in there)), every(*(tests[n] for n in there))
+        ok = F.when(available, passed).otherwise(not suppress_missing)
+    passes = F.when(F.col("raw_signal") == 1, F.coalesce(ok, F.lit(False))).otherwise(True)
+    out = out.withColumn("raw_signal", F.col("signal")).withColumn("context_gate_pass", passes)
+    return out.withColumn("signal", F.when(F.col("context_gate_pass"), F.col("raw_signal")))
 
 
 def forecast_signal(bars: DataFrame, forecasts: DataFrame, threshold: float = 0.0, keys=KEYS) -> DataFrame:
@@ -68,13 +70,6 @@ def aligned(bars: DataFrame, symbols: int, keys=KEYS) -> DataFrame:
     return bars.join(full, "ts", "left_semi")
 
 
-def snapshot(events: DataFrame, probes: DataFrame, types: list[str]) -> DataFrame:
-    """For each probe (symbol, ts), the latest value of each type at or before it, of events with integrity only."""
-    good = events.where("historical_integrity").select("symbol", "signal_type", "ts", "value")
-    j = probes.join(good.withColumnRenamed("ts", "_t"), (probes.symbol == good.symbol) & (F.col("_t") <= probes.ts), "left").drop(good.symbol)
-    return j.groupBy("symbol", "ts").agg(*(F.max_by(F.when(F.col("signal_type") == t, F.col("value")), F.when(F.col("signal_type") == t, F.col("_t"))).alias(t) for t in types))
-
-
 def snapshots(events: DataFrame, probes: DataFrame, types: list[str]) -> DataFrame:
     """J8 for many probes of long histories: one as-of join for each type instead of a range join."""
     good = events.where("historical_integrity")

@@ -5,6 +5,9 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from ..functions import indicators as I
 from ..functions.columns import KEYS, before, by_time, safe_div
 from ..operators import stretches as ST
 from ..operators.asof import gate
+from ..operators.blocks import first_touch, in_blocks
 from ..operators.scan import with_halo
 from . import ledger as B
 from . import metrics as A
@@ -55,42 +59,41 @@ def manifest(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n_rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-def labels(df: DataFrame, profit: float = 0.01, stop: float = 0.01, horizon: int = 5, keys=KEYS, long: bool = True, direct: int = 200) -> DataFrame:
-    """Which barrier is touched first in the next `horizon` bars: 1 profit (also on a tie), -1 stop, 0 time.
+def labels(df: DataFrame, profit: float = 0.01, stop: float = 0.01, horizon: int = 5, keys=KEYS, side: Column | None = None, length: int = 4096) -> DataFrame:
+    """Which barrier is touched first in the next `horizon` bars: 1 profit (also on a tie), -1 stop, else the sign of the return at the end.
 
-    label_time, label_price, label_return, label_bars and barrier_hit go with it; the last row has none. Horizons over
-    `direct` don't collect the window into an array: rows meet the bars of their own and the next stretches in an equi-join.
+    side: over 0, 0 or null long, under 0 short, whose return is entry / exit - 1. label_time, label_price, label_return,
+    label_bars and barrier_hit (profit_take, stop_loss, time) go with it; a history's last bar ends on itself. Bars without
+    a close have no label, and those without a high or low touch nothing. Touches are found by descent in blocks with the
+    next `horizon` rows, so neither arrays nor join rows grow with the horizon.
     """
-    c = F.col("close")
-    up, down = (c * (1 + profit), c * (1 - stop)) if long else (c * (1 + stop), c * (1 - profit))
-    df = df.withColumns({"_i": F.row_number().over(by_time(keys)), "_up": up, "_down": down})
-    win, lose = ("high", "low") if long else ("low", "high")
-
-    def hits(row, x) -> tuple[Column, Column]:
-        p = x[win] >= row("_up") if long else x[win] <= row("_down")
-        s = x[lose] <= row("_down") if long else x[lose] >= row("_up")
-        return p, s
-
-    if horizon <= direct:
-        w = by_time(keys).rowsBetween(1, horizon)
-        df = df.withColumn("_next", F.collect_list(F.struct("_i", "ts", "high", "low", "close")).over(w))
-        touched = F.filter("_next", lambda x: hits(F.col, x)[0] | hits(F.col, x)[1])
-        df = df.withColumn("_hit", F.coalesce(F.try_element_at(touched, F.lit(1)), F.try_element_at("_next", F.lit(-1)))).drop("_next")
-    else:
-        stretch = lambda x: F.floor(F.col(x) / horizon)
-        later = df.select(*keys, F.struct("_i", "ts", "high", "low", "close").alias("_x"), F.explode(F.array(stretch("_i"), stretch("_i") - 1)).alias("_s"))
-        here = df.select(*keys, F.col("_i").alias("_own"), "_up", "_down", stretch("_i").alias("_s"))
-        met = here.join(later, [*keys, "_s"]).where((F.col("_x._i") > F.col("_own")) & (F.col("_x._i") <= F.col("_own") + horizon))
-        p, s = hits(F.col, F.col("_x"))
-        found = met.groupBy(*keys, "_own").agg(F.min(F.when(p | s, F.col("_x"))).alias("_first"), F.max("_x").alias("_end"))
-        df = df.join(found.select(*keys, F.col("_own").alias("_i"), F.coalesce("_first", "_end").alias("_hit")), [*keys, "_i"], "left")
-    h = F.col("_hit")
-    p, s = hits(F.col, h)
-    label = F.when(h.isNull(), None).when(p, 1).when(s, -1).otherwise(0)
-    price = F.when(p, F.col("_up") if long else F.col("_down")).when(s, F.col("_down") if long else F.col("_up")).otherwise(h["close"])
-    move = (price / c - 1) * (1 if long else -1)
-    out = {"label": label, "label_time": h["ts"], "label_price": F.when(h.isNotNull(), price), "label_return": F.when(h.isNotNull(), move), "label_bars": (h["_i"] - F.col("_i")).cast("int"), "barrier_hit": F.when(p, "profit").when(s, "stop").when(h.isNotNull(), "time")}
-    return df.withColumns(out).drop("_i", "_up", "_down", "_hit")
+    if min(profit, stop, horizon) <= 0:
+        raise ValueError("profit, stop and horizon must be positive")
+
+    def work(table: pa.Table) -> dict[str, pa.Array]:
+        close, high, low, way = (table[c].cast(pa.float64()).to_numpy() for c in ("close", "high", "low", "_side"))
+        n, short = len(close), way < 0
+        top, bottom = np.where(short, close * (1.0 + stop), close * (1.0 + profit)), np.where(short, close * (1.0 - profit), close * (1.0 - stop))
+        high, low = np.where(np.isnan(high), -np.inf, high), np.where(np.isnan(low), np.inf, low)
+        row = np.arange(n)
+        end = np.minimum(row + horizon, n - 1)
+        at = first_touch(high, low, top, bottom, horizon)
+        touched = at <= end
+        at = np.where(touched, at, end)
+        won = touched & np.where(short, low[at] <= bottom, high[at] >= top)
+        lost = touched & ~won
+        price = np.where(won, np.where(short, bottom, top), np.where(lost, np.where(short, top, bottom), close[at]))
+        move = np.where(short, close / price - 1.0, price / close - 1.0)
+        label = np.where(won, 1, np.where(lost, -1, np.sign(np.nan_to_num(move)))).astype(np.int32)
+        none = np.isnan(close) | np.isnan(price)
+        hit = np.where(won, "profit_take", np.where(lost, "stop_loss", "time"))
+        return {
+            "label": pa.array(label, mask=none), "label_time": pc.if_else(pa.array(none), None, table["ts"].combine_chunks().take(pa.array(at))), "label_price": pa.array(price, mask=none),
+            "label_return": pa.array(move, mask=none), "label_bars": pa.array((at - row).astype(np.int32), mask=none), "barrier_hit": pa.array(hit, pa.string(), mask=none),
+        }
+
+    df = df.withColumn("_side", F.coalesce((F.lit(1.0) if side is None else side).cast("double"), F.lit(1.0)))
+    return in_blocks(df, work, "label int, label_time timestamp, label_price double, label_return double, label_bars int, barrier_hit string", ahead=horizon, keys=keys, length=length).drop("_side")
 
 
 def grid(spark: SparkSession, periods, uppers, lowers, exits, fees=(0.0,), slippages=(0.0,)) -> DataFrame:

@@ -305,7 +305,7 @@ def gate_inputs(spark, d) -> tuple[DataFrame, DataFrame]:
 
 GATED = f"""{S.BARS}, {S.rsi(14, 'rs', flat=100.0)}, {_GATE_CTX}, sg AS (SELECT symbol, ts, close, CASE WHEN rsi >= 60 THEN 1 WHEN rsi < 50 THEN 0 END AS raw_signal FROM rs),
 jg AS (SELECT sg.*, gc.ts AS context_ts, spread_bps, depth_imbalance FROM sg ASOF LEFT JOIN gc ON sg.symbol = gc.symbol AND sg.ts >= gc.ts),
-gated AS (SELECT *, context_ts IS NOT NULL AND coalesce(spread_bps <= 300, FALSE) AND coalesce(depth_imbalance >= -0.2, FALSE) AS ok FROM jg)"""
+gated AS (SELECT *, CASE WHEN raw_signal = 1 THEN spread_bps IS NOT NULL AND depth_imbalance IS NOT NULL AND coalesce(spread_bps <= 300 AND depth_imbalance BETWEEN -0.2 AND 1, FALSE) ELSE TRUE END AS ok FROM jg)"""
 
 
 @query(f"WITH {GATED} SELECT symbol, ts, CAST(raw_signal AS BIGINT) AS raw_signal, ok AS context_gate_pass, CAST(CASE WHEN raw_signal = 1 AND NOT ok THEN NULL ELSE raw_signal END AS BIGINT) AS signal FROM gated")
@@ -315,6 +315,17 @@ def context_gate(spark, d):
     return tidy(J.gate(signals, context, max_spread=300.0, depth=(-0.2, None)).select("symbol", "ts", "raw_signal", "context_gate_pass", "signal"))
 
 
+@query(
+    f"""WITH {GATED.replace('(volume - 3) / 6 AS depth_imbalance', 'CASE WHEN volume <> 3 THEN (volume - 3) / 6 END AS depth_imbalance')}, o AS (SELECT *, CASE WHEN raw_signal = 1 AND spread_bps IS NOT NULL AND depth_imbalance IS NOT NULL THEN spread_bps <= 200 AND depth_imbalance BETWEEN 0 AND 0.5 ELSE TRUE END AS pass FROM gated)
+SELECT symbol, ts, CAST(raw_signal AS BIGINT) AS raw_signal, pass AS context_gate_pass, CAST(CASE WHEN pass THEN raw_signal END AS BIGINT) AS signal FROM o"""
+)
+def context_gate_open(spark, d):
+    """J3 that lets entries without context pass; the depth is missing at times."""
+    signals, context = gate_inputs(spark, d)
+    context = context.withColumn("depth_imbalance", F.when(F.col("depth_imbalance") != 0, F.col("depth_imbalance")))
+    return tidy(J.gate(signals, context, max_spread=200.0, depth=(0.0, 0.5), suppress_missing=False).select("symbol", "ts", "raw_signal", "context_gate_pass", "signal"))
+
+
 @query(f"WITH {S.BARS}, f AS (SELECT symbol, ts, (close - 120) / 10 AS p FROM bars WHERE volume > 2), j AS (SELECT b.symbol, b.ts, coalesce(p, 0.0) AS p FROM bars b LEFT JOIN f ON b.symbol = f.symbol AND b.ts = f.ts) SELECT symbol, ts, round(p, 6) AS prediction_value, CAST(CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS BIGINT) AS signal FROM j")
 def forecast_signals(spark, d):
     """J4, S13."""

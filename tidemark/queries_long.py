@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from . import sqltext as S
 from .operators import stretches as ST
+from .operators.blocks import Quantile, Rank, add_order_statistics
 from .plans import ledger as B
 from .plans import metrics as A
 from .plans import research as R
 from .plans import signals as SG
 from .queries import MET, RSI_LEDGER, RSI_SHORT, query, tidy
-from .queries_more import _LEDGER, _VARIANTS
+from .queries_more import _LEDGER, _SQUEEZE, _VARIANTS
 from .queries_research import _SWEEP
 from .sources import market as M
 from .functions import indicators as I
@@ -83,3 +84,22 @@ def sweep_in_stretches(spark, d):
     params = R.grid(spark, [7, 14], [60.0, 70.0], [30.0, 50.0], [50.0, 55.0], [0.0, 10.0])
     led = R.sweep_in_stretches(M.bars(spark, d), params, [7, 14], seconds=2 * DAY)
     return tidy(A.metrics(led, keys=("symbol", "param_id")))
+
+
+def _rank(x: str, n: int) -> str:
+    w = S.frame(n)
+    return f"CASE WHEN count({x}) OVER {w} >= {n} AND {x} IS NOT NULL THEN len(list_filter(list({x}) OVER {w}, lambda v: v <= {x})) / count({x}) OVER {w} END"
+
+
+@query(f"WITH {S.BARS}, v AS (SELECT *, CASE WHEN volume <> 2 THEN close END AS gap FROM bars) SELECT {KT}, {S.r(*(S.quantile(x, q, n, least) + f' AS {name}' for name, x, q, n, least in (('q25_125', 'close', 0.25, 125, 125), ('q90_90', 'gap', 0.9, 90, 30), ('q75_240', 'gap', 0.75, 240, 120))), _rank('close', 50) + ' AS rank_50')} FROM v")
+def sliding_order_statistics(spark, d):
+    """W8, W9 by rank structures, block by block; some values are missing."""
+    df = M.bars(spark, d).withColumn("gap", F.when(F.col("volume") != 2, F.col("close")))
+    wanted = {"q25_125": Quantile("close", 0.25, 125), "q90_90": Quantile("gap", 0.9, 90, 30), "q75_240": Quantile("gap", 0.75, 240, 120), "rank_50": Rank("close", 50)}
+    return tidy(add_order_statistics(df, wanted, length=300).select("symbol", "ts", *wanted))
+
+
+@query(f"WITH {_SQUEEZE} SELECT {KT}, squeeze FROM q2")
+def squeeze_by_ranks(spark, d):
+    """S4 with its quantile by a rank structure."""
+    return tidy(I.squeeze_by_ranks(M.bars(spark, d)).select("symbol", "ts", "squeeze"))

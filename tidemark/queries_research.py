@@ -44,28 +44,42 @@ def ratio_segments(spark, d):
     return tidy(R.manifest(R.ratio_split(M.bars(spark, d), {"train": 0.6, "validation": 0.25, "holdout": 0.15}), "symbol", "role"))
 
 
-def _labels(h: int) -> str:
-    return f"""lb AS (SELECT *, row_number() OVER {S.P} AS i, close * 1.2 AS up, close * 0.8 AS dn FROM bars),
-lj AS (SELECT a.symbol, a.i, a.ts, a.close, a.up, a.dn, b.i AS j, b.ts AS bts, b.close AS bc, b.high >= a.up AS p, b.low <= a.dn AS s FROM lb a LEFT JOIN lb b ON a.symbol = b.symbol AND b.i > a.i AND b.i <= a.i + {h}),
-lk AS (SELECT *, coalesce(min(j) FILTER (p OR s) OVER (PARTITION BY symbol, i), max(j) OVER (PARTITION BY symbol, i)) AS hit FROM lj),
-lab AS (SELECT symbol, ts, CAST(CASE WHEN j IS NULL THEN NULL WHEN p THEN 1 WHEN s THEN -1 ELSE 0 END AS BIGINT) AS label, bts AS label_time, CASE WHEN p THEN up WHEN s THEN dn ELSE bc END AS label_price, CASE WHEN p THEN up WHEN s THEN dn ELSE bc END / close - 1 AS label_return, CAST(j - i AS BIGINT) AS label_bars, CASE WHEN p THEN 'profit' WHEN s THEN 'stop' WHEN j IS NOT NULL THEN 'time' END AS barrier_hit FROM lk WHERE j IS NOT DISTINCT FROM hit)"""
+def _labels(h: int, side: str = "1") -> str:
+    """CTE lab: each bar with its first touch in the next h, by a join with all of them."""
+    return f"""lb AS (SELECT *, row_number() OVER {S.P} AS i, count(*) OVER (PARTITION BY symbol) AS n, {side} AS side FROM bars),
+lt AS (SELECT a.symbol, a.i, min(b.i) AS j FROM lb a JOIN lb b ON a.symbol = b.symbol AND b.i > a.i AND b.i <= a.i + {h} WHERE CASE WHEN a.side < 0 THEN b.low <= a.close * 0.8 OR b.high >= a.close * 1.2 ELSE b.high >= a.close * 1.2 OR b.low <= a.close * 0.8 END GROUP BY a.symbol, a.i),
+lx AS (SELECT a.*, j IS NOT NULL AS hit, coalesce(j, least(a.i + {h}, a.n)) AS e FROM lb a LEFT JOIN lt USING (symbol, i)),
+ly AS (SELECT lx.*, b.ts AS ets, b.close AS ec, lx.hit AND CASE WHEN lx.side < 0 THEN b.low <= lx.close * 0.8 ELSE b.high >= lx.close * 1.2 END AS won FROM lx JOIN lb b ON lx.symbol = b.symbol AND b.i = lx.e),
+lz AS (SELECT *, CASE WHEN NOT hit THEN ec WHEN won = (side < 0) THEN close * 0.8 ELSE close * 1.2 END AS price FROM ly),
+lw AS (SELECT *, CASE WHEN side < 0 THEN close / price - 1 ELSE price / close - 1 END AS move FROM lz),
+lab AS (SELECT symbol, ts, CAST(CASE WHEN won THEN 1 WHEN hit THEN -1 ELSE sign(move) END AS BIGINT) AS label, ets AS label_time, price AS label_price, move AS label_return, CAST(e - i AS BIGINT) AS label_bars, CASE WHEN won THEN 'profit_take' WHEN hit THEN 'stop_loss' ELSE 'time' END AS barrier_hit FROM lw)"""
 
 
 _LAB = f"symbol, ts, label, label_time, {S.r('label_price', 'label_return')}, label_bars, barrier_hit"
 
 
+def _labelled(spark, d, horizon: int, side=None, **more) -> DataFrame:
+    out = R.labels(M.bars(spark, d), 0.2, 0.2, horizon, side=side, **more)
+    return tidy(out.select("symbol", "ts", "label", "label_time", "label_price", "label_return", "label_bars", "barrier_hit"))
+
+
 @query(f"WITH {S.BARS}, {_labels(5)} SELECT {_LAB} FROM lab")
 def triple_barrier(spark, d):
     """R4."""
-    out = R.labels(M.bars(spark, d), 0.2, 0.2, 5)
-    return tidy(out.drop("open", "high", "low", "close", "volume", "turnover"))
+    return _labelled(spark, d, 5)
 
 
 @query(f"WITH {S.BARS}, {_labels(24)} SELECT {_LAB} FROM lab")
 def triple_barrier_join(spark, d):
-    """R4 as a bucketed equi-join, for long horizons."""
-    out = R.labels(M.bars(spark, d), 0.2, 0.2, 24, direct=0)
-    return tidy(out.drop("open", "high", "low", "close", "volume", "turnover"))
+    """R4 over blocks of 32 bars, so that most horizons cross a border."""
+    return _labelled(spark, d, 24, length=32)
+
+
+@query(f"WITH {S.BARS}, {_labels(200, 'CASE WHEN volume >= 5 THEN 1 WHEN volume = 4 THEN 0 ELSE -1 END')} SELECT {_LAB} FROM lab")
+def triple_barrier_sides(spark, d):
+    """R4 with a side by row, over 200 bars."""
+    v = F.col("volume")
+    return _labelled(spark, d, 200, F.when(v >= 5, 1).when(v == 4, 0).otherwise(-1))
 
 
 _GRID = "grid AS (SELECT p AS rsi_period, u AS rsi_upper, l AS rsi_lower, e AS rsi_exit, f AS fee_bps, 0.0 AS slippage_bps, printf('%.1f/%.1f/%.1f/%.1f/%.1f/0.0', CAST(p AS DOUBLE), u, l, e, f) AS param_id FROM (VALUES (7), (14)) a(p), (VALUES (60.0::DOUBLE), (70.0)) b(u), (VALUES (30.0::DOUBLE), (50.0)) c(l), (VALUES (50.0::DOUBLE), (55.0)) x(e), (VALUES (0.0::DOUBLE), (10.0)) y(f) WHERE l < e AND e < u)"
@@ -179,7 +193,7 @@ def combined_segments(spark, d):
     return tidy(A.combine_segments(t, ("symbol", "mode")))
 
 
-_ACC = f"""{GATED.replace(' AND coalesce(depth_imbalance >= -0.2, FALSE)', '')}, ac AS (SELECT symbol || '|baseline' AS sk, *, raw_signal AS signal FROM gated UNION ALL SELECT symbol || '|candidate', *, CASE WHEN raw_signal = 1 AND NOT ok THEN NULL ELSE raw_signal END FROM gated), {S.ledger('ac', key='sk')}"""
+_ACC = f"""{GATED.replace('BETWEEN -0.2 AND 1', 'BETWEEN -1 AND 1')}, ac AS (SELECT symbol || '|baseline' AS sk, *, raw_signal AS signal FROM gated UNION ALL SELECT symbol || '|candidate', *, CASE WHEN raw_signal = 1 AND NOT ok THEN NULL ELSE raw_signal END FROM gated), {S.ledger('ac', key='sk')}"""
 
 
 @query(f"WITH {_ACC} SELECT split_part(sk, '|', 1) AS symbol, split_part(sk, '|', 2) AS label, count(*) FILTER (signal = 1) AS n_entries, {S.r('arg_max(equity, ts) - 1 AS total_return', 'sum(turnover) AS turnover')}, CAST(0 AS BIGINT) AS lag_violations, count(*) FILTER (context_ts > ts) AS future_violations FROM ledger GROUP BY sk")
@@ -342,7 +356,7 @@ def stream_triggers(spark, d):
 
 @query(_TRIG)
 def triggers_folded(spark, d):
-    """ST5's batch twin."""
+    """ST5's batch twin, by successor links."""
     from .streaming import jobs as ST
 
     return tidy(ST.triggers_batch(_tagged(M.ticks(spark, d)), ("high", "even"), 7200.0))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.links import spaced
 from ..sources.market import BASE_PRICE, utc, write_events
 
 
@@ -234,17 +235,9 @@ def triggers(stream: DataFrame, required: tuple[str, ...], cooldown: float) -> D
 
 
 def triggers_batch(df: DataFrame, required: tuple[str, ...], cooldown: float) -> DataFrame:
-    """The batch twin of triggers(): a fold over each key's tagged events in order of time."""
+    """The batch twin of triggers(): which tagged events fire follows from their successor links."""
     ready = df.where(F.size(F.array_except(F.array(*map(F.lit, required)), "tags")) == 0)
-    lists = ready.groupBy("workflow", "symbol", "timeframe").agg(F.array_sort(F.collect_list("ts")).alias("_t"))
-    empty = F.array().cast("array<timestamp>")
-
-    def step(acc, t):
-        last = F.try_element_at(acc, F.lit(-1))
-        gap = F.unix_micros(t) - F.unix_micros(last)
-        return F.when(last.isNull() | (gap >= int(cooldown * 1e6)), F.array_append(acc, t)).otherwise(acc)
-
-    return lists.select("workflow", "symbol", "timeframe", F.explode(F.aggregate("_t", empty, step)).alias("ts"))
+    return spaced(ready, cooldown, ("workflow", "symbol", "timeframe"))
 
 
 class SnapshotState(StatefulProcessor):
