@@ -292,7 +292,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi")
         small = small.select(F.col("m").alias("lo"), F.col("lo").alias("hi")).unionByName(small.select(F.col("m").alias("lo"), "hi"))
-        edges = materialise(small.where("lo != hi").distinct())
+        edges = materialise(small.where("lo != hi").distinct(), clean=True)
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("lo", "hi").cast("decimal(20,0)")).alias("h")).first()
         if state == before:
             break
@@ -363,7 +363,7 @@ def missed(rows: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFra
     shared = spark.sparkContext.broadcast(np.minimum(counts, 255).astype(np.uint8))
     buckets = max(partitions(spark), -(-int(state["s"] or 0) // BUCKET_LINKS))
     entries = rows.where("doc_id IS NOT NULL").mapInArrow(_linked(size, percent, shared, buckets), "bucket int, over boolean, keys binary, digests binary")
-    several = materialise(entries.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_several, "key long, d1 long"))
+    several = materialise(entries.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_several, "key long, d1 long"), clean=True)
     tagged = materialise(several.join(reps.select("d1", "rep", "comp"), "d1").select("key", "rep", "comp"))
     mixed = tagged.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.max("m").alias("most"), F.max_by("comp", "m").alias("largest"), F.count("*").alias("k")).where("k > 1").drop("k")
     dealt = tagged.join(mixed, "key").withColumn("other", F.col("comp") != F.col("largest"))
@@ -372,7 +372,7 @@ def missed(rows: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFra
     right = F.transform(F.sequence(F.lit(0).cast("long"), other_blocks - 1), lambda x: F.struct(F.lit(1).alias("side"), F.pmod(F.xxhash64("rep"), all_blocks).alias("one"), x.alias("two")))
     left = F.transform(F.sequence(F.lit(0).cast("long"), all_blocks - 1), lambda x: F.struct(F.lit(0).alias("side"), x.alias("one"), F.pmod(F.xxhash64("rep", F.lit(5)), other_blocks).alias("two")))
     cells = dealt.select("key", "rep", "comp", "other", F.explode(F.concat(right, F.when(F.col("other"), left).otherwise(F.slice(left, 1, 0)))).alias("x")).select("key", "rep", "comp", "other", "x.*")
-    cells = materialise(cells)
+    cells = materialise(cells, clean=True)
     buckets = max(partitions(spark), -(-cells.count() // 10000))
     full = cells.join(reps.select("rep", "n_shingles", "bits"), "rep").withColumn("bucket", F.pmod(F.xxhash64("key", "one", "two"), F.lit(buckets)).cast("int"))
     pairs = full.groupBy("bucket").applyInArrow(_paired(percent), f"a {kind}, b {kind}")
@@ -400,7 +400,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
         ids = materialise(some.select(F.explode(F.array("lo", "hi")).alias("doc_id")).distinct())
         texts = materialise(rows.where(_perhaps(ids)).join(ids, "doc_id", "left_semi"))
         left, right = (texts.select(F.col("doc_id").alias(c), F.col("_text").alias(f"text_{x}")) for c, x in (("lo", "a"), ("hi", "b")))
-        return materialise(some.select("lo", "hi").join(left, "lo").join(right, "hi").mapInArrow(_confirm(size, percent), f"lo {kind}, hi {kind}"))
+        return materialise(some.select("lo", "hi").join(left, "lo").join(right, "hi").mapInArrow(_confirm(size, percent), f"lo {kind}, hi {kind}"), clean=True)
 
     def with_component(joined: DataFrame) -> DataFrame:
         return ids.join(joined.withColumnRenamed("vertex", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"))
@@ -410,7 +410,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     joined = components(more.unionByName(first.select(F.col("component").alias("lo"), F.col("vertex").alias("hi"))))
     apart = sets.select("doc_id", "d1", "n_shingles", "bits").join(with_component(joined), "doc_id")
     apart = materialise(apart.select(F.col("doc_id").alias("rep"), "comp", "d1", "n_shingles", "bits"))
-    others = materialise(missed(rows, apart, size, percent))
+    others = materialise(missed(rows, apart, size, percent), clean=True)
     last = confirmed(others)
     joined = components(last.unionByName(joined.select(F.col("component").alias("lo"), F.col("vertex").alias("hi"))))
     known = classes.join(joined, classes.rep == joined.vertex, "left").select(*digest, F.coalesce("component", "rep").alias("_component"))
