@@ -68,6 +68,12 @@ def add_true_range(df: DataFrame, n: int = 14, keys=KEYS) -> DataFrame:
     return df.withColumns({f"atr_pct_{n}": safe_div(F.col(f"atr_{n}"), F.col("close")), "range_pct": safe_div(F.col("high") - F.col("low"), F.col("close"))})
 
 
+def add_volatility(df: DataFrame, windows=(20, 60, 240), n: int = 14, keys=KEYS) -> DataFrame:
+    """True range and its means, and realised volatility of ret_1 over each window."""
+    df = add_true_range(df, n, keys)
+    return df.withColumns({f"realized_vol_{w}": deviation(F.col("ret_1"), w, keys) for w in windows})
+
+
 def add_momentum(df: DataFrame, n: int = 10, slope: int = 5, keys=KEYS) -> DataFrame:
     """Momentum over n and 20 bars, its change over `slope` and 10 bars, distance of the close from its mean, as a share and in deviations."""
     df = df.withColumns({f"momentum_{n}": returns(F.col("close"), n, keys), "momentum_20": returns(F.col("close"), 20, keys)})

@@ -9,10 +9,12 @@ tasks, and the fold's rows are a block's length fewer than the bars.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import KEYS, by_time
+from ..functions.columns import KEYS, by_time, safe_div
 from ..functions.indicators import add_td_setup
 from .stretches import numbered
 
@@ -33,6 +35,44 @@ def add_blocks(df: DataFrame, keys=KEYS, length: int = 64, seconds: int = 7 * 86
     return df.withColumns({"_block": F.floor((F.col("_n") - 1) / length), "_j": (F.col("_n") - 1) % length}).drop("_stretch", "_start", "_inner")
 
 
+@dataclass(frozen=True)
+class Recursion:
+    """y = alpha * x + (1 - alpha) * y' from y = x on the first row, null for the first `least` - 1 rows; x has no nulls."""
+
+    source: str
+    alpha: float
+    name: str
+    least: int = 1
+
+
+def add_recursions(df: DataFrame, wanted: list[Recursion], keys=KEYS, length: int = 64) -> DataFrame:
+    """A column for each recursion; blocks are cut, and their ends folded, once for all of them.
+
+    With q = 1 - alpha and in-block place j, y_j = q**(j+1) * carry + q**j * sum(w_i * q**-i).
+    """
+    rates = [1.0 - r.alpha for r in wanted]
+    length = max(1, min([length, *(int(600 / max(1e-9, -_log10(q))) for q in rates if q > 0)]))
+    df = add_blocks(df, keys, length)
+    so_far = Window.partitionBy(*keys, "_block").orderBy("_j").rowsBetween(Window.unboundedPreceding, 0)
+    weight = lambda r: F.when(F.col("_n") == 1, F.col(r.source)).otherwise(r.alpha * F.col(r.source))
+    df = df.withColumns({f"_inside_{i}": F.pow(F.lit(q), F.col("_j")) * F.sum(weight(r) * F.pow(F.lit(q), -F.col("_j"))).over(so_far) for i, (r, q) in enumerate(zip(wanted, rates, strict=True))})
+    tails = [F.max_by(f"_inside_{i}", "_j").alias(f"t{i}") for i in range(len(wanted))]
+    ends = df.groupBy(*keys, "_block").agg(*tails, F.count("*").alias("size"))
+    list_ = ends.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_block", "size", *(f"t{i}" for i in range(len(wanted)))))).alias("_ends"))
+
+    def step(acc: Column, x: Column) -> Column:
+        carry = F.struct(*((acc["carry"][f"c{i}"] * F.pow(F.lit(q), x["size"]) + x[f"t{i}"]).alias(f"c{i}") for i, q in enumerate(rates)))
+        return F.struct(carry.alias("carry"), F.array_append(acc["out"], F.struct((x["_block"] + 1).alias("_block"), carry.alias("_carry"))).alias("out"))
+
+    kind = ",".join(f"c{i}:double" for i in range(len(wanted)))
+    start = F.struct(F.struct(*(F.lit(0.0).alias(f"c{i}") for i in range(len(wanted)))).alias("carry"), F.array().cast(f"array<struct<_block:bigint,_carry:struct<{kind}>>>").alias("out"))
+    carries = list_.select(*keys, F.explode(F.aggregate("_ends", start, step, lambda a: a["out"])).alias("_c")).select(*keys, "_c._block", "_c._carry")
+    df = df.join(carries, [*keys, "_block"], "left")
+    y = lambda i, q: F.pow(F.lit(q), F.col("_j") + 1) * F.coalesce(F.col("_carry")[f"c{i}"], F.lit(0.0)) + F.col(f"_inside_{i}")
+    out = df.withColumns({r.name: F.when(F.col("_n") >= r.least, y(i, q)) for i, (r, q) in enumerate(zip(wanted, rates, strict=True))})
+    return out.drop("_n", "_block", "_j", "_carry", *(f"_inside_{i}" for i in range(len(wanted))))
+
+
 def add_recursive(df: DataFrame, source: str, alpha: float, name: str, least: int, keys=KEYS, length: int = 64, seeded: str | None = None) -> DataFrame:
     """y = alpha * x + (1 - alpha) * y' from y = x on the first row, null for the first `least` - 1 rows.
 
@@ -78,19 +118,18 @@ def add_ema(df: DataFrame, span: int, source: str = "close", name: str | None =
     return add_recursive(df, source, 2.0 / (span + 1), name or f"ema_{span}", span, keys, length)
 
 
-def add_trend(df: DataFrame, keys=KEYS) -> DataFrame:
-    """Distance of the close from the 50- and 200-span means, and the first over the second."""
-    df = add_ema(add_ema(df, 50, keys=keys), 200, keys=keys)
-    c, a, b = F.col("close"), F.col("ema_50"), F.col("ema_200")
-    return df.withColumns({"ema_dist_50": c / a - 1, "ema_dist_200": c / b - 1, "trend_strength": a / b - 1})
+def add_trend(df: DataFrame, keys=KEYS, spans: tuple[int, ...] = (10, 20, 50, 200)) -> DataFrame:
+    """The means of all spans, the close's distance from each, and the 50-span mean over the 200-span one."""
+    df = add_recursions(df, [Recursion("close", 2.0 / (n + 1), f"ema_{n}", n) for n in spans], keys)
+    df = df.withColumns({f"ema_dist_{n}": safe_div(F.col("close"), F.col(f"ema_{n}")) - 1 for n in spans})
+    return df.withColumn("trend_strength_50_200", safe_div(F.col("ema_50"), F.col("ema_200")) - 1)
 
 
 def add_macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, keys=KEYS) -> DataFrame:
     """The signal line starts where the slow mean is there; it is the exponential mean of the rows from then on."""
-    alpha = {n: 2.0 / (n + 1) for n in (fast, slow)}
-    df = add_recursive(df, "close", alpha[fast], "_fast", 1, keys)
-    df = add_recursive(df, "close", alpha[slow], "_slow", 1, keys).withColumn("macd", F.col("_fast") - F.col("_slow"))
-    df = add_recursive(df, "macd", 2.0 / (signal + 1), "macd_signal", 1, keys)
+    df = add_recursions(df, [Recursion("close", 2.0 / (fast + 1), "_fast"), Recursion("close", 2.0 / (slow + 1), "_slow")], keys)
+    df = df.withColumn("macd", F.col("_fast") - F.col("_slow"))
+    df = add_recursions(df, [Recursion("macd", 2.0 / (signal + 1), "macd_signal")], keys)
     return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("_fast", "_slow")
 
 

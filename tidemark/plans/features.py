@@ -85,22 +85,36 @@ def add_derivatives(df: DataFrame, keys=KEYS, allow_missing: bool = True) -> Dat
     return df
 
 
-def add_regimes(df: DataFrame, keys=KEYS) -> DataFrame:
-    """regimes, their tags and the tags joined; a source that isn't there is `missing`."""
-    ladder = {}
-    if "trend_strength" in df.columns:
-        t = F.col("trend_strength")
-        ladder["trend_regime"] = F.when(t > 0.001, "up").when(t < -0.001, "down").when(t.isNotNull(), "flat").otherwise("missing")
-    df = df.withColumn("_rv", I.deviation(F.col("ret_1"), 20, keys))
-    df = df.withColumns({"_low": quantile(F.col("_rv"), 0.25, 240, keys, 120), "_high": quantile(F.col("_rv"), 0.75, 240, keys, 120)})
-    v = F.col("_rv")
-    ladder["volatility_regime"] = F.when(F.col("_low").isNull() | v.isNull(), "missing").when(v <= F.col("_low"), "low").when(v >= F.col("_high"), "high").otherwise("normal")
-    for name, column, limit in (("funding_regime", "funding_zscore_30", 1.0), ("oi_regime", "oi_zscore_60", 1.0), ("basis_regime", "basis_zscore_60", 1.0)):
-        x = F.col(column) if column in df.columns else F.lit(None).cast("double")
-        ladder[name] = F.when(x.isNull(), "missing").when(x >= limit, "high").when(x <= -limit, "low").otherwise("neutral")
-    df = df.withColumns(ladder).drop("_rv", "_low", "_high")
-    names = sorted(ladder)
-    return df.withColumn("regime", F.concat_ws("|", *(F.concat(F.lit(f"{n.removesuffix('_regime')}="), F.col(n)) for n in names)))
+#: Tag, regime and the value that it stands for.
+TAGS = (
+    ("tag_trend_up", "trend_regime", "up"), ("tag_trend_down", "trend_regime", "down"), ("tag_high_vol", "volatility_regime", "high_vol"), ("tag_low_vol", "volatility_regime", "low_vol"),
+    ("tag_positive_funding_extreme", "funding_regime", "positive_extreme"), ("tag_negative_funding_extreme", "funding_regime", "negative_extreme"), ("tag_oi_expansion", "oi_regime", "expansion"),
+    ("tag_oi_flush", "oi_regime", "flush"), ("tag_perp_premium_extreme", "basis_regime", "premium_extreme"), ("tag_perp_discount_extreme", "basis_regime", "discount_extreme"),
+)
+
+
+def add_regimes(df: DataFrame, keys=KEYS, trend_threshold: float = 0.0, allow_missing: bool = True) -> DataFrame:
+    """five regimes, their tags and the regimes joined. Needs trend_strength_50_200 and realized_vol_60.
+
+    What isn't known yet is the middle regime; a derivative whose flags aren't there is `missing`, or an error without allow_missing.
+    """
+    need(df, "trend_strength_50_200", "realized_vol_60")
+    t, v = F.col("trend_strength_50_200"), F.col("realized_vol_60")
+    df = df.withColumns({"_low": quantile(v, 0.25, 240, keys, 120), "_high": quantile(v, 0.75, 240, keys, 120)})
+    ladder = {
+        "trend_regime": F.when(t > trend_threshold, "up").when(t < -trend_threshold, "down").otherwise("range"),
+        "volatility_regime": F.when(v > F.col("_high"), "high_vol").when(v < F.col("_low"), "low_vol").otherwise("normal_vol"),
+    }
+    flags = {"funding_regime": (("funding_extreme_pos", "positive_extreme"), ("funding_extreme_neg", "negative_extreme")), "oi_regime": (("oi_expansion", "expansion"), ("oi_flush", "flush")), "basis_regime": (("perp_premium_extreme", "premium_extreme"), ("perp_discount_extreme", "discount_extreme"))}
+    for name, ((a, is_a), (b, is_b)) in flags.items():
+        if a in df.columns and b in df.columns:
+            ladder[name] = F.when(F.col(a), is_a).when(F.col(b), is_b).otherwise("neutral")
+        elif allow_missing:
+            ladder[name] = F.lit("missing")
+        else:
+            need(df, a, b)
+    df = df.withColumns(ladder).drop("_low", "_high")
+    return df.withColumns({tag: F.col(regime) == value for tag, regime, value in TAGS} | {"market_regime_tags": F.concat_ws("|", *ladder)})
 
 
 def add_forced_flow(df: DataFrame, shock: float = 2.0, spike: float = 2.0, keys=KEYS) -> DataFrame:
@@ -138,7 +152,7 @@ def feature_dataset(df: DataFrame, keys=KEYS, stages=STAGES) -> DataFrame:
     need(df, *keys, "ts", "available_at", "open", "high", "low", "close", "volume")
     steps = {
         "returns": lambda d: I.add_returns(d, keys=keys),
-        "volatility": lambda d: I.add_true_range(d, keys=keys),
+        "volatility": lambda d: I.add_volatility(d, keys=keys),
         "trend": lambda d: add_trend(d, keys),
         "bands": lambda d: I.add_reclaims(I.add_bands(d, keys=keys), keys=keys),
         "momentum": lambda d: I.add_momentum(I.add_rsi(d, keys=keys), keys=keys),

@@ -88,14 +88,14 @@ def bb_breakout(df: DataFrame, n: int = 20, k: float = 2.0, regime: int = 50, ke
 
 
 @STRATEGIES.add("rsi_sma")
-def rsi_sma(df: DataFrame, fast: int = 10, slow: int = 30, period: int = 14, side: float = 50.0, keys=KEYS) -> DataFrame:
-    """Fast mean crosses the slow one upward with RSI over `side` in, downward out."""
+def rsi_sma(df: DataFrame, fast: int = 10, slow: int = 30, period: int = 14, side: float = 50.0, above: bool = True, keys=KEYS) -> DataFrame:
+    """Fast mean crosses the slow one upward with RSI over `side` (without `above`: under it) in, downward out."""
     if not 1 <= fast < slow:
         raise ValueError("rsi_sma needs fast < slow")
     df = I.add_rsi(df, period, keys, name="rsi").withColumns({"sma_fast": rolling(F.avg, F.col("close"), fast, keys), "sma_slow": rolling(F.avg, F.col("close"), slow, keys)})
     a, b = F.col("sma_fast"), F.col("sma_slow")
     up, down = (a > b) & (before(a, 1, keys) <= before(b, 1, keys)), (a < b) & (before(a, 1, keys) >= before(b, 1, keys))
-    return df.withColumns({"cross_up": up, "cross_down": down}).withColumn("signal", _first((F.col("cross_up") & (F.col("rsi") > side), 1), (F.col("cross_down"), 0)))
+    return df.withColumns({"cross_up": up, "cross_down": down}).withColumn("signal", _first((F.col("cross_up") & (F.col("rsi") > side if above else F.col("rsi") < side), 1), (F.col("cross_down"), 0)))
 
 
 def rsi_pulses(variant: str, rsi: Column, p: RsiParams, ready: Column | None = None) -> list[Column]:
@@ -191,39 +191,55 @@ def forced_flow_band_reclaim(df: DataFrame, context: bool = True, strict: bool =
 
 
 @STRATEGIES.add("funding_exhaustion_reversal")
-def funding_exhaustion_reversal(df: DataFrame, oversold: float = 30.0, overbought: float = 70.0, middle: float = 50.0, funding: float = 1.0, extension: float | None = 1.0, turn: bool = True, basis: float | None = None, context: bool = True, max_spread: float | None = None) -> DataFrame:
-    """Oversold while funding is exhausted, the price extended and momentum turning; out at the RSI's middle."""
+def funding_exhaustion_reversal(df: DataFrame, oversold: float = 30.0, overbought: float = 70.0, middle: float = 50.0, mid_exit: bool = True, funding: float = 2.0, extended: bool = True, extension: float = 0.02, turn: bool = True, basis: bool = False, basis_limit: float = 1.5, context: bool = True, max_spread: float | None = None) -> DataFrame:
+    """Oversold while funding is exhausted, the price extended and momentum turning; out at the RSI's middle.
+
+    The extension is price_extension_20, or ret_60 where there is none.
+    """
+    if not 0 < oversold < overbought < 100 or not 0 < middle < 100 or funding <= 0 or extension < 0 or basis_limit <= 0 or (max_spread or 0) < 0:
+        raise ValueError("funding_exhaustion_reversal needs 0 < oversold < overbought < 100 and limits that aren't negative")
     need(df, "rsi_14")
     has, ok, rsi = set(df.columns), F.lit(True), F.col("rsi_14")
     if context:
         need(df, "funding_zscore_30")
         ok = ok & (F.col("funding_zscore_30") <= -funding)
-    if extension is not None:
-        ok = ok & (F.col("price_extension" if "price_extension" in has else "ret_60") <= -extension)
+    if extended:
+        stretch = "price_extension_20" if "price_extension_20" in has else "ret_60"
+        need(df, stretch)
+        ok = ok & (F.col(stretch) <= -extension)
     if turn:
-        need(df, "momentum_slope_5")
-        ok = ok & (F.col("momentum_slope_5") > 0)
-    if basis is not None:
-        ok = ok & (F.col("basis_zscore_60") <= -basis)
+        need(df, "momentum_slope_10")
+        ok = ok & (F.col("momentum_slope_10") > 0)
+    if basis:
+        need(df, "basis_zscore_60")
+        ok = ok & (F.col("basis_zscore_60") <= -basis_limit)
     if max_spread is not None and "spread_bps" in has:
         ok = ok & (F.col("spread_bps") <= max_spread)
-    short = (rsi >= overbought) & (F.col("funding_zscore_30") >= funding if "funding_zscore_30" in has else F.lit(False)) & (F.col("momentum_slope_5") < 0 if "momentum_slope_5" in has else F.lit(False))
-    return _result(df, rsi <= oversold, short, ok, rsi >= middle)
+    short = (rsi >= overbought) & (F.col("funding_zscore_30") >= funding if "funding_zscore_30" in has else F.lit(False)) & (F.col("momentum_slope_10") < 0 if "momentum_slope_10" in has else F.lit(False))
+    return _result(df, rsi <= oversold, short, ok, rsi >= middle if mid_exit else F.lit(False))
 
 
 @STRATEGIES.add("oi_confirmed_trend")
-def oi_confirmed_trend(df: DataFrame, strength: float = 0.0, distance: float = 0.0, oi: float = 0.0, crowded_funding: float = 2.0, crowded_basis: float = 2.0, context: bool = True, max_spread: float | None = None) -> DataFrame:
-    """An up-trend over its mean that open interest confirms and neither funding nor basis crowds; out under the mean."""
-    need(df, "ema_50", "ema_dist_50", "trend_strength")
-    has, ok, t, mean = set(df.columns), F.lit(True), F.col("trend_strength"), F.col("ema_50")
+def oi_confirmed_trend(df: DataFrame, strength: float = 0.0, distance: float = 0.0, expansion: bool = True, oi: float = 1.0, oi_change: float = 0.0, avoid_funding: bool = True, crowded_funding: float = 1.5, avoid_basis: bool = True, crowded_basis: float = 1.5, context: bool = True, max_spread: float | None = None, trend_exit: bool = True) -> DataFrame:
+    """An up-trend over its 20-span mean that open interest confirms, by its z-score or its change, and neither funding nor basis crowds; out under the mean."""
+    if (max_spread or 0) < 0:
+        raise ValueError("max_spread must not be negative")
+    need(df, "close", "ema_20", "ema_dist_20", "trend_strength_50_200")
+    has, ok, t, mean = set(df.columns), F.lit(True), F.col("trend_strength_50_200"), F.col("ema_20")
     confirmed = F.lit(True)
-    if context:
-        need(df, "oi_zscore_60", "funding_zscore_30", "basis_zscore_60")
-        confirmed = F.col("oi_zscore_60") > oi
-        ok = ok & confirmed & (F.col("funding_zscore_30") < crowded_funding) & (F.col("basis_zscore_60") < crowded_basis)
+    if context and expansion:
+        signs = [F.col(c) > limit for c, limit in (("oi_zscore_60", oi), ("oi_change_pct_5", oi_change)) if c in has]
+        if not signs:
+            raise ValueError("oi_confirmed_trend needs oi_zscore_60 or oi_change_pct_5")
+        confirmed = reduce(lambda a, b: a | b, signs)
+        ok = ok & confirmed
+    for wanted, column, limit in ((avoid_funding, "funding_zscore_30", crowded_funding), (avoid_basis, "basis_zscore_60", crowded_basis)):
+        if context and wanted:
+            need(df, column)
+            ok = ok & (F.col(column) < limit)
     if max_spread is not None and "spread_bps" in has:
         ok = ok & (F.col("spread_bps") <= max_spread)
-    return _result(df, (t > strength) & (F.col("ema_dist_50") > distance) & (F.col("close") > mean), (t < -strength) & (F.col("close") < mean) & confirmed, ok, F.col("close") < mean)
+    return _result(df, (t > strength) & (F.col("ema_dist_20") > distance) & (F.col("close") > mean), (t < -strength) & (F.col("close") < mean) & confirmed, ok, F.col("close") < mean if trend_exit else F.lit(False))
 
 
 def trend_filtered(df: DataFrame, fast: int = 20, slow: int = 50, keys=KEYS) -> DataFrame:
@@ -245,28 +261,38 @@ def chop_filtered(df: DataFrame, kind: str, keys=KEYS) -> DataFrame:
     return df.withColumn("signal", F.when(_no(through), F.col("signal")).otherwise(0)).drop("_loss")
 
 
-def context_filter(kind: str) -> Column:
-    """Seven conditions on the columns of add_context()."""
-    high_vol = F.col("realised_vol") > F.col("vol_of_vol") * 3
-    return {"none": F.lit(True), "trend": F.col("trend_up"), "calm": ~high_vol, "trend_calm": F.col("trend_up") & ~high_vol, "not_high": ~F.col("rsi_high"), "not_low": ~F.col("rsi_low"), "not_extreme": ~F.col("rsi_high") & ~F.col("rsi_low")}[kind]
+CONTEXT_FILTERS = ("unfiltered_champion", "volatility_extreme_disable", "moderate_volatility_only", "trend_strength_filter", "liquidity_stress_disable", "funding_crowding_filter", "simple_combined_filter")
+
+
+def context_filter(kind: str, most: float = 2.5, moderate: tuple[float, float] = (-1.0, 2.0)) -> Column:
+    """Where the filter lets the signal through; needs signal and the columns of add_context(). What isn't known lets nothing
+    through, except that crowding by the RSI's extremes has to be known to block."""
+    s, z, calm = F.col("signal"), F.col("volatility_zscore"), ~F.col("liquidity_stress")
+    crowded = ((s > 0) & F.col("rsi_high")) | ((s < 0) & F.col("rsi_low"))
+    through = {
+        "unfiltered_champion": F.lit(True), "volatility_extreme_disable": z <= most, "moderate_volatility_only": z.between(*moderate), "trend_strength_filter": F.col("trend_up"),
+        "liquidity_stress_disable": calm, "funding_crowding_filter": ~_no(crowded), "simple_combined_filter": (z <= most) & calm & ~crowded,
+    }
+    return _no(through[kind])
 
 
-CONTEXT_FILTERS = ("none", "trend", "calm", "trend_calm", "not_high", "not_low", "not_extreme")
+def context_filtered(df: DataFrame, kind: str, **limits) -> DataFrame:
+    """The signal where the filter lets it through, else 0."""
+    return df.withColumn("signal", F.when(context_filter(kind, **limits), F.col("signal")).otherwise(0))
 
 
 def retention(df: DataFrame, kinds=CONTEXT_FILTERS, keys=KEYS) -> DataFrame:
-    """For each filter, the share of bars with a signal that keep it."""
+    """For each filter, the share of bars with a signal that keep it; without any signal all are kept."""
     on = F.coalesce(F.col("signal"), F.lit(0)) != 0
-    kept = {k: F.count_if(on & _no(context_filter(k))) for k in kinds}
-    return df.groupBy(*keys).agg(F.count_if(on).alias("n_signals"), *(safe_div(n, F.count_if(on)).alias(f"kept_{k}") for k, n in kept.items()))
+    kept = {k: F.count_if(on & context_filter(k)) for k in kinds}
+    return df.groupBy(*keys).agg(F.count_if(on).alias("n_signals"), *(F.coalesce(safe_div(n, F.count_if(on)), F.lit(1.0)).alias(f"kept_{k}") for k, n in kept.items()))
 
 
 @STRATEGIES.add("macd_cross")
 def macd_cross(df: DataFrame, keys=KEYS) -> DataFrame:
-    """1 where MACD crosses its signal upward, -1 downward, with the RSI beside it."""
+    """On every bar 1 while MACD is over its signal line, else -1, with the RSI beside it."""
     df = I.add_rsi(add_macd(df, keys=keys), 14, keys)
-    h, was = F.col("macd_hist"), before(F.col("macd_hist"), 1, keys)
-    return df.withColumn("signal", _first(((h > 0) & (was <= 0), 1), ((h < 0) & (was >= 0), -1)))
+    return df.withColumn("signal", F.when(F.col("macd") > F.col("macd_signal"), 1).otherwise(-1))
 
 
 def matrix_to_long(df: DataFrame, values: str, assets: list[str], name: str = "prediction_value") -> DataFrame:

@@ -68,11 +68,15 @@ def window_rsi(spark, d):
 _EMA = f"WITH RECURSIVE {S.BARS}, {S.recursion()}"
 
 
-@query(f"{_EMA}, e AS (SELECT num.*, CASE WHEN num.n >= 50 THEN y50 END AS ema_50, CASE WHEN num.n >= 200 THEN y200 END AS ema_200 FROM num JOIN rec USING (symbol, n)) SELECT {KT}, {S.r('ema_50', 'ema_200', 'close / ema_50 - 1 AS ema_dist_50', 'close / ema_200 - 1 AS ema_dist_200', 'ema_50 / ema_200 - 1 AS trend_strength')} FROM e")
+_SPANS = (10, 20, 50, 200)
+_MEANS = ", ".join(f"CASE WHEN num.n >= {n} THEN y{n} END AS ema_{n}" for n in _SPANS)
+
+
+@query(f"{_EMA}, e AS (SELECT num.*, {_MEANS} FROM num JOIN rec USING (symbol, n)) SELECT {KT}, {S.r(*(f'ema_{n}' for n in _SPANS), *(f'close / ema_{n} - 1 AS ema_dist_{n}' for n in _SPANS), 'ema_50 / ema_200 - 1 AS trend_strength_50_200')} FROM e")
 def window_ema_scan(spark, d):
     """W13, W14 by the block scan."""
     out = scan.add_trend(M.bars(spark, d))
-    return tidy(out.select("symbol", "ts", "ema_50", "ema_200", "ema_dist_50", "ema_dist_200", "trend_strength"))
+    return tidy(out.select("symbol", "ts", *(f"ema_{n}" for n in _SPANS), *(f"ema_dist_{n}" for n in _SPANS), "trend_strength_50_200"))
 
 
 @query(f"{_EMA} SELECT rec.symbol, rec.ts, {S.r('y12 - y26 AS macd', 'sig AS macd_signal', 'y12 - y26 - sig AS macd_hist')} FROM rec")
@@ -249,15 +253,19 @@ def features_derivatives(spark, d):
     return tidy(out.select("symbol", "ts", *[c for c in out.columns if c not in m.columns]))
 
 
-_REG = f"""{_FUND}, g1 AS (SELECT *, {S.ret()} AS r1 FROM f1), g2 AS (SELECT *, {S.dev('r1', 20)} AS rv FROM g1), g3 AS (SELECT *, {S.quantile('rv', 0.25, 240, 120)} AS lo, {S.quantile('rv', 0.75, 240, 120)} AS hi FROM g2)"""
-_LEVEL = "CASE WHEN {0} IS NULL THEN 'missing' WHEN {0} >= 1 THEN 'high' WHEN {0} <= -1 THEN 'low' ELSE 'neutral' END"
+_MEMA = f"WITH RECURSIVE {_FUND}, {S.recursion('f1')}, t AS (SELECT num.*, {_MEANS} FROM num JOIN rec USING (symbol, n))"
+_REG = f"""{_MEMA}, g1 AS (SELECT *, {S.ret()} AS r1 FROM t), g2 AS (SELECT *, {S.dev('r1', 60)} AS rv FROM g1), g3 AS (SELECT *, {S.quantile('rv', 0.25, 240, 120)} AS lo, {S.quantile('rv', 0.75, 240, 120)} AS hi, ema_50 / ema_200 - 1 AS strength FROM g2),
+rg AS (SELECT symbol, ts, CASE WHEN strength > 0 THEN 'up' WHEN strength < 0 THEN 'down' ELSE 'range' END AS trend_regime, CASE WHEN rv > hi THEN 'high_vol' WHEN rv < lo THEN 'low_vol' ELSE 'normal_vol' END AS volatility_regime,
+  CASE WHEN fz > 2 THEN 'positive_extreme' WHEN fz < -2 THEN 'negative_extreme' ELSE 'neutral' END AS funding_regime, CASE WHEN oz > 2 OR p > 0.03 THEN 'expansion' WHEN oz < -2 OR p < -0.03 THEN 'flush' ELSE 'neutral' END AS oi_regime,
+  CASE WHEN bz > 2 THEN 'premium_extreme' WHEN bz < -2 THEN 'discount_extreme' ELSE 'neutral' END AS basis_regime FROM g3)"""
+_REGIMES = ("trend_regime", "volatility_regime", "funding_regime", "oi_regime", "basis_regime")
 
 
-@query(f"WITH {_REG}, g4 AS (SELECT symbol, ts, CASE WHEN lo IS NULL OR rv IS NULL THEN 'missing' WHEN rv <= lo THEN 'low' WHEN rv >= hi THEN 'high' ELSE 'normal' END AS volatility_regime, {_LEVEL.format('fz')} AS funding_regime, {_LEVEL.format('oz')} AS oi_regime, {_LEVEL.format('bz')} AS basis_regime FROM g3) SELECT *, 'basis=' || basis_regime || '|funding=' || funding_regime || '|oi=' || oi_regime || '|volatility=' || volatility_regime AS regime FROM g4")
+@query(f"{_REG} SELECT *, {', '.join(f'{regime} = {chr(39)}{value}{chr(39)} AS {tag}' for tag, regime, value in FT.TAGS)}, {' || chr(124) || '.join(_REGIMES)} AS market_regime_tags FROM rg")
 def features_regimes(spark, d):
     """F5, F6."""
-    out = FT.add_regimes(FT.add_derivatives(M.market(spark, d)).withColumn("ret_1", I.returns(_close())))
-    return tidy(out.select("symbol", "ts", "volatility_regime", "funding_regime", "oi_regime", "basis_regime", "regime"))
+    out = FT.feature_dataset(M.market(spark, d), stages=("returns", "volatility", "trend", "derivatives", "regimes"))
+    return tidy(out.select("symbol", "ts", *_REGIMES, *(tag for tag, _, _ in FT.TAGS), "market_regime_tags"))
 
 
 @query()
@@ -297,6 +305,12 @@ def signal_rsi_sma(spark, d):
     return tidy(SG.rsi_sma(M.bars(spark, d)).select("symbol", "ts", "signal"))
 
 
+@query(f"WITH {S.BARS}, {S.rsi(14, 'rs')}, a AS (SELECT *, {S.roll('avg', 'close', 10)} AS f, {S.roll('avg', 'close', 30)} AS s FROM rs), b AS (SELECT *, f > s AND {S.lag('f')} <= {S.lag('s')} AS up, f < s AND {S.lag('f')} >= {S.lag('s')} AS dn FROM a) SELECT {KT}, {_SIG.format('CASE WHEN up AND rsi < 60 THEN 1 WHEN dn THEN 0 END')} FROM b")
+def signal_rsi_sma_below(spark, d):
+    """S2 with the RSI under a limit."""
+    return tidy(SG.rsi_sma(M.bars(spark, d), side=60.0, above=False).select("symbol", "ts", "signal"))
+
+
 _H = S.held
 _VARIANTS = {
     "neutral-exit": S.neutral(), "extreme-zone": "CASE WHEN rsi >= 70 THEN 1 WHEN rsi <= 30 THEN -1 ELSE 0 END", "always-in": _H("CASE WHEN rsi >= 70 THEN 1 WHEN rsi <= 30 THEN -1 END"),
@@ -356,22 +370,37 @@ def signal_forced_flow(spark, d):
     return tidy(SG.forced_flow_band_reclaim(f).select("symbol", "ts", "long_setup", "exit_signal", "signal"))
 
 
-@query(f"WITH {_MF}, s AS (SELECT *, coalesce(rsi <= 48 AND fz <= -0.2 AND ext <= -0.2 AND slope > 0, FALSE) AS long_setup, coalesce(rsi >= 52 AND fz >= 0.2 AND slope < 0, FALSE) AS short_setup, coalesce(rsi >= 50, FALSE) AS exit_signal FROM mf) SELECT {KT}, long_setup, short_setup, {_SIG.format('CASE WHEN long_setup THEN 1 WHEN exit_signal THEN 0 END')} FROM s")
+_TURN = f"x1 AS (SELECT *, m10 - {S.lag('m10', 10)} AS turn, close / ({S.roll('avg', 'close', 20)}) - 1 AS stretch FROM mf)"
+
+
+@query(f"WITH {_MF}, {_TURN}, s AS (SELECT *, coalesce(rsi <= 48 AND fz <= -0.2 AND stretch <= -0.002 AND turn > 0, FALSE) AS long_setup, coalesce(rsi >= 52 AND fz >= 0.2 AND turn < 0, FALSE) AS short_setup, coalesce(rsi >= 50, FALSE) AS exit_signal FROM x1) SELECT {KT}, long_setup, short_setup, {_SIG.format('CASE WHEN long_setup THEN 1 WHEN exit_signal THEN 0 END')} FROM s")
 def signal_funding_reversal(spark, d):
     """S7 at thresholds that occur."""
-    out = SG.funding_exhaustion_reversal(market_features(spark, d), oversold=48, overbought=52, funding=0.2, extension=0.2)
+    out = SG.funding_exhaustion_reversal(market_features(spark, d), oversold=48, overbought=52, funding=0.2, extension=0.002)
     return tidy(out.select("symbol", "ts", "long_setup", "short_setup", "signal"))
 
 
-_MEMA = f"WITH RECURSIVE {_FUND}, {S.recursion('f1')}, t AS (SELECT num.*, CASE WHEN num.n >= 50 THEN y50 END AS e50, CASE WHEN num.n >= 200 THEN y200 END AS e200 FROM num JOIN rec USING (symbol, n))"
+@query(f"WITH {_MF}, {_TURN}, s AS (SELECT *, coalesce(rsi <= 48 AND bz <= -0.1 AND {S.ret('close', 60)} <= 0, FALSE) AS long_setup, coalesce(rsi >= 52 AND fz >= 0.2 AND turn < 0, FALSE) AS short_setup FROM x1) SELECT {KT}, long_setup, short_setup, {_SIG.format('CASE WHEN long_setup THEN 1 END')} FROM s")
+def signal_funding_reversal_by_basis(spark, d):
+    """S7 without context or turn, extended by the return of 60 bars, confirmed by the basis, with no exit."""
+    df = market_features(spark, d).drop("price_extension_20")
+    out = SG.funding_exhaustion_reversal(df, oversold=48, overbought=52, mid_exit=False, funding=0.2, extension=0.0, turn=False, basis=True, basis_limit=0.1, context=False)
+    return tidy(out.select("symbol", "ts", "long_setup", "short_setup", "signal"))
 
 
-@query(f"{_MEMA}, s AS (SELECT *, coalesce(e50 / e200 - 1 > 0 AND close / e50 - 1 > 0 AND close > e50 AND oz > 0 AND fz < 2 AND bz < 2, FALSE) AS long_setup, coalesce(e50 / e200 - 1 < 0 AND close < e50 AND oz > 0, FALSE) AS short_setup, coalesce(close < e50, FALSE) AS exit_signal FROM t) SELECT {KT}, long_setup, short_setup, {_SIG.format('CASE WHEN long_setup THEN 1 WHEN exit_signal THEN 0 END')} FROM s")
+@query(f"{_MEMA}, s AS (SELECT *, coalesce(ema_50 / ema_200 - 1 > 0 AND close / ema_20 - 1 > 0 AND close > ema_20 AND (oz > 1 OR p > 0) AND fz < 1.5 AND bz < 1.5, FALSE) AS long_setup, coalesce(ema_50 / ema_200 - 1 < 0 AND close < ema_20 AND (oz > 1 OR p > 0), FALSE) AS short_setup, coalesce(close < ema_20, FALSE) AS exit_signal FROM t) SELECT {KT}, long_setup, short_setup, {_SIG.format('CASE WHEN long_setup THEN 1 WHEN exit_signal THEN 0 END')} FROM s")
 def signal_oi_trend(spark, d):
     """S8."""
     return tidy(SG.oi_confirmed_trend(market_features(spark, d)).select("symbol", "ts", "long_setup", "short_setup", "signal"))
 
 
+@query(f"{_MEMA}, s AS (SELECT *, coalesce(ema_50 / ema_200 - 1 > -0.05 AND close / ema_20 - 1 > 0.001 AND close > ema_20 AND oz > 0.5 AND bz < 1, FALSE) AS long_setup, coalesce(ema_50 / ema_200 - 1 < 0.05 AND close < ema_20 AND oz > 0.5, FALSE) AS short_setup FROM t) SELECT {KT}, long_setup, short_setup, {_SIG.format('CASE WHEN long_setup THEN 1 END')} FROM s")
+def signal_oi_trend_by_zscore(spark, d):
+    """S8 by the z-score alone, whatever the funding, with no exit."""
+    out = SG.oi_confirmed_trend(market_features(spark, d).drop("oi_change_pct_5"), strength=-0.05, distance=0.001, oi=0.5, avoid_funding=False, crowded_basis=1.0, trend_exit=False)
+    return tidy(out.select("symbol", "ts", "long_setup", "short_setup", "signal"))
+
+
 @query(f"WITH {S.BARS}, {S.rsi(14, 'rs', flat=100.0)}, s AS (SELECT *, {S.neutral('60', '40')} AS sig FROM rs) SELECT {KT}, CAST(sig * coalesce(CAST(({S.roll('avg', 'close', 20)}) > ({S.roll('avg', 'close', 50)}) AS INT), 0) AS BIGINT) AS signal FROM s")
 def signal_trend_filter(spark, d):
     """S9."""
@@ -390,11 +419,14 @@ def signal_chop_filters(spark, d):
     return tidy(base.select("symbol", "ts", *SG.CHOP_FILTERS[1:]))
 
 
-_HV = "(realised_vol > vol_of_vol * 3)"
-_CF = {"none": "TRUE", "trend": "trend_up", "calm": f"NOT {_HV}", "trend_calm": f"trend_up AND NOT {_HV}", "not_high": "NOT rsi_high", "not_low": "NOT rsi_low", "not_extreme": "NOT rsi_high AND NOT rsi_low"}
+_CROWD = "(sig > 0 AND rsi_high OR sig < 0 AND rsi_low)"
+_CF = {
+    "unfiltered_champion": "TRUE", "volatility_extreme_disable": "volatility_zscore <= 2.5", "moderate_volatility_only": "volatility_zscore BETWEEN -1 AND 2", "trend_strength_filter": "trend_up",
+    "liquidity_stress_disable": "NOT volatility_zscore > 3", "funding_crowding_filter": f"NOT coalesce({_CROWD}, FALSE)", "simple_combined_filter": f"volatility_zscore <= 2.5 AND NOT volatility_zscore > 3 AND NOT {_CROWD}",
+}
 
 
-@query(f"WITH {_CTX}, sx AS (SELECT *, {S.neutral('60', '40')} AS sig FROM cx) SELECT symbol, count(*) FILTER (sig <> 0) AS n_signals, {', '.join(f'round(count(*) FILTER (sig <> 0 AND coalesce({x}, FALSE)) / nullif(count(*) FILTER (sig <> 0), 0), 6) AS kept_{k}' for k, x in _CF.items())} FROM sx GROUP BY symbol")
+@query(f"WITH {_CTX}, sx AS (SELECT *, {S.neutral('60', '40')} AS sig FROM cx) SELECT symbol, count(*) FILTER (sig <> 0) AS n_signals, {', '.join(f'round(coalesce(count(*) FILTER (sig <> 0 AND coalesce({x}, FALSE)) / nullif(count(*) FILTER (sig <> 0), 0), 1.0), 6) AS kept_{k}' for k, x in _CF.items())} FROM sx GROUP BY symbol")
 def signal_context_retention(spark, d):
     """S11."""
     df = I.add_context(I.add_rsi(M.bars(spark, d)))
@@ -402,7 +434,7 @@ def signal_context_retention(spark, d):
     return tidy(SG.retention(df))
 
 
-@query(f"{_EMA}, h AS (SELECT symbol, ts, round(y12 - y26 - sig, 9) AS h FROM rec) SELECT {KT}, {_SIG.format('CASE WHEN h > 0 AND ' + S.lag('h') + ' <= 0 THEN 1 WHEN h < 0 AND ' + S.lag('h') + ' >= 0 THEN -1 END')} FROM h")
+@query(f"{_EMA} SELECT {KT}, {_SIG.format('CASE WHEN y12 - y26 > sig THEN 1 ELSE -1 END')} FROM rec")
 def signal_macd_cross(spark, d):
     """S12."""
     return tidy(SG.macd_cross(M.bars(spark, d)).select("symbol", "ts", "signal"))

@@ -118,12 +118,13 @@ def trade_log(source: str = "ledger", name: str = "tlog") -> str:
 
 
 def recursion(source: str = "bars") -> str:
-    """CTE rec (use WITH RECURSIVE): exponential means of 12, 26, 50, 200, MACD's signal, by symbol and row number n."""
-    a = {n: f"(2.0 / {n + 1})" for n in (9, 12, 26, 50, 200)}
-    step = ", ".join(f"{a[n]} * num.close + (1 - {a[n]}) * e.y{n} AS y{n}" for n in (12, 26, 50, 200))
+    """CTE rec (use WITH RECURSIVE): exponential means of 10, 12, 20, 26, 50, 200, MACD's signal, by symbol and row number n."""
+    spans = (10, 12, 20, 26, 50, 200)
+    a = {n: f"(2.0 / {n + 1})" for n in (9, *spans)}
+    step = ", ".join(f"{a[n]} * num.close + (1 - {a[n]}) * e.y{n} AS y{n}" for n in spans)
     m = f"(({a[12]} * num.close + (1 - {a[12]}) * e.y12) - ({a[26]} * num.close + (1 - {a[26]}) * e.y26))"
     return f"""num AS (SELECT *, row_number() OVER {P} AS n FROM {source}),
-rec AS (SELECT symbol, ts, n, close AS y12, close AS y26, close AS y50, close AS y200, CAST(0.0 AS DOUBLE) AS sig FROM num WHERE n = 1
+rec AS (SELECT symbol, ts, n, {", ".join(f"close AS y{n}" for n in spans)}, CAST(0.0 AS DOUBLE) AS sig FROM num WHERE n = 1
   UNION ALL SELECT num.symbol, num.ts, num.n, {step}, {a[9]} * {m} + (1 - {a[9]}) * e.sig AS sig FROM rec e JOIN num ON num.symbol = e.symbol AND num.n = e.n + 1)"""
 
 
