@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import KEYS, before, by_time, clean, forward_fill, rolling, safe_div, so_far, stages
+from ..functions.columns import KEYS, TINY, before, by_time, clean, forward_fill, rolling, safe_div, so_far, stages
 from ..functions.indicators import returns
 from ..operators import stretches as ST
 
@@ -151,18 +151,20 @@ def sized_ledger(df: DataFrame, mode: str = "BINARY", size: float = 1.0, capital
 
 
 def portfolio(df: DataFrame, kind: str = "equal", n: int = 20, keys=KEYS) -> DataFrame:
-    """Portfolio return at each time of net_return by symbol: equal weights, equal among the exposed, or inverse volatility."""
+    """Portfolio return at each time of net_return by symbol: equal weights, equal among those with a signal, or inverse volatility
+    of net_return, where a volatility that is missing or 0 weighs 1."""
+    on = F.coalesce(F.col("signal") != 0, F.lit(False))
     if kind == "equal":
         weight = F.lit(1.0)
     elif kind == "active":
-        weight = F.col("is_exposed").cast("double")
+        weight = on.cast("double")
     elif kind == "inverse_vol":
-        df = df.withColumn("_vol", rolling(F.stddev_samp, F.col("asset_return"), n, keys))
-        weight = F.coalesce(safe_div(F.lit(1.0), F.col("_vol")), F.lit(0.0))
+        df = df.withColumn("_vol", rolling(F.stddev_samp, F.col("net_return"), n, keys))
+        weight = F.coalesce(safe_div(F.lit(1.0), F.when(F.col("_vol") >= TINY, F.col("_vol"))), F.lit(1.0))
     else:
         raise ValueError(f"no weighting {kind}")
-    at = df.withColumn("_w", weight).groupBy("ts").agg(F.sum(F.col("_w") * F.col("net_return")).alias("_r"), F.sum("_w").alias("_s"), F.count_if("is_exposed").alias("n_exposed"))
-    return at.select("ts", F.coalesce(safe_div(F.col("_r"), F.col("_s")), F.lit(0.0)).alias("portfolio_return"), "n_exposed")
+    at = df.withColumns({"_w": weight, "_on": on}).groupBy("ts").agg(F.sum(F.col("_w") * F.col("net_return")).alias("_r"), F.sum("_w").alias("_s"), F.count_if("_on").alias("n_active"))
+    return at.select("ts", F.coalesce(safe_div(F.col("_r"), F.col("_s")), F.lit(0.0)).alias("portfolio_return"), "n_active")
 
 
 def monte_carlo(trades: DataFrame, sims: int = 50, seed: int = 7, keys=KEYS) -> DataFrame:
@@ -186,8 +188,11 @@ def contract(metrics: DataFrame, max_drawdown: float = -0.16, max_daily: float =
     return metrics.withColumn("reasons", reasons).withColumn("passed", F.size("reasons") == 0)
 
 
-def pipeline_gate(metrics: DataFrame, min_trades: int = 20, max_drawdown: float = 0.3, min_pf: float = 1.0, min_sharpe: float = 0.0, min_return: float = 0.0) -> DataFrame:
-    """Gate on trades, drawdown, profit factor, Sharpe ratio and return. Needs trade_count and profit_factor."""
-    pf = F.coalesce(clean(F.col("profit_factor")), F.lit(0.0))
-    reasons = F.array_compact(F.array(F.when(F.col("trade_count") < min_trades, "trades"), F.when(F.abs("max_drawdown") > max_drawdown, "drawdown"), F.when(pf < min_pf, "profit_factor"), F.when(F.col("smart_sharpe") < min_sharpe, "sharpe"), F.when(F.col("cumulative_return") < min_return, "return")))
-    return metrics.withColumns({"gate_reasons": reasons, "low_trades": F.col("trade_count") < min_trades}).withColumn("gate_passed", F.size("gate_reasons") == 0)
+def pipeline_gate(metrics: DataFrame, min_trades: int = 30, max_drawdown: float = 0.25, min_pf: float = 1.0, min_sharpe: float = 0.0, min_return: float = 0.0) -> DataFrame:
+    """Gate on trades, drawdown, profit factor, Sharpe ratio and return; a warning for fewer than 50 trades, but some.
+
+    Needs trade_count, win_rate and profit_factor; without a loss the factor is infinite if there is a profit, else 0.
+    """
+    pf = F.coalesce(clean(F.col("profit_factor")), F.when(F.col("win_rate") > 0, float("inf")).otherwise(0.0))
+    reasons = F.array_compact(F.array(F.when(F.col("trade_count") < min_trades, "trade_count"), F.when(F.abs("max_drawdown") > max_drawdown, "max_drawdown"), F.when(pf < min_pf, "profit_factor"), F.when(F.col("smart_sharpe") < min_sharpe, "sharpe"), F.when(F.col("cumulative_return") < min_return, "cumulative_return")))
+    return metrics.withColumns({"gate_reasons": reasons, "low_trades": (F.col("trade_count") > 0) & (F.col("trade_count") < 50)}).withColumn("gate_passed", F.size("gate_reasons") == 0)

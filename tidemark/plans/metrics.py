@@ -88,14 +88,14 @@ def attribution(ledger: DataFrame, keys=KEYS) -> DataFrame:
     return ledger.groupBy(*keys).agg(F.sum(F.when(p > 0, r).otherwise(0.0)).alias("long_return"), F.sum(F.when(p < 0, r).otherwise(0.0)).alias("short_return"), F.count_if(p > 0).alias("long_bars"), F.count_if(p < 0).alias("short_bars"))
 
 
-def period_attribution(ledger: DataFrame, split: str, keys=KEYS) -> DataFrame:
-    """Sides, turnover, costs and volatility before and from `split`, and what kind of failure the later period is."""
+def period_attribution(ledger: DataFrame, split: str, keys=KEYS, loss: float = -0.05) -> DataFrame:
+    """Return, sides, turnover, costs and volatility before and from `split`, and what a loss of the later period under `loss` comes from."""
     post = F.col("ts") >= F.to_timestamp(F.lit(split))
     r, p = F.col("net_return"), F.col("position")
-    out = ledger.groupBy(*keys, post.alias("is_post")).agg(F.sum(F.when(p > 0, r).otherwise(0.0)).alias("long_return"), F.sum(F.when(p < 0, r).otherwise(0.0)).alias("short_return"), F.sum("turnover").alias("turnover"), F.sum("cost_return").alias("cost_drag"), F.stddev_samp("asset_return").alias("volatility"), F.sum("gross_return").alias("gross_return"))
-    net = F.col("long_return") + F.col("short_return")
-    kind = F.when(net >= 0, "none").when(F.col("gross_return") > 0, "costs").when((F.col("long_return") < 0) & (F.col("short_return") < 0), "both_sides").when(F.col("long_return") < 0, "longs").otherwise("shorts")
-    return out.withColumn("failure", kind).drop("gross_return")
+    out = ledger.groupBy(*keys, post.alias("is_post")).agg((F.product(1 + r) - 1).alias("cumulative_return"), F.sum(F.when(p > 0, r).otherwise(0.0)).alias("long_return"), F.sum(F.when(p < 0, r).otherwise(0.0)).alias("short_return"), F.sum("turnover").alias("turnover"), F.sum("cost_return").alias("cost_drag"), _zero(F.stddev_samp(r)).alias("volatility"))
+    total = F.col("cumulative_return")
+    kind = F.when(total >= loss, "normal_drawdown_within_expected_range").when(F.col("cost_drag") > F.abs(total) * 0.5, "cost_turnover_drag").when(F.abs("short_return") > F.abs("long_return"), "short_side_failure").otherwise("market_regime_shift_to_chop")
+    return out.withColumn("failure", F.when(F.col("is_post"), kind))
 
 
 def position_changes(ledger: DataFrame, keys=KEYS) -> DataFrame:

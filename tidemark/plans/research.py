@@ -12,14 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import indicators as I
-from ..functions.columns import KEYS, before, by_time, safe_div
+from ..functions.columns import KEYS, TINY, before, by_time, rolling, safe_div
 from ..operators import stretches as ST
 from ..operators.asof import gate
 from ..operators.blocks import first_touch, in_blocks
 from ..operators.scan import with_halo
 from . import ledger as B
 from . import metrics as A
-from .signals import RsiParams, add_rsi_signal, rsi_signal
+from .signals import RsiParams, add_rsi_signal, rsi_momentum, rsi_signal, trend_filtered
 
 
 def date_segments(df: DataFrame, train_start: str, train_end: str, test_end: str) -> DataFrame:
@@ -175,35 +175,139 @@ def champions(scored: DataFrame, keys=KEYS) -> DataFrame:
     return scored.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def robustness(metrics: DataFrame) -> DataFrame:
-    """Six tests of each row, their number, and a class."""
-    tests = [F.col("cumulative_return") > 0, F.col("smart_sharpe") > 0.5, F.col("max_drawdown") > -0.3, F.col("trade_count") >= 10, F.coalesce(F.col("profit_factor") > 1.0, F.lit(False)), F.col("time_in_market") < 0.9]
-    score = sum((t.cast("int") for t in tests), F.lit(0))
-    return metrics.withColumn("robustness_score", score).withColumn("robustness_class", F.when(score >= 5, "robust").when(score >= 3, "fragile").otherwise("weak"))
+#: Two runs of the same positions differ by less: that is no improvement.
+ROUNDING = 1e-9
 
 
-def against_baseline(metrics: DataFrame, baseline: str, keys=KEYS, kind: str = "filter_id") -> DataFrame:
-    """Each filter's score against the baseline's of the same key, and whether it is the key's best."""
-    base = metrics.where(F.col(kind) == baseline).select(*keys, F.col("smart_sharpe").alias("_s"), F.col("max_drawdown").alias("_d"), F.col("cumulative_return").alias("_r"))
-    out = metrics.join(base, list(keys))
-    score = F.when(F.col("smart_sharpe") > F.col("_s"), 2).otherwise(0) + F.when(F.col("max_drawdown") > F.col("_d"), 1).otherwise(0) + F.when(F.col("cumulative_return") > F.col("_r"), 1).otherwise(0)
-    out = out.withColumn("score", score).drop("_s", "_d", "_r")
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"), kind)
-    return out.withColumn("selected", F.row_number().over(w) == 1)
+def split_runs(bars: DataFrame, params: RsiParams = RsiParams(), train: float = 0.6, cost_bps: float = 6.0, high_cost_bps: float = 15.0, keys=KEYS) -> DataFrame:
+    """Ledgers of the runs train, test, hold (the test bars bought and held) and cost (the test bars at high cost), each from nothing, in one plan."""
+    split = ratio_split(bars, {"train": train, "test": 1 - train}, keys)
+    runs = F.when(F.col("role") == "train", F.array(F.lit("train"))).otherwise(F.array(F.lit("test"), F.lit("hold"), F.lit("cost")))
+    df, k = split.withColumn("run", F.explode(runs)).drop("role"), (*keys, "run")
+    df = I.add_rsi(df, params.period, k, flat=100.0, name="rsi")
+    df = df.withColumn("signal", F.when(F.col("run") == "hold", 1).otherwise(rsi_signal("neutral-exit", F.col("rsi"), params, k)))
+    return B.ledger(df, F.when(F.col("run") == "cost", high_cost_bps / 1e4).otherwise(cost_bps / 1e4), keys=k)
 
 
-WEIGHTS = {"sharpe": 1.0, "profit_factor": 0.5, "pass_rate": 1.0, "drawdown": 10.0, "daily_drawdown": 10.0, "trades": 0.05, "loss": 2.0}
+def window_returns(bars: DataFrame, params: RsiParams, train: int, test: int, step: int, cost_bps: float = 6.0, keys=KEYS) -> DataFrame:
+    """The return of each fold's test bars, from nothing: by (keys, fold)."""
+    df, k = walk_forward(bars, train, test, step, keys).where("role = 'test'"), (*keys, "fold")
+    df = I.add_rsi(df, params.period, k, flat=100.0, name="rsi")
+    return total_returns(B.ledger(df.withColumn("signal", rsi_signal("neutral-exit", F.col("rsi"), params, k)), F.lit(cost_bps / 1e4), keys=k), k)
 
 
-def multi_objective(metrics: DataFrame, max_drawdown: float = 0.2, max_daily: float = 0.05, min_trades: int = 30) -> DataFrame:
-    """Weighted components less penalties, and what failed. Needs trade_count, profit_factor and pass_rate."""
-    w = WEIGHTS
-    pos = lambda x: F.greatest(x, F.lit(0.0))
-    parts = F.col("smart_sharpe") * w["sharpe"] + pos(F.coalesce("profit_factor", F.lit(0.0))) * w["profit_factor"] + F.col("pass_rate") * w["pass_rate"]
-    dd, dailydd = F.abs("max_drawdown"), F.abs("max_daily_drawdown")
-    penalties = pos(dd - max_drawdown) * w["drawdown"] + pos(dailydd - max_daily) * w["daily_drawdown"] + pos(F.lit(float(min_trades)) - F.col("trade_count")) * w["trades"] + F.when(F.col("cumulative_return") <= 0, w["loss"]).otherwise(0.0)
-    failures = F.array_compact(F.array(F.when(dd > max_drawdown, "drawdown"), F.when(dailydd > max_daily, "daily_drawdown"), F.when(F.col("trade_count") < min_trades, "trades"), F.when(F.col("cumulative_return") <= 0, "loss")))
-    return metrics.withColumns({"score": parts - penalties, "failures": failures})
+def total_returns(ledger: DataFrame, keys) -> DataFrame:
+    """cumulative_return of each key's ledger."""
+    return ledger.groupBy(*keys).agg((F.max_by("equity", "ts") - 1).alias("cumulative_return"))
+
+
+def _runs_side_by_side(metrics: DataFrame, wanted: dict[str, tuple[str, str]], keys) -> DataFrame:
+    """One row for each key: columns named as in `wanted`, (run, metric)."""
+    return metrics.groupBy(*keys).agg(*(F.max(F.when(F.col("run") == run, F.col(metric))).alias(n) for n, (run, metric) in wanted.items()))
+
+
+def _share_of_gains(metrics: DataFrame, name: str, keys) -> DataFrame:
+    return metrics.groupBy(*keys).agg(F.avg((F.col("cumulative_return") > 0).cast("double")).alias(name))
+
+
+def robustness(runs: DataFrame, windows: DataFrame, sweep: DataFrame, keys=KEYS) -> DataFrame:
+    """Six tests, their number, and a class.
+
+    runs: metrics by (keys, run) of split_runs(); windows: of window_returns(); sweep: of parameter sets on the test bars. The
+    test bars must beat buying and holding in Sharpe ratio and in drawdown and gain, half of the windows and seven tenths of
+    the sets must gain, and the high cost must leave a gain. Without windows or sets theirs count as passed.
+    """
+    wanted = {"_s": ("test", "smart_sharpe"), "_hs": ("hold", "smart_sharpe"), "_d": ("test", "max_drawdown"), "_hd": ("hold", "max_drawdown"), "_r": ("test", "cumulative_return"), "_c": ("cost", "cumulative_return")}
+    out = _runs_side_by_side(runs, wanted, keys).join(_share_of_gains(windows, "_w", keys), list(keys), "left").join(_share_of_gains(sweep, "_p", keys), list(keys), "left")
+    tests = {
+        "sharpe_over_hold": F.col("_s") > F.col("_hs"), "drawdown_over_hold": F.col("_d") > F.col("_hd"), "positive_return": F.col("_r") > 0, "profitable_windows": F.coalesce("_w", F.lit(1.0)) >= 0.5,
+        "broad_neighbourhood": F.coalesce("_p", F.lit(1.0)) >= 0.7, "positive_at_high_cost": F.col("_c") > 0,
+    }
+    reasons = F.array_compact(F.array(*(F.when(t, n) for n, t in tests.items())))
+    score = F.size("reasons")
+    out = out.withColumn("reasons", reasons).withColumn("robustness_score", score)
+    return out.select(*keys, "robustness_score", F.when(score >= 5, "robust").when(score >= 3, "promising_but_needs_filters").otherwise("rejected").alias("robustness_class"), "reasons")
+
+
+def filter_scores(metrics: DataFrame, champion: str = "unfiltered_champion", keys=KEYS, kind: str = "filter_id", synthetic: tuple[str, ...] = ()) -> DataFrame:
+    """Each context filter's score against the unfiltered champion of its key, its class, and whether it is the best of the others.
+
+    Needs smart_sharpe, max_drawdown and retention. synthetic: filters whose context isn't real data.
+    """
+    base = metrics.where(F.col(kind) == champion).select(*keys, F.col("smart_sharpe").alias("_s"), F.col("max_drawdown").alias("_d"))
+    one = lambda c: F.when(c, 1).otherwise(0)
+    score = one(F.col("smart_sharpe") > F.col("_s") + ROUNDING) + one(F.col("max_drawdown") > F.col("_d") + ROUNDING) + F.when(F.col("retention") >= 0.4, 1).otherwise(-1)
+    out = metrics.join(base, list(keys)).withColumn("score", score).drop("_s", "_d")
+    grade = F.when(F.col(kind).isin(*synthetic), "promising_but_needs_real_context_data").when(F.col("score") >= 2, "accept_filter_candidate").when(F.col("score") >= 0, "keep_unfiltered_champion").otherwise("reject_filter")
+    w = Window.partitionBy(*keys).orderBy((F.col(kind) == champion).cast("int"), F.desc("score"), kind)
+    return out.withColumns({"classification": grade, "selected": (F.row_number().over(w) == 1) & (F.col(kind) != champion)})
+
+
+def chop_scores(metrics: DataFrame, baseline: str = "none", kind: str = "filter_id") -> DataFrame:
+    """Chop filters scored on the means over symbols of their whole, earlier and later periods; the best is selected if it scores at all.
+
+    Needs a row for each symbol, filter and period (full, pre, post) with smart_sharpe, max_drawdown and turnover.
+    """
+    of = lambda period, x: F.avg(F.when(F.col("period") == period, F.col(x)))
+    m = metrics.groupBy(kind).agg(of("full", "smart_sharpe").alias("full_sharpe"), of("pre", "smart_sharpe").alias("pre_sharpe"), of("post", "smart_sharpe").alias("post_sharpe"), of("post", "max_drawdown").alias("post_mdd"), of("post", "turnover").alias("post_turnover"))
+    base = m.where(F.col(kind) == baseline).select(*(F.col(c).alias(f"_{c}") for c in m.columns if c != kind))
+    one = lambda c: F.when(c, 1).otherwise(0)
+    score = one(F.col("post_mdd") > F.col("_post_mdd") + ROUNDING) + one(F.col("post_turnover") < F.col("_post_turnover") * 0.85 - ROUNDING) + one(F.col("full_sharpe") >= F.col("_full_sharpe") - ROUNDING) + one(F.col("pre_sharpe") >= F.col("_pre_sharpe") * 0.95 - ROUNDING)
+    out = m.join(F.broadcast(base)).withColumn("score", F.when(F.col(kind) != baseline, score).otherwise(0))  # the baseline is one row
+    # one row a filter: the best by score, a candidate before the baseline only if it scores
+    w = Window.orderBy(F.desc("score"), (F.col(kind) != baseline).cast("int"), kind)
+    return out.select(kind, *(c for c in m.columns if c != kind), "score", (F.row_number().over(w) == 1).alias("selected"))
+
+
+def generalisation(filtered: DataFrame, unfiltered: DataFrame, keys=KEYS) -> DataFrame:
+    """Over all symbols, one point for each that gains and one for each whose Sharpe ratio the filter improves; and a class."""
+    both = filtered.join(unfiltered.select(*keys, F.col("smart_sharpe").alias("_s")), list(keys))
+    points = F.when(F.col("cumulative_return") > 0, 1).otherwise(0) + F.when(F.col("smart_sharpe") > F.col("_s") + ROUNDING, 1).otherwise(0)
+    out = both.agg(F.coalesce(F.sum(points), F.lit(0)).alias("score"), F.avg("smart_sharpe").alias("average_sharpe"))
+    return out.withColumn("classification", F.when(F.col("score") >= 4, "generalizes").when(F.col("score") <= 1, "btc_only").otherwise("promising_but_mixed"))
+
+
+#: Weights of the objective's parts, and what a candidate must keep.
+WEIGHTS = {"oos_sharpe": 3.0, "profit_factor": 2.0, "walk_forward_pass_rate": 2.0, "max_drawdown": 3.0, "max_daily_drawdown": 2.0, "turnover": 1.0, "trade_count": 2.0, "is_oos_gap": 2.0, "oos_return": 2.0}
+
+
+@dataclass(frozen=True)
+class Criteria:
+    min_trades: int = 20
+    min_oos_sharpe: float = 0.0
+    max_drawdown: float = 0.16
+    max_gap: float = 0.5
+    min_pass_rate: float = 0.0
+    max_turnover: float = 1.0
+    min_profit_factor: float = 0.0
+    max_daily_drawdown: float = 0.08
+    positive_return: bool = True
+
+
+def multi_objective(metrics: DataFrame, criteria: Criteria = Criteria(), weights: dict[str, float] | None = None) -> DataFrame:
+    """Weighted parts less penalties, and what failed.
+
+    Needs smart_sharpe (out of sample), is_sharpe, max_drawdown, max_daily_drawdown, turnover, trade_count, profit_factor,
+    walk_forward_pass_rate, cumulative_return and validation_passed; what is missing counts as 0, a missing is_sharpe as the other.
+    """
+    w, c = WEIGHTS | (weights or {}), criteria
+    number = lambda n: F.coalesce(F.col(n).cast("double"), F.lit(0.0))
+    over = lambda x: F.greatest(x, F.lit(0.0))
+    sharpe, ret, pf, rate, turnover, trades = (number(n) for n in ("smart_sharpe", "cumulative_return", "profit_factor", "walk_forward_pass_rate", "turnover", "trade_count"))
+    dd, daily = F.abs(number("max_drawdown")), F.abs(number("max_daily_drawdown"))
+    gap = F.abs(F.coalesce(F.col("is_sharpe"), sharpe) - sharpe)
+    parts = sharpe * w["oos_sharpe"] + over(pf) * w["profit_factor"] + rate * w["walk_forward_pass_rate"]
+    penalties = (
+        over(dd - c.max_drawdown) * w["max_drawdown"] + over(daily - c.max_daily_drawdown) * w["max_daily_drawdown"] + over(turnover - c.max_turnover) * w["turnover"]
+        + over(c.min_trades - trades) * w["trade_count"] + over(gap - c.max_gap) * w["is_oos_gap"] + F.when(ret <= 0, w["oos_return"]).otherwise(0.0)
+    )
+    failed = {
+        "low_trade_count": trades < c.min_trades, "max_drawdown_exceeded": dd > c.max_drawdown, "oos_sharpe_below_minimum": sharpe < c.min_oos_sharpe, "is_oos_sharpe_gap_too_large": gap > c.max_gap,
+        "walk_forward_pass_rate_too_low": rate < c.min_pass_rate, "turnover_too_high": turnover > c.max_turnover, "profit_factor_too_low": pf < c.min_profit_factor, "max_daily_drawdown_exceeded": daily > c.max_daily_drawdown,
+        "oos_return_not_positive": (ret <= 0) & F.lit(c.positive_return), "deterministic_validation_failed": ~F.coalesce("validation_passed", F.lit(False)),
+    }
+    out = metrics.withColumns({"score": parts - penalties, "failures": F.array_compact(F.array(*(F.when(t, n) for n, t in failed.items())))})
+    return out.withColumn("passed", F.size("failures") == 0)
 
 
 def verdicts(both: DataFrame) -> DataFrame:
@@ -260,11 +364,29 @@ def lag_violations(ledger: DataFrame, keys=KEYS) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n_bars"), F.count_if(~F.col("position").eqNullSafe(F.col("_lag"))).alias("lag_violations"))
 
 
-def forward_validation(ledger: DataFrame, start: str, keys=KEYS) -> DataFrame:
-    """Metrics of the part of a ledger from `start` on, and whether it stayed profitable."""
-    part = ledger.where(F.col("ts") >= F.to_timestamp(F.lit(start)))
-    part = part.withColumn("equity", F.product(1 + F.col("net_return")).over(by_time(keys).rowsBetween(Window.unboundedPreceding, 0)))
-    return A.metrics(part, keys=keys).withColumn("passed", (F.col("cumulative_return") > 0) & (F.col("max_drawdown") > -0.25))
+def high_vol_disabled(df: DataFrame, most: float = 2.5, n: int = 42, keys=KEYS) -> DataFrame:
+    """The signal, 0 while realised volatility is over `most` deviations from its mean; what isn't known yet counts as 0 deviations."""
+    df = df.withColumn("_ret", I.returns(F.col("close"), 1, keys)).withColumn("_vol", rolling(F.stddev_samp, F.col("_ret"), n, keys))
+    mean, dev = rolling(F.avg, F.col("_vol"), n, keys, 1), rolling(F.stddev_samp, F.col("_vol"), n, keys, 1)
+    z = F.coalesce(safe_div(F.col("_vol") - mean, F.when(dev >= TINY, dev)), F.lit(0.0))
+    return df.withColumn("signal", F.when(z <= most, F.col("signal")).otherwise(0)).drop("_ret", "_vol")
+
+
+def forward_validation(bars: DataFrame, start: str, holdout: tuple[str, ...], params: RsiParams = RsiParams(), cost_bps: float = 6.0, least: int = 10, keys=KEYS) -> DataFrame:
+    """Return, Sharpe ratio and drawdown by (keys, sample, arm).
+
+    sample: `holdout` for those symbols' whole histories, `forward` for the others' bars from `start` on, which begin from
+    nothing and need `least` of them. arm: `baseline` is RSI momentum with the trend filter, `enhanced` also without high volatility.
+    """
+    held = F.col("symbol").isin(*holdout)
+    df = bars.withColumn("sample", F.when(held, "holdout").otherwise("forward")).where(held | (F.col("ts") >= F.to_timestamp(F.lit(start))))
+    k = (*keys, "sample")
+    enough = df.groupBy(*k).agg(F.count("*").alias("_n")).where((F.col("_n") >= least) | (F.col("sample") == "holdout")).select(*k)
+    df = rsi_momentum(df.join(enough, list(k), "left_semi"), params, keys=k)
+    base = trend_filtered(df, keys=k)
+    both = base.withColumn("arm", F.lit("baseline")).unionByName(high_vol_disabled(base, keys=k).withColumn("arm", F.lit("enhanced")))
+    led = B.ledger(both, F.lit(cost_bps / 1e4), keys=(*k, "arm"))
+    return A.bar_metrics(led, "net_return", (*k, "arm")).drop("annualized_vol")
 
 
 def as_json(params: RsiParams) -> str:

@@ -144,11 +144,28 @@ def event_store_range(spark, d):
     return tidy(out.select("source", "signal_type", "symbol", "ts", "value", "historical_integrity"))
 
 
-@query("WITH p AS (SELECT o_orderstatus AS symbol, epoch(o_orderdate)::BIGINT AS ts, o_totalprice - 0.5 AS bid, o_totalprice + 0.5 AS ask FROM orders WHERE year(o_orderdate) = 1997 AND o_totalprice IS NOT NULL) SELECT symbol, ts, round(bid, 6) AS bid, round(ask, 6) AS ask FROM p")
+@query("SELECT o_orderstatus AS symbol, epoch(o_orderdate)::BIGINT + o_orderkey % 86400 AS ts, round(o_totalprice, 6) AS bid, round(o_totalprice + o_custkey % 7, 6) AS ask FROM orders WHERE year(o_orderdate) = 1997 AND o_totalprice IS NOT NULL")
 def detected_prices(spark, d):
-    """IO10: a time column and a close, no bid and ask."""
-    o = M.utc(spark).read.parquet(f"{d}/orders.parquet").select(F.col("o_orderstatus").alias("symbol"), F.col("o_orderdate").alias("date"), F.col("o_totalprice").alias("close"))
-    return tidy(M.detect_prices(o, spread=1.0, year=1997))
+    """IO10: a day and a time of day as text, a close and a spread."""
+    o = M.utc(spark).read.parquet(f"{d}/orders.parquet")
+    at = F.timestamp_seconds(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") % 86400)
+    rows = o.select(F.col("o_orderstatus").alias("symbol"), F.date_format(at, "yyyyMMdd").alias("Date"), F.date_format(at, "HH:mm:ss").alias("Timestamp"), F.col("o_totalprice").alias("Close"), (F.col("o_custkey") % 7).alias("Spread"))
+    return tidy(M.detect_prices(rows, year=1997))
+
+
+@query("SELECT o_orderstatus AS symbol, epoch(o_orderdate)::BIGINT AS ts, round(o_totalprice - 1, 6) AS bid, round(o_totalprice + 2, 6) AS ask FROM orders WHERE o_custkey % 5 <> 0")
+def detected_quotes(spark, d):
+    """IO10: milliseconds of an Open_time that goes before ts, bids and asks, of which some are missing."""
+    o = M.utc(spark).read.parquet(f"{d}/orders.parquet")
+    rows = o.select(F.col("o_orderstatus").alias("symbol"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("Open_time"), F.lit(0).alias("ts"), F.when(F.col("o_custkey") % 5 != 0, F.col("o_totalprice") - 1).alias("BID"), (F.col("o_totalprice") + 2).alias("Ask"))
+    return tidy(M.detect_prices(rows))
+
+
+@query("SELECT o_orderstatus AS symbol, 1577836800 + (row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) // 1000 AS ts, round(o_totalprice, 6) AS bid, round(o_totalprice, 6) AS ask FROM orders")
+def detected_closes(spark, d):
+    """IO10: no time, so rows are numbered by their key; closes only."""
+    o = M.utc(spark).read.parquet(f"{d}/orders.parquet")
+    return tidy(M.detect_prices(o.select(F.col("o_orderstatus").alias("symbol"), "o_orderkey", F.col("o_totalprice").alias("close")), order="o_orderkey"))
 
 
 @query(

@@ -195,11 +195,15 @@ def window_extrema(spark, d):
 _PRE = "OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
 
 
-@query(f"{_EMA}, m AS (SELECT num.*, round(y12 - y26, 9) AS macd FROM num JOIN rec USING (symbol, n)), v AS (SELECT *, count(macd) {_PRE} AS k, min(low) {_PRE} AS pl, max(high) {_PRE} AS ph, arg_min(macd, low) {_PRE} AS ml, arg_max(macd, high) {_PRE} AS mh FROM m) SELECT {KT}, k = 20 AND coalesce(low < pl AND macd > ml, FALSE) AS bullish_divergence, k = 20 AND coalesce(high > ph AND macd < mh, FALSE) AS bearish_divergence FROM v")
+@query(
+    f"""{_EMA}, m AS (SELECT num.*, round(y12 - y26, 9) AS macd FROM num JOIN rec USING (symbol, n)), v AS (SELECT *, count(macd) {_PRE} AS k, min(low) {_PRE} AS pl, max(high) {_PRE} AS ph, arg_min(macd, low) {_PRE} AS ml, arg_max(macd, high) {_PRE} AS mh FROM m),
+w AS (SELECT *, coalesce(abs((macd - ml) / nullif(abs(ml), 0)), 0.0) AS bs, coalesce(abs((mh - macd) / nullif(abs(mh), 0)), 0.0) AS rs FROM v), x AS (SELECT *, k = 20 AND coalesce(low < pl AND macd > ml AND bs >= 0.25, FALSE) AS bull, k = 20 AND coalesce(high > ph AND macd < mh AND rs >= 0.25, FALSE) AS bear FROM w)
+SELECT {KT}, bull AS bullish_divergence, bear AS bearish_divergence, round(CASE WHEN bull THEN bs WHEN bear THEN rs END, 6) AS divergence_strength FROM x"""
+)
 def window_divergence(spark, d):
     """W26."""
     b = scan.add_macd(M.bars(spark, d)).withColumn("macd", F.round("macd", 9))
-    return tidy(I.add_divergence(b).select("symbol", "ts", "bullish_divergence", "bearish_divergence"))
+    return tidy(I.add_divergence(b).select("symbol", "ts", "bullish_divergence", "bearish_divergence", "divergence_strength"))
 
 
 _TRADES = f"{RSI_LEDGER}, {S.trades()}"
@@ -536,14 +540,17 @@ def sized_ledgers(spark, d):
     return tidy(n.join(b, ["symbol", "ts"]).join(f, ["symbol", "ts"]))
 
 
-@query(f"WITH {RSI_LEDGER}, w AS (SELECT *, coalesce(1 / nullif({S.roll('stddev_samp', 'asset_return', 20)}, 0), 0.0) AS iv FROM ledger) SELECT ts, {S.r('avg(net_return) AS equal', 'coalesce(sum(net_return) FILTER (is_exposed) / nullif(count(*) FILTER (is_exposed), 0), 0.0) AS active', 'coalesce(sum(iv * net_return) / nullif(sum(iv), 0), 0.0) AS inverse_vol')}, count(*) FILTER (is_exposed) AS n_exposed FROM w GROUP BY ts")
+_VOL = S.roll("stddev_samp", "net_return", 20)
+
+
+@query(f"WITH {RSI_LEDGER}, v AS (SELECT *, {_VOL} AS vol, coalesce(signal <> 0, FALSE) AS act FROM ledger), w AS (SELECT *, CASE WHEN vol >= 1e-12 THEN 1 / vol ELSE 1.0 END AS iv FROM v) SELECT ts, {S.r('avg(net_return) AS equal', 'coalesce(sum(net_return) FILTER (act) / nullif(count(*) FILTER (act), 0), 0.0) AS active', 'coalesce(sum(iv * net_return) / nullif(sum(iv), 0), 0.0) AS inverse_vol')}, count(*) FILTER (act) AS n_active FROM w GROUP BY ts")
 def portfolio_returns(spark, d):
     """B11."""
     led = rsi_ledger(spark, d)
     out = None
     for k in ("equal", "active", "inverse_vol"):
         p = B.portfolio(led, k).withColumnRenamed("portfolio_return", k)
-        out = p if out is None else out.join(p.drop("n_exposed"), "ts")
+        out = p if out is None else out.join(p.drop("n_active"), "ts")
     return tidy(out)
 
 
@@ -574,8 +581,8 @@ def _reasons(*pairs: tuple[str, str]) -> str:
 
 
 _CONTRACT = _reasons(("max_drawdown < -0.16", "max_drawdown"), ("max_daily_drawdown < -0.08", "max_daily_drawdown"), ("cagr < 0", "cagr"))
-_GATE = _reasons(("trade_count < 20", "trades"), ("abs(max_drawdown) > 0.3", "drawdown"), ("coalesce(profit_factor, 0) < 1", "profit_factor"), ("smart_sharpe < 0", "sharpe"), ("cumulative_return < 0", "return"))
-_MULTI = _reasons(("abs(max_drawdown) > 0.2", "drawdown"), ("abs(max_daily_drawdown) > 0.05", "daily_drawdown"), ("trade_count < 30", "trades"), ("cumulative_return <= 0", "loss"))
+_FACTOR = "coalesce(profit_factor, CASE WHEN win_rate > 0 THEN 'infinity'::DOUBLE ELSE 0.0 END)"
+_GATE = _reasons(("trade_count < 3", "trade_count"), ("abs(max_drawdown) > 0.25", "max_drawdown"), (f"{_FACTOR} < 1", "profit_factor"), ("smart_sharpe < 0", "sharpe"), ("cumulative_return < 0", "cumulative_return"))
 _MTM = f"{_TRADES}, {S.metrics()}, {_TM}, mt AS (SELECT * FROM metrics JOIN tm USING (symbol))"
 
 
@@ -584,10 +591,10 @@ def scored(spark, d) -> DataFrame:
     return A.metrics(led).join(A.trade_metrics(B.trade_returns(led), led), "symbol")
 
 
-@query(f"WITH {_MTM}, g AS (SELECT symbol, {_CONTRACT} AS reasons, {_GATE} AS gate_reasons, trade_count < 20 AS low_trades FROM mt) SELECT *, reasons = '' AS passed, gate_reasons = '' AS gate_passed FROM g")
+@query(f"WITH {_MTM}, g AS (SELECT symbol, {_CONTRACT} AS reasons, {_GATE} AS gate_reasons, trade_count > 0 AND trade_count < 50 AS low_trades FROM mt) SELECT *, reasons = '' AS passed, gate_reasons = '' AS gate_passed FROM g")
 def gates(spark, d):
-    """B13, B14, A9."""
-    out = B.pipeline_gate(B.contract(scored(spark, d)))
+    """B13, B14, A9; three trades are enough here, so that the other rules decide too."""
+    out = B.pipeline_gate(B.contract(scored(spark, d)), min_trades=3)
     return out.select("symbol", F.array_join("reasons", "|").alias("reasons"), F.array_join("gate_reasons", "|").alias("gate_reasons"), "low_trades", "passed", "gate_passed")
 
 
@@ -626,7 +633,10 @@ def side_attribution(spark, d):
     return tidy(A.attribution(rsi_ledger(spark, d, long_only=False)))
 
 
-@query(f"WITH {RSI_SHORT}, p AS (SELECT symbol, ts >= 1705276800 AS is_post, coalesce(sum(net_return) FILTER (position > 0), 0.0) AS l, coalesce(sum(net_return) FILTER (position < 0), 0.0) AS s, sum(turnover) AS turnover, sum(cost_return) AS cost_drag, stddev_samp(asset_return) AS volatility, sum(gross_return) AS g FROM ledger GROUP BY 1, 2) SELECT symbol, is_post, {S.r('l AS long_return', 's AS short_return', 'turnover', 'cost_drag', 'volatility')}, CASE WHEN l + s >= 0 THEN 'none' WHEN g > 0 THEN 'costs' WHEN l < 0 AND s < 0 THEN 'both_sides' WHEN l < 0 THEN 'longs' ELSE 'shorts' END AS failure FROM p")
+@query(
+    f"""WITH {RSI_SHORT}, p AS (SELECT symbol, ts >= 1705276800 AS is_post, product(1 + net_return) - 1 AS c, coalesce(sum(net_return) FILTER (position > 0), 0.0) AS l, coalesce(sum(net_return) FILTER (position < 0), 0.0) AS s, sum(turnover) AS turnover, sum(cost_return) AS cost_drag, coalesce(stddev_samp(net_return), 0.0) AS volatility FROM ledger GROUP BY 1, 2)
+SELECT symbol, is_post, {S.r('c AS cumulative_return', 'l AS long_return', 's AS short_return', 'turnover', 'cost_drag', 'volatility')}, CASE WHEN NOT is_post THEN NULL WHEN c >= -0.05 THEN 'normal_drawdown_within_expected_range' WHEN cost_drag > abs(c) * 0.5 THEN 'cost_turnover_drag' WHEN abs(s) > abs(l) THEN 'short_side_failure' ELSE 'market_regime_shift_to_chop' END AS failure FROM p"""
+)
 def drawdown_attribution(spark, d):
     """A18."""
     return tidy(A.period_attribution(rsi_ledger(spark, d, long_only=False), "2024-01-15 00:00:00"))

@@ -11,9 +11,10 @@ from .plans import ledger as B
 from .plans import metrics as A
 from .plans import research as R
 from .plans import signals as SG
-from .queries import CONTEXT, GATED, RSI_LEDGER, query, rsi_ledger, tidy
+from .queries import CONTEXT, GATED, query, tidy
 from .queries import gate_inputs
-from .queries_more import _MTM, _MULTI, scored
+from .functions import indicators as I
+from .queries_more import _CF, _CHOP, _CTX, _UPTO
 from .sources import market as M
 from .sources.store import scratch
 
@@ -123,38 +124,119 @@ def distinct_parameters(spark, d):
     return R.fingerprints(params).groupBy("o_orderpriority").agg(F.count("*").alias("n_distinct"))
 
 
-_ROB = "CAST(cumulative_return > 0 AS INT) + CAST(smart_sharpe > 0.5 AS INT) + CAST(max_drawdown > -0.3 AS INT) + CAST(trade_count >= 10 AS INT) + CAST(coalesce(profit_factor > 1, FALSE) AS INT) + CAST(time_in_market < 0.9 AS INT)"
+#: Runs of the test bars (train, test, hold, cost), of the folds' test bars, and of the parameter sets on the test bars.
+_AUDIT = f"""{S.BARS}, sp AS (SELECT *, row_number() OVER {S.P} - 1 AS i, count(*) OVER (PARTITION BY symbol) AS cnt FROM bars), tst AS (SELECT * EXCLUDE (i, cnt, turnover), i < floor(cnt * 0.6) AS is_train FROM sp),
+ru AS (SELECT symbol || '|train' AS sk, * FROM tst WHERE is_train UNION ALL SELECT symbol || '|' || k, tst.* FROM tst, (VALUES ('test'), ('hold'), ('cost')) r(k) WHERE NOT is_train),
+{S.rsi(14, 'rr', 'ru', flat=100.0, key='sk')}, rg AS (SELECT *, CASE WHEN sk LIKE '%|hold' THEN 1 ELSE {S.neutral(key='sk')} END AS signal, CASE WHEN sk LIKE '%|cost' THEN 0.0015 ELSE 0.0006 END AS rate FROM rr), {S.ledger('rg', 'rate', 'sk', name='rl')}, {S.metrics('rl', 'sk', 'rm0')}, rm AS (SELECT split_part(sk, '|', 1) AS symbol, split_part(sk, '|', 2) AS run, * FROM rm0),
+{_walk(200, 100, 100)}, wk AS (SELECT symbol || '|' || fold AS sk, * EXCLUDE (turnover) FROM wf WHERE role = 'test'), {S.rsi(14, 'wr', 'wk', flat=100.0, key='sk')}, wg AS (SELECT *, {S.neutral(key='sk')} AS signal FROM wr), {S.ledger('wg', key='sk', name='wl')}, {S.metrics('wl', 'sk', 'wm')},
+ws AS (SELECT split_part(sk, '|', 1) AS symbol, avg(CASE WHEN cumulative_return > 0 THEN 1.0 ELSE 0.0 END) AS w FROM wm GROUP BY 1)"""
+_AUDIT_SETS = f"""{S.rsi(7, 'p7', 'tst WHERE NOT is_train', flat=100.0)}, {S.rsi(14, 'p14', 'tst WHERE NOT is_train', flat=100.0)}, ps AS (SELECT symbol, ts, close, 7 AS rsi_period, rsi FROM p7 UNION ALL SELECT symbol, ts, close, 14, rsi FROM p14), {_GRID},
+pn AS (SELECT ps.symbol || '|' || param_id AS sk, ps.*, param_id, rsi_upper, rsi_lower, rsi_exit, fee_bps FROM ps JOIN grid USING (rsi_period)), pg AS (SELECT *, {S.neutral('rsi_upper', 'rsi_lower', 'rsi_exit', 'sk')} AS signal FROM pn), {S.ledger('pg', 'fee_bps / 1e4', 'sk', name='pl')}, {S.metrics('pl', 'sk', 'pm')},
+pp AS (SELECT split_part(sk, '|', 1) AS symbol, avg(CASE WHEN cumulative_return > 0 THEN 1.0 ELSE 0.0 END) AS p FROM pm GROUP BY 1)"""
+_ROB = {
+    "sharpe_over_hold": "t.smart_sharpe > h.smart_sharpe", "drawdown_over_hold": "t.max_drawdown > h.max_drawdown", "positive_return": "t.cumulative_return > 0", "profitable_windows": "coalesce(w, 1.0) >= 0.5",
+    "broad_neighbourhood": "coalesce(p, 1.0) >= 0.7", "positive_at_high_cost": "c.cumulative_return > 0",
+}
+_ROB_REASONS = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _ROB.items()) + "], lambda x: x IS NOT NULL)"
 
 
-@query(f"WITH {_MTM}, r AS (SELECT symbol, {_ROB} AS s FROM mt) SELECT symbol, CAST(s AS BIGINT) AS robustness_score, CASE WHEN s >= 5 THEN 'robust' WHEN s >= 3 THEN 'fragile' ELSE 'weak' END AS robustness_class FROM r")
+@query(f"WITH {_AUDIT}, {_AUDIT_SETS}, sc AS (SELECT t.symbol, {_ROB_REASONS} AS reasons FROM rm t JOIN rm h ON t.symbol = h.symbol AND t.run = 'test' AND h.run = 'hold' JOIN rm c ON t.symbol = c.symbol AND c.run = 'cost' LEFT JOIN ws ON t.symbol = ws.symbol LEFT JOIN pp ON t.symbol = pp.symbol) SELECT symbol, CAST(len(reasons) AS BIGINT) AS robustness_score, CASE WHEN len(reasons) >= 5 THEN 'robust' WHEN len(reasons) >= 3 THEN 'promising_but_needs_filters' ELSE 'rejected' END AS robustness_class, array_to_string(reasons, '|') AS reasons FROM sc")
 def robustness_scores(spark, d):
-    """R9."""
-    return tidy(R.robustness(scored(spark, d)).select("symbol", "robustness_score", "robustness_class"))
+    """The test split against buying and holding, the folds' test bars, a grid of parameter sets, and a high cost."""
+    b = M.bars(spark, d).drop("turnover")
+    runs = A.metrics(R.split_runs(b), keys=("symbol", "run"))
+    test = R.ratio_split(b, {"train": 0.6, "test": 0.4}).where("role = 'test'").drop("role")
+    sets = R.sweep(test, R.grid(spark, [7, 14], [60.0, 70.0], [30.0, 50.0], [50.0, 55.0], [0.0, 10.0]), [7, 14])
+    out = R.robustness(runs, R.window_returns(b, SG.RsiParams(), 200, 100, 100), R.total_returns(sets, ("symbol", "param_id")))
+    return tidy(out.withColumn("reasons", F.array_join("reasons", "|")))
 
 
-_MO = "smart_sharpe * 1.0 + greatest(coalesce(profit_factor, 0.0), 0.0) * 0.5 + time_in_market * 1.0 - (greatest(abs(max_drawdown) - 0.2, 0.0) * 10.0 + greatest(abs(max_daily_drawdown) - 0.05, 0.0) * 10.0 + greatest(30.0 - trade_count, 0.0) * 0.05 + CASE WHEN cumulative_return <= 0 THEN 2.0 ELSE 0.0 END)"
+_MO = """t.smart_sharpe * 3 + greatest(coalesce(pf, 0.0), 0.0) * 2 + coalesce(w, 0.0) * 2 - (greatest(abs(t.max_drawdown) - 0.16, 0.0) * 3 + greatest(abs(t.max_daily_drawdown) - 0.08, 0.0) * 2 + greatest(tv - 1.0, 0.0) + greatest(20.0 - tc, 0.0) * 2
+  + greatest(abs(i.smart_sharpe - t.smart_sharpe) - 0.5, 0.0) * 2 + CASE WHEN t.cumulative_return <= 0 THEN 2.0 ELSE 0.0 END)"""
+_MO_FAILED = {
+    "low_trade_count": "tc < 20", "max_drawdown_exceeded": "abs(t.max_drawdown) > 0.16", "oos_sharpe_below_minimum": "t.smart_sharpe < 0", "is_oos_sharpe_gap_too_large": "abs(i.smart_sharpe - t.smart_sharpe) > 0.5",
+    "walk_forward_pass_rate_too_low": "coalesce(w, 0.0) < 0.5", "turnover_too_high": "tv > 1", "profit_factor_too_low": "coalesce(pf, 0.0) < 0", "max_daily_drawdown_exceeded": "abs(t.max_daily_drawdown) > 0.08",
+    "oos_return_not_positive": "t.cumulative_return <= 0", "deterministic_validation_failed": "NOT (t.max_drawdown >= -0.16 AND t.max_daily_drawdown >= -0.08 AND t.cagr >= 0)",
+}
+_MO_REASONS = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _MO_FAILED.items()) + "], lambda x: x IS NOT NULL), '|')"
 
 
-@query(f"WITH {_MTM} SELECT symbol, {S.r(_MO + ' AS score')}, {_MULTI} AS failures FROM mt")
+@query(
+    f"""WITH {_AUDIT}, {S.trades('rl', 'sk', 'rt')}, tm AS (SELECT split_part(rl.sk, '|', 1) AS symbol, sum(turnover) AS tv FROM rl WHERE sk LIKE '%|test' GROUP BY 1),
+tt AS (SELECT split_part(sk, '|', 1) AS symbol, count(*) AS n, sum(CASE WHEN trade_return > 0 THEN trade_return ELSE 0.0 END) / nullif(sum(CASE WHEN trade_return < 0 THEN -trade_return ELSE 0.0 END), 0) AS pf FROM rt WHERE sk LIKE '%|test' GROUP BY 1),
+mo AS (SELECT t.symbol, {_MO.replace('tc', 'coalesce(n, 0)')} AS score, {_MO_REASONS.replace('tc < 20', 'coalesce(n, 0) < 20')} AS failures FROM rm t JOIN rm i ON t.symbol = i.symbol AND t.run = 'test' AND i.run = 'train' JOIN tm ON t.symbol = tm.symbol LEFT JOIN tt ON t.symbol = tt.symbol LEFT JOIN ws ON t.symbol = ws.symbol)
+SELECT symbol, round(score, 6) AS score, failures, failures = '' AS passed FROM mo"""
+)
 def multi_factor_objective(spark, d):
-    """R11; the share of time in the market stands for the pass rate."""
-    m = scored(spark, d).withColumn("pass_rate", F.col("time_in_market"))
-    return tidy(R.multi_objective(m).select("symbol", "score", F.array_join("failures", "|").alias("failures")))
+    """The test split, its gap to training, and the pass rate of the folds' test bars."""
+    b, p = M.bars(spark, d).drop("turnover"), SG.RsiParams()
+    led = R.split_runs(b, p)
+    m = A.metrics(led, keys=("symbol", "run"))
+    train = m.where("run = 'train'").select("symbol", F.col("smart_sharpe").alias("is_sharpe"))
+    test = led.where("run = 'test'")
+    trades = A.trade_metrics(B.trade_returns(test), test).select("symbol", "trade_count", "profit_factor")
+    rate = R.window_returns(b, p, 200, 100, 100).groupBy("symbol").agg(F.avg((F.col("cumulative_return") > 0).cast("double")).alias("walk_forward_pass_rate"))
+    turnover = test.groupBy("symbol").agg(F.sum("turnover").alias("turnover"))
+    rows = B.contract(m.where("run = 'test'")).withColumnRenamed("passed", "validation_passed").join(train, "symbol").join(trades, "symbol").join(rate, "symbol", "left").join(turnover, "symbol")
+    out = R.multi_objective(rows, R.Criteria(min_pass_rate=0.5))
+    return tidy(out.select("symbol", "score", F.array_join("failures", "|").alias("failures"), "passed"))
+
+
+_FIL = f"""{_CTX}, fs AS (SELECT * EXCLUDE (turnover, ret), {S.neutral('60', '40')} AS sig FROM cx),
+fb AS ({' UNION ALL '.join(f"SELECT symbol || '|{k}' AS sk, *, CASE WHEN coalesce({c}, FALSE) THEN sig ELSE 0 END AS signal FROM fs" for k, c in _CF.items())}), {S.ledger('fb', key='sk')}, {S.metrics('ledger', 'sk')},
+fr AS (SELECT sk, coalesce(count(*) FILTER (signal <> 0) / nullif(count(*) FILTER (sig <> 0), 0), 1.0) AS retention FROM fb GROUP BY sk),
+fm AS (SELECT split_part(sk, '|', 1) AS symbol, split_part(sk, '|', 2) AS filter_id, * FROM metrics JOIN fr USING (sk)),
+fc AS (SELECT a.symbol, a.filter_id, CASE WHEN a.smart_sharpe > b.smart_sharpe + 1e-9 THEN 1 ELSE 0 END + CASE WHEN a.max_drawdown > b.max_drawdown + 1e-9 THEN 1 ELSE 0 END + CASE WHEN a.retention >= 0.4 THEN 1 ELSE -1 END AS score FROM fm a JOIN fm b ON a.symbol = b.symbol AND b.filter_id = 'unfiltered_champion')"""
+
+
+@query(f"WITH {_FIL} SELECT symbol, filter_id, CAST(score AS BIGINT) AS score, CASE WHEN filter_id = 'liquidity_stress_disable' THEN 'promising_but_needs_real_context_data' WHEN score >= 2 THEN 'accept_filter_candidate' WHEN score >= 0 THEN 'keep_unfiltered_champion' ELSE 'reject_filter' END AS classification, filter_id <> 'unfiltered_champion' AND row_number() OVER (PARTITION BY symbol ORDER BY filter_id = 'unfiltered_champion', score DESC, filter_id) = 1 AS selected FROM fc")
+def filter_selection(spark, d):
+    """The seven context filters; liquidity stress stands for a context that isn't real."""
+    base = I.add_context(I.add_rsi(M.bars(spark, d))).drop("turnover").withColumn("signal", SG.rsi_signal("neutral-exit", F.col("rsi_14"), SG.RsiParams(14, 60, 40, 50)))
+    out = base.withColumn("_raw", F.col("signal")).withColumn("filter_id", F.explode(F.array(*map(F.lit, SG.CONTEXT_FILTERS))))
+    through = F.lit(None).cast("boolean")
+    for k in SG.CONTEXT_FILTERS:
+        through = F.when(F.col("filter_id") == k, SG.context_filter(k)).otherwise(through)
+    out, k = out.withColumn("signal", F.when(through, F.col("_raw")).otherwise(0)), ("symbol", "filter_id")
+    kept = out.groupBy(*k).agg(F.coalesce(F.try_divide(F.count_if(F.col("signal") != 0), F.count_if(F.col("_raw") != 0)), F.lit(1.0)).alias("retention"))
+    m = A.metrics(B.ledger(out, B.cost_rate(5.0, 1.0), keys=k), keys=k).join(kept, list(k))
+    return tidy(R.filter_scores(m, synthetic=("liquidity_stress_disable",)).select("symbol", "filter_id", "score", "classification", "selected"))
 
 
-_FIL = f"""{S.BARS}, {S.rsi(14, 'rs', flat=100.0)}, fs AS (SELECT * EXCLUDE (turnover), {S.neutral('60', '40')} AS sig, coalesce(CAST(({S.roll('avg', 'close', 20)}) > ({S.roll('avg', 'close', 50)}) AS INT), 0) AS tr FROM rs),
-fb AS (SELECT symbol || '|none' AS sk, *, sig AS signal FROM fs UNION ALL SELECT symbol || '|trend', *, sig * tr FROM fs), {S.ledger('fb', key='sk')}, {S.metrics('ledger', 'sk')}, fm AS (SELECT split_part(sk, '|', 1) AS symbol, split_part(sk, '|', 2) AS filter_id, * FROM metrics),
-fc AS (SELECT a.*, CASE WHEN a.smart_sharpe > b.smart_sharpe THEN 2 ELSE 0 END + CASE WHEN a.max_drawdown > b.max_drawdown THEN 1 ELSE 0 END + CASE WHEN a.cumulative_return > b.cumulative_return THEN 1 ELSE 0 END AS score FROM fm a JOIN fm b ON a.symbol = b.symbol AND b.filter_id = 'none')"""
+_CHOPS = {"none": "TRUE", "efficiency": "efficiency_ratio >= 0.3", "moderate_vol": "vol_z >= -1 AND vol_z <= 2", "no_high_vol": "vol_z <= 2.5", "cooldown": f"coalesce(max(CAST(loss AS INT)) {_UPTO.format(11)}, 0) = 0"}
+_PERIOD = "avg(r) / CASE WHEN stddev_samp(r) > 0 THEN stddev_samp(r) END * sqrt(2190.0)"
 
 
-@query(f"WITH {_FIL} SELECT symbol, filter_id, CAST(score AS BIGINT) AS score, row_number() OVER (PARTITION BY symbol ORDER BY score DESC, filter_id) = 1 AS selected FROM fc")
-def filter_selection(spark, d):
-    """R10."""
+@query(
+    f"""WITH {_CHOP}, co AS ({' UNION ALL '.join(f"SELECT symbol || '|{k}' AS sk, ts, close, CASE WHEN coalesce({c}, FALSE) THEN sig ELSE 0 END AS signal FROM cl" for k, c in _CHOPS.items())}), {S.ledger('co', key='sk')},
+pd AS (SELECT sk, period, ts, net_return AS r, turnover FROM ledger, (VALUES ('full'), ('pre'), ('post')) p(period) WHERE period = 'full' OR (period = 'post') = (ts >= 1705276800)),
+pe AS (SELECT *, product(1 + r) OVER (PARTITION BY sk, period ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS eq FROM pd), pq AS (SELECT *, eq / max(eq) OVER (PARTITION BY sk, period ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS dd FROM pe),
+pm AS (SELECT split_part(sk, '|', 2) AS filter_id, period, coalesce({_PERIOD}, 0.0) AS sharpe, min(dd) AS mdd, sum(turnover) AS tv FROM pq GROUP BY sk, period),
+m AS (SELECT filter_id, avg(sharpe) FILTER (period = 'full') AS full_sharpe, avg(sharpe) FILTER (period = 'pre') AS pre_sharpe, avg(sharpe) FILTER (period = 'post') AS post_sharpe, avg(mdd) FILTER (period = 'post') AS post_mdd, avg(tv) FILTER (period = 'post') AS post_turnover FROM pm GROUP BY filter_id),
+sc AS (SELECT m.*, CASE WHEN m.filter_id = 'none' THEN 0 ELSE CASE WHEN m.post_mdd > b.post_mdd + 1e-9 THEN 1 ELSE 0 END + CASE WHEN m.post_turnover < b.post_turnover * 0.85 - 1e-9 THEN 1 ELSE 0 END + CASE WHEN m.full_sharpe >= b.full_sharpe - 1e-9 THEN 1 ELSE 0 END + CASE WHEN m.pre_sharpe >= b.pre_sharpe * 0.95 - 1e-9 THEN 1 ELSE 0 END END AS score FROM m JOIN m b ON b.filter_id = 'none')
+SELECT filter_id, {S.r('full_sharpe', 'pre_sharpe', 'post_sharpe', 'post_mdd', 'post_turnover')}, CAST(score AS BIGINT) AS score, row_number() OVER (ORDER BY score DESC, filter_id <> 'none', filter_id) = 1 AS selected FROM sc"""
+)
+def chop_filter_selection(spark, d):
+    """The chop filters on the means over symbols, before and from the fifteenth."""
+    base = SG.rsi_momentum(I.add_efficiency(M.bars(spark, d)), SG.RsiParams(14, 60, 40, 50))
+    runs = None
+    for f in SG.CHOP_FILTERS:
+        one = SG.chop_filtered(base, f).select("symbol", "ts", "close", "signal", F.lit(f).alias("filter_id"))
+        runs = one if runs is None else runs.unionByName(one)
+    led = B.ledger(runs, B.cost_rate(5.0, 1.0), keys=("symbol", "filter_id"))
+    late = F.col("ts") >= F.to_timestamp(F.lit("2024-01-15"))
+    led = led.withColumn("period", F.explode(F.array(F.lit("full"), F.when(late, "post").otherwise("pre"))))
+    k = ("symbol", "filter_id", "period")
+    m = A.bar_metrics(led, "net_return", k).join(led.groupBy(*k).agg(F.sum("turnover").alias("turnover")), list(k))
+    return tidy(R.chop_scores(m))
+
+
+@query(f"WITH {S.BARS}, {S.rsi(14, 'rs', flat=100.0)}, fs AS (SELECT * EXCLUDE (turnover), {S.neutral('60', '40')} AS sig, coalesce(CAST(({S.roll('avg', 'close', 20)}) > ({S.roll('avg', 'close', 50)}) AS INT), 0) AS tr FROM rs), fb AS (SELECT symbol || '|none' AS sk, *, sig AS signal FROM fs UNION ALL SELECT symbol || '|trend', *, sig * tr FROM fs), {S.ledger('fb', key='sk')}, {S.metrics('ledger', 'sk')}, g AS (SELECT a.smart_sharpe AS s, CASE WHEN a.cumulative_return > 0 THEN 1 ELSE 0 END + CASE WHEN a.smart_sharpe > b.smart_sharpe + 1e-9 THEN 1 ELSE 0 END AS points FROM metrics a JOIN metrics b ON split_part(a.sk, '|', 1) = split_part(b.sk, '|', 1) AND a.sk LIKE '%|trend' AND b.sk LIKE '%|none') SELECT CAST(sum(points) AS BIGINT) AS score, round(avg(s), 6) AS average_sharpe, CASE WHEN sum(points) >= 4 THEN 'generalizes' WHEN sum(points) <= 1 THEN 'btc_only' ELSE 'promising_but_mixed' END AS classification FROM g")
+def filter_generalisation(spark, d):
+    """The trend filter over all symbols."""
     s = SG.rsi_momentum(M.bars(spark, d), SG.RsiParams(14, 60, 40, 50)).drop("turnover")
-    both = s.withColumn("filter_id", F.lit("none")).unionByName(SG.trend_filtered(s).withColumn("filter_id", F.lit("trend")))
-    k = ("symbol", "filter_id")
-    m = A.metrics(B.ledger(both, B.cost_rate(5.0, 1.0), keys=k), keys=k)
-    return tidy(R.against_baseline(m, "none").select("symbol", "filter_id", "score", "selected"))
+    a, b = (A.metrics(B.ledger(x, B.cost_rate(5.0, 1.0))) for x in (SG.trend_filtered(s), s))
+    return tidy(R.generalisation(a, b))
 
 
 _EXP = f"""{S.BARS}, {_walk(200, 100, 100)}, xk AS (SELECT symbol || '|' || fold || '|' || role AS sk0, * EXCLUDE (turnover) FROM wf), {S.rsi(14, 'xr', 'xk', flat=100.0, key='sk0')},
@@ -203,10 +285,20 @@ def acceptance_flow(spark, d):
     return tidy(R.acceptance(signals, context, 300.0))
 
 
-@query(f"WITH {RSI_LEDGER}, fw AS (SELECT * EXCLUDE (equity), product(1 + net_return) OVER {S.UP_TO} AS equity FROM ledger WHERE ts >= 1705276800), {S.metrics('fw')} SELECT symbol, {S.r(*S.METRICS)}, max_consecutive_losing_days, cumulative_return > 0 AND max_drawdown > -0.25 AS passed FROM metrics")
+_FW_ROLL = lambda f, x, n, least: f"CASE WHEN count({x}) OVER {S.frame(n, 'sk')} >= {least} THEN {f}({x}) OVER {S.frame(n, 'sk')} END"
+
+
+@query(
+    f"""WITH {S.BARS}, f0 AS (SELECT symbol || '|' || CASE WHEN symbol IN ('signup', 'error') THEN 'holdout' ELSE 'forward' END AS sk, * EXCLUDE (turnover) FROM bars WHERE symbol IN ('signup', 'error') OR ts >= 1705276800), {S.rsi(14, 'f1', 'f0', flat=100.0, key='sk')},
+f2 AS (SELECT *, ({S.neutral(key='sk')}) * coalesce(CAST(({_FW_ROLL('avg', 'close', 20, 20)}) > ({_FW_ROLL('avg', 'close', 50, 50)}) AS INT), 0) AS sig, close / {S.lag('close', 1, 'sk')} - 1 AS rt FROM f1), f3 AS (SELECT *, {_FW_ROLL('stddev_samp', 'rt', 42, 42)} AS vol FROM f2),
+f4 AS (SELECT *, coalesce((vol - {_FW_ROLL('avg', 'vol', 42, 1)}) / CASE WHEN {_FW_ROLL('stddev_samp', 'vol', 42, 1)} >= 1e-12 THEN {_FW_ROLL('stddev_samp', 'vol', 42, 1)} END, 0.0) AS z FROM f3),
+f5 AS (SELECT sk || '|baseline' AS sa, ts, close, sig AS signal FROM f4 UNION ALL SELECT sk || '|enhanced', ts, close, CASE WHEN z <= 2.5 THEN sig ELSE 0 END FROM f4), {S.ledger('f5', key='sa')},
+f6 AS (SELECT *, net_return AS r, equity / max(equity) OVER (PARTITION BY sa ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS dd FROM ledger)
+SELECT split_part(sa, '|', 1) AS symbol, split_part(sa, '|', 2) AS sample, split_part(sa, '|', 3) AS arm, {S.r('product(1 + r) - 1 AS cumulative_return', 'CASE WHEN stddev_samp(r) > 0 THEN avg(r) / stddev_samp(r) * sqrt(2190.0) ELSE 0.0 END AS smart_sharpe', 'min(dd) AS max_drawdown')}, count(*) AS n_bars FROM f6 GROUP BY sa"""
+)
 def forward_validation(spark, d):
-    """R16."""
-    return tidy(R.forward_validation(rsi_ledger(spark, d), "2024-01-15 00:00:00"))
+    """Three symbols from the fifteenth on, begun anew, and two held out whole."""
+    return tidy(R.forward_validation(M.bars(spark, d).drop("turnover"), "2024-01-15 00:00:00", ("signup", "error")))
 
 
 _TERMS = {"the": 0.5, "and": 1.0, "der": 2.0, "pour": 2.0, "los": 1.5}

@@ -11,8 +11,8 @@ from ..operators.asof import asof
 
 OHLCV = ("open", "high", "low", "close", "volume")
 BAR_SCHEMA = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("ts", T.TimestampType()), *(T.StructField(c, T.DoubleType()) for c in OHLCV)])
-#: Names under which sources keep a bar's time, in the order they are looked for.
-TIME_NAMES = ("timestamp", "ts", "datetime", "time", "open_time", "date")
+#: Names under which sources keep a bar's time, in the order they are looked for; this library's own tables call it ts.
+TIME_NAMES = ("timestamp", "time", "datetime", "date", "open_time", "ts")
 #: Ticks: a fixed offset keeps prices well away from zero.
 BASE_PRICE = 100.0
 
@@ -122,21 +122,30 @@ def profile(df: DataFrame, start: str, end: str, keys=KEYS) -> DataFrame:
     return out.withColumn("covers", (F.col("first_ts") <= F.to_timestamp(F.lit(start))) & (F.col("last_ts") >= F.to_timestamp(F.lit(end))))
 
 
-def detect_prices(df: DataFrame, spread: float = 0.0, year: int | None = None) -> DataFrame:
-    """IO10: ts, bid, ask from whichever columns there are: a time or Date and Time; bid and ask, or close and a spread; rows without a price go."""
-    names = {c.lower(): c for c in df.columns}
-    if "date" in names and "time" in names:
-        ts = F.to_timestamp(F.concat_ws(" ", F.col(names["date"]), F.col(names["time"])))
+def detect_prices(df: DataFrame, year: int | None = None, order: str | None = None) -> DataFrame:
+    """IO10: ts, bid, ask from whichever columns there are; rows without a price go.
+
+    Time: the first of TIME_NAMES there is, as it stands or capitalised; text beside a column Date is that day's time of day
+    (yyyyMMdd HH:mm:ss). Without any, rows are numbered by `order` and are a millisecond apart from 2020 on. Prices, whatever
+    their case: bid and ask, or close and close + spread, or close for both.
+    """
+    found = next((n for name in TIME_NAMES for n in (name, name.capitalize()) if n in df.columns), None)
+    if found is None:
+        need(df, order or "a time or an order")
+        number = F.row_number().over(Window.partitionBy(*(["symbol"] if "symbol" in df.columns else [])).orderBy(order)) - 1
+        ts = F.timestamp_millis(F.lit(1_577_836_800_000) + number)
+    elif df.schema[found].dataType.simpleString() == "string" and "Date" in df.columns:
+        ts = F.to_timestamp(F.concat_ws(" ", F.col("Date").cast("string"), F.col(found)), "yyyyMMdd HH:mm:ss")
     else:
-        found = next((names[n] for n in TIME_NAMES if n in names), None)
-        if found is None:
-            raise ValueError("no time column")
         ts = normal_time(F.col(found), df.schema[found].dataType.simpleString())
+    names = {c.lower(): c for c in df.columns}
     if "bid" in names and "ask" in names:
         bid, ask = F.col(names["bid"]), F.col(names["ask"])
+    elif "close" in names:
+        bid = F.col(names["close"])
+        ask = bid + F.col(names["spread"]) if "spread" in names else bid
     else:
-        half = (F.coalesce(F.col(names["spread"]), F.lit(spread)) if "spread" in names else F.lit(spread)) / 2
-        bid, ask = F.col(names["close"]) - half, F.col(names["close"]) + half
+        raise ValueError("no price columns")
     keep = [F.col(names["symbol"]).alias("symbol")] if "symbol" in names else []
     out = df.select(*keep, ts.alias("ts"), bid.cast("double").alias("bid"), ask.cast("double").alias("ask")).dropna(subset=["ts", "bid", "ask"])
     return out.where(F.year("ts") == year) if year else out
