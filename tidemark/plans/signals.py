@@ -281,6 +281,13 @@ def context_filtered(df: DataFrame, kind: str, **limits) -> DataFrame:
     return df.withColumn("signal", F.when(context_filter(kind, **limits), F.col("signal")).otherwise(0))
 
 
+def context_runs(df: DataFrame, kinds=CONTEXT_FILTERS, **limits) -> DataFrame:
+    """A copy of each bar for each filter: filter_id, raw_signal, and signal, 0 where the filter doesn't let it through."""
+    runs = F.array(*(F.struct(F.lit(k).alias("filter_id"), F.when(context_filter(k, **limits), F.col("signal")).otherwise(0).alias("signal")) for k in kinds))
+    plain = [c for c in df.columns if c != "signal"]
+    return df.select(*plain, F.col("signal").alias("raw_signal"), F.explode(runs).alias("_run")).select(*plain, "raw_signal", "_run.filter_id", "_run.signal")
+
+
 def retention(df: DataFrame, kinds=CONTEXT_FILTERS, keys=KEYS) -> DataFrame:
     """For each filter, the share of bars with a signal that keep it; without any signal all are kept."""
     on = F.coalesce(F.col("signal"), F.lit(0)) != 0

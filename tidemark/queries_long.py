@@ -18,6 +18,7 @@ from .queries import MET, RSI_LEDGER, RSI_SHORT, query, tidy
 from .queries_more import _LEDGER, _SQUEEZE, _VARIANTS
 from .queries_research import _SWEEP
 from .sources import market as M
+from .sources.store import stored
 from .functions import indicators as I
 
 KT = "symbol, ts"
@@ -53,7 +54,7 @@ def ledger_in_hours(spark, d):
 @query(f"WITH {RSI_LEDGER}, {S.metrics()} SELECT {MET} FROM metrics")
 def metrics_in_stretches(spark, d):
     """A4, A5."""
-    return tidy(A.metrics(stretched_ledger(spark, d)))
+    return tidy(A.metrics(stored(stretched_ledger(spark, d), "ledger")))
 
 
 @query(f"WITH {S.BARS} SELECT {KT}, {S.r(f'max(close) OVER {S.UP_TO} AS peak', f'close / max(close) OVER {S.UP_TO} - 1 AS drawdown')} FROM bars")
@@ -83,7 +84,7 @@ def sweep_in_stretches(spark, d):
     """Every parameter set's automaton and equity in one scan."""
     params = R.grid(spark, [7, 14], [60.0, 70.0], [30.0, 50.0], [50.0, 55.0], [0.0, 10.0])
     led = R.sweep_in_stretches(M.bars(spark, d), params, [7, 14], seconds=2 * DAY)
-    return tidy(A.metrics(led, keys=("symbol", "param_id")))
+    return tidy(A.metrics(stored(led, "ledger"), keys=("symbol", "param_id")))
 
 
 def _rank(x: str, n: int) -> str:

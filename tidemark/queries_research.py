@@ -16,7 +16,7 @@ from .queries import gate_inputs
 from .functions import indicators as I
 from .queries_more import _CF, _CHOP, _CTX, _UPTO
 from .sources import market as M
-from .sources.store import scratch
+from .sources.store import scratch, stored
 
 KT = "symbol, ts"
 
@@ -144,7 +144,7 @@ _ROB_REASONS = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n
 def robustness_scores(spark, d):
     """The test split against buying and holding, the folds' test bars, a grid of parameter sets, and a high cost."""
     b = M.bars(spark, d).drop("turnover")
-    runs = A.metrics(R.split_runs(b), keys=("symbol", "run"))
+    runs = A.metrics(stored(R.split_runs(b), "ledger"), keys=("symbol", "run"))
     test = R.ratio_split(b, {"train": 0.6, "test": 0.4}).where("role = 'test'").drop("role")
     sets = R.sweep(test, R.grid(spark, [7, 14], [60.0, 70.0], [30.0, 50.0], [50.0, 55.0], [0.0, 10.0]), [7, 14])
     out = R.robustness(runs, R.window_returns(b, SG.RsiParams(), 200, 100, 100), R.total_returns(sets, ("symbol", "param_id")))
@@ -170,7 +170,7 @@ SELECT symbol, round(score, 6) AS score, failures, failures = '' AS passed FROM
 def multi_factor_objective(spark, d):
     """The test split, its gap to training, and the pass rate of the folds' test bars."""
     b, p = M.bars(spark, d).drop("turnover"), SG.RsiParams()
-    led = R.split_runs(b, p)
+    led = stored(R.split_runs(b, p), "ledger")  # read six times
     m = A.metrics(led, keys=("symbol", "run"))
     train = m.where("run = 'train'").select("symbol", F.col("smart_sharpe").alias("is_sharpe"))
     test = led.where("run = 'test'")
@@ -193,13 +193,10 @@ fc AS (SELECT a.symbol, a.filter_id, CASE WHEN a.smart_sharpe > b.smart_sharpe +
 def filter_selection(spark, d):
     """The seven context filters; liquidity stress stands for a context that isn't real."""
     base = I.add_context(I.add_rsi(M.bars(spark, d))).drop("turnover").withColumn("signal", SG.rsi_signal("neutral-exit", F.col("rsi_14"), SG.RsiParams(14, 60, 40, 50)))
-    out = base.withColumn("_raw", F.col("signal")).withColumn("filter_id", F.explode(F.array(*map(F.lit, SG.CONTEXT_FILTERS))))
-    through = F.lit(None).cast("boolean")
-    for k in SG.CONTEXT_FILTERS:
-        through = F.when(F.col("filter_id") == k, SG.context_filter(k)).otherwise(through)
-    out, k = out.withColumn("signal", F.when(through, F.col("_raw")).otherwise(0)), ("symbol", "filter_id")
-    kept = out.groupBy(*k).agg(F.coalesce(F.try_divide(F.count_if(F.col("signal") != 0), F.count_if(F.col("_raw") != 0)), F.lit(1.0)).alias("retention"))
-    m = A.metrics(B.ledger(out, B.cost_rate(5.0, 1.0), keys=k), keys=k).join(kept, list(k))
+    out, k = SG.context_runs(base).select("symbol", "ts", "close", "filter_id", "raw_signal", "signal"), ("symbol", "filter_id")
+    kept = out.groupBy(*k).agg(F.coalesce(F.try_divide(F.count_if(F.col("signal") != 0), F.count_if(F.col("raw_signal") != 0)), F.lit(1.0)).alias("retention"))
+    led = stored(B.ledger(out, B.cost_rate(5.0, 1.0), keys=k), "ledger")  # its metrics read it five times
+    m = A.metrics(led, keys=k).join(kept, list(k))
     return tidy(R.filter_scores(m, synthetic=("liquidity_stress_disable",)).select("symbol", "filter_id", "score", "classification", "selected"))
 
 
@@ -225,7 +222,7 @@ def chop_filter_selection(spark, d):
         runs = one if runs is None else runs.unionByName(one)
     led = B.ledger(runs, B.cost_rate(5.0, 1.0), keys=("symbol", "filter_id"))
     late = F.col("ts") >= F.to_timestamp(F.lit("2024-01-15"))
-    led = led.withColumn("period", F.explode(F.array(F.lit("full"), F.when(late, "post").otherwise("pre"))))
+    led = stored(led, "ledger").withColumn("period", F.explode(F.array(F.lit("full"), F.when(late, "post").otherwise("pre"))))
     k = ("symbol", "filter_id", "period")
     m = A.bar_metrics(led, "net_return", k).join(led.groupBy(*k).agg(F.sum("turnover").alias("turnover")), list(k))
     return tidy(R.chop_scores(m))
