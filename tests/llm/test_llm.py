@@ -462,16 +462,31 @@ def test_pii(docs, repeated, spark):
 
 def test_revealing_terms(spark):
     talk = [f"note {i} {a} agent zorblax {b} joe.x@corp.example called {c} today" for i, (a, b, c) in enumerate([("my", "wrote", "me"), ("our", "alias", "us"), ("their", "named", "them"), ("some", "under", "him")])]
-    df = spark.createDataFrame(list(enumerate(talk + [f"plain text number {i} my our me us" for i in range(40)])), "doc_id long, text string")
+    df = spark.createDataFrame(list(enumerate(talk + [f"plain text number {i} my our me us" for i in range(400)])), "doc_id long, text string")
     got = by_id(pii.op10(df))
-    assert all("term:" in got[i]["spans"] and got[i]["n_term"] >= 1 for i in range(4)) and all(got[i]["spans"] == "" for i in range(4, 44))
+    assert all("term:" in got[i]["spans"] and got[i]["n_term"] >= 1 for i in range(4)) and all(got[i]["spans"] == "" for i in range(4, 404))
     spans = pii.with_spans(df)
     clean = {r["i"]: r["t"] for r in spans.select("doc.doc_id", pii.sanitise(F.col("doc.text"), F.concat("base", "terms")).alias("t")).toDF("i", "t").collect()}
     assert "joe.x" not in clean[0] and "zorblax" not in clean[0] and "[EMAIL]" in clean[0] and clean[10] == "plain text number 6 my our me us"
 
 
-def brute_terms(texts, evidence):
-    """Revealing terms, and whether each is generalised, with threshold 1."""
+def test_one_text_and_near_copies_prove_nothing(spark):
+    import random
+
+    rng = random.Random(2)
+    words = [f"{a}{b}word" for a in "abcdefghij" for b in "klmnopqrst"]
+    plain = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(300)]
+    alone = " ".join(rng.choice(words) for _ in range(40)) + " hapaxone hapaxtwo bob.y@corp.example"
+    first = " ".join(rng.choice(words) for _ in range(60)) + " nearcopy ann.z@corp.example"
+    copies = [first + f" version{'abcdef'[k]}" for k in range(6)]
+    planted = [f"{' '.join(rng.choice(words) for _ in range(40))} glimmerstone {' '.join(rng.choice(words) for _ in range(5))} eve.q@corp.example" for _ in range(6)]
+    df = spark.createDataFrame(list(enumerate(plain + [alone] * 3 + copies + planted)), "doc_id long, text string")
+    got = {r["s"]["value"] for r in pii.with_spans(df).select(F.explode("terms").alias("s")).collect()}
+    assert got == {"glimmerstone"}
+
+
+def brute_terms(texts, evidence, apart):
+    """Revealing terms, and whether each is generalised, with threshold 1. apart(texts): whether they are no near copies of one."""
     texts = sorted(set(texts))
     n, terms, entities = len(texts), {}, {}
     for i, t in enumerate(texts):
@@ -483,11 +498,12 @@ def brute_terms(texts, evidence):
     stems = {}
     for w, at in terms.items():
         stems.setdefault(w[:4], set()).update(at)
+    bits = evidence + math.log2(len(entities)) + math.log2(len(terms) + len(stems))
     out = {}
     for at in entities.values():
         content = math.log2(n / len(at))
         for w, own in terms.items():
-            if own <= at and len(at) < n and len(own) * content >= evidence:
+            if own <= at and len(at) < n and len(own) * content >= bits and len(own) > 1 and apart([texts[i] for i in own]):
                 out[w] = out.get(w, True) and len(w) > 4 and math.log2(n / len(stems[w[:4]])) < content - 1e-9
     return out
 
@@ -502,8 +518,10 @@ def test_revealing_terms_against_brute_force(spark):
         who = rng.choice(people) if i % 6 == 0 else ""
         secret = {"": "", people[0]: "xylophonist lives", people[1]: "beekeeper"}.get(who, rng.choice(("beekeepers", "")))
         texts.append(" ".join([*(rng.choice(WORDS[:200]).replace("w", "word") for _ in range(rng.randint(0, 30))), who, secret, f"single{i}" if i % 4 else ""]))
-    want = brute_terms(texts, 4.0)
-    assert {"xylophonist", "lives"} <= set(want) and len(set(want.values())) == 2
+    sig = {r["text"]: r["sig"] for r in pii.distinct_texts(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    lanes = lambda x: [x >> 16 * k & 0xFFFF for k in range(4)]
+    want = brute_terms(texts, 4.0, lambda some: sum(len(set(lane)) > 1 for lane in zip(*(lanes(sig[t]) for t in some), strict=True)) >= pii.APART)
+    assert {"xylophonist", "lives"} <= set(want) and len(set(want.values())) == 2 and not any(w.startswith("single") for w in want)
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:40])], "doc_id long, text string")
     got = pii.with_spans(df, evidence=4.0).select("doc.text", F.explode("terms").alias("s")).collect()
     assert {(r["s"]["value"].lower(), r["s"]["kind"] == "general") for r in got} == {(w, g) for w, g in want.items() if "@" not in w}

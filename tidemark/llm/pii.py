@@ -14,9 +14,13 @@ wherever it stands in any text.
 Such a term is generalised (kind `general`) to its first STEM letters where
 all words that begin with them are in so many texts that they fall short of the
 threshold; otherwise it is removed (kind `term`). That b texts all hold the
-entity by chance has a probability of 2 to the power of -(b times the content);
-pairs for which this exponent is less than `evidence` bits prove nothing and
-are left alone, so are entities that all texts hold.
+entity by chance has a probability of 2 to the power of -(b times the content).
+With as many pairs as there are terms times entities some do so by chance, so
+the exponent must reach `evidence` bits and the logarithm of that number;
+pairs that don't prove nothing and are left alone, so are entities that all
+texts hold. One text proves nothing either, nor do near copies of one: among a
+pair's texts at least APART of the four minimum hashes of their words must
+differ.
 
 Null text is empty and has no spans. Null ids are kept as they are. Repeated
 rows give repeated results and count as one text; empty tables give no rows.
@@ -25,11 +29,15 @@ Columns other than those named are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import materialise
 
+#: Of four minimum hashes, how many must not be the same in all of a pair's texts.
+APART = 2
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns in the form that Java runs without backtracking or recursion: possessive loops, and a match can
 #: begin inside a run of its characters only where the match before it ended (\G).
@@ -91,16 +99,27 @@ def _key(text: Column) -> Column:
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
-    """key, text, base (spans), entities of each distinct text."""
+    """key, text, base (spans), entities, and sig (four minimum hashes of 16 bits each) of each distinct text."""
     texts = docs.select(_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text")).groupBy("key").agg(F.first("text").alias("text"))
     found = texts.select("key", "text", base_spans(F.col("text")).alias("base"))
-    return found.withColumn("entities", F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], s["value"]))))
+    found = found.withColumn("entities", F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], s["value"]))))
+    return found.withColumn("sig", F.when(F.size("entities") > 0, _signature(F.col("text"))).otherwise(0))
 
 
 def _terms(text: Column) -> Column:
     return F.filter(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))), lambda w: w.rlike(r"\p{L}{3}"))
 
 
+def _signature(text: Column) -> Column:
+    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+
+    def lane(k: int) -> Column:
+        least = F.array_min(F.transform(words, lambda w: F.xxhash64(w, F.lit(k))))
+        return F.shiftleft(F.coalesce(least, F.lit(0)).bitwiseAND(F.lit(0xFFFF)), 16 * k)
+
+    return lane(0).bitwiseOR(lane(1)).bitwiseOR(lane(2)).bitwiseOR(lane(3))
+
+
 def _stem(term: Column) -> Column:
     return F.concat(F.left(term, F.lit(STEM)), F.lit("*"))
 
@@ -121,17 +140,23 @@ def revealing_terms(texts: DataFrame, threshold: float = 1.0, evidence: float =
     counts = materialise(frequencies(texts))
     with_entities = texts.where(F.size("entities") > 0)
     entities = with_entities.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("e")).where(F.col("e") < n)
-    most = entities.agg(F.max("e")).first()[0] or 1
+    known = entities.agg(F.max("e").alias("most"), F.count("*").alias("n")).first()
+    most = known["most"] or 1
+    bits = evidence + math.log2(max(known["n"], 1)) + math.log2(max(counts.count(), 1))
     # b is at most e, so no term of more texts than this reveals anything
     limit = most * (n / most) ** (1 - threshold) * (1 + 1e-9)
     often = materialise(counts.where((F.col("t") > limit) & (F.length("term") <= FREQUENT_LENGTH)).orderBy(F.desc("t"), "term").limit(FREQUENT).select("term"))
-    pairs = with_entities.select("entities", F.explode(_terms(F.col("text"))).alias("term")).join(F.broadcast(often), "term", "left_anti")
-    both = pairs.select("term", F.explode("entities").alias("entity")).groupBy("entity", "term").agg(F.count("*").alias("b"))
+    pairs = with_entities.select("entities", "sig", F.explode(_terms(F.col("text"))).alias("term")).join(F.broadcast(often), "term", "left_anti")
+    pairs = pairs.select("term", "sig", F.explode("entities").alias("entity"))
+    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("b"), F.bit_or("sig").alias("_any"), F.bit_and("sig").alias("_all"))
+    differ = F.col("_any").bitwiseXOR(F.col("_all"))
+    apart = sum((F.when(F.shiftright(differ, 16 * k).bitwiseAND(F.lit(0xFFFF)) != 0, 1).otherwise(0) for k in range(4)), F.lit(0))
+    both = both.where((F.col("b") > 1) & (apart >= APART)).drop("_any", "_all")
     scored = both.join(counts.where(F.col("t") <= limit), "term").join(entities, "entity")
     content = F.log2(F.lit(float(n)) / F.col("e"))
     enough = F.lit(threshold) * content - 1e-9
     mutual = F.log2(F.lit(float(n)) * F.col("b") / (F.col("e") * F.col("t")))
-    revealing = scored.where((F.col("b") * content >= evidence) & (mutual >= enough)).select("term", enough.alias("enough"))
+    revealing = scored.where((F.col("b") * content >= bits) & (mutual >= enough)).select("term", enough.alias("enough"))
     # every text with the entity may have a word of that beginning: the most that it can reveal
     broader = revealing.withColumn("stem", _stem(F.col("term"))).join(counts.select(F.col("term").alias("stem"), F.col("t").alias("s")), "stem")
     general = (F.log2(F.lit(float(n)) / F.col("s")) < F.col("enough")) & (F.length("term") > STEM)
