@@ -137,7 +137,7 @@ def revealing_terms(texts: DataFrame, threshold: float = 1.0, evidence: float =
     texts: the rows of distinct_texts().
     """
     n = max(texts.count(), 1)
-    counts = materialise(frequencies(texts))
+    counts = materialise(frequencies(texts), clean=True)
     with_entities = texts.where(F.size("entities") > 0)
     entities = with_entities.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("e")).where(F.col("e") < n)
     known = entities.agg(F.max("e").alias("most"), F.count("*").alias("n")).first()
@@ -160,12 +160,12 @@ def revealing_terms(texts: DataFrame, threshold: float = 1.0, evidence: float =
     # every text with the entity may have a word of that beginning: the most that it can reveal
     broader = revealing.withColumn("stem", _stem(F.col("term"))).join(counts.select(F.col("term").alias("stem"), F.col("t").alias("s")), "stem")
     general = (F.log2(F.lit(float(n)) / F.col("s")) < F.col("enough")) & (F.length("term") > STEM)
-    return materialise(broader.groupBy("term").agg(F.min(general).alias("general"))), often
+    return materialise(broader.groupBy("term").agg(F.min(general).alias("general")), clean=True), often
 
 
 def with_terms(docs: DataFrame, threshold: float = 1.0, evidence: float = 9.0) -> DataFrame:
     """key, base, terms of each distinct text: base spans, and spans of revealing terms that no base span touches."""
-    texts = materialise(distinct_texts(docs))
+    texts = materialise(distinct_texts(docs), clean=True)
     reveal, often = revealing_terms(texts, threshold, evidence)
     words = texts.select("key", F.explode(_terms(F.col("text"))).alias("term")).join(F.broadcast(often), "term", "left_anti")
     own = words.join(reveal, "term").groupBy("key").agg(F.collect_list(F.struct("term", "general")).alias("reveal"))
