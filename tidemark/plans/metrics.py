@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,11 +77,50 @@ def combine_segments(segments: DataFrame, by=("symbol",)) -> DataFrame:
     return segments.groupBy(*by).agg((F.product(1 + F.col("total_return")) - 1).alias("total_return"), F.avg("sharpe").alias("sharpe"), F.min("max_drawdown").alias("max_drawdown"), _zero(safe_div(F.sum(F.col("win_rate") * n), F.sum(n))).alias("win_rate"), F.avg(clean(F.col("profit_factor"))).alias("profit_factor"), F.sum(n).alias("trade_count"))
 
 
-def correlations(df: DataFrame, ret: str = "asset_return") -> DataFrame:
-    """Correlation of each pair of symbols over the times both have."""
-    a = df.select("ts", F.col("symbol").alias("symbol_a"), F.col(ret).alias("_a"))
-    b = df.select("ts", F.col("symbol").alias("symbol_b"), F.col(ret).alias("_b"))
-    return a.join(b, "ts").where("symbol_a < symbol_b").groupBy("symbol_a", "symbol_b").agg(F.corr("_a", "_b").alias("correlation"), F.count("*").alias("n_common"))
+#: Symbols of a block, and the fields of a pair's sums.
+SYMBOLS = 64
+_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
+def _crossed(table: pa.Table) -> pa.Table:
+    """Sums of each pair of symbols, the first of block _a and the second of block _b, over the times of one range that both have."""
+    x = table.to_pandas().pivot_table(index="ts", columns=["_block", "symbol"], values="_x", aggfunc="first")
+    a, b = table["_a"][0].as_py(), table["_b"][0].as_py()
+    left, right = (x[k] if k in x.columns.get_level_values(0) else None for k in (a, b))
+    out = {c: [] for c in ("symbol_a", "symbol_b", *_SUMS)}
+    if left is not None and right is not None:
+        p, q = left.to_numpy(float), right.to_numpy(float)
+        m, k = ~np.isnan(p), ~np.isnan(q)
+        p, q, m, k = np.where(m, p, 0.0), np.where(k, q, 0.0), m.astype(float), k.astype(float)
+        sums = {"n": m.T @ k, "sx": p.T @ k, "sy": m.T @ q, "sxx": (p * p).T @ k, "syy": m.T @ (q * q), "sxy": p.T @ q}
+        i, j = np.nonzero((sums["n"] > 0) & (left.columns.to_numpy()[:, None] < right.columns.to_numpy()[None, :] if a == b else sums["n"] > 0))
+        first, second = left.columns.to_numpy()[i], right.columns.to_numpy()[j]
+        turned = first > second  # the smaller name comes first
+        for c, d in (("sx", "sy"), ("sxx", "syy")):
+            u, v = sums[c][i, j], sums[d][i, j]
+            out[c], out[d] = np.where(turned, v, u), np.where(turned, u, v)
+        out |= {"symbol_a": np.where(turned, second, first), "symbol_b": np.where(turned, first, second), "n": sums["n"][i, j], "sxy": sums["sxy"][i, j]}
+    return pa.table({c: pa.array(v, pa.string() if c.startswith("symbol") else pa.float64()) for c, v in out.items()})
+
+
+def correlations(df: DataFrame, ret: str = "asset_return", seconds: int = ST.WEEK, block: int = SYMBOLS) -> DataFrame:
+    """Correlation of each pair of symbols over the times both have.
+
+    Symbols are dealt into blocks and times into ranges; a task takes two blocks in one range as two matrices and gives the
+    sums of their products, which are added up by pair. So a row is copied once for each block, not once for each symbol,
+    and a task holds two blocks' rows of one range. Values are taken from their symbol's mean, so that sums keep their digits.
+    """
+    rows = df.select("symbol", "ts", F.col(ret).cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    means = rows.groupBy("symbol").agg(F.avg("_x").alias("_mean"))
+    blocks = max(1, -(-means.count() // block))
+    rows = rows.join(means, "symbol").select("symbol", "ts", (F.col("_x") - F.col("_mean")).alias("_x"), F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int").alias("_block"))
+    rows = ST.with_stretch(rows, seconds).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.withColumns({"_a": F.least("_block", "_other"), "_b": F.greatest("_block", "_other")})
+    parts = rows.groupBy("_s", "_a", "_b").applyInArrow(_crossed, "symbol_a string, symbol_b string, " + ", ".join(f"{c} double" for c in _SUMS))
+    total = parts.groupBy("symbol_a", "symbol_b").agg(*(F.sum(c).alias(c) for c in _SUMS))
+    n, x, y = F.col("n"), F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n"), F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+    both = F.when((x > TINY * TINY) & (y > TINY * TINY), F.sqrt(x * y))
+    return total.select("symbol_a", "symbol_b", safe_div(F.col("sxy") - F.col("sx") * F.col("sy") / n, both).alias("correlation"), n.cast("long").alias("n_common"))
 
 
 def attribution(ledger: DataFrame, keys=KEYS) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,6 +42,49 @@ def walk_forward(df: DataFrame, train: int, test: int, step: int, keys=KEYS) ->
     return df.drop("_i", "_n")
 
 
+def fold_metrics(ledger: DataFrame, train: int, test: int, step: int, keys=KEYS, seconds: int = ST.WEEK) -> DataFrame:
+    """Rows, times, return, drawdown, exposure, turnover and longest losing streak of every fold and role of a finished ledger.
+
+    Bars aren't copied into folds. They are summed up once into cells of the greatest length that divides train, test and
+    step; a fold's part is its cells put together in order. A cell is (product, peak, low, worst drawdown; losing bars at its
+    start, at its end, most in a row).
+    """
+    if min(train, test, step) < 1:
+        raise ValueError("train, test and step must be positive")
+    g = math.gcd(train, test, step)
+    df = ST.numbered(ledger, "_number", keys, seconds).withColumn("_c", F.floor((F.col("_number") - 1) / g))
+    cell = Window.partitionBy(*keys, "_c").orderBy("ts")
+    so_far = cell.rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({"_p": F.product(1 + F.col("net_return")).over(so_far), "_loss": F.coalesce(F.col("net_return") < 0, F.lit(False)), "_at": F.row_number().over(cell)})
+    # the row of the last gain tells how many losses have come in a row since
+    df = df.withColumns({"_m": F.max("_p").over(so_far), "_since": F.col("_at") - F.coalesce(F.max(F.when(~F.col("_loss"), F.col("_at"))).over(so_far), F.lit(0))})
+    cells = df.groupBy(*keys, "_c").agg(
+        F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.max_by("_p", "_at").alias("product"), F.max("_p").alias("peak"), F.min("_p").alias("low"), F.min(safe_div(F.col("_p"), F.col("_m")) - 1).alias("worst"),
+        F.sum(F.col("is_exposed").cast("long")).alias("exposed"), F.sum("turnover").alias("turnover"), F.coalesce(F.min(F.when(~F.col("_loss"), F.col("_at"))) - 1, F.count("*")).alias("head"), F.max_by("_since", "_at").alias("tail"), F.max("_since").alias("most"),
+    )
+    total = cells.groupBy(*keys).agg(F.sum("n").alias("_n"))
+    c, a, b, s = F.col("_c"), train // g, test // g, step // g
+    folds = F.floor((F.col("_n") - (train + test)) / step)
+    low, high = F.greatest(F.lit(0), F.ceil((c - (a + b) + 1) / s)), F.least(folds, F.floor(c / s))
+    placed = cells.join(total, list(keys)).withColumn("fold", F.explode(F.when(high >= low, F.sequence(low, high))))
+    placed = placed.withColumn("role", F.when(c - F.col("fold") * s < a, "train").otherwise("test"))
+    parts = placed.groupBy(*keys, "fold", "role").agg(
+        F.array_sort(F.collect_list(F.struct("_c", "n", "product", "peak", "low", "worst", "head", "tail", "most"))).alias("_cells"), F.sum("n").alias("n_rows"), F.min("first").alias("first_ts"), F.max("last").alias("last_ts"), F.sum("exposed").alias("_exposed"), F.sum("turnover").alias("turnover"),
+    )
+
+    def put(x: Column, y: Column) -> Column:
+        high = F.greatest(x["peak"], x["product"] * y["peak"])
+        worst = F.least(x["worst"], y["worst"], F.when(x["peak"] > 0, x["product"] * y["low"] / x["peak"] - 1))
+        return F.struct(
+            (x["product"] * y["product"]).alias("product"), high.alias("peak"), worst.alias("worst"),
+            F.greatest(x["most"], y["most"], x["tail"] + y["head"]).alias("most"), F.when(y["tail"] == y["n"], x["tail"] + y["tail"]).otherwise(y["tail"]).alias("tail"),
+        )
+
+    nothing = F.struct(F.lit(1.0).alias("product"), F.lit(0.0).alias("peak"), F.lit(0.0).alias("worst"), F.lit(0).cast("long").alias("most"), F.lit(0).cast("long").alias("tail"))
+    done = parts.withColumn("_all", F.aggregate("_cells", nothing, put))
+    return done.select(*keys, "fold", "role", "n_rows", "first_ts", "last_ts", (F.col("_all.product") - 1).alias("total_return"), F.col("_all.worst").alias("max_drawdown"), (F.col("_exposed") / F.col("n_rows")).alias("exposure"), "turnover", F.col("_all.most").alias("losing_bars"))
+
+
 def ratio_split(df: DataFrame, shares: dict[str, float], keys=KEYS) -> DataFrame:
     """Roles by the share of each key's rows, in order of time."""
     place = F.row_number().over(by_time(keys)) - 1

@@ -14,11 +14,11 @@ from .plans import ledger as B
 from .plans import metrics as A
 from .plans import research as R
 from .plans import signals as SG
-from .queries import MET, RSI_LEDGER, RSI_SHORT, query, tidy
+from .queries import CONTEXT, MET, RSI_LEDGER, RSI_SHORT, context_events, query, rsi_ledger, tidy
 from .queries_more import _LEDGER, _SQUEEZE, _VARIANTS
-from .queries_research import _SWEEP
+from .queries_research import _SWEEP, _walk
 from .sources import market as M
-from .sources.store import stored
+from .sources.store import scratch, stored
 from .functions import indicators as I
 
 KT = "symbol, ts"
@@ -104,3 +104,45 @@ def sliding_order_statistics(spark, d):
 def squeeze_by_ranks(spark, d):
     """S4 with its quantile by a rank structure."""
     return tidy(I.squeeze_by_ranks(M.bars(spark, d)).select("symbol", "ts", "squeeze"))
+
+
+_FOLDS = f"""{RSI_LEDGER}, {_walk(200, 100, 75, 'ledger')}, w1 AS (SELECT symbol, fold, role, ts, net_return, is_exposed, turnover, product(1 + net_return) OVER w AS eq, row_number() OVER w AS i, CASE WHEN net_return < 0 THEN 1 ELSE 0 END AS loss FROM wf WINDOW w AS (PARTITION BY symbol, fold, role ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+w2 AS (SELECT *, eq / max(eq) OVER w - 1 AS dd, i - coalesce(max(CASE WHEN loss = 0 THEN i END) OVER w, 0) AS since FROM w1 WINDOW w AS (PARTITION BY symbol, fold, role ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+
+@query(f"WITH {_FOLDS} SELECT symbol, fold, role, count(*) AS n_rows, min(ts) AS first_ts, max(ts) AS last_ts, {S.r('product(1 + net_return) - 1 AS total_return', 'min(dd) AS max_drawdown', 'avg(CASE WHEN is_exposed THEN 1.0 ELSE 0.0 END) AS exposure', 'sum(turnover) AS turnover')}, CAST(max(since) AS BIGINT) AS losing_bars FROM w2 GROUP BY 1, 2, 3")
+def fold_metrics(spark, d):
+    """Folds that overlap, from cells of 25 bars."""
+    return tidy(R.fold_metrics(rsi_ledger(spark, d), 200, 100, 75, seconds=2 * DAY))
+
+
+@query(f"WITH {S.BARS} SELECT symbol, CASE WHEN ts < 1704931200 THEN 'a' WHEN ts < 1705795200 THEN 'b' ELSE 'c' END AS origin, ts, {S.r('close', 'CASE WHEN ts < 1704931200 OR ts >= 1705795200 THEN volume END AS volume')}, CASE WHEN ts BETWEEN 1704931200 AND 1705795199 THEN 'x' END AS venue FROM bars")
+def drifted_bars(spark, d):
+    """IO2: three files of bars: whole volumes; none, but a venue; and times as milliseconds with fractional volumes."""
+    from .sources import drift
+
+    b, folder = M.bars(spark, d), scratch(spark, "drifted")
+    cut = lambda low, high: b.where(f"ts >= timestamp'{low}' AND ts < timestamp'{high}'")
+    cut("2000-01-01", "2024-01-11").select("symbol", "ts", "close", F.col("volume").cast("int").alias("volume")).write.parquet(f"{folder}/a")
+    cut("2024-01-11", "2024-01-21").select("symbol", "ts", "close", F.lit("x").alias("venue")).write.parquet(f"{folder}/b")
+    cut("2024-01-21", "2100-01-01").select("symbol", F.unix_millis("ts").alias("ts"), F.col("close").cast("decimal(18,6)").cast("double").alias("close"), "volume").write.parquet(f"{folder}/c")
+    out = drift.scan(spark, drift.files(spark, folder))
+    return tidy(out.select("symbol", F.regexp_extract("_file", "/([abc])/[^/]*$", 1).alias("origin"), "ts", "close", "volume", "venue"))
+
+
+@query(f"WITH {CONTEXT} SELECT source, signal_type, symbol, ts, round(value, 6) AS value, historical_integrity FROM ctx WHERE symbol = 'U1' AND ts BETWEEN 1704412800 AND 1705017600")
+def event_store_commits(spark, d):
+    """IO5, IO6, ST7: events committed in batches, one twice, one half-way only; compacted, and a later batch; one symbol and range read."""
+    from .sources import commits
+
+    root, events = scratch(spark, "store"), context_events(spark, d).withColumn("_k", F.pmod(F.xxhash64("ts", "value"), F.lit(4)))
+    part = lambda k: events.where(F.col("_k") == k).drop("_k")
+    for k in (0, 1, 1, 2):
+        commits.commit(part(k), root, f"b{k}")
+    part(3).withColumn("date", F.to_date("ts")).write.partitionBy("source", "symbol", "date").parquet(f"{root}/data/died")
+    schema = "source string, signal_type string, symbol string, ts timestamp, value double, historical_integrity boolean, metadata string"
+    commits.compact(spark, root, schema)
+    commits.commit(part(2), root, "b2")  # tried again after the compaction
+    commits.commit(part(3), root, "b3")
+    out = commits.read(spark, root, schema, "U1", "2024-01-05 00:00:00", "2024-01-12 00:00:00")
+    return tidy(out.select("source", "signal_type", "symbol", "ts", "value", "historical_integrity"))
