@@ -130,6 +130,19 @@ def frequencies(texts: DataFrame) -> DataFrame:
     return texts.select(F.explode(F.concat(own, F.array_distinct(F.transform(own, _stem)))).alias("term")).groupBy("term").agg(F.count("*").alias("t"))
 
 
+def _texts_of(live: DataFrame, texts: DataFrame) -> DataFrame:
+    """entities, sig, text: the texts that hold entities of `live` (entity, e), with these entities only.
+
+    The most frequent entities, a list of bounded size, are told apart by a broadcast: no other one is a hot key of the join.
+    """
+    often = materialise(live.orderBy(F.desc("e"), "entity").limit(FREQUENT).select("entity"))
+    held = texts.select("key", F.explode("entities").alias("entity"))
+    hot = held.join(F.broadcast(often), "entity", "left_semi")
+    rest = held.join(F.broadcast(often), "entity", "left_anti").join(live, "entity", "left_semi")
+    own = hot.unionByName(rest).groupBy("key").agg(F.collect_list("entity").alias("entities"))
+    return texts.drop("entities").join(own, "key").select("entities", "sig", "text")
+
+
 def revealing_terms(texts: DataFrame, threshold: float = 1.0, evidence: float = 9.0) -> tuple[DataFrame, DataFrame]:
     """(term, general): terms whose mutual information with an entity reaches the threshold, and whether a beginning of theirs doesn't;
     and (term): a bounded list of the most frequent terms, which reveal nothing.
@@ -146,14 +159,16 @@ def revealing_terms(texts: DataFrame, threshold: float = 1.0, evidence: float =
     # b is at most e, so no term of more texts than this reveals anything
     limit = most * (n / most) ** (1 - threshold) * (1 + 1e-9)
     often = materialise(counts.where((F.col("t") > limit) & (F.length("term") <= FREQUENT_LENGTH)).orderBy(F.desc("t"), "term").limit(FREQUENT).select("term"))
-    pairs = with_entities.select("entities", "sig", F.explode(_terms(F.col("text"))).alias("term")).join(F.broadcast(often), "term", "left_anti")
+    content = F.log2(F.lit(float(n)) / F.col("e"))
+    # b is at most e, so no entity of too few texts is revealed by anything, and only texts with another entity have pairs
+    live = materialise(entities.where((F.col("e") > 1) & (F.col("e") * content >= bits)), clean=True)
+    pairs = _texts_of(live, with_entities).select("entities", "sig", F.explode(_terms(F.col("text"))).alias("term")).join(F.broadcast(often), "term", "left_anti")
     pairs = pairs.select("term", "sig", F.explode("entities").alias("entity"))
     both = pairs.groupBy("entity", "term").agg(F.count("*").alias("b"), F.bit_or("sig").alias("_any"), F.bit_and("sig").alias("_all"))
     differ = F.col("_any").bitwiseXOR(F.col("_all"))
     apart = sum((F.when(F.shiftright(differ, 16 * k).bitwiseAND(F.lit(0xFFFF)) != 0, 1).otherwise(0) for k in range(4)), F.lit(0))
     both = both.where((F.col("b") > 1) & (apart >= APART)).drop("_any", "_all")
-    scored = both.join(counts.where(F.col("t") <= limit), "term").join(entities, "entity")
-    content = F.log2(F.lit(float(n)) / F.col("e"))
+    scored = both.join(counts.where(F.col("t") <= limit), "term").join(live, "entity")
     enough = F.lit(threshold) * content - 1e-9
     mutual = F.log2(F.lit(float(n)) * F.col("b") / (F.col("e") * F.col("t")))
     revealing = scored.where((F.col("b") * content >= bits) & (mutual >= enough)).select("term", enough.alias("enough"))
