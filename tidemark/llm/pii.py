@@ -180,7 +180,7 @@ def revealing_terms(texts: DataFrame, threshold: float = 1.0, evidence: float =
 
 def with_terms(docs: DataFrame, threshold: float = 1.0, evidence: float = 9.0) -> DataFrame:
     """key, base, terms of each distinct text: base spans, and spans of revealing terms that no base span touches."""
-    texts = materialise(distinct_texts(docs), clean=True)
+    texts = materialise(distinct_texts(docs), clean=True, codec="zstd")
     reveal, often = revealing_terms(texts, threshold, evidence)
     words = texts.select("key", F.explode(_terms(F.col("text"))).alias("term")).join(F.broadcast(often), "term", "left_anti")
     own = words.join(reveal, "term").groupBy("key").agg(F.collect_list(F.struct("term", "general")).alias("reveal"))

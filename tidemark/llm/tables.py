@@ -40,16 +40,17 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def materialise(df: DataFrame, clean: bool = False) -> DataFrame:
+def materialise(df: DataFrame, clean: bool = False, codec: str | None = None) -> DataFrame:
     """The rows written once as Parquet to the shared folder and read again: cuts lineage, survives lost executors.
 
     clean: collect the driver's garbage afterwards. Spark deletes the shuffle files of finished rounds only when the plans
     that hold them have been collected, and a driver of many rounds would keep both.
+    codec: how Parquet compresses, if not as the session has it; `zstd` keeps whole texts smaller than the default.
     """
     import uuid
 
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     if clean:
         df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
