@@ -233,6 +233,56 @@ def test_html_boxes_and_wrappers():
     assert {k: html._skipped("div", f' class="{k}"') for k in marks} == marks
 
 
+def test_html_score_decides():
+    """Without article or main: unlisted boxes go by the scan, doubtful class words by their own score; both stay with scores that never cost."""
+    weights = {"word p": 1.0, "word div": -1.0, "word li": -1.0, "word link": -3.0, **{t: -0.2 for t in ("p", "/p", "div", "/div", "li", "/li", "ul", "/ul", "a", "/a", "h1", "/h1")}}
+    flat = {k: 1.0 if k.startswith("word") else 0.0 for k in weights}
+    rail = "<div class='rail'><ul>" + "<li><a href='/x'>some place</a></li>" * 6 + "</ul></div>"
+    body = "<p>One two three four five six.</p><p>Seven eight nine ten eleven.</p>"
+    want = "One two three four five six.\n\nSeven eight nine ten eleven."
+    assert html.extract(f"<body>{rail}<div>{body}</div>{rail}</body>", weights)[0] == want
+    assert "some place" in html.extract(f"<body>{rail}<div>{body}</div>{rail}</body>", flat)[0]
+    inner = "<div class='related-posts'><ul>" + "<li><a href='/x'>another post</a></li>" * 3 + "</ul></div>"
+    work = "<div class='related-work'><p>Others have found the same before.</p></div>"
+    long = "<p>" + "word " * 60 + "</p>"
+    page = f"<body><article>{long}{inner}{work}{long}</article></body>"
+    got = html.extract(page, weights)[0].split("\n\n")
+    assert got == [("word " * 60).strip(), "Others have found the same before.", ("word " * 60).strip()]
+    assert "another post" in html.extract(page, flat)[0]
+
+
+def test_html_without_any_marks(spark):
+    """Weights from marked pages find the article where neither its element nor a box's name is left; the scan does it, not the lists."""
+    marked = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    weights = html.fit_weights(marked)
+    flat = {k: 1.0 if k.startswith("word") else 0.0 for k in weights}
+    pages = [r["html"] for r in marked.select("html").collect() if r["html"] and "<article" in r["html"]]
+    bare = [re.sub(r"<(/?)(nav|footer|aside|header)\b", r"<\1div", re.sub(r"</?article[^>]*>", "", p)).replace('class="ad"', 'class="x1"') for p in pages]
+    want = [html.extract(p, weights)[0] for p in pages]
+    assert pages and [html.extract(p, weights)[0] for p in bare] == want
+    assert all(html.extract(p, flat)[0] != w for p, w in zip(bare, want, strict=True))
+
+
+def test_html_loses_nothing_else():
+    weights = {"word p": 1.0, "word h1": 1.0, **{e + t: -0.2 for t in ("p", "h1", "div", "article") for e in ("", "/")}}
+    head = "<article><p>" + "before it stand words " * 5 + "</p>"
+    tail = "<p>" + "after it stand words " * 5 + "</p></article>"
+    first, last = ("before it stand words " * 5).strip(), ("after it stand words " * 5).strip()
+    for odd in ("<svg width='3' />", "<svg><text>axis</text></svg>", "<p><button>press</p>", "<select><option>one</select>", "<canvas></canvas>", "<iframe src='x'>frame</iframe>"):
+        assert html.extract(head + odd + tail, weights)[0] == first + "\n\n" + last, odd
+    for name in ("math", "object", "video"):
+        assert html.extract(f"{head}<p>Here <{name}>is x</{name}> kept.</p>{tail}", weights)[0] == f"{first}\n\nHere is x kept.\n\n{last}", name
+    assert html.extract(f"<article><div class='article-header'><h1>The heading of it</h1></div><p>{first}</p></article>", weights)[0] == "The heading of it\n\n" + first
+    assert "wow" in html.extract("<article><p>" + "<blink>wow</blink> " * 3 + "and many more plain words " * 20 + "</p></article>", weights)[0]
+    bare = {"word p": 1.0, "word div": -4.0, "p": -0.2, "/p": -0.2}
+    assert html.extract("<body><div>all of the text is in here and nowhere else</div></body>", bare)[0] == "all of the text is in here and nowhere else"
+    assert html.extract("<body><article><div>all of the text is in here and nowhere else</div></article></body>", bare)[0] == "all of the text is in here and nowhere else"
+    odd = html.pieces("<x-one>a</x-one><x-two>b</x-two>")
+    assert {p[0] for p in odd} == {"other", "/other", "word body"}
+    many = "<button>" * 20000 + "text"
+    assert html.extract(many, weights)[0] == ""
+
+
 def brute_suffix(items):
     seen, out = set(), {}
     for i, t in items:
