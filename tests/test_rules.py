@@ -153,6 +153,15 @@ def test_divergence_strength(spark):
     assert [None if x is None else round(x, 9) for x in column(out, "divergence_strength")][4:] == [0.5, round(abs((-0.4 + 2.0) / 0.4), 9)] and column(out, "bearish_divergence")[5]
 
 
+def test_divergence_of_equal_prices(spark):
+    rows = [(10.0, 12.0, -1.0), (10.0, 12.0, -3.0), (11.0, 11.0, -2.0), (9.0, 12.0, -2.0), (9.0, 13.0, -2.5)]
+    df = table(spark, rows, "low high macd", "double double double")
+    # at the low of 10 MACD was -1, then -3; at the high of 12 it was -3, then -2
+    for earliest, found in ((True, False), (False, True)):
+        out = I.add_divergence(df, n=3, earliest=earliest)
+        assert column(out, "bullish_divergence") == [False] * 3 + [found, False] and column(out, "bearish_divergence") == [False] * 4 + [found]
+
+
 def test_price_columns(spark):
     df = spark.createDataFrame([("20240102", "03:04:05", 10.0, 2.0), ("20240102", "03:04:06", None, 2.0)], "Date string, Time string, close double, Spread double")
     assert [(r.ts, r.bid, r.ask) for r in M.detect_prices(df).collect()] == [(dt.datetime(2024, 1, 2, 3, 4, 5), 10.0, 12.0)]

@@ -136,21 +136,25 @@ def add_extrema(df: DataFrame, n: int = 3, x: str = "close", keys=KEYS) -> DataF
     return df.withColumns({"is_high": F.coalesce(high, F.lit(False)), "is_low": F.coalesce(low, F.lit(False)), "extremum": F.when(full, then)})
 
 
-def add_divergence(df: DataFrame, n: int = 20, keys=KEYS, least: float = 0.25) -> DataFrame:
+def add_divergence(df: DataFrame, n: int = 20, keys=KEYS, least: float = 0.25, earliest: bool = False) -> DataFrame:
     """The price makes a new extreme of the last n bars and MACD, compared at the two extremes, doesn't, by a strength of at least `least`.
 
-    Needs macd. The extreme before is taken over the n rows before the current one; the strength is MACD's change between
-    the two, as a share of the earlier one (0 where that is 0).
+    Needs macd. The extreme before is taken over the n rows before the current one, of equal ones the latest or the
+    `earliest`; the strength is MACD's change between the two, as a share of the earlier one (0 where that is 0).
     """
     prior = by_time(keys).rowsBetween(-n, -1)
     full = F.count("macd").over(prior) == n
     m = F.col("macd")
-    low_at, high_at = F.min_by("macd", "low").over(prior), F.max_by("macd", "high").over(prior)
+    df = df.withColumn("_row", F.row_number().over(by_time(keys)))
+    # which of equal prices min_by and max_by take is open without the row beside the price
+    place = F.col("_row") if earliest else -F.col("_row")
+    at = lambda x, tie: F.when(F.col(x).isNotNull(), F.struct(F.col(x), tie))
+    low_at, high_at = F.min_by("macd", at("low", place)).over(prior), F.max_by("macd", at("high", -place)).over(prior)
     df = df.withColumns({"_bull": F.coalesce(F.abs(safe_div(m - low_at, F.abs(low_at))), F.lit(0.0)), "_bear": F.coalesce(F.abs(safe_div(high_at - m, F.abs(high_at))), F.lit(0.0))})
     bull = full & (F.col("low") < F.min("low").over(prior)) & (m > low_at) & (F.col("_bull") >= least)
     bear = full & (F.col("high") > F.max("high").over(prior)) & (m < high_at) & (F.col("_bear") >= least)
     df = df.withColumns({"bullish_divergence": F.coalesce(bull, F.lit(False)), "bearish_divergence": F.coalesce(bear, F.lit(False))})
-    return df.withColumn("divergence_strength", F.when(F.col("bullish_divergence"), F.col("_bull")).when(F.col("bearish_divergence"), F.col("_bear"))).drop("_bull", "_bear")
+    return df.withColumn("divergence_strength", F.when(F.col("bullish_divergence"), F.col("_bull")).when(F.col("bearish_divergence"), F.col("_bear"))).drop("_row", "_bull", "_bear")
 
 
 def add_trailing_stop(df: DataFrame, atr: Column, long: bool = True, keys=("symbol", "trade_id"), multiple: float = 2.0, share: float = 0.05) -> DataFrame:

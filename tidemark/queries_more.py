@@ -203,7 +203,7 @@ SELECT {KT}, bull AS bullish_divergence, bear AS bearish_divergence, round(CASE
 def window_divergence(spark, d):
     """W26."""
     b = scan.add_macd(M.bars(spark, d)).withColumn("macd", F.round("macd", 9))
-    return tidy(I.add_divergence(b).select("symbol", "ts", "bullish_divergence", "bearish_divergence", "divergence_strength"))
+    return tidy(I.add_divergence(b, earliest=True).select("symbol", "ts", "bullish_divergence", "bearish_divergence", "divergence_strength"))
 
 
 _TRADES = f"{RSI_LEDGER}, {S.trades()}"
