@@ -100,6 +100,7 @@ def test_crosses(spark):
     closes = [10.0] * 5 + [11.0] * 5 + [9.0] * 5
     df = table(spark, [(c,) for c in closes], "close", "double")
     assert column(SG.macd_cross(df), "signal") == [-1] * 5 + [1] * 5 + [-1] * 5  # a signal on every bar
+    assert column(SG.macd_cross(df), "crossed") == [None] * 5 + [1] + [None] * 4 + [-1] + [None] * 4  # and where it crosses
     below = SG.rsi_sma(df, 1, 3, 2, side=101.0, above=False)
     assert column(below, "signal")[5] == 1 and column(SG.rsi_sma(df, 1, 3, 2, side=101.0), "signal")[5] is None
 

@@ -297,9 +297,13 @@ def retention(df: DataFrame, kinds=CONTEXT_FILTERS, keys=KEYS) -> DataFrame:
 
 @STRATEGIES.add("macd_cross")
 def macd_cross(df: DataFrame, keys=KEYS) -> DataFrame:
-    """On every bar 1 while MACD is over its signal line, else -1, with the RSI beside it."""
+    """On every bar 1 while MACD is over its signal line, else -1, with the RSI beside it; crossed: 1 where MACD crosses
+    that line upward, -1 downward, to nine places."""
     df = I.add_rsi(add_macd(df, keys=keys), 14, keys)
-    return df.withColumn("signal", F.when(F.col("macd") > F.col("macd_signal"), 1).otherwise(-1))
+    h = F.round("macd_hist", 9)
+    was = before(h, 1, keys)
+    crossed = _first(((h > 0) & (was <= 0), 1), ((h < 0) & (was >= 0), -1))
+    return df.withColumns({"signal": F.when(F.col("macd") > F.col("macd_signal"), 1).otherwise(-1), "crossed": crossed})
 
 
 def matrix_to_long(df: DataFrame, values: str, assets: list[str], name: str = "prediction_value") -> DataFrame:

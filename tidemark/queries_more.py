@@ -438,10 +438,13 @@ def signal_context_retention(spark, d):
     return tidy(SG.retention(df))
 
 
-@query(f"{_EMA} SELECT {KT}, {_SIG.format('CASE WHEN y12 - y26 > sig THEN 1 ELSE -1 END')} FROM rec")
+@query(
+    f"""{_EMA}, {S.rsi(14, 'rs')}, h AS (SELECT symbol, ts, y12 - y26 AS macd, sig, round(y12 - y26 - sig, 9) AS h FROM rec), c AS (SELECT *, CASE WHEN h > 0 AND {S.lag('h')} <= 0 THEN 1 WHEN h < 0 AND {S.lag('h')} >= 0 THEN -1 END AS crossed FROM h)
+SELECT {KT}, {_SIG.format('CASE WHEN macd > sig THEN 1 ELSE -1 END')}, CAST(crossed AS BIGINT) AS crossed, round(rsi, 6) AS rsi_14 FROM c JOIN rs USING (symbol, ts)"""
+)
 def signal_macd_cross(spark, d):
     """S12."""
-    return tidy(SG.macd_cross(M.bars(spark, d)).select("symbol", "ts", "signal"))
+    return tidy(SG.macd_cross(M.bars(spark, d)).select("symbol", "ts", "signal", "crossed", "rsi_14"))
 
 
 @query(f"WITH {S.BARS}, m AS (SELECT ts, symbol AS asset, close / 100 - 1.2 AS v FROM bars) SELECT ts, asset, round(v, 6) AS prediction_value, v > 0 AS selected FROM m")
