@@ -124,6 +124,26 @@ def test_spaced_events_equal_the_fold(spark, gap):
     assert links.spaced(df.limit(0), gap).count() == 0
 
 
+def test_spaced_events_are_linked_by_steps_of_stretches(spark, monkeypatch):
+    times = sorted({round(i * 0.7 + (i * 37 % 11) * 0.05, 2) for i in range(3000)})
+    sizes, stored = [], links.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name == "links":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(links, "stored", counted)
+    df = spark.createDataFrame([("A", START + dt.timedelta(seconds=t)) for t in times], "symbol string, ts timestamp")
+    got, want = [r.ts for r in links.spaced(df, 20, seconds=300).orderBy("ts").collect()], []
+    for t in times:
+        if not want or (START + dt.timedelta(seconds=t) - want[-1]).total_seconds() >= 20:
+            want.append(START + dt.timedelta(seconds=t))
+    # seven stretches: no round goes over all 3,000 events, and few are needed
+    assert got == want and max(sizes) <= 300 and len(sizes) <= 5
+
+
 def test_order_statistics_equal_row_loops(spark):
     rng = random.Random(4)
     values = [None if rng.random() < 0.2 else float(rng.randrange(30)) for _ in range(400)]
