@@ -420,6 +420,31 @@ def test_near_duplicates(docs, repeated, monkeypatch, dense):
     assert neardup.op9(empty(docs)).count() == 0
 
 
+@pytest.mark.parametrize("percent", [40, 80])
+def test_long_sets_meet_by_segments(percent):
+    import numpy as np
+
+    rng, told = np.random.default_rng(percent), {True: 0, False: 0}
+    for trial in range(60):
+        a = rng.integers(0, 1 << 64, int(rng.integers(3000, 9000)), dtype=np.uint64)
+        common = a[: int(len(a) * (rng.uniform(0.3, 1) if trial % 3 else 0.1))]
+        b = np.concatenate((common, rng.integers(0, 1 << 64, int(rng.integers(0, 2000)), dtype=np.uint64)))
+        a, b = np.unique(a), np.unique(b)
+        both = len(np.intersect1d(a, b))
+        full, n = np.concatenate((a, b)), np.array([len(a), len(b)])
+        shingle, segment, of, name = neardup.segments(full, np.repeat([0, 1], n), n, percent)
+        size, maps, found = np.bincount(segment), neardup._bitmaps(shingle, segment, len(of)).view(np.uint64), False
+        for x in np.flatnonzero(of == 0):
+            for y in np.flatnonzero((of == 1) & (name == name[x])):
+                most = (size[x] + size[y] - int(np.bitwise_count(maps[x] ^ maps[y]).sum())) // 2
+                found |= bool(100 * most >= percent * (size[x] + size[y] - most))
+        alike = 100 * both >= percent * (len(a) + len(b) - both)
+        assert found or not alike
+        told[found] += not alike
+    # sets that have little in common were compared on full sets, whatever their bitmap of 1,024 bits
+    assert percent < 80 or told[False] > 5 * told[True]
+
+
 @pytest.mark.parametrize("block", [1024, 16])
 def test_near_duplicates_of_a_hot_template(spark, monkeypatch, block):
     """Documents just under 0.8 alike, and pairs among them that reach it."""

@@ -19,10 +19,16 @@ own side's, so sets of similarity t share at least (2 t - 1) n links of the n of
 either, and hence one of the first n - (2 t - 1) n + 1 in any one order of all
 links (for t of a half or less single shingles take the links' place). The
 order takes seldom shingles first, as far as a sample tells. Two unrelated sets
-seldom share a link, so that the work grows with the corpus. Sets of different
-components that share one are paired, those outside a link's largest component
-in blocks of BLOCK with all, and pairs that a bound on the intersection doesn't
-rule out are confirmed on the full sets.
+seldom share a link, so that the work grows with the corpus. Long sets would,
+and no bitmap tells them apart: they are cut by ranges of the hash into segments
+of about SEGMENT shingles, which are chained, paired and told apart by
+themselves. Of two sets that are alike enough one segment at least is, as the
+sums of the segments' intersections and unions are those of the sets; sets of
+unlike size are cut alike at the level of the smaller one (of all levels that
+a set alike enough may have). Segments of different
+components that share a link are paired, those outside a link's largest component
+in blocks of BLOCK with all, and pairs that a bound on the segments' intersection doesn't rule out are
+confirmed on the full sets.
 
 Null text, and text without words, has an empty set and is linked with nothing.
 A null id takes no part: its component is null and it is kept. Rows with equal
@@ -47,6 +53,8 @@ from .tables import hash_unit, materialise, partitions
 TREES, DEPTH, BASE, DENSE, FIRST_TREES = 20, 8, 4, 64, 3
 #: Bits of a set's parity bitmap, documents of a block, buckets of the sampled shingle counts (a byte each) and documents sampled.
 BITS, BLOCK, COUNTED, SAMPLED = 1024, 1024, 1 << 22, 20000
+#: A set of 2**k times as many shingles and more (less than twice that) is cut into 2**k segments.
+SEGMENT = 512
 #: Sets of one link in a batch that meet in its bucket (more are known to be several), and links of a bucket.
 HOT_BATCH, BUCKET_LINKS = 256, 500_000
 _RNG = np.random.default_rng(97)
@@ -114,8 +122,34 @@ def _digests(full: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join(sums), "<u8").reshape(-1, 2)
 
 
-def _sets(size: int):
-    """doc_id, n_shingles, digest of the set (d1, d2), its bitmap, and for each tree the region and the order of the rest of the signature."""
+def segments(full: np.ndarray, owner: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles by segment (in order of owner, level and hash) and their segments; the segments' owners and names (level and number).
+
+    A set is cut at its own level and at that of the smallest set that is alike enough.
+    """
+    level = lambda m: np.maximum(np.frexp(np.maximum(m, 1) / SEGMENT)[1].astype(np.int64) - 1, 0)
+    low, high = level((percent * n + 99) // 100), level(n)
+    shingle, of, name = [], [], []
+    for k in range(int(low.min(initial=0)), int(high.max(initial=0)) + 1):
+        at = (low[owner] <= k) & (k <= high[owner])
+        shingle.append(full[at])
+        of.append(owner[at])
+        number = full[at] >> U64(64 - k) if k else np.zeros(int(at.sum()), U64)
+        name.append((U64(1) << U64(k)) + number)
+    shingle, of, name = np.concatenate(shingle), np.concatenate(of), np.concatenate(name)
+    order = np.lexsort((shingle, name, of))
+    shingle, of, name = shingle[order], of[order], name[order]
+    new = np.concatenate((np.ones(min(len(of), 1), bool), (of[1:] != of[:-1]) | (name[1:] != name[:-1])))
+    return shingle, np.cumsum(new) - 1, of[new], name[new]
+
+
+def _named(digest: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """The segment's identity: that of the set and the segment's name; an uncut set's is its digest."""
+    return np.where(name == 1, digest, mix(digest + mix(name)))
+
+
+def _sets(size: int, percent: int):
+    """doc_id, n_shingles, digest of the set (d1, d2), of its segments identity, size and bitmap, and for each tree the region and the order of the rest of the signature."""
 
     def run(rows):
         for batch in batches(rows):
@@ -123,7 +157,8 @@ def _sets(size: int):
             total = len(texts)
             count, d1, d2 = np.zeros(total, np.int64), np.zeros(total, U64), np.zeros(total, U64)
             region, fifth, rest = (np.zeros((total, TREES), np.int64) for _ in range(3))
-            bits = [b""] * total
+            parts = [np.zeros(0, np.int64)] * total
+            sizes, bits = [np.zeros(0, np.int64)] * total, [[]] * total
             for a, b in chunks(texts):
                 full, owner, n = shingles(texts[a:b], size)
                 count[a:b] = n
@@ -132,7 +167,12 @@ def _sets(size: int):
                 have = np.flatnonzero(n)
                 starts = (np.cumsum(n) - n)[have]
                 d1[a + have], d2[a + have] = _digests(full, n).T
-                bits[a:b] = [x.tobytes() for x in _bitmaps(full, owner, b - a)]
+                shingle, segment, of, name = segments(full, owner, n, percent)
+                identity, m, maps = _named(d1[a + of], name).view(np.int64), np.bincount(segment), _bitmaps(shingle, segment, len(of))
+                cut = np.searchsorted(of, np.arange(b - a + 1))
+                for i in have.tolist():
+                    x, y = cut[i], cut[i + 1]
+                    parts[a + i], sizes[a + i], bits[a + i] = identity[x:y], m[x:y], [z.tobytes() for z in maps[x:y]]
                 sig = _signatures(full, starts).reshape(len(have), TREES, DEPTH).astype(U64)
                 key = np.zeros((len(have), TREES), U64)
                 for k in range(BASE):
@@ -141,7 +181,7 @@ def _sets(size: int):
                 fifth[a + have] = sig[:, :, BASE].astype(np.int64)
                 rest[a + have] = ((sig[:, :, BASE + 1] << U64(31)) | (sig[:, :, BASE + 2] >> U64(1))).astype(np.int64)
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), TREES).cast(pa.list_(pa.int64())) for x in (region, fifth, rest)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(bits, pa.binary()), *lists], names=["doc_id", "n_shingles", "d1", "d2", "bits", "region", "fifth", "rest"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(parts, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.binary())), *lists], names=["doc_id", "n_shingles", "d1", "d2", "part", "size", "bits", "region", "fifth", "rest"])
 
     return run
 
@@ -197,7 +237,7 @@ def links(full: np.ndarray, owner: np.ndarray, n: np.ndarray, percent: int, coun
 
 
 def _linked(size: int, percent: int, shared, buckets: int):
-    """Links with the first word of their sets' digests, by bucket; of a link with very many sets the further ones go straight on (over)."""
+    """Links with the identities of their segments, by bucket; of a link with very many segments the further ones go straight on (over)."""
 
     def run(rows):
         counts = shared.value
@@ -207,10 +247,12 @@ def _linked(size: int, percent: int, shared, buckets: int):
             for a, b in chunks(texts):
                 full, owner, n = shingles(texts[a:b], size)
                 if len(full):
-                    key, of = links(full, owner, n, percent, counts)
-                    number = np.cumsum(n > 0) - 1
-                    keys.append(key)
-                    digests.append(_digests(full, n)[number[of], 0])
+                    digest = _digests(full, n)[np.cumsum(n > 0) - 1, 0]
+                    shingle, segment, of, name = segments(full, owner, n, percent)
+                    key, at = links(shingle, segment, np.bincount(segment), percent, counts)
+                    # segments of one name only meet
+                    keys.append(np.where(name[at] == 1, key, mix(key + mix(name[at]))))
+                    digests.append(_named(digest[of], name)[at])
             if not keys:
                 continue
             key, digest = _distinct(np.concatenate(keys), np.concatenate(digests))
@@ -236,12 +278,12 @@ def _distinct(key: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _several(table):
-    """key and d1 of links that more than one set has."""
+    """key and part of links that more than one segment has."""
     over = pc.fill_null(table.column("over"), False)
     near, far = ([np.frombuffer(b"".join(part.column(c).to_pylist()), "<u8") for c in ("keys", "digests")] for part in (table.filter(pc.invert(over)), table.filter(over)))
     key, digest = _distinct(*near)
     keep = np.searchsorted(key, key, side="right") - np.searchsorted(key, key) > 1
-    return pa.table({"key": np.concatenate((key[keep], far[0])).view(np.int64), "d1": np.concatenate((digest[keep], far[1])).view(np.int64)})
+    return pa.table({"key": np.concatenate((key[keep], far[0])).view(np.int64), "part": np.concatenate((digest[keep], far[1])).view(np.int64)})
 
 
 def _paired(percent: int):
@@ -249,7 +291,7 @@ def _paired(percent: int):
 
     def run(table):
         table = table.combine_chunks().sort_by([("key", "ascending"), ("one", "ascending"), ("two", "ascending"), ("side", "ascending")])
-        key, one, two, side, n = (table.column(c).to_numpy() for c in ("key", "one", "two", "side", "n_shingles"))
+        key, one, two, side, n = (table.column(c).to_numpy() for c in ("key", "one", "two", "side", "size"))
         other = table.column("other").to_numpy(zero_copy_only=False)
         comp = table.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
         ids = table.column("rep").combine_chunks().dictionary_encode()
@@ -327,6 +369,13 @@ def candidates(forest: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
 
 
+def _block(table: pa.Table) -> pa.Table:
+    """The words of one block in their places."""
+    word, out = table.column("word").to_numpy(), np.zeros(1024, np.int64)
+    out[word & 1023] = table.column("value").to_numpy()
+    return pa.table({"block": [int(word[0]) >> 10], "words": [out.tobytes()]})
+
+
 def _perhaps(ids: DataFrame, bits: int = 1 << 24):
     """A condition on a column of ids: false only for ids that aren't in `ids`.
 
@@ -336,8 +385,10 @@ def _perhaps(ids: DataFrame, bits: int = 1 << 24):
     """
     places = F.array(*(F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(bits)) for k in (1, 2, 3)))
     words = ids.select(F.explode(places).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 AS int))")).alias("value"))
-    found, filled = words.toPandas(), np.zeros(bits // 64, np.int64)
-    filled[found["word"].to_numpy(np.int64)] = found["value"].to_numpy(np.int64)
+    filled = np.zeros(bits // 64, np.int64)
+    # the driver gets blocks of 1,024 words, not a row for each
+    for r in words.groupBy(F.shiftright("word", 10).alias("block")).applyInArrow(_block, "block long, words binary").toLocalIterator():
+        filled[r["block"] << 10 : (r["block"] + 1) << 10] = np.frombuffer(r["words"], np.int64)
     shared = ids.sparkSession.sparkContext.broadcast(filled.view(U64))
 
     @F.pandas_udf("boolean")
@@ -351,7 +402,7 @@ def _perhaps(ids: DataFrame, bits: int = 1 << 24):
 def missed(rows: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
     """lo, hi: every pair in different components that can be alike enough.
 
-    rows: doc_id, _text. reps: rep, comp, d1, n_shingles, bits of one row of each class.
+    rows: doc_id, _text. reps: rep, comp, n_shingles, part, size, bits (arrays: of each segment) of one row of each class.
     """
     spark, kind = rows.sparkSession, rows.schema["doc_id"].dataType.simpleString()
     state = reps.agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).first()
@@ -363,18 +414,19 @@ def missed(rows: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFra
     shared = spark.sparkContext.broadcast(np.minimum(counts, 255).astype(np.uint8))
     buckets = max(partitions(spark), -(-int(state["s"] or 0) // BUCKET_LINKS))
     entries = rows.where("doc_id IS NOT NULL").mapInArrow(_linked(size, percent, shared, buckets), "bucket int, over boolean, keys binary, digests binary")
-    several = materialise(entries.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_several, "key long, d1 long"), clean=True)
-    tagged = materialise(several.join(reps.select("d1", "rep", "comp"), "d1").select("key", "rep", "comp"))
+    several = materialise(entries.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_several, "key long, part long"), clean=True)
+    cut = reps.select("rep", "comp", F.explode(F.arrays_zip("part", "size", "bits")).alias("x")).select("rep", "comp", "x.*")
+    tagged = materialise(several.join(cut.select("part", "rep", "comp"), "part").select("key", "part", "rep", "comp"))
     mixed = tagged.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.max("m").alias("most"), F.max_by("comp", "m").alias("largest"), F.count("*").alias("k")).where("k > 1").drop("k")
     dealt = tagged.join(mixed, "key").withColumn("other", F.col("comp") != F.col("largest"))
     all_blocks, other_blocks = F.ceil(F.col("m") / BLOCK), F.ceil((F.col("m") - F.col("most")) / BLOCK)
     # cell (one, two): the others of block two on the left, all of block one on the right
     right = F.transform(F.sequence(F.lit(0).cast("long"), other_blocks - 1), lambda x: F.struct(F.lit(1).alias("side"), F.pmod(F.xxhash64("rep"), all_blocks).alias("one"), x.alias("two")))
     left = F.transform(F.sequence(F.lit(0).cast("long"), all_blocks - 1), lambda x: F.struct(F.lit(0).alias("side"), x.alias("one"), F.pmod(F.xxhash64("rep", F.lit(5)), other_blocks).alias("two")))
-    cells = dealt.select("key", "rep", "comp", "other", F.explode(F.concat(right, F.when(F.col("other"), left).otherwise(F.slice(left, 1, 0)))).alias("x")).select("key", "rep", "comp", "other", "x.*")
+    cells = dealt.select("key", "part", "rep", "comp", "other", F.explode(F.concat(right, F.when(F.col("other"), left).otherwise(F.slice(left, 1, 0)))).alias("x")).select("key", "part", "rep", "comp", "other", "x.*")
     cells = materialise(cells, clean=True)
     buckets = max(partitions(spark), -(-cells.count() // 10000))
-    full = cells.join(reps.select("rep", "n_shingles", "bits"), "rep").withColumn("bucket", F.pmod(F.xxhash64("key", "one", "two"), F.lit(buckets)).cast("int"))
+    full = cells.join(cut.select("part", "rep", "size", "bits"), ["part", "rep"]).drop("part").withColumn("bucket", F.pmod(F.xxhash64("key", "one", "two"), F.lit(buckets)).cast("int"))
     pairs = full.groupBy("bucket").applyInArrow(_paired(percent), f"a {kind}, b {kind}")
     return pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
 
@@ -383,7 +435,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     """doc_id, n_shingles, component_id, kept of each row of docs."""
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("_text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    base = materialise(rows.mapInArrow(_sets(size), f"doc_id {kind}, n_shingles long, d1 long, d2 long, bits binary, region array<long>, fifth array<long>, rest array<long>"))
+    base = materialise(rows.mapInArrow(_sets(size, percent), f"doc_id {kind}, n_shingles long, d1 long, d2 long, part array<long>, size array<long>, bits array<binary>, region array<long>, fifth array<long>, rest array<long>"))
     sets = base.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     digest = ["d1", "d2", "n_shingles"]
     classes = sets.groupBy(*digest).agg(F.min("doc_id").alias("rep"))
@@ -408,8 +460,8 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     first = components(confirmed(materialise(candidates(forest(ids, 0, FIRST_TREES)))))
     more = confirmed(materialise(candidates(apart_only(forest(with_component(first), FIRST_TREES, TREES)))))
     joined = components(more.unionByName(first.select(F.col("component").alias("lo"), F.col("vertex").alias("hi"))))
-    apart = sets.select("doc_id", "d1", "n_shingles", "bits").join(with_component(joined), "doc_id")
-    apart = materialise(apart.select(F.col("doc_id").alias("rep"), "comp", "d1", "n_shingles", "bits"))
+    apart = sets.select("doc_id", "n_shingles", "part", "size", "bits").join(with_component(joined), "doc_id")
+    apart = materialise(apart.select(F.col("doc_id").alias("rep"), "comp", "n_shingles", "part", "size", "bits"))
     others = materialise(missed(rows, apart, size, percent), clean=True)
     last = confirmed(others)
     joined = components(last.unionByName(joined.select(F.col("component").alias("lo"), F.col("vertex").alias("hi"))))
