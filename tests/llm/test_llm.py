@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -623,3 +624,40 @@ def test_pipeline(spark, docs, tmp_path):
     assert all(r[c] == f"{c}{r['doc_id']}" for r in rows_ for c in CLASHING if c not in ("variant", "n_pieces", "ids"))
     for _, stage in pipeline.STAGES:
         assert stage(spark, table.where("false"), str(tmp_path)).count() == 0
+
+
+def test_components_leave_the_driver_little(spark):
+    """No broadcasts, which the driver would build in threads of its own in every round."""
+    n = 40
+    edges = spark.createDataFrame([(k, k + 1) for k in range(n)] + [(100, 100 + k) for k in range(1, n)], "lo long, hi long").repartition(4)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsList().size()
+    got = {r["vertex"]: r["component"] for r in neardup.components(edges).collect()}
+    assert got == {k: 0 for k in range(n + 1)} | {100 + k: 100 for k in range(n)}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    ran = [store.executionsList().apply(k).physicalPlanDescription() for k in range(before, store.executionsList().size())]
+    assert ran and not any("BroadcastExchange" in plan for plan in ran)
+
+
+def test_stars_keep_components(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(neardup, "CONTRACTED", 5)
+    rng = random.Random(3)
+    for name in (str, int):
+        pairs = [(name(rng.randrange(60)), name(rng.randrange(60))) for _ in range(45)]
+        batches = [pa.RecordBatch.from_pydict({"lo": [p[0] for p in pairs[i : i + 3]], "hi": [p[1] for p in pairs[i : i + 3]]}) for i in range(0, len(pairs), 3)]
+        out = [(r["lo"], r["hi"]) for b in neardup._spanning(iter(batches)) for r in b.to_pylist()]
+        assert all(lo < hi for lo, hi in out) and len(out) <= len(pairs)
+
+        def groups(edges):
+            at = {}
+            for lo, hi in edges:
+                one = at.get(lo, {lo}) | at.get(hi, {hi})
+                at |= dict.fromkeys(one, one)
+            return {frozenset(x) for x in at.values() if len(x) > 1}
+
+        assert groups(out) == groups(pairs)
+        whole = neardup._stars(pa.Table.from_batches(batches)).to_pylist()
+        assert {frozenset([r["lo"], *(x["hi"] for x in whole if x["lo"] == r["lo"])]) for r in whole} == groups(pairs)
+        assert all(r["lo"] == min(g) for r in whole for g in groups(pairs) if r["hi"] in g)

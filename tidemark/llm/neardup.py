@@ -57,6 +57,8 @@ BITS, BLOCK, COUNTED, SAMPLED = 1024, 1024, 1 << 22, 20000
 SEGMENT = 512
 #: Sets of one link in a batch that meet in its bucket (more are known to be several), and links of a bucket.
 HOT_BATCH, BUCKET_LINKS = 256, 500_000
+#: Edges that a task brings together before rounds of stars begin.
+CONTRACTED = 1 << 20
 _RNG = np.random.default_rng(97)
 _MULTIPLY = _RNG.integers(1, 1 << 31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _RNG.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)
@@ -321,45 +323,87 @@ def _paired(percent: int):
     return run
 
 
+def _spanning(rows):
+    """Edges (lo, hi) from the smallest vertex of each component to its others, of CONTRACTED edges at a time."""
+    held, size = [], 0
+    for batch in rows:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= CONTRACTED:
+            yield _stars(pa.Table.from_batches(held))
+            held, size = [], 0
+    if size:
+        yield _stars(pa.Table.from_batches(held))
+
+
+def _stars(edges: pa.Table) -> pa.RecordBatch:
+    """The components of these edges as stars, each around its smallest vertex."""
+    ends = pa.concat_arrays([c for name in ("lo", "hi") for c in edges.column(name).chunks])
+    vertices = pc.unique(ends)
+    vertices = vertices.take(pc.sort_indices(vertices))
+    a, b = pc.index_in(ends, vertices).to_numpy().astype(np.int64).reshape(2, -1)
+    least = np.arange(len(vertices))
+    while True:
+        x, y = least[a], least[b]
+        new, m = least.copy(), np.minimum(x, y)
+        np.minimum.at(new, x, m)
+        np.minimum.at(new, y, m)
+        new = new[new]
+        if np.array_equal(new, least):
+            break
+        least = new
+    rest = np.flatnonzero(least != np.arange(len(least)))
+    return pa.RecordBatch.from_arrays([vertices.take(pa.array(least[rest])), vertices.take(pa.array(rest))], names=["lo", "hi"])
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    """v, u: each edge from both its ends."""
+    return edges.select(F.col("lo").alias("v"), F.col("hi").alias("u")).unionByName(edges.select(F.col("hi").alias("v"), F.col("lo").alias("u")))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """vertex, component (smallest vertex) of all vertices with an edge (lo, hi), by alternating large and small stars until nothing changes."""
-    edges = edges.where(F.col("lo") != F.col("hi")).select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi")).distinct()
-    before = None
+    """vertex, component (smallest vertex) of all vertices with an edge (lo, hi): stars of the edges in each task's hands, then alternating large and small stars until only stars are left.
+
+    Joins are merged: a broadcast, a thread of the driver each, would be one more for each of many rounds.
+    """
+    kind = edges.schema["lo"].dataType.simpleString()
+    edges = edges.where(F.col("lo") != F.col("hi")).select("lo", "hi")
+    edges = materialise(edges.mapInArrow(_spanning, f"lo {kind}, hi {kind}"), clean=True)
     while True:
         # large star: every larger neighbour of v moves to the smallest of v and its neighbours
-        both = edges.select(F.col("lo").alias("v"), F.col("hi").alias("u")).unionByName(edges.select(F.col("hi").alias("v"), F.col("lo").alias("u")))
+        both = _ends(edges)
         least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.join(least, "v").where(F.col("u") > F.col("v")).select(F.col("m").alias("lo"), F.col("u").alias("hi")).where("lo != hi").distinct()
-        # small star: v and its smaller neighbours move to the smallest of them
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi")
-        small = small.select(F.col("m").alias("lo"), F.col("lo").alias("hi")).unionByName(small.select(F.col("m").alias("lo"), "hi"))
+        large = both.join(least.hint("merge"), "v").where(F.col("u") > F.col("v")).select(F.col("m").alias("lo"), F.col("u").alias("hi")).where("lo != hi")
+        # small star: v and its smaller neighbours move to the smallest of them; one shuffle by v serves all of it
+        large = large.repartition("hi").distinct()
+        small = large.join(large.groupBy("hi").agg(F.min("lo").alias("m")).hint("merge"), "hi")
+        small = small.select(F.explode(F.array(F.struct(F.col("m").alias("lo"), F.col("lo").alias("hi")), F.struct(F.col("m").alias("lo"), F.col("hi")))).alias("x")).select("x.*")
         edges = materialise(small.where("lo != hi").distinct(), clean=True)
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("lo", "hi").cast("decimal(20,0)")).alias("h")).first()
-        if state == before:
+        # a vertex of a star is either its middle or the larger end of one edge
+        ends = _ends(edges).groupBy("v").agg(F.count("*").alias("n"), F.sum(F.when(F.col("u") < F.col("v"), 1).otherwise(0)).alias("above"))
+        if ends.where("above > 0 AND n > 1").isEmpty():
             break
-        before = state
     return edges.select(F.col("hi").alias("vertex"), F.col("lo").alias("component")).unionByName(edges.select(F.col("lo").alias("vertex"), F.col("lo").alias("component")).distinct())
 
 
 def apart_only(forest: DataFrame) -> DataFrame:
     """One document of each component in each region, and regions of several components only. forest: also comp."""
     mixed = forest.groupBy("tree", "region").agg(F.min("comp").alias("_least"), F.max("comp").alias("_most")).where("_least != _most").select("tree", "region")
-    one = forest.join(mixed, ["tree", "region"]).groupBy("tree", "region", "comp").agg(F.min(F.struct("doc_id", "fifth", "rest")).alias("x"))
+    one = forest.join(mixed.hint("merge"), ["tree", "region"]).groupBy("tree", "region", "comp").agg(F.min(F.struct("doc_id", "fifth", "rest")).alias("x"))
     return one.select("x.doc_id", "tree", "region", "x.fifth", "x.rest")
 
 
 def candidates(forest: DataFrame) -> DataFrame:
     """lo, hi: pairs that are neighbours in some tree, or a document of a dense region and a leader of it. forest: doc_id, tree, region, fifth, rest."""
     sizes = forest.groupBy("tree", "region").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).where("n > 1")
-    shared = forest.join(sizes, ["tree", "region"])
+    shared = forest.join(sizes.hint("merge"), ["tree", "region"])
     sparse, dense = shared.where(F.col("n") <= DENSE), shared.where(F.col("n") > DENSE)
     w = Window.partitionBy("tree", "region").orderBy("fifth", "rest", "doc_id")
     near = sparse.select("doc_id", F.lag("doc_id", 1).over(w).alias("p1"), F.lag("doc_id", 2).over(w).alias("p2"))
     near = near.select(F.col("doc_id").alias("a"), F.explode(F.array("p1", "p2")).alias("b"))
     # a dense region one value deeper, in parts of about DENSE documents
     deeper = dense.groupBy("tree", "region", "fifth").agg(F.count("*").alias("m"), F.min("doc_id").alias("second"))
-    parts = dense.join(deeper, ["tree", "region", "fifth"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("m") / DENSE)))
+    parts = dense.join(deeper.hint("merge"), ["tree", "region", "fifth"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("m") / DENSE)))
     w = Window.partitionBy("tree", "region", "fifth", "part").orderBy("rest", "doc_id")
     chained = parts.select("doc_id", "leader", "second", F.lag("doc_id", 1).over(w).alias("p1"), F.lag("doc_id", 2).over(w).alias("p2"))
     # each partner once, and only one that there is
@@ -386,8 +430,8 @@ def _perhaps(ids: DataFrame, bits: int = 1 << 24):
     places = F.array(*(F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(bits)) for k in (1, 2, 3)))
     words = ids.select(F.explode(places).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 AS int))")).alias("value"))
     filled = np.zeros(bits // 64, np.int64)
-    # the driver gets blocks of 1,024 words, not a row for each
-    for r in words.groupBy(F.shiftright("word", 10).alias("block")).applyInArrow(_block, "block long, words binary").toLocalIterator():
+    # the driver gets 256 blocks of 1,024 words at most, not a row for each, and in one job
+    for r in words.groupBy(F.shiftright("word", 10).alias("block")).applyInArrow(_block, "block long, words binary").collect():
         filled[r["block"] << 10 : (r["block"] + 1) << 10] = np.frombuffer(r["words"], np.int64)
     shared = ids.sparkSession.sparkContext.broadcast(filled.view(U64))
 
@@ -416,9 +460,9 @@ def missed(rows: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFra
     entries = rows.where("doc_id IS NOT NULL").mapInArrow(_linked(size, percent, shared, buckets), "bucket int, over boolean, keys binary, digests binary")
     several = materialise(entries.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_several, "key long, part long"), clean=True)
     cut = reps.select("rep", "comp", F.explode(F.arrays_zip("part", "size", "bits")).alias("x")).select("rep", "comp", "x.*")
-    tagged = materialise(several.join(cut.select("part", "rep", "comp"), "part").select("key", "part", "rep", "comp"))
+    tagged = materialise(several.join(cut.select("part", "rep", "comp").hint("merge"), "part").select("key", "part", "rep", "comp"), clean=True)
     mixed = tagged.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.max("m").alias("most"), F.max_by("comp", "m").alias("largest"), F.count("*").alias("k")).where("k > 1").drop("k")
-    dealt = tagged.join(mixed, "key").withColumn("other", F.col("comp") != F.col("largest"))
+    dealt = tagged.join(mixed.hint("merge"), "key").withColumn("other", F.col("comp") != F.col("largest"))
     all_blocks, other_blocks = F.ceil(F.col("m") / BLOCK), F.ceil((F.col("m") - F.col("most")) / BLOCK)
     # cell (one, two): the others of block two on the left, all of block one on the right
     right = F.transform(F.sequence(F.lit(0).cast("long"), other_blocks - 1), lambda x: F.struct(F.lit(1).alias("side"), F.pmod(F.xxhash64("rep"), all_blocks).alias("one"), x.alias("two")))
@@ -426,7 +470,7 @@ def missed(rows: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFra
     cells = dealt.select("key", "part", "rep", "comp", "other", F.explode(F.concat(right, F.when(F.col("other"), left).otherwise(F.slice(left, 1, 0)))).alias("x")).select("key", "part", "rep", "comp", "other", "x.*")
     cells = materialise(cells, clean=True)
     buckets = max(partitions(spark), -(-cells.count() // 10000))
-    full = cells.join(cut.select("part", "rep", "size", "bits"), ["part", "rep"]).drop("part").withColumn("bucket", F.pmod(F.xxhash64("key", "one", "two"), F.lit(buckets)).cast("int"))
+    full = cells.join(cut.select("part", "rep", "size", "bits").hint("merge"), ["part", "rep"]).drop("part").withColumn("bucket", F.pmod(F.xxhash64("key", "one", "two"), F.lit(buckets)).cast("int"))
     pairs = full.groupBy("bucket").applyInArrow(_paired(percent), f"a {kind}, b {kind}")
     return pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
 
@@ -443,31 +487,31 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
 
     def forest(known: DataFrame, begin: int, end: int) -> DataFrame:
         """Trees begin .. end - 1 of the representatives, with the columns of `known` (unique doc_id)."""
-        some = sets.select("doc_id", *(F.slice(c, begin + 1, end - begin).alias(c) for c in ("region", "fifth", "rest"))).join(known, "doc_id")
+        some = sets.select("doc_id", *(F.slice(c, begin + 1, end - begin).alias(c) for c in ("region", "fifth", "rest"))).join(known.hint("merge"), "doc_id")
         more = [c for c in known.columns if c != "doc_id"]
         out = some.select("doc_id", *more, F.posexplode(F.arrays_zip("region", "fifth", "rest")).alias("_at", "x"))
         return out.select("doc_id", *more, (F.col("_at") + begin).alias("tree"), "x.region", "x.fifth", "x.rest")
 
     def confirmed(some: DataFrame) -> DataFrame:
-        ids = materialise(some.select(F.explode(F.array("lo", "hi")).alias("doc_id")).distinct())
-        texts = materialise(rows.where(_perhaps(ids)).join(ids, "doc_id", "left_semi"))
+        ids = materialise(some.select(F.explode(F.array("lo", "hi")).alias("doc_id")).distinct(), clean=True)
+        texts = materialise(rows.where(_perhaps(ids)).join(ids.hint("merge"), "doc_id", "left_semi"), clean=True)
         left, right = (texts.select(F.col("doc_id").alias(c), F.col("_text").alias(f"text_{x}")) for c, x in (("lo", "a"), ("hi", "b")))
-        return materialise(some.select("lo", "hi").join(left, "lo").join(right, "hi").mapInArrow(_confirm(size, percent), f"lo {kind}, hi {kind}"), clean=True)
+        return materialise(some.select("lo", "hi").join(left.hint("merge"), "lo").join(right.hint("merge"), "hi").mapInArrow(_confirm(size, percent), f"lo {kind}, hi {kind}"), clean=True)
 
     def with_component(joined: DataFrame) -> DataFrame:
-        return ids.join(joined.withColumnRenamed("vertex", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"))
+        return ids.join(joined.withColumnRenamed("vertex", "doc_id").hint("merge"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"))
 
-    first = components(confirmed(materialise(candidates(forest(ids, 0, FIRST_TREES)))))
-    more = confirmed(materialise(candidates(apart_only(forest(with_component(first), FIRST_TREES, TREES)))))
+    first = components(confirmed(materialise(candidates(forest(ids, 0, FIRST_TREES)), clean=True)))
+    more = confirmed(materialise(candidates(apart_only(forest(with_component(first), FIRST_TREES, TREES))), clean=True))
     joined = components(more.unionByName(first.select(F.col("component").alias("lo"), F.col("vertex").alias("hi"))))
-    apart = sets.select("doc_id", "n_shingles", "part", "size", "bits").join(with_component(joined), "doc_id")
-    apart = materialise(apart.select(F.col("doc_id").alias("rep"), "comp", "n_shingles", "part", "size", "bits"))
+    apart = sets.select("doc_id", "n_shingles", "part", "size", "bits").join(with_component(joined).hint("merge"), "doc_id")
+    apart = materialise(apart.select(F.col("doc_id").alias("rep"), "comp", "n_shingles", "part", "size", "bits"), clean=True)
     others = materialise(missed(rows, apart, size, percent), clean=True)
     last = confirmed(others)
     joined = components(last.unionByName(joined.select(F.col("component").alias("lo"), F.col("vertex").alias("hi"))))
-    known = classes.join(joined, classes.rep == joined.vertex, "left").select(*digest, F.coalesce("component", "rep").alias("_component"))
+    known = classes.join(joined.hint("merge"), classes.rep == joined.vertex, "left").select(*digest, F.coalesce("component", "rep").alias("_component"))
     # rows with one id but different sets are one vertex
-    out = base.select("doc_id", *digest).join(known, digest, "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("_component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = base.select("doc_id", *digest).join(known.hint("merge"), digest, "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("_component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
