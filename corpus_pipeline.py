@@ -45,6 +45,7 @@ def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near duplicates."""
     bounded(spark)
     kept = neardup.near_duplicates(docs.select("doc_id", "text"), SHINGLE, PERCENT).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    kept = materialise(kept, clean=True)
     stay = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi")
     # of rows of one id and text the first in the order of all their columns
     one = _packed(stay, "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("key")).groupBy("doc_id", "key").agg(F.min_by("doc", F.to_json("doc")).alias("doc"))

@@ -661,3 +661,16 @@ def test_stars_keep_components(monkeypatch):
         whole = neardup._stars(pa.Table.from_batches(batches)).to_pylist()
         assert {frozenset([r["lo"], *(x["hi"] for x in whole if x["lo"] == r["lo"])]) for r in whole} == groups(pairs)
         assert all(r["lo"] == min(g) for r in whole for g in groups(pairs) if r["hi"] in g)
+
+
+def test_near_duplicates_leave_the_driver_little(spark, docs, tmp_path):
+    """No plan of many joins: the driver keeps all metrics of a plan anew as often as one of its stages ends, and its description."""
+    import corpus_pipeline as pipeline
+
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsList().size()
+    assert pipeline.unique(spark, docs, str(tmp_path)).count()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    ran = [store.executionsList().apply(k) for k in range(before, store.executionsList().size())]
+    assert ran and max(x.metrics().size() for x in ran) < 2500
+    assert max(len(x.physicalPlanDescription()) for x in ran) <= 16 << 10

@@ -387,16 +387,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def apart_only(forest: DataFrame) -> DataFrame:
-    """One document of each component in each region, and regions of several components only. forest: also comp."""
+    """One document of each component in each region, and regions of several components only, as a table. forest: also comp."""
     mixed = forest.groupBy("tree", "region").agg(F.min("comp").alias("_least"), F.max("comp").alias("_most")).where("_least != _most").select("tree", "region")
     one = forest.join(mixed.hint("merge"), ["tree", "region"]).groupBy("tree", "region", "comp").agg(F.min(F.struct("doc_id", "fifth", "rest")).alias("x"))
-    return one.select("x.doc_id", "tree", "region", "x.fifth", "x.rest")
+    return materialise(one.select("x.doc_id", "tree", "region", "x.fifth", "x.rest"), clean=True)
 
 
 def candidates(forest: DataFrame) -> DataFrame:
-    """lo, hi: pairs that are neighbours in some tree, or a document of a dense region and a leader of it. forest: doc_id, tree, region, fifth, rest."""
+    """lo, hi: pairs that are neighbours in some tree, or a document of a dense region and a leader of it. forest: doc_id, tree, region, fifth, rest.
+
+    The documents of shared regions are a table: three branches read them, and a plan that holds their joins in each is
+    kept by the driver, with all its metrics, as often as one of its stages ends.
+    """
     sizes = forest.groupBy("tree", "region").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).where("n > 1")
-    shared = forest.join(sizes.hint("merge"), ["tree", "region"])
+    shared = materialise(forest.join(sizes.hint("merge"), ["tree", "region"]), clean=True)
     sparse, dense = shared.where(F.col("n") <= DENSE), shared.where(F.col("n") > DENSE)
     w = Window.partitionBy("tree", "region").orderBy("fifth", "rest", "doc_id")
     near = sparse.select("doc_id", F.lag("doc_id", 1).over(w).alias("p1"), F.lag("doc_id", 2).over(w).alias("p2"))
@@ -483,7 +487,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     sets = base.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     digest = ["d1", "d2", "n_shingles"]
     classes = sets.groupBy(*digest).agg(F.min("doc_id").alias("rep"))
-    ids = classes.select(F.col("rep").alias("doc_id")).distinct()
+    ids = materialise(classes.select(F.col("rep").alias("doc_id")).distinct(), clean=True)
 
     def forest(known: DataFrame, begin: int, end: int) -> DataFrame:
         """Trees begin .. end - 1 of the representatives, with the columns of `known` (unique doc_id)."""
@@ -502,7 +506,8 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
         return ids.join(joined.withColumnRenamed("vertex", "doc_id").hint("merge"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"))
 
     first = components(confirmed(materialise(candidates(forest(ids, 0, FIRST_TREES)), clean=True)))
-    more = confirmed(materialise(candidates(apart_only(forest(with_component(first), FIRST_TREES, TREES))), clean=True))
+    labelled = materialise(with_component(first), clean=True)
+    more = confirmed(materialise(candidates(apart_only(forest(labelled, FIRST_TREES, TREES))), clean=True))
     joined = components(more.unionByName(first.select(F.col("component").alias("lo"), F.col("vertex").alias("hi"))))
     apart = sets.select("doc_id", "n_shingles", "part", "size", "bits").join(with_component(joined).hint("merge"), "doc_id")
     apart = materialise(apart.select(F.col("doc_id").alias("rep"), "comp", "n_shingles", "part", "size", "bits"), clean=True)
@@ -510,6 +515,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     last = confirmed(others)
     joined = components(last.unionByName(joined.select(F.col("component").alias("lo"), F.col("vertex").alias("hi"))))
     known = classes.join(joined.hint("merge"), classes.rep == joined.vertex, "left").select(*digest, F.coalesce("component", "rep").alias("_component"))
+    known = materialise(known, clean=True)
     # rows with one id but different sets are one vertex
     out = base.select("doc_id", *digest).join(known.hint("merge"), digest, "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("_component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))

@@ -8,8 +8,13 @@ from pyspark.sql.types import StructField, StructType
 
 
 def bounded(spark: SparkSession) -> SparkSession:
-    """Batches that go to Python hold 16 MB, however long the texts."""
+    """Batches that go to Python hold 16 MB, however long the texts.
+
+    The driver keeps a description of the plan of each of its last 1,000 executions, and writes it anew whenever a stage
+    of the plan ends: 16 KB of it, however many joins the plan has.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.maxPlanStringLength", str(16 << 10))
     return spark
 
 
